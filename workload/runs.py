@@ -23,6 +23,7 @@ from storyframe.sources import annotations as A
 from storyframe.sources import listing as U
 from storyframe.sources import sinks
 from storyframe.sources import subtitles as S
+from storyframe.sources.catalogue import invalid_values
 from storyframe.streaming import ingest as stream_ingest
 from storyframe.streaming import status as stream_status
 from workload import inputs as I
@@ -332,10 +333,9 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of every source after an ingest run; sources with videos or subtitles have a folder."""
-    sources = I.table(spark, sf_dir, "documents").select(F.col("source").alias("media_id")).distinct()
-    listed = I.files(spark, sf_dir).filter("name LIKE 'ep01.%' OR name LIKE 'ep02.mov'")
-    return ingest.media_status(sources, listed)
+    """State of a work per customer after an ingest run, with a folder for each document source."""
+    works = I.table(spark, sf_dir, "customer").selectExpr("concat('src', cast(c_custkey AS string)) AS media_id")
+    return ingest.media_status(works, I.files(spark, sf_dir))
 
 
 @query
@@ -396,15 +396,10 @@ def asset_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def invalid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are no valid kind of work; orders have valid annotation states."""
-    works = rejects_of(I.media(spark, sf_dir), "media_id")
-    episodes = rejects_of(I.assets(spark, sf_dir), "asset_id")
-    return works.unionByName(episodes)
-
-
-def rejects_of(rows: DataFrame, id_: str) -> DataFrame:
-    from storyframe.sources.catalogue import invalid_values
-
-    return invalid_values(rows).select(F.col(id_).alias("row_id"), _joined(F.col("invalid"), ",").alias("invalid"))
+    works, episodes = I.media(spark, sf_dir), I.assets(spark, sf_dir)
+    found = [invalid_values(rows).select(F.col(id_).alias("row_id"), _joined(F.col("invalid"), ",").alias("invalid"))
+             for rows, id_ in ((works, "media_id"), (episodes, "asset_id"))]
+    return found[0].unionByName(found[1])
 
 
 # Status history and streams.
