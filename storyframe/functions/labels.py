@@ -54,5 +54,6 @@ def flat_number(flat: Column) -> Column:
 
 def _first(value_json: Column, parsed: Column, key: str) -> Column:
     # A bare string in place of the list counts by its first character.
-    bare = F.when(parsed[key].isNull(), F.substring(F.get_json_object(value_json, f"$.{key}"), 1, 1))
+    unlisted = parsed[key].isNull() & F.contains(value_json, F.lit(f'"{key}"'))
+    bare = F.when(unlisted, F.substring(F.get_json_object(value_json, f"$.{key}"), 1, 1))
     return F.coalesce(F.get(parsed[key], F.lit(0)), bare)

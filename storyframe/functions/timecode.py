@@ -44,13 +44,10 @@ def final_time(seconds: Column) -> Column:
     59.9996 is `00:00:60.000`. Null is `00:00:00.000`; hours grow without bound.
     """
     x = seconds.cast("double")
-    rest = F.when(x % 60 < 0, x % 60 + 60).otherwise(x % 60)
+    rest = F.pmod(x, F.lit(60.0))
     minutes = F.floor((x - rest) / 60 + 0.5)
-    millis = _millis(rest)
     text = F.format_string(
-        "%02d:%02d:%02d.%03d",
-        F.floor(minutes / 60), F.pmod(minutes, F.lit(60)), F.floor(millis / 1000), F.pmod(millis, F.lit(1000)),
-    )
+        "%02d:%02d:%06.3f", F.floor(minutes / 60), F.pmod(minutes, F.lit(60)), _millis(rest) / 1000)
     return F.when(x.isNull(), F.lit("00:00:00.000")).otherwise(text)
 
 

@@ -45,38 +45,50 @@ def flattened(results: DataFrame) -> DataFrame:
 def pivot_regions(results: DataFrame) -> DataFrame:
     """One row per region, the last value of each attribute winning.
 
-    Attributes come from a fixed vocabulary, so each is one conditional `max_by`: partial results are one row
-    per region and task, however many results a region has.
+    Results are first brought down to the last one per region and attribute. The vocabulary is fixed and other
+    names share one entry, so a region then has a bounded number of rows, however many results it had.
     """
-    pos, name = F.col("result_pos"), F.col("from_name")
-
-    def last(value: Column, when: Column) -> Column:
-        return F.max_by(value, F.when(when, pos))
-
-    timed = F.col("parsed.start").isNotNull() & F.col("parsed.end").isNotNull()
-    attributes = [last(F.col("flat"), name == a).alias(a) for a in S.FLAT_ATTRIBUTES]
-    texts = [last(F.col("parsed.text"), name == a).alias(a) for a in S.TEXT_ATTRIBUTES]
-    regions = flattened(with_chapter(results)).groupBy(*REGION_KEY, "inner_id", "chapter_id").agg(
-        F.min(pos).alias("first_pos"),
-        last(F.col("parsed.start"), timed).try_cast("double").alias("start_time"),
-        last(F.col("parsed.end"), timed).try_cast("double").alias("end_time"),
-        last(F.col("parsed.labels"), name == "region_type").alias("labels"),
-        *attributes, *texts,
+    pos, parsed = F.col("result_pos"), F.col("parsed")
+    known = F.col("from_name").isin("region_type", *S.FLAT_ATTRIBUTES, *S.TEXT_ATTRIBUTES)
+    timed = parsed["start"].isNotNull() & parsed["end"].isNotNull()
+    rows = flattened(with_chapter(results)).select(
+        *REGION_KEY, "inner_id", "chapter_id", "result_pos",
+        F.when(known, F.col("from_name")).otherwise("").alias("name"),
+        F.when(timed, F.struct(pos.alias("pos"), parsed["start"].alias("start"), parsed["end"].alias("end")))
+        .alias("times"),
+        F.struct("flat", parsed["labels"].alias("labels"), parsed["text"].alias("texts")).alias("value"),
+    )
+    task = [F.min("inner_id").alias("inner_id"), F.min("chapter_id").alias("chapter_id")]
+    last = rows.groupBy(*REGION_KEY, "name").agg(
+        *task, F.min("result_pos").alias("first_pos"), F.max("times").alias("times"),
+        F.max_by("value", "result_pos").alias("value"))
+    regions = last.groupBy(*REGION_KEY).agg(
+        *task, F.min("first_pos").alias("first_pos"), F.max("times").alias("times"),
+        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
+
+    def value(name: str) -> Column:
+        return F.try_element_at("values", F.lit(name))
+
+    start, end = F.col("times.start").try_cast("double"), F.col("times.end").try_cast("double")
+    return regions.select(
+        *REGION_KEY, "inner_id", "chapter_id", "first_pos", start.alias("start_time"), end.alias("end_time"),
+        label_seconds(start).alias("start_seconds"), label_seconds(end).alias("end_seconds"),
+        L.region_label(value("region_type")["labels"]).alias("region_type"),
+        *[value(a)["flat"].alias(a) for a in S.FLAT_ATTRIBUTES],
+        *[value(a)["texts"].alias(a) for a in S.TEXT_ATTRIBUTES],
     )
-    return regions.withColumns({
-        "region_type": L.region_label(F.col("labels")),
-        "start_seconds": label_seconds(F.col("start_time")),
-        "end_seconds": label_seconds(F.col("end_time")),
-    }).drop("labels")
 
 
 def routed(regions: DataFrame, region_type: str) -> DataFrame:
     return regions.filter(F.col("region_type") == region_type)
 
 
-def scenes(regions: DataFrame) -> DataFrame:
-    """Scenes of every project, numbered across its chapters in region order."""
-    ranked = numbered(routed(regions, S.SCENE), ["project_id"], REGION_ORDER, "scene_id")
+def scenes(regions: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Scenes of every project, numbered across its chapters in region order.
+
+    `at_most` bounds the scenes of a project; the number of its annotation results will do.
+    """
+    ranked = numbered(routed(regions, S.SCENE), ["project_id"], REGION_ORDER, "scene_id", at_most)
     return ranked.select(
         "project_id", "scene_id", "chapter_id", "region_id", "start_seconds", "end_seconds", *scene_columns()
     )

@@ -14,10 +14,13 @@ from storyframe.operators.children import PART_ROWS, listed
 from storyframe.operators.skew import numbered
 
 
-def chapters(scenes: DataFrame, size: int = PART_ROWS) -> DataFrame:
-    """One row per chapter with its scene ids in order; chapters of more than `size` scenes take several parts."""
+def chapters(scenes: DataFrame, size: int = PART_ROWS, at_most: int | None = None) -> DataFrame:
+    """One row per chapter with its scene ids in order; chapters of more than `size` scenes take several parts.
+
+    `at_most` bounds the scenes of a chapter.
+    """
     ranked = numbered(scenes.select("project_id", "chapter_id", "scene_id"), ["project_id", "chapter_id"],
-                      ["scene_id"], "ordinal")
+                      ["scene_id"], "ordinal", at_most)
     chapter = F.col("chapter_id")
     return listed(ranked, ["project_id", "chapter_id"], "ordinal", "scene_id", "scene_ids", size).select(
         "project_id", "chapter_id", "part",

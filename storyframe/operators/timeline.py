@@ -46,12 +46,13 @@ def timeline_input(scenes: DataFrame) -> DataFrame:
     )
 
 
-def narrative_order(scenes: DataFrame, keys: list[str] = LIST_KEY) -> DataFrame:
+def narrative_order(scenes: DataFrame, keys: list[str] = LIST_KEY, at_most: int | None = None) -> DataFrame:
     """`keys`, `scene_id` and its 1-based `narrative_index` within each list.
 
-    Scenes told ahead are not listed, nor are inserts without a complete sort key; those are rejects.
+    Scenes told ahead are not listed, nor are inserts without a complete sort key; those are rejects. `at_most`
+    bounds the scenes of a list.
     """
-    top = largest_group(scenes, keys)
+    top = largest_group(scenes, keys) if at_most is None else at_most
     marker = F.coalesce(F.col("marker"), F.lit(""))
     zero = F.lit(0.0)
     base = scenes.filter(~marker.isin("INSERT_PAST", "FORWARD"))
@@ -91,8 +92,6 @@ def _insert_paths(base: DataFrame, inserts: DataFrame, keys: list[str], top: int
 
 def _joined_paths(state: DataFrame, keys: list[str], top: int) -> DataFrame:
     """Complete the paths of inserts below inserts; each round doubles the length that is known."""
-    if state.filter("above IS NOT NULL").isEmpty():
-        return state
     state = cut_lineage(state)
     while True:
         open_ = state.filter("above IS NOT NULL")

@@ -71,6 +71,8 @@ def build(tasks: DataFrame, lines: DataFrame, generated_at: datetime | str | Non
 def assemble(scenes: DataFrame, events: DataFrame, highlights: DataFrame, cues: DataFrame,
              generated_at: datetime | str | None = None, same_chapter: bool = False) -> Script:
     """Scripts from scenes and their children."""
+    # No chapter and no branch has more scenes than its project.
+    top = largest_group(scenes, ["project_id"])
     spoken = C.attach(scenes, subtitle_children(events), ["line_no"], same_chapter=True)
     marked = C.attach(scenes, mark_children(highlights, cues), [*R.REGION_ORDER, "cue_no"], same_chapter=same_chapter)
     shape = ["project_id", "scene_id", "kind", "ordinal", "body"]
@@ -78,34 +80,36 @@ def assemble(scenes: DataFrame, events: DataFrame, highlights: DataFrame, cues:
     return Script(
         scenes=scenes,
         children=spoken.select(shape).unionByName(marked.select(shape)),
-        chapters=rollup.chapters(scenes),
+        chapters=rollup.chapters(scenes, at_most=top),
         totals=rollup.project_totals(scenes, generated_at),
-        branches=branches(ordering),
-        timeline=timeline(ordering),
+        branches=branches(ordering, top),
+        timeline=timeline(ordering, top),
         intersections=N.intersections(ordering).select("project_id", "scene_id", branches_json().alias("branches")),
     )
 
 
-def branches(ordering: DataFrame) -> DataFrame:
+def branches(ordering: DataFrame, at_most: int | None = None) -> DataFrame:
     """`project_id, branch_key, branch, first_scene, is_linear`: one row per branch, also for one that lists nothing.
 
     Every scene of a linear project is in the main branch, so one ordering per branch serves both kinds.
     """
-    return join_hot(N.branch_names(ordering), N.linear_projects(ordering), ["project_id"], right_at_most=1)
+    return join_hot(N.branch_names(ordering), N.linear_projects(ordering), ["project_id"],
+                    left_at_most=at_most, right_at_most=1)
 
 
-def timeline(ordering: DataFrame) -> DataFrame:
+def timeline(ordering: DataFrame, at_most: int | None = None) -> DataFrame:
     """`project_id, branch, scene_id, narrative_index`."""
-    placed = join_hot(N.narrative_order(ordering), N.branch_names(ordering), N.LIST_KEY,
-                      left_at_most=largest_group(ordering, N.LIST_KEY), right_at_most=1)
+    top = largest_group(ordering, N.LIST_KEY) if at_most is None else at_most
+    placed = join_hot(N.narrative_order(ordering, at_most=top), N.branch_names(ordering), N.LIST_KEY,
+                      left_at_most=top, right_at_most=1)
     return placed.select("project_id", "branch", "scene_id", "narrative_index")
 
 
 def subtitle_children(events: DataFrame) -> DataFrame:
-    fields = [("content", T.json_text(F.col("content"))), *_times()]
-    caption = _object(fields)
-    dialogue = _object([fields[0], ("speaker", T.json_text(F.col("speaker"))), *fields[1:]])
-    body = F.when(F.col("kind") == "caption", caption).otherwise(dialogue)
+    speaker = F.concat(F.lit(',"speaker":'), _text("speaker"))
+    body = F.concat(
+        F.lit('{"content":'), _text("content"), F.when(F.col("kind") == "caption", "").otherwise(speaker),
+        F.lit(","), _pairs(_times()), F.lit("}"))
     return events.select("project_id", "chapter_id", "kind", "line_no", "start_seconds", body.alias("body"))
 
 
@@ -156,12 +160,12 @@ def scene_parts(script: Script, size: int = C.PART_ROWS) -> DataFrame:
         *[F.max(F.when(F.col("kind") == k, F.col("items"))).alias(c) for k, c in CHILD_LISTS.items()])
     empty = F.array().cast("array<string>")
     listed = [(c, _array(F.coalesce(F.col(c), empty))) for c in CHILD_LISTS.values()]
-    first = script.scenes.join(lists.filter("part = 0").drop("part"), ["project_id", "scene_id"], "left").select(
-        "project_id", "scene_id", F.lit(0).cast("long").alias("part"), scene_body(listed).alias("body"))
-    more = lists.filter("part > 0").select(
-        "project_id", "scene_id", "part",
-        _object([("id", F.col("scene_id").cast("string")), *listed]).alias("body"))
-    return first.unionByName(more)
+    # Each scene meets part 0 of its lists; later parts and scenes without children stay alone.
+    first = script.scenes.withColumns({"part": F.lit(0).cast("long"), "told": F.lit(True)})
+    joined = first.join(lists, ["project_id", "scene_id", "part"], "full")
+    later = _object([("id", F.col("scene_id").cast("string")), *listed])
+    return joined.select("project_id", "scene_id", "part",
+                         F.when(F.col("told"), scene_body(listed)).otherwise(later).alias("body"))
 
 
 def parts(script: Script, size: int = C.PART_ROWS) -> DataFrame:

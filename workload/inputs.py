@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyframe.functions.labels import FLAT
 from storyframe.operators.regions import scene_columns
-from storyframe.operators.skew import numbered, with_previous
+from storyframe.operators.skew import largest_group, numbered, with_previous
 from storyframe.session import cut_lineage
 
 
@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def landed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Write derived rows as an importer would, so that queries read plain columns and not the derivation.
+
+    A table of few row groups is first spread over the cores.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows.rdd.getNumPartitions() < cores
+    return cut_lineage(rows.repartition(cores, *keys) if few else rows)
+
+
 # Microseconds since the start of 2024.
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)"
 FIELDS = ["project_id", "chapter_id"]
@@ -34,9 +44,11 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene per purchase, lasting until the next purchase of the user; the last of each user has no end."""
     bought = _marks(spark, sf_dir).filter("event_type = 'purchase'").drop("event_type")
-    ended = with_previous(bought, ["user_id"], ["us", "event_id"], {"end_seconds": "start_seconds"}, descending=True)
+    top = largest_group(bought, ["project_id"])
+    ended = with_previous(bought, ["user_id"], ["us", "event_id"], {"end_seconds": "start_seconds"}, descending=True,
+                          at_most=top)
     filled = ended.withColumn("end_seconds", F.coalesce("end_seconds", F.lit(0.0)))
-    return numbered(filled, ["project_id"], ["chapter_id", "us", "event_id"], "scene_id")
+    return cut_lineage(numbered(filled, ["project_id"], ["chapter_id", "us", "event_id"], "scene_id", at_most=top))
 
 
 def described_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,13 +175,14 @@ RESULT_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_exten
 
 def annotation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("task_pos", F.expr("cast(floor(l_orderkey / 8) as bigint) % 5"))
-    return items.selectExpr(
+    rows = items.selectExpr(
         "cast(floor(l_orderkey / 40) as bigint) AS project_id", "task_pos",
         "CASE WHEN task_pos = 3 THEN NULL ELSE 5 - task_pos END AS inner_id",
         "CASE WHEN task_pos = 4 THEN 'trailer.mp4' "
         "ELSE concat('x-ep', lpad(cast(task_pos + 1 AS string), 2, '0'), '.mp4') END AS file_upload",
         f"struct({', '.join(RESULT_ORDER)}) AS result_pos", "cast(l_orderkey AS string) AS region_id",
         f"{NAME} AS from_name", f"{VALUE} AS value_json", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return landed(rows, "region_id", "l_linenumber")
 
 
 def timeline_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

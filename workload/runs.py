@@ -16,7 +16,7 @@ from storyframe.operators import regions as R
 from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.intervals import interval_join
-from storyframe.operators.skew import join_hot, numbered
+from storyframe.operators.skew import join_hot, largest_group
 from storyframe.plans import catalogue, ingest, rejects, script, status
 from storyframe.session import cut_lineage, scratch_path
 from storyframe.sources import annotations as A
@@ -130,15 +130,20 @@ def region_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.groupBy("project_id").agg(*counts, F.count(F.lit(1)).alias("n_regions"))
 
 
+def _region_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = I.annotation_results(spark, sf_dir)
+    return R.scenes(R.pivot_regions(results), at_most=largest_group(results, ["project_id"]))
+
+
 @query
 def scene_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenes = R.scenes(R.pivot_regions(I.annotation_results(spark, sf_dir)))
+    scenes = _region_scenes(spark, sf_dir)
     return scenes.select("project_id", "scene_id", "chapter_id", "region_id", "name")
 
 
 @query
 def scene_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenes = R.scenes(R.pivot_regions(I.annotation_results(spark, sf_dir)))
+    scenes = _region_scenes(spark, sf_dir)
     marker = F.col("timeline_marker")
     return scenes.select(
         "project_id", "scene_id", "name", "textual", "inferred_location", "character_dynamics", "mood_and_atmosphere",
