@@ -25,6 +25,11 @@ def or_default(text: Column, default: str = "N/A") -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
 
+def plain_path(uri: Column) -> Column:
+    """The path behind `_metadata.file_path`, which escapes blanks and percent signs but no plus signs."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

@@ -196,7 +196,8 @@ def parts(script: Script, size: int = C.PART_ROWS) -> DataFrame:
 def documents(pieces: DataFrame, max_chars: int = DOCUMENT_CHARS) -> DataFrame:
     """`project_id, document`: the nested script of every project whose `parts` stay below `max_chars`.
 
-    The text of a project is measured before any of it is gathered. Projects that are larger, or whose scenes or
+    `pieces` is read several times and should be a written table. The text of a project is measured before any of
+    it is gathered. Projects that are larger, or whose scenes or
     chapters take several parts, have a null document and are read from their parts.
     """
     section = F.col("section")

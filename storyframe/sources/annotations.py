@@ -16,18 +16,20 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
     The JSON reader streams through a file and hands out its tasks in order. A file whose root is no array holds
     no tasks; the root is told by the first character that is not blank.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    corrupt = f"{S.TASK}, _corrupt string"
+    def files():
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+
+    schema = f"{S.TASK}, _corrupt string"
     tasks = (
-        files.schema(corrupt).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        files().schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
         .select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("task_pos"))
     )
-    lines = files.text(path).filter(F.trim("value") != "").select(
+    lines = files().text(path).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("path"), F.left(F.trim("value"), F.lit(1)).alias("root"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     roots = lines.groupBy("path").agg(F.min_by("root", "at").alias("root"))
     listed = join_hot(tasks, roots.filter("root = '['").select("path"), ["path"], "left_semi")
-    name = F.url_decode(T.file_name(F.col("path")))
+    name = T.file_name(T.plain_path(F.col("path")))
     return listed.select(T.file_stem(name).alias("project_id"), "task_pos", "inner_id", "file_upload", "annotations",
                          F.col("_corrupt").alias("corrupt"))
 
@@ -35,7 +37,7 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 def read_task_lines(spark: SparkSession, path: str) -> DataFrame:
     """Tasks of `<path>/<project>.jsonl` files with one task per line, which large projects should use."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    name = F.url_decode(T.file_name(F.col("_metadata.file_path")))
+    name = T.file_name(T.plain_path(F.col("_metadata.file_path")))
     located = lines.filter(F.trim("value") != "").select(
         F.regexp_replace(name, r"\.jsonl$", "").alias("project_id"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),

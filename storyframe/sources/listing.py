@@ -22,8 +22,8 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 def listing(files: DataFrame) -> DataFrame:
     """`media_id` and `name` from the paths of files."""
     return files.withColumns({
-        "media_id": F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)),
-        "name": F.url_decode(T.file_name(F.col("path"))),
+        "media_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1),
+        "name": T.file_name(F.col("path")),
     })
 
 

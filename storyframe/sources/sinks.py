@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyframe.functions.text import json_text
+
 
 def write_script_parts(parts: DataFrame, path: str) -> None:
     """One JSON line per part of a script, in a folder per project."""
     line = F.concat(
-        F.lit('{"section":"'), F.col("section"), F.lit('","item":'), F.to_json(F.array("item")),
+        F.lit('{"section":"'), F.col("section"), F.lit('","item":'), json_text(F.col("item")),
         F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"body":'), F.col("body"), F.lit("}"))
     parts.select("project_id", line.alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
 

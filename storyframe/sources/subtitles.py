@@ -22,13 +22,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ass").text(path)
     located = lines.select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("line"), T.plain_path(F.col("_metadata.file_path")).alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("turn")).alias("line_no"),
     )
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    return located.select(F.url_decode(folder).alias("project_id"),
-                          F.url_decode(T.file_name(F.col("path"))).alias("chapter_file"), "line_no", "line")
+    return located.select(folder.alias("project_id"), T.file_name(F.col("path")).alias("chapter_file"), "line_no",
+                          "line")
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
