@@ -135,41 +135,39 @@ def subtitle_lines(spark: SparkSession, sf_dir: str, fonts: bool = False) -> Dat
     for number, line, when in extra:
         turns = turns.unionByName(files.filter(when).selectExpr(
             "conv_id", f"cast({number} AS bigint) AS line_no", f"{line} AS line"))
-    return turns.selectExpr(
+    return landed(turns.selectExpr(
         "cast(floor(conv_id / 10) as bigint) AS project_id",
-        "concat(lpad(cast(conv_id % 10 + 1 AS string), 2, '0'), '.ass') AS chapter_file", "line_no", "line")
+        "concat(lpad(cast(conv_id % 10 + 1 AS string), 2, '0'), '.ass') AS chapter_file", "line_no", "line"),
+        "project_id", "chapter_file", "line_no")
 
 
 # Annotation results from line items: a region per order, eight orders per task, five tasks per project.
-NAME = """CASE l_linenumber % 3
-  WHEN 0 THEN 'region_type'
-  WHEN 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN
-      CASE l_partkey % 6 WHEN 0 THEN 'scene_location' WHEN 1 THEN 'scene_character_dynamics'
-        WHEN 2 THEN 'highlight_description' WHEN 3 THEN 'key_information_summary' WHEN 4 THEN 'object_name'
-        ELSE 'past_description' END
-    ELSE
-      CASE l_partkey % 6 WHEN 0 THEN 'branch_id' WHEN 1 THEN 'branch_intersection_x'
-        WHEN 2 THEN 'branch_intersection_y' WHEN 3 THEN 'insert_past_chapter' WHEN 4 THEN 'insert_past_scene'
-        ELSE 'highlight_id' END END
-  ELSE CASE l_partkey % 6 WHEN 0 THEN 'scene_content_type' WHEN 1 THEN 'scene_mood_and_atmosphere'
-        WHEN 2 THEN 'narrative_branch_type' WHEN 3 THEN 'scene_timeline_marker_type' WHEN 4 THEN 'highlight_type'
-        ELSE 'highlight_mood' END END"""
-LABEL = """CASE l_partkey % 8 WHEN 5 THEN '高光/Highlight' WHEN 6 THEN '叙事线索/NARRATIVE_CUE'
-  WHEN 7 THEN 'Other' ELSE '场景/Scene' END"""
-CHOICE = """CASE l_partkey % 6
-  WHEN 2 THEN CASE l_suppkey % 3 WHEN 0 THEN '无/NONE' WHEN 1 THEN '分支/BRANCH' ELSE '交叉/INTERSECTION' END
-  WHEN 3 THEN CASE l_suppkey % 6 WHEN 0 THEN '开始/START' WHEN 1 THEN '插入/INSERT_PAST' WHEN 2 THEN '预叙/FORWARD'
-    WHEN 3 THEN '引用/REFERENCE' WHEN 4 THEN '过去/PAST' ELSE 'Other' END
+def _pick(column: str, *values: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast({column} % {len(values)} AS int) + 1)"
+
+
+TEXT_NAME = _pick("l_partkey", "scene_location", "scene_character_dynamics", "highlight_description",
+                  "key_information_summary", "object_name", "past_description")
+NUMBER_NAME = _pick("l_partkey", "branch_id", "branch_intersection_x", "branch_intersection_y", "insert_past_chapter",
+                    "insert_past_scene", "highlight_id")
+CHOICE_NAME = _pick("l_partkey", "scene_content_type", "scene_mood_and_atmosphere", "narrative_branch_type",
+                    "scene_timeline_marker_type", "highlight_type", "highlight_mood")
+NAME = f"""CASE l_linenumber % 3 WHEN 0 THEN 'region_type' WHEN 2 THEN {CHOICE_NAME}
+  ELSE CASE WHEN l_suppkey % 2 = 0 THEN {TEXT_NAME} ELSE {NUMBER_NAME} END END"""
+LABEL = _pick("l_partkey", *["场景/Scene"] * 5, "高光/Highlight", "叙事线索/NARRATIVE_CUE", "Other")
+BRANCH = _pick("l_suppkey", "无/NONE", "分支/BRANCH", "交叉/INTERSECTION")
+MARKER = _pick("l_suppkey", "开始/START", "插入/INSERT_PAST", "预叙/FORWARD", "引用/REFERENCE", "过去/PAST", "Other")
+CHOICE = f"""CASE l_partkey % 6 WHEN 2 THEN {BRANCH} WHEN 3 THEN {MARKER}
   ELSE concat('选/', l_returnflag, '/', l_linestatus) END"""
+TEXTS = """concat('"text":["t', cast(l_partkey AS string), '/', l_linestatus, '","","b"]')"""
+NUMBER = """concat('"number":', cast(l_suppkey % 5 AS string), CASE WHEN l_partkey % 7 = 0 THEN '.0' ELSE '' END)"""
 VALUE = f"""CASE WHEN l_partkey % 50 = 0 THEN '{{}}'
   ELSE concat('{{"start":', cast(cast(l_quantity AS int) AS string), ',"end":',
     cast(cast(l_quantity AS int) + 5 AS string), ',',
-    CASE l_linenumber % 3
-      WHEN 0 THEN concat('"labels":["', {LABEL}, '"]')
-      WHEN 1 THEN CASE WHEN l_suppkey % 2 = 0
-        THEN concat('"text":["t', cast(l_partkey AS string), '/', l_linestatus, '","","b"]')
-        ELSE concat('"number":', cast(l_suppkey % 5 AS string), CASE WHEN l_partkey % 7 = 0 THEN '.0' ELSE '' END) END
-      ELSE concat('"choices":["', {CHOICE}, '"]') END, '}}') END"""
+    CASE l_linenumber % 3 WHEN 0 THEN concat('"labels":["', {LABEL}, '"]')
+      WHEN 2 THEN concat('"choices":["', {CHOICE}, '"]')
+      ELSE CASE WHEN l_suppkey % 2 = 0 THEN {TEXTS} ELSE {NUMBER} END END, '}}') END"""
 RESULT_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
