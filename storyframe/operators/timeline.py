@@ -7,6 +7,9 @@ gets a path of sort keys and the list is the order of the paths:
 
 - a listed scene, or an insert put at the end, starts a path of its own;
 - any other insert extends the path of its target by its negated sort key.
+
+Paths are as long as flashbacks are nested. Where they nest deeper than `2 ** PATH_ROUNDS`, the inserts below an
+insert get their rank in the walk from linked neighbours instead, with rows of constant size.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyframe.functions.labels import flat_number
-from storyframe.operators.skew import join_hot, largest_group, numbered
+from storyframe.operators.skew import join_hot, largest_group, numbered, with_previous
 from storyframe.session import cut_lineage
 
 LIST_KEY = ["project_id", "branch_key"]
 _SORT = ["chapter_rank", "scene_rank", "inner_rank", "scene_id"]
+PATH_ROUNDS = 6
 
 
 def branch_key(branch_id: Column) -> Column:
@@ -80,28 +84,81 @@ def _insert_paths(base: DataFrame, inserts: DataFrame, keys: list[str], top: int
     ranks = [F.col(c) for c in _SORT]
     child = _step(0, *[-c for c in ranks])
     zero = F.lit(0.0)
-    state = placed.select(
-        *keys, "scene_id",
+    state = cut_lineage(placed.select(
+        *keys, *_SORT,
         F.when(below_base, F.array(_step(0, zero, zero, zero, F.col("target_id")), child))
         .when(below_insert, F.array(child))
         .otherwise(F.array(_step(1, *ranks))).alias("path"),
         F.when(below_insert, F.col("target_id")).alias("above"),
-    )
-    return _joined_paths(state, keys, top).drop("above")
+    ))
+    paths = _joined_paths(state.select(*keys, "scene_id", "path", "above"), keys, top)
+    return _ranked_paths(state, keys, top) if paths is None else paths
+
 
+def _joined_paths(state: DataFrame, keys: list[str], top: int) -> DataFrame | None:
+    """Complete the paths of inserts below inserts; each round doubles the length that is known.
 
-def _joined_paths(state: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """Complete the paths of inserts below inserts; each round doubles the length that is known."""
-    state = cut_lineage(state)
-    while True:
+    None if some are still incomplete after the last round.
+    """
+    for _ in range(PATH_ROUNDS):
         open_ = state.filter("above IS NOT NULL")
         if open_.isEmpty():
-            return state
+            return state.drop("above")
         upper = state.select(*keys, F.col("scene_id").alias("above"), F.col("path").alias("upper_path"),
                              F.col("above").alias("next_above"))
         longer = join_hot(open_, upper, [*keys, "above"], left_at_most=top, right_at_most=1).select(
             *keys, "scene_id", F.concat("upper_path", "path").alias("path"), F.col("next_above").alias("above"))
         state = cut_lineage(state.filter("above IS NULL").unionByName(longer))
+    return state.drop("above") if state.filter("above IS NOT NULL").isEmpty() else None
+
+
+def _ranked_paths(state: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """Paths made of that of the tree's first insert and the rank in the walk through the tree."""
+    below = state.filter("above IS NOT NULL")
+    first = state.filter("above IS NULL").select(*keys, "scene_id", "path")
+    # The walk goes from an insert to the one placed last below it, else to what follows it: the one placed before
+    # it on the same target, else what follows the target.
+    beside = with_previous(below, [*keys, "above"], _SORT, {"after": "scene_id"}, at_most=top)
+    after = _settled(beside.select(
+        *keys, "scene_id", "after", F.when(F.col("after").isNull(), F.col("above")).alias("like")), keys)
+    nearest = below.groupBy(*keys, F.col("above").alias("scene_id")).agg(
+        F.max_by("scene_id", F.struct(*_SORT)).alias("nearest"))
+    nodes = after.select(*keys, "scene_id", "after", F.lit(False).alias("is_first")).unionByName(
+        first.select(*keys, "scene_id", F.lit(None).cast("long").alias("after"), F.lit(True).alias("is_first")))
+    steps = nodes.join(nearest, [*keys, "scene_id"], "left").select(
+        *keys, F.coalesce("nearest", "after").alias("scene_id"), F.col("scene_id").alias("back"),
+        F.lit(1).cast("long").alias("rank"), "is_first").filter("scene_id IS NOT NULL")
+    ranked = _counted(steps, keys).select(*keys, F.col("scene_id").alias("inner"), F.col("back").alias("scene_id"), "rank")
+    zero = F.lit(0.0)
+    place = _step(0, F.col("rank").cast("double"), zero, zero, F.lit(0).cast("long"))
+    deep = join_hot(ranked, first, [*keys, "scene_id"], left_at_most=top, right_at_most=1).select(
+        *keys, F.col("inner").alias("scene_id"), F.concat("path", F.array(place)).alias("path"))
+    return first.unionByName(deep)
+
+
+def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Resolve `after` of rows that share it with the row named `like`; no two rows name the same one."""
+    rows = cut_lineage(rows)
+    while not rows.filter("like IS NOT NULL").isEmpty():
+        other = rows.select(*keys, F.col("scene_id").alias("like"), F.col("after").alias("their_after"),
+                            F.col("like").alias("their_like"))
+        moved = rows.filter("like IS NOT NULL").join(other, [*keys, "like"], "left").select(
+            *keys, "scene_id", F.col("their_after").alias("after"), F.col("their_like").alias("like"))
+        rows = cut_lineage(rows.filter("like IS NULL").unionByName(moved))
+    return rows
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Follow `back` to the first row of each walk, adding up the steps; each round doubles their number."""
+    rows = cut_lineage(rows)
+    while not rows.filter("NOT is_first").isEmpty():
+        other = rows.select(*keys, F.col("scene_id").alias("back"), F.col("back").alias("their_back"),
+                            F.col("rank").alias("their_rank"), F.col("is_first").alias("theirs_is_first"))
+        moved = rows.filter("NOT is_first").join(other, [*keys, "back"]).select(
+            *keys, "scene_id", F.col("their_back").alias("back"), (F.col("rank") + F.col("their_rank")).alias("rank"),
+            F.col("theirs_is_first").alias("is_first"))
+        rows = cut_lineage(rows.filter("is_first").unionByName(moved))
+    return rows
 
 
 def linear_projects(scenes: DataFrame) -> DataFrame:

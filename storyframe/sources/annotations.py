@@ -13,8 +13,9 @@ from storyframe.operators.skew import join_hot, numbered
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """Tasks of `<path>/<project>.json` files that each hold one JSON array.
 
-    The JSON reader streams through a file and hands out its tasks in order. A file whose root is no array holds
-    no tasks; the root is told by the first character that is not blank.
+    One task of the job reads a whole array, since it cannot be split; `read_task_lines` takes the same tasks one per
+    line and is for projects too large for that. A file whose root is no array holds no tasks; the root is told by
+    the first character that is not blank.
     """
     def files():
         return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
@@ -35,7 +36,7 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_task_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of `<path>/<project>.jsonl` files with one task per line, which large projects should use."""
+    """Tasks of `<path>/<project>.jsonl` files with one task per line; large files are read by several tasks."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
     name = T.file_name(T.plain_path(F.col("_metadata.file_path")))
     located = lines.filter(F.trim("value") != "").select(

@@ -13,13 +13,12 @@ def write_script_parts(parts: DataFrame, path: str) -> None:
     line = F.concat(
         F.lit('{"section":"'), F.col("section"), F.lit('","item":'), json_text(F.col("item")),
         F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"body":'), F.col("body"), F.lit("}"))
-    parts.select("project_id", line.alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
+    _write(parts.select("project_id", line.alias("value")), "project_id", path)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON document per line, in a folder per project."""
-    documents.select("project_id", F.col("document").alias("value")).write.mode("overwrite") \
-        .partitionBy("project_id").text(path)
+    _write(documents.select("project_id", F.col("document").alias("value")), "project_id", path)
 
 
 def task_manifest(assets: DataFrame) -> DataFrame:
@@ -31,5 +30,10 @@ def task_manifest(assets: DataFrame) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.select("media_id", F.col("payload").alias("value")).write.mode("overwrite") \
-        .partitionBy("media_id").text(path)
+    """One JSON line per labelling task, in a folder per work."""
+    _write(manifest.select("media_id", F.col("payload").alias("value")), "media_id", path)
+
+
+def _write(lines: DataFrame, folder: str, path: str) -> None:
+    # Rebalancing keeps the files of a folder together, yet splits a folder that is far larger than the others.
+    lines.hint("rebalance", folder).write.mode("overwrite").partitionBy(folder).text(path)

@@ -33,14 +33,24 @@ def random_project(rng, size):
     return scenes
 
 
-def test_narrative_order_equals_insertion(spark, sizes):
+def nested_project(rng, size, reach):
+    """Flashbacks within flashbacks: each scene goes behind one of the last `reach` scenes."""
+    return [{"scene_id": 1, "marker": "NONE", "chapter_rank": None, "scene_rank": None, "inner_rank": None,
+             "target": None}] + [
+        {"scene_id": i, "marker": "INSERT_PAST", "chapter_rank": 1.0, "scene_rank": float(i // 3), "inner_rank": 1.0,
+         "target": str(rng.randint(max(1, i - reach), i - 1))} for i in range(2, size)]
+
+
+@pytest.mark.parametrize("rounds", [None, 0, 2])
+def test_narrative_order_equals_insertion(spark, sizes, rounds, monkeypatch):
+    """With few rounds of path joining, nested inserts are ranked by their neighbours."""
+    if rounds is not None:
+        monkeypatch.setattr(N, "PATH_ROUNDS", rounds)
     rng = random.Random(11)
     projects = {f"p{k}": random_project(rng, rng.randint(0, 25)) for k in range(150)}
-    # A chain of flashbacks within flashbacks.
-    projects["deep"] = [{"scene_id": 1, "marker": "NONE", "chapter_rank": None, "scene_rank": None,
-                         "inner_rank": None, "target": None}] + [
-        {"scene_id": i, "marker": "INSERT_PAST", "chapter_rank": 1.0, "scene_rank": float(i - 1), "inner_rank": 1.0,
-         "target": str(i - 1)} for i in range(2, 60)]
+    projects["chain"] = nested_project(rng, 40, 1)
+    projects["bushes"] = nested_project(rng, 80, 6)
+    projects["deep"] = nested_project(rng, 150, 1) if rounds is None else random_project(rng, 9)
     rows = [(p, "0", *s.values()) for p, scenes in projects.items() for s in scenes]
     df = spark.createDataFrame(rows, "project_id string, branch_key string, scene_id bigint, marker string, "
                                      "chapter_rank double, scene_rank double, inner_rank double, target string")
