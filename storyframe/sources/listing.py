@@ -35,6 +35,11 @@ def videos(files: DataFrame) -> DataFrame:
     return named.filter("ext_rank IS NOT NULL").withColumn("sequence_number", T.stem_number(F.col("stem")))
 
 
+def video_counts(files: DataFrame) -> DataFrame:
+    """Number of videos found per work."""
+    return videos(files).groupBy("media_id").agg(F.count(F.lit(1)).alias("n_videos"))
+
+
 def subtitles(files: DataFrame) -> DataFrame:
     """Subtitle files by the stem they belong to."""
     return files.filter(F.col("name").endswith(".srt")).select(

@@ -48,7 +48,7 @@ def test_triggers_need_a_new_video(spark):
 
 def test_streams_over_micro_batches_equal_the_batch(spark, tmp_path, sizes):
     rows = saves(120)
-    write_in_files(spark, rows, LOG, tmp_path / "log", 5)
+    write_in_files(spark, rows, LOG, tmp_path / "log", 3)
     log = spark.createDataFrame(rows, LOG)
 
     def stream():
@@ -81,13 +81,14 @@ def test_late_saves_are_listed_apart(spark, tmp_path):
     assert listed(stream_status.written(spark, folder, LOG, "late"), "seq") == [(3,)]
 
 
-def test_ledger_reads_a_snapshot_and_few_batches(spark, tmp_path):
+def test_ledger_reads_a_snapshot_and_few_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "SNAPSHOT_EVERY", 5)
     schema, folder = "k int, at bigint, value string", str(tmp_path / "l")
-    for i in range(45):
+    for i in range(12):
         found = {r["k"]: r["value"] for r in ledger.recall(spark, folder, schema, ["k"], i).collect()}
         assert found == {k: f"v{max(j for j in range(i) if j % 4 == k)}" for k in range(min(i, 4))}
         ledger.remember(spark.createDataFrame([(i % 4, i, f"v{i}")], schema), folder, i)
-    assert sorted(p.name for p in (tmp_path / "l").glob("snapshot=*")) == ["snapshot=20", "snapshot=40"]
+    assert sorted(p.name for p in (tmp_path / "l").glob("snapshot=*")) == ["snapshot=10", "snapshot=5"]
     assert ledger.newest(spark, folder, schema, ["k"]).count() == 4
 
 

@@ -6,8 +6,8 @@ import __spark_entry__ as entry_points
 from tests import oracle
 from tests.conftest import SF_DIR
 
-HOT = ["scene_dialogues", "scene_highlights", "scene_number", "subtitle_section_gate", "timeline_branches",
-       "catalog_list", "status_changes", "status_stream", "script_build", "annotations_merge", "asset_links"]
+HOT = ["scene_dialogues", "scene_number", "subtitle_section_gate", "timeline_branches", "catalog_list", "script_build",
+       "annotations_merge", "asset_links"]
 
 
 @pytest.fixture(scope="module")

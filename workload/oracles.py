@@ -477,6 +477,32 @@ SELECT cast(m.project_id AS varchar) AS project_id,
       ELSE concat('{{"type":"multi_branch","branches":{{', branches, '}},"intersections":[', meetings, ']}}') END,
     '}}') AS document
 FROM maps m JOIN trees t ON t.project_id = m.project_id""",
+    "blueprint_scenes": f"""
+WITH {ASSETS},
+tasks AS (
+  SELECT media_id AS project_id, asset_id, seq + CASE WHEN asset_id % 9 = 0 THEN 1 ELSE 0 END AS chapter_id,
+    cast(asset_id % 4 AS double) AS s0, cast(asset_id % 4 + asset_id % 7 AS double) AS s1,
+    row_number() OVER (PARTITION BY media_id ORDER BY asset_id % 3, seq) AS scene_id
+  FROM assets WHERE asset_id % 5 <> 0),
+spoken AS (
+  SELECT media_id AS project_id, seq AS chapter_id, 1 AS line, asset_id % 6 + cast(0.5 AS double) AS at,
+    cast(9 AS double) AS until, 'Ann' AS speaker, concat('one ', l1_output_file) AS content
+  FROM assets WHERE l1_output_file IS NOT NULL
+  UNION ALL
+  SELECT media_id, seq, 2, cast(asset_id % 4 AS double), cast(8.25 AS double), 'Bo', 'two'
+  FROM assets WHERE l1_output_file IS NOT NULL),
+hits AS (
+  SELECT t.project_id, t.scene_id, row_number() OVER (PARTITION BY t.project_id, t.scene_id ORDER BY c.line) AS ordinal,
+    {DIALOGUE}
+  FROM tasks t JOIN spoken c ON c.project_id = t.project_id AND c.chapter_id = t.chapter_id
+    AND t.s0 <= c.at AND c.at < t.s1
+  WHERE EXISTS (SELECT 1 FROM tasks x WHERE x.project_id = t.project_id AND x.chapter_id = c.chapter_id))
+SELECT t.project_id, t.scene_id, chapter_id, concat('r', asset_id) AS region_id, ordinal, body
+FROM tasks t LEFT JOIN hits h ON h.project_id = t.project_id AND h.scene_id = t.scene_id""",
+    "blueprint_mismatches": f"""
+WITH {ASSETS}
+SELECT asset_id, seq AS position, seq + 1 AS chapter_id FROM assets WHERE asset_id % 5 <> 0 AND asset_id % 9 = 0""",
+    "video_counts": f"WITH {FILES} SELECT media_id, count(*) AS n_videos FROM videos GROUP BY media_id",
     "upload_listing": f"""
 WITH {FILES}
 SELECT media_id, concat(stem, ext) AS name, stem, ext, ext_rank, seq AS sequence_number FROM videos""",

@@ -17,7 +17,7 @@ from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.intervals import interval_join
 from storyframe.operators.skew import join_hot, largest_group
-from storyframe.plans import catalogue, ingest, rejects, script, status
+from storyframe.plans import blueprint, catalogue, ingest, rejects, script, status
 from storyframe.session import cut_lineage, scratch_path
 from storyframe.sources import annotations as A
 from storyframe.sources import listing as U
@@ -323,6 +323,26 @@ def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script.documents(cut_lineage(script.parts(_script(spark, sf_dir))))
 
 
+def _blueprint(spark: SparkSession, sf_dir: str) -> blueprint.Blueprint:
+    return blueprint.blueprint(I.assets(spark, sf_dir), I.annotation_bodies(spark, sf_dir),
+                               I.episode_lines(spark, sf_dir), GENERATED)
+
+
+@query
+def blueprint_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes and dialogue of scripts built from the catalogue."""
+    built = _blueprint(spark, sf_dir).script
+    scenes = built.scenes.select("project_id", "scene_id", "chapter_id", "region_id")
+    children = built.children.select("project_id", "scene_id", "ordinal", "body")
+    return scenes.join(children, ["project_id", "scene_id"], "left")
+
+
+@query
+def blueprint_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = S.renumbered(I.assets(spark, sf_dir))
+    return blueprint.mismatches(chapters, I.annotation_bodies(spark, sf_dir))
+
+
 # Catalogue and ingestion.
 
 
@@ -331,6 +351,11 @@ def upload_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.videos(I.files(spark, sf_dir)).select("media_id", "name", "stem", "ext", "ext_rank", "sequence_number")
 
 
+@query
+def video_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.video_counts(I.files(spark, sf_dir))
+
+
 @query
 def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.plan(I.files(spark, sf_dir), I.existing_assets(spark, sf_dir))
