@@ -12,7 +12,7 @@ from workload.runs import REGISTRY
 QUERIES = [
     "subtitle_parse", "timecode_format", "label_value", "region_pivot", "scene_project", "scene_dialogues",
     "scene_highlights", "scene_cues", "interval_bucketed", "chapter_rollup", "timeline_linear", "timeline_branches",
-    "script_build", "ingest_plan", "catalog_list", "asset_actions", "status_changes", "status_stamps", "status_stream",
+    "script_build", "blueprint_scenes", "ingest_plan", "catalog_list", "asset_actions", "status_changes", "status_stamps", "status_stream",
 ]
 
 

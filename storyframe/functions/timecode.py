@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANK = r"[\s\x1C-\x1F]*"
-_INT = rf"^{_BLANK}[+-]?\d+(_\d+)*{_BLANK}$"
-_FLOAT = rf"^{_BLANK}[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?{_BLANK}$"
+from storyframe.functions.text import BLANKS
+
+_DIGITS = r"\d+(?:_\d+)*"
+_SPACE = r"[\s\x1C-\x1F]*"
+_WHOLE = rf"{_SPACE}[+-]?{_DIGITS}{_SPACE}:"
+_REAL = rf"{_SPACE}[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?\d+)?{_SPACE}"
+_TIME = rf"^(?:{_WHOLE}){{0,2}}{_REAL}$"
 
 
 def ass_seconds(text: Column) -> Column:
@@ -15,20 +19,16 @@ def ass_seconds(text: Column) -> Column:
 
     A null and any text of more than three parts are 0.0; a part that is no number gives null.
     """
-    parts = F.split(text, ":")
-    count = F.size(parts)
-
-    def whole(i):
-        return _number(parts, i, _INT, "bigint")
-
-    def real(i):
-        return _number(parts, i, _FLOAT, "double")
-
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":")))
+    # Once the text is known to be a time, blanks and digit separators carry nothing.
+    plain = F.translate(text, "_" + BLANKS, "")
+    first = F.substring_index(plain, ":", 1).try_cast("bigint")
+    middle = F.substring_index(F.substring_index(plain, ":", 2), ":", -1).try_cast("bigint")
+    whole = F.when(colons == 2, first * 3600 + middle * 60).when(colons == 1, first * 60).otherwise(F.lit(0))
+    seconds = F.substring_index(plain, ":", -1).try_cast("double")
     return (
-        F.when(text.isNull() | (count > 3), F.lit(0.0))
-        .when(count == 3, (whole(0) * 3600 + whole(1) * 60).cast("double") + real(2))
-        .when(count == 2, (whole(0) * 60).cast("double") + real(1))
-        .otherwise(real(0))
+        F.when(text.isNull() | (colons > 2), F.lit(0.0))
+        .when(text.rlike(_TIME), whole.cast("double") + seconds)
     )
 
 
@@ -59,12 +59,6 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
 
 
-def _number(parts: Column, index: int, pattern: str, kind: str) -> Column:
-    part = F.get(parts, F.lit(index))
-    plain = F.regexp_replace(part, rf"(_|^{_BLANK}|{_BLANK}$)", "")
-    return F.when(part.rlike(pattern), plain.try_cast(kind))
-
-
 def _millis(x: Column) -> Column:
     """`x` thousandfold, rounded half-even without the rounding error of the product.
 

@@ -38,7 +38,7 @@ def blueprint(assets: DataFrame, annotations: DataFrame, lines: DataFrame,
     chapters = cut_lineage(S.renumbered(assets))
     files = chapters.filter("chapter_file IS NOT NULL").select(
         F.col("media_id").alias("project_id"), "chapter_file", F.col("l1_output_file").alias("path"))
-    staged = join_hot(lines, files, ["path"]).drop("path")
+    staged = cut_lineage(join_hot(lines, files, ["path"]).drop("path"))
     return Blueprint(script.build(tasks, staged, generated_at), skipped, mismatches(chapters, annotations))
 
 

@@ -61,9 +61,12 @@ def build(tasks: DataFrame, lines: DataFrame, generated_at: datetime | str | Non
     Highlights and cues meet the scenes of every chapter of their project by local time, unless `same_chapter`.
     Regions, scenes and subtitle events are written once, since several branches of the job read them.
     """
+    # A chapter has one file, hence no more events than the file has lines.
+    top = largest_group(lines, S.FILE_KEY)
     regions = cut_lineage(R.pivot_regions(A.results(tasks)))
-    events = S.with_file_chapter(S.timed_events(S.parse_events(lines)))
-    spoken = join_hot(events, A.subtitle_chapters(tasks), ["project_id", "chapter_id"], "left_semi")
+    events = S.with_file_chapter(S.timed_events(S.parse_events(lines, top)))
+    spoken = join_hot(events, A.subtitle_chapters(tasks), ["project_id", "chapter_id"], "left_semi",
+                      left_at_most=top)
     return assemble(cut_lineage(R.scenes(regions)), cut_lineage(spoken), R.highlights(regions), R.cues(regions),
                     generated_at, same_chapter)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyframe import schemas as S
 from storyframe.functions import text as T
-from storyframe.operators.skew import join_hot, numbered
+from storyframe.operators.skew import join_hot, largest_group, numbered
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +60,10 @@ def merged_tasks(assets: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataF
     `assets` has `media_id`, `asset_id` and `sequence_number`; `bodies` has `asset_id` and `body`. The second
     frame lists the episodes that were skipped because they have no text.
     """
-    joined = join_hot(assets, bodies, ["asset_id"], "left")
+    top = largest_group(assets, ["media_id"])
+    joined = join_hot(assets, bodies, ["asset_id"], "left", left_at_most=1)
     given = F.coalesce("body", F.lit("")) != ""
-    ranked = numbered(joined.filter(given), ["media_id"], ["sequence_number", "asset_id"], "task_pos")
+    ranked = numbered(joined.filter(given), ["media_id"], ["sequence_number", "asset_id"], "task_pos", top)
     rows = ranked.select(F.col("media_id").alias("project_id"), "task_pos", "body")
     skipped = joined.filter(~given).select("media_id", "asset_id", F.lit("missing_annotation").alias("reason"))
     return parse_tasks(rows, F.col("body")), skipped

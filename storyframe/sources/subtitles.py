@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from storyframe.functions import text as T
 from storyframe.functions.timecode import ass_seconds
-from storyframe.operators.skew import join_hot, numbered
+from storyframe.operators.skew import join_hot, largest_group, numbered
+from storyframe.session import cut_lineage
 
 FILE_KEY = ["project_id", "chapter_file"]
 
@@ -31,16 +32,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                           "line")
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
+def parse_events(lines: DataFrame, at_most: int | None = None) -> DataFrame:
     """Dialogue and caption rows of the events section of each file.
 
     The section opens after the first `[events]` line and ends for good at the next line that starts with `[`
-    and is no such header. Events need ten fields; the text, the last one, may hold commas.
+    and is no such header. Events need ten fields; the text, the last one, may hold commas. `at_most` bounds the lines
+    of a file.
     """
+    top = largest_group(lines, FILE_KEY) if at_most is None else at_most
     stripped = lines.withColumn("line", T.strip(F.col("line")))
-    events = stripped.filter(F.lower(F.left("line", F.lit(9))) == "dialogue:")
-    body = T.strip(F.regexp_replace("line", r"(?s)^[^:]*:", ""))
-    inside = join_hot(events, _sections(stripped), FILE_KEY, right_at_most=1).filter(
+    mark = "dialogue:"
+    events = stripped.filter(F.lower(F.left("line", F.lit(len(mark)))) == mark)
+    body = T.strip(F.substring("line", len(mark) + 1, 2**31 - 1))
+    inside = join_hot(events, _sections(stripped, top), FILE_KEY, left_at_most=top, right_at_most=1).filter(
         (F.col("line_no") > F.col("opened")) & (F.col("closed").isNull() | (F.col("line_no") < F.col("closed"))))
     fields = inside.withColumn("f", F.split(body, ",", 10)).filter(F.size("f") == 10)
     kind = F.when(F.upper(_field(4)) == "CAPTION", F.lit("caption")).otherwise(F.lit("dialogue"))
@@ -76,12 +80,15 @@ def renumbered(assets: DataFrame) -> DataFrame:
     return ranked.withColumn("chapter_file", F.when(given, T.subtitle_file(F.col("position"))))
 
 
-def _sections(stripped: DataFrame) -> DataFrame:
-    """Where the events section of each file opens and closes; files without one are left out."""
-    headers = stripped.filter(F.col("line").startswith("[")).select(
-        *FILE_KEY, "line_no", (F.lower("line") == "[events]").alias("is_events"))
+def _sections(stripped: DataFrame, top: int) -> DataFrame:
+    """Where the events section of each file opens and closes; files without one are left out.
+
+    The headers are written once, so that the lines are not read for each of the two.
+    """
+    headers = cut_lineage(stripped.filter(F.col("line").startswith("[")).select(
+        *FILE_KEY, "line_no", (F.lower("line") == "[events]").alias("is_events")))
     opened = headers.filter("is_events").groupBy(*FILE_KEY).agg(F.min("line_no").alias("opened"))
-    closers = join_hot(headers.filter("NOT is_events"), opened, FILE_KEY, right_at_most=1) \
+    closers = join_hot(headers.filter("NOT is_events"), opened, FILE_KEY, left_at_most=top, right_at_most=1) \
         .filter("line_no > opened")
     closed = closers.groupBy(*FILE_KEY).agg(F.min("line_no").alias("closed"))
     return opened.join(closed, FILE_KEY, "left")

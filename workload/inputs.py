@@ -244,9 +244,9 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "END AS l1_output_file")
 
 
-def annotation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One annotation text per order with one scene; one order in five has none, one in nine is off by a chapter."""
-    return assets(spark, sf_dir).selectExpr("asset_id", """CASE WHEN asset_id % 5 = 0 THEN NULL ELSE concat(
+def annotation_bodies(episodes: DataFrame) -> DataFrame:
+    """One annotation text per episode with one scene; one in five has none, one in nine is off by a chapter."""
+    return episodes.selectExpr("asset_id", """CASE WHEN asset_id % 5 = 0 THEN NULL ELSE concat(
         '{"inner_id":', cast(asset_id % 3 AS string), ',"file_upload":"x-ep',
         lpad(cast(sequence_number + CASE WHEN asset_id % 9 = 0 THEN 1 ELSE 0 END AS string), 2, '0'),
         '.mp4","annotations":[{"result":[{"id":"r', cast(asset_id AS string),
@@ -254,12 +254,12 @@ def annotation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         cast(asset_id % 4 + asset_id % 7 AS string), ',"labels":["场景/Scene"]}}]},{"result":[]}]}') END AS body""")
 
 
-def episode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtitle files of the orders: the header and two lines of dialogue each."""
+def episode_lines(episodes: DataFrame) -> DataFrame:
+    """Subtitle files of the episodes: the header and two lines of dialogue each."""
     lines = """array('[Events]',
         concat('Dialogue: 0,0:00:0', cast(asset_id % 6 AS string), '.50,0:00:09.00,D,Ann,0,0,0,,one ', l1_output_file),
         concat('Dialogue: 0,0:00:0', cast(asset_id % 4 AS string), '.00,0:00:08.25,D,Bo,0,0,0,,two'))"""
-    given = assets(spark, sf_dir).filter("l1_output_file IS NOT NULL")
+    given = episodes.filter("l1_output_file IS NOT NULL")
     return given.selectExpr("l1_output_file AS path", f"posexplode({lines}) AS (line_no, line)")
 
 

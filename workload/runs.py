@@ -30,7 +30,7 @@ from workload import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Generation time of the scripts, fixed so that results can be compared.
-GENERATED = "2024-06-01 12:00:00"
+GENERATED = "2024-06-01 12:00:00+00:00"
 REGISTRY: dict[str, Query] = {}
 
 
@@ -324,8 +324,8 @@ def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blueprint(spark: SparkSession, sf_dir: str) -> blueprint.Blueprint:
-    return blueprint.blueprint(I.assets(spark, sf_dir), I.annotation_bodies(spark, sf_dir),
-                               I.episode_lines(spark, sf_dir), GENERATED)
+    episodes = cut_lineage(I.assets(spark, sf_dir))
+    return blueprint.blueprint(episodes, I.annotation_bodies(episodes), I.episode_lines(episodes), GENERATED)
 
 
 @query
@@ -339,8 +339,8 @@ def blueprint_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def blueprint_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = S.renumbered(I.assets(spark, sf_dir))
-    return blueprint.mismatches(chapters, I.annotation_bodies(spark, sf_dir))
+    episodes = I.assets(spark, sf_dir)
+    return blueprint.mismatches(S.renumbered(episodes), I.annotation_bodies(episodes))
 
 
 # Catalogue and ingestion.
