@@ -87,9 +87,9 @@ def described_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views and clicks as dialogue, sign-ups as captions."""
-    kind = F.when(F.col("event_type") == "signup", "caption").otherwise("dialogue")
-    rows = _marks(spark, sf_dir).filter("event_type IN ('view', 'click', 'signup')")
+    """Views as dialogue, clicks as captions."""
+    kind = F.when(F.col("event_type") == "click", "caption").otherwise("dialogue")
+    rows = _marks(spark, sf_dir).filter("event_type IN ('view', 'click')")
     return rows.select(
         *FIELDS, kind.alias("kind"), F.col("event_id").alias("line_no"), "start_seconds",
         (F.col("start_seconds") + F.col("value")).alias("end_seconds"),
@@ -97,20 +97,19 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Errors as highlights (one in four) and narrative cues (the others)."""
-    rows = _marks(spark, sf_dir).filter("event_type = 'error'").select(
-        *FIELDS, "event_id", "value", "start_seconds", (F.col("start_seconds") + 2).alias("end_seconds"), "props",
+    """Errors as highlights, sign-ups as narrative cues."""
+    rows = _marks(spark, sf_dir).select(
+        *FIELDS, "event_type", "event_id", "value", "start_seconds", (F.col("start_seconds") + 2).alias("end_seconds"), "props",
         F.lit(0).cast("long").alias("inner_id"), F.col("user_id").alias("task_pos"),
         F.col("event_id").alias("first_pos"))
-    is_highlight = "event_id % 4 = 0"
 
     def flat(text: str, is_number: bool = False) -> Column:
         return F.struct(F.expr(text).cast("string").alias("value"), F.lit(is_number).alias("is_number"))
 
-    highlights = rows.filter(is_highlight).withColumns({
+    highlights = rows.filter("event_type = 'error'").withColumns({
         "id": flat("event_id", True), "type": flat("'Action Clip'"), "description": flat("props"),
         "mood": F.lit(None).cast(FLAT)})
-    cues = rows.filter(f"NOT ({is_highlight})").withColumns({
+    cues = rows.filter("event_type = 'signup'").withColumns({
         "cue_no": F.lit(0), "type": F.expr("CASE WHEN event_id % 4 = 1 THEN 'Object' ELSE 'Key_Information' END"),
         "value": F.concat(F.lit("v"), F.col("event_id").cast("string"))})
     return highlights, cues
@@ -209,13 +208,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes already in the catalogue: the first two of every even source."""
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("media_id")).distinct()
-    even = sources.filter("cast(substring(media_id, 4) AS int) % 2 = 0")
-    return even.withColumn("sequence_number", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))).select(
-        "media_id", "sequence_number",
-        F.concat_ws("-", F.lit("known"), "media_id", F.col("sequence_number").cast("string")).alias("asset_id"),
-        F.concat(F.lit("Old "), F.col("sequence_number").cast("string")).alias("title"))
+    """Episodes already in the catalogue: one per nation, for the source and the region of its number."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('src', cast(n_nationkey AS string)) AS media_id", "cast(n_regionkey + 1 AS bigint) AS sequence_number",
+        "concat('known-', n_name) AS asset_id", "n_name AS title")
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

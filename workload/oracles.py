@@ -29,18 +29,17 @@ scenes AS (
   FROM marks WHERE event_type = 'purchase')"""
 SPOKEN = """
 spoken AS (
-  SELECT project_id, chapter_id, CASE WHEN event_type = 'signup' THEN 'caption' ELSE 'dialogue' END AS kind,
+  SELECT project_id, chapter_id, CASE WHEN event_type = 'click' THEN 'caption' ELSE 'dialogue' END AS kind,
     event_id AS line_no, s AS at, s + value AS until, event_type AS speaker, props AS content
-  FROM marks WHERE event_type IN ('view', 'click', 'signup'))"""
+  FROM marks WHERE event_type IN ('view', 'click'))"""
 HIGHLIGHTS = """
 highlights AS (
-  SELECT project_id, chapter_id, event_id, user_id, s AS at, props FROM marks
-  WHERE event_type = 'error' AND event_id % 4 = 0)"""
+  SELECT project_id, chapter_id, event_id, user_id, s AS at, props FROM marks WHERE event_type = 'error')"""
 CUES = """
 cues AS (
   SELECT project_id, chapter_id, event_id, user_id, s AS at, concat('v', event_id) AS value,
     CASE WHEN event_id % 4 = 1 THEN 'Object' ELSE 'Key_Information' END AS type
-  FROM marks WHERE event_type = 'error' AND event_id % 4 <> 0)"""
+  FROM marks WHERE event_type = 'signup')"""
 
 
 def placed(children: str, order: str, same_chapter: bool, columns: str) -> str:
@@ -253,8 +252,8 @@ videos AS (
 srts AS (SELECT media_id, seq FROM files WHERE kind = 1 AND media_id <> 'src3')"""
 PLAN = f"""{FILES},
 known AS (
-  SELECT DISTINCT source AS media_id, seq, concat('known-', source, '-', seq) AS id, concat('Old ', seq) AS title
-  FROM documents, (VALUES (1), (2)) v(seq) WHERE cast(substr(source, 4) AS int) % 2 = 0),
+  SELECT concat('src', n_nationkey) AS media_id, n_regionkey + 1 AS seq, concat('known-', n_name) AS id, n_name AS title
+  FROM nation),
 plan AS (
   SELECT v.media_id, v.seq AS sequence_number, count(*) AS n_videos,
     any_value(k.id) IS NULL AS created, coalesce(any_value(k.title), min(v.stem)) AS title,
@@ -418,7 +417,7 @@ FROM found WHERE reason IS NOT NULL GROUP BY project_id, reason""",
 WITH {SCENES}
 SELECT x.project_id, x.scene_id, count(*) AS n, min(m.event_id) AS first_event,
   cast(sum(m.event_id) AS bigint) AS event_sum
-FROM scenes x JOIN marks m ON m.event_type = 'error' AND m.project_id = x.project_id AND x.s0 <= m.s AND m.s < x.s1
+FROM scenes x JOIN marks m ON m.event_type IN ('error', 'signup') AND m.project_id = x.project_id AND x.s0 <= m.s AND m.s < x.s1
 GROUP BY x.project_id, x.scene_id""",
     "scene_child_lists": f"""
 WITH {SCENES}, {SPOKEN},
