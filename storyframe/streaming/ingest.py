@@ -40,13 +40,14 @@ def ingest_stream(files: DataFrame, existing: DataFrame, folder: str,
         spark = rows.sparkSession
         at = F.lit(batch_id).cast("long").alias("at")
         arrived = cut_lineage(rows.select("media_id", "name").distinct())
-        earlier = recall(spark, f"{folder}/files", listed, ["media_id", "name"], batch_id)
+        touched = cut_lineage(arrived.select("media_id").distinct())
+        earlier = recall(spark, f"{folder}/files", listed, ["media_id", "name"], batch_id, only=touched)
         remember(arrived.select("*", at, F.lit(True).alias("value")), f"{folder}/files", batch_id)
-        seen = earlier.select("media_id", "name").union(arrived).distinct()
-        listing = cut_lineage(join_hot(seen, arrived.select("media_id").distinct(), ["media_id"], "left_semi"))
-        planned = recall(spark, f"{folder}/assets", made, ingest.ASSET_KEY, batch_id)
+        listing = cut_lineage(earlier.select("media_id", "name").union(arrived).distinct())
+        planned = recall(spark, f"{folder}/assets", made, ingest.ASSET_KEY, batch_id, only=touched)
         own = planned.select(*ingest.ASSET_KEY, "value.asset_id", "value.title")
-        current = known.join(own, ingest.ASSET_KEY, "left_anti").unionByName(own)
+        theirs = join_hot(known, touched, ["media_id"], "left_semi")
+        current = theirs.join(own, ingest.ASSET_KEY, "left_anti").unionByName(own)
         updated = ingest.plan(listing, current, config)
         value = F.struct(*[c for c in updated.columns if c not in ingest.ASSET_KEY]).alias("value")
         remember(updated.select(*ingest.ASSET_KEY, at, value), f"{folder}/assets", batch_id)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyframe.operators.skew import join_hot
+
 SNAPSHOT_EVERY = 20
 
 
@@ -17,13 +19,19 @@ def remember(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
-def recall(spark: SparkSession, folder: str, schema: str, keys: list[str], batch_id: int) -> DataFrame:
-    """The newest row per key of the batches before `batch_id`."""
+def recall(spark: SparkSession, folder: str, schema: str, keys: list[str], batch_id: int,
+           only: DataFrame | None = None) -> DataFrame:
+    """The newest row per key of the batches before `batch_id`.
+
+    `only` has the distinct values of some key columns that are wanted; the others are dropped before they are shuffled
+    if it is small enough for Spark to broadcast.
+    """
     base = batch_id - batch_id % SNAPSHOT_EVERY
     if base and batch_id == base:
         gathered = _newest(_read(spark, folder, schema, base - SNAPSHOT_EVERY, base), keys)
         gathered.write.mode("overwrite").parquet(f"{folder}/snapshot={base}")
-    return _newest(_read(spark, folder, schema, base, batch_id), keys)
+    rows = _read(spark, folder, schema, base, batch_id)
+    return _newest(rows if only is None else join_hot(rows, only, only.columns, "left_semi"), keys)
 
 
 def newest(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:

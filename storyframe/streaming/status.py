@@ -52,7 +52,8 @@ def _advance(rows: DataFrame, batch_id: int, folder: str, column: str,
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     at = ",".join(f"{c}:{types[c]}" for c in ORDER)
     schema = f"asset_id {types['asset_id']}, at struct<{at}>, value {types[column]}"
-    memory = recall(rows.sparkSession, f"{folder}/memory", schema, ["asset_id"], batch_id)
+    memory = recall(rows.sparkSession, f"{folder}/memory", schema, ["asset_id"], batch_id,
+                    only=rows.select("asset_id").distinct())
     known = join_hot(rows, memory, ["asset_id"], "left", right_at_most=1)
     # A save older than what is remembered cannot change what was already written; it is listed apart.
     late = F.coalesce(F.struct(*ORDER) <= F.col("at"), F.lit(False))
