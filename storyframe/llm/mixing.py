@@ -139,7 +139,7 @@ def slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: int) ->
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, block_words: int = BLOCK_WORDS,
                shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per document: the words that the mix takes from it, repeats counted."""
+    """(doc_id, size, source_size, target, taken, source) per document; taken: its words in the mix, repeats counted."""
     sources, packed = _planned(docs, weights, max_repeats, block_words)
     drawn = slots(sources, block_words, shard_blocks, seed).groupBy("number", "block").agg(
         F.count(F.lit(1)).alias("times"))
@@ -148,8 +148,8 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEAT
              .groupBy("number", "begin", "doc_id", "size")
              .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
     empty = packed.where("size = 0").select("number", "begin", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    known = sources.select("number", "source_size", "target")
-    return taken.union(empty).join(known, "number").select("doc_id", "size", "source_size", "target", "taken")
+    known = sources.select("number", "source", "source_size", "target")
+    return taken.union(empty).join(known, "number").select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mix_spans(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, block_words: int = BLOCK_WORDS,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyframe.llm import decontam, editprint, hmm, linededup, mixing, neardup, tokencount, toxicity, urlfilter
+from storyframe.llm import decontam, editprint, hmm, linededup, mixing, neardup, passages, tokencount, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -72,3 +72,8 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.neighbour_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))

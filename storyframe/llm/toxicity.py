@@ -221,6 +221,13 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `limit`; labels are learned from rows that are not held out."""
+    model = fit(docs.where(~held_out), labels)
+    keyed = docs.select(F.struct(*docs.columns).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return score(keyed, model).where(F.col("score") < limit).select(*[F.col("key")[c].alias(c) for c in docs.columns])
+
+
 def report(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted, ...) per row; labels are learned from rows that are not held out."""
     model = fit(docs.where(~held_out), labels)
