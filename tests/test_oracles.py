@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tests import oracle
+from workload.oracles import ORACLES
+from workload.runs import REGISTRY
 from tests.conftest import SF_DIR
 
 HOT = ["scene_dialogues", "scene_number", "subtitle_section_gate", "timeline_branches", "catalog_list", "script_build",
@@ -16,10 +18,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_sql(spark, con, name):
     got = oracle.actual(entry_points.queries()[name](spark, SF_DIR))
     assert got == oracle.expected(con, entry_points.oracle_sql()[name])
