@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.session import cut_lineage
+from storyframe.session import cut_lineage, scratch_path
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -65,10 +65,15 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     """(node, class) of every item with a link.
 
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
-    needs, for all items at least once per node.
+    needs, one row per node.
     """
     buckets = cut_lineage(shared_buckets(sketches, block_rows, block_weight))
     entries = cut_lineage(sketches.select("node", F.explode("keys").alias("bucket")).join(buckets, "bucket"))
+    # the payload of what shares a bucket is fetched once; by a merge join, as either side may be large
+    wanted = entries.select("node").distinct()
+    path = scratch_path(sketches.sparkSession, "payload")
+    payload.join(wanted.hint("merge"), "node", "left_semi").write.parquet(path)
+    payload = sketches.sparkSession.read.schema(payload.schema).parquet(path)
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
     links = compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare)

@@ -180,9 +180,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_
     shared = (each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"),
                                          F.max("doc_id").alias("high"))
               .where("n > 1 AND low < high").select("bucket"))
-    entries = cut_lineage(each.join(shared, "bucket"))
+    entries = cut_lineage(each.join(shared.hint("merge"), "bucket"))
     asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    around = cut_lineage(texts.join(asked, "doc_id").select("doc_id", "text", "words")
+    around = cut_lineage(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
                          .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
                          .withColumn("node", F.xxhash64("around")))
     # equal surroundings are one item
