@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from storyframe.llm import _linking
 from storyframe.llm import _text as T
-from storyframe.session import cut_lineage
+from storyframe.session import cut_lineage, scratch_path
 
 WINDOW, GAP = 24, 27
 MIN_WORDS = 50
@@ -118,9 +118,10 @@ def _surroundings(window: int, reach: int, min_words: int):
                 # with fewer words around it a window is part of no passage
                 enough = valid.sum(axis=1) >= min_words
                 text, word, index, valid = text[enough], word[enough], index[enough], valid[enough]
-                around = np.where(valid, found.hash[np.clip(index, 0, max(len(found.hash) - 1, 0))], np.uint64(0))
-                flat = around.tobytes()
-                width = around.shape[1] * 8
+                # 32 bits of each word's hash are enough to compare two windows
+                near = found.hash[np.clip(index, 0, max(len(found.hash) - 1, 0))] >> np.uint64(32)
+                flat = np.where(valid, near, np.uint64(0)).astype(np.uint32).tobytes()
+                width = index.shape[1] * 4
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(a + text)), pa.array(word, pa.int32()),
                      pa.array([flat[i * width:(i + 1) * width] for i in range(len(text))], pa.binary())],
@@ -130,7 +131,7 @@ def _surroundings(window: int, reach: int, min_words: int):
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint64) for x in table["around"].to_pylist()])
+    return np.stack([np.frombuffer(x, np.uint32) for x in table["around"].to_pylist()])
 
 
 def extents(a: np.ndarray, b: np.ndarray, window: int, reach: int) -> np.ndarray:
@@ -148,7 +149,7 @@ def extents(a: np.ndarray, b: np.ndarray, window: int, reach: int) -> np.ndarray
 
 def windows_like(window: int, reach: int, min_words: int, least: float) -> _linking.Compare:
     def shingle_rows(around: np.ndarray):
-        inner = around[:, reach:reach + window]
+        inner = around[:, reach:reach + window].astype(np.uint64)
         weight = T.stream(11, SHINGLE)
         total = sum(inner[:, k:window - SHINGLE + 1 + k] * weight[k] for k in range(SHINGLE))
         rows = np.repeat(np.arange(len(inner)), total.shape[1])
@@ -171,7 +172,7 @@ def windows_like(window: int, reach: int, min_words: int, least: float) -> _link
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS,
                      likeness: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, word, class, first_doc): windows, by their first word, that windows of other documents are like."""
-    reach = min_words
+    reach = max(min_words - window, 0)
     texts = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     windows = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, word int, keys array<long>")
@@ -182,9 +183,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_
               .where("n > 1 AND low < high").select("bucket"))
     entries = cut_lineage(each.join(shared.hint("merge"), "bucket"))
     asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    around = cut_lineage(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
-                         .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
-                         .withColumn("node", F.xxhash64("around")))
+    path = scratch_path(docs.sparkSession, "windows")
+    (texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
+     .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
+     .withColumn("node", F.xxhash64("around")).write.parquet(path))
+    around = docs.sparkSession.read.schema("doc_id long, word int, around binary, node long").parquet(path)
     # equal surroundings are one item
     nodes = (entries.join(around.select("doc_id", "word", "node"), ["doc_id", "word"])
              .groupBy("node").agg(F.collect_set("bucket").alias("keys")))
