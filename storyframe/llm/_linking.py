@@ -16,36 +16,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.session import cut_lineage, scratch_path
+from storyframe.session import scratch_path
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
 VISITORS = 256
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder; unlike a checkpoint it carries no constraints on from round to round."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of every node in `links` (a, b): class is the smallest node that links lead to.
 
     Alternates large-star and small-star steps, which end after about log(n) rounds whatever the shape of the graph.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .distinct())
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+                    "edges")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .distinct())
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+                        "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         lower = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(lower.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = written(lower.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # decimal sums cannot overflow; equal sums and counts mean the round changed nothing
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break
         state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("class"))
-    return cut_lineage(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).union(roots))
+    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).union(roots), "classes")
 
 
 def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
@@ -67,26 +74,24 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
     needs, one row per node.
     """
-    buckets = cut_lineage(shared_buckets(sketches, block_rows, block_weight))
-    entries = cut_lineage(sketches.select("node", F.explode("keys").alias("bucket")).join(buckets, "bucket"))
+    buckets = written(shared_buckets(sketches, block_rows, block_weight), "buckets")
+    entries = written(sketches.select("node", F.explode("keys").alias("bucket")).join(buckets, "bucket"), "entries")
     # the payload of what shares a bucket is fetched once; by a merge join, as either side may be large
     wanted = entries.select("node").distinct()
-    path = scratch_path(sketches.sparkSession, "payload")
-    payload.join(wanted.hint("merge"), "node", "left_semi").write.parquet(path)
-    payload = sketches.sparkSession.read.schema(payload.schema).parquet(path)
+    payload = written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload")
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
     links = compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare)
     wide = entries.where("blocks > 1")
     if wide.isEmpty():
         return components(links)
-    links = cut_lineage(links)
+    links = written(links, "links")
     classes = components(links)
     placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
     sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
-    open_buckets = cut_lineage(sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"),
-                                                           F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    left = cut_lineage(placed.join(open_buckets, "bucket"))
+    open_buckets = written(sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"),
+                                                           F.count(F.lit(1)).alias("classes")).where("classes > 1"), "open")
+    left = written(placed.join(open_buckets, "bucket"), "left")
     if left.isEmpty():
         return classes
     again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))

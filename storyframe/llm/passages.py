@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from storyframe.llm import _linking
 from storyframe.llm import _text as T
-from storyframe.session import cut_lineage, scratch_path
 
 WINDOW, GAP = 24, 27
 MIN_WORDS = 50
@@ -181,21 +180,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_
     shared = (each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"),
                                          F.max("doc_id").alias("high"))
               .where("n > 1 AND low < high").select("bucket"))
-    entries = cut_lineage(each.join(shared.hint("merge"), "bucket"))
+    entries = _linking.written(each.join(shared.hint("merge"), "bucket"), "entries")
     asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    path = scratch_path(docs.sparkSession, "windows")
-    (texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
-     .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
-     .withColumn("node", F.xxhash64("around")).write.parquet(path))
-    around = docs.sparkSession.read.schema("doc_id long, word int, around binary, node long").parquet(path)
+    around = _linking.written(
+        texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
+        .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
+        .withColumn("node", F.xxhash64("around")), "windows")
     # equal surroundings are one item
     nodes = (entries.join(around.select("doc_id", "word", "node"), ["doc_id", "word"])
              .groupBy("node").agg(F.collect_set("bucket").alias("keys")))
     sketches = nodes.select("node", F.lit(window).cast("long").alias("weight"), "keys")
     classes = _linking.linked_classes(sketches, around.select("node", "around").dropDuplicates(["node"]),
                                       windows_like(window, reach, min_words, likeness), block_rows=128)
-    placed = cut_lineage(around.select("doc_id", "word", "node").distinct().join(classes, "node", "left")
-                         .select("doc_id", "word", F.coalesce("class", "node").alias("class")))
+    placed = _linking.written(around.select("doc_id", "word", "node").distinct().join(classes, "node", "left")
+                              .select("doc_id", "word", F.coalesce("class", "node").alias("class")), "placed")
     across = (placed.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"))
               .where("first_doc < high").select("class", "first_doc"))
     return placed.join(across, "class").select("doc_id", "word", "class", "first_doc")
