@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyframe.llm import _text as T
+from storyframe.session import cut_lineage
 
 MAX_DOCS = 3000
 MAX_WORDS = 1 << 16
@@ -66,55 +67,101 @@ def _features(found: T.Words, sentence: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(sentences), np.concatenate(hashes)
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its distinct (sentence, word) pairs."""
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per feature the documents, and the toxic ones, of a slice that have it."""
     for batch in batches:
-        column = batch.column("text")
+        column, toxic = batch.column("text"), batch.column("toxic").to_numpy()
         for a, b in T.slices(column):
             found, sentence, of = _sentences(column.slice(a, b - a))
-            s, w, _ = T.bag(*_features(found, sentence))
-            offsets = np.searchsorted(of[s], np.arange(b - a + 1)).astype(np.int32)
-            lists = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (s, T.signed(w)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), *lists],
-                                             ["toxic", "sentences", "words"])
+            owner, feature = _features(found, sentence)
+            text, feature, _ = T.bag(of[owner], feature)
+            distinct, place = np.unique(feature, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(T.signed(distinct)), pa.array(np.bincount(place, minlength=len(distinct)).astype(np.int64)),
+                 pa.array(np.bincount(place, toxic[a:b][text], len(distinct)).astype(np.int64))],
+                ["feature", "seen", "seen_toxic"])
+
+
+def _examples(words: np.ndarray):
+    """Per document its sentences, and its distinct (sentence, place in `words`) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in T.slices(column):
+                n = b - a
+                found, sentence, of = _sentences(column.slice(a, n))
+                s, w = _known(words, *_features(found, sentence))
+                offsets = np.searchsorted(of[s], np.arange(n + 1)).astype(np.int32)
+                first = np.searchsorted(of, np.arange(n))
+                lists = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (s - first[of[s]], w))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("toxic").slice(a, n), pa.array(np.bincount(of, minlength=n)), *lists],
+                    ["toxic", "n_sentences", "sentences", "words"])
+
+    return run
+
+
+def _known(words: np.ndarray, owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of owner and place in `words`, for the features that are there."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(words, feature), len(words) - 1)
+    hit = words[place] == feature
+    return T.bag(owner[hit], place[hit])[:2]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic).
+
+    The sample stays with the tasks: at most `max_words` features come to the driver, and which sentences have them.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id")
     draw = [F.xxhash64("doc_id"), "doc_id"]
-    sample = known.where("toxic = 1").orderBy(*draw).limit(max_docs).union(
+    drawn = known.where("toxic = 1").orderBy(*draw).limit(max_docs).union(
         known.where("toxic = 0").orderBy(*draw).limit(max_docs))
     # at most 2 * max_docs ids are broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    one_each = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = one_each.select("toxic", "text").mapInArrow(
-        _examples, "toxic int, sentences array<long>, words array<long>").toArrow()
-    return _descend(found, max_words)
-
-
-def _descend(found: pa.Table, max_words: int) -> Model:
-    toxic = found["toxic"].to_numpy().astype(np.float64)
-    n = len(toxic)
-    if n == 0 or toxic.min() == toxic.max():
-        share = min(max(toxic.mean() if n else 0.0, 1e-4), 1 - 1e-4)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    sample = cut_lineage(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"))
+    n, n_toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    n_toxic = n_toxic or 0
+    if not 0 < n_toxic < n:
+        share = min(max(n_toxic / n if n else 0.0, 1e-4), 1 - 1e-4)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+    counts = (sample.mapInArrow(_feature_counts, "feature long, seen long, seen_toxic long").groupBy("feature")
+              .agg(F.sum("seen").alias("seen"), F.sum("seen_toxic").alias("seen_toxic")))
+    seen_clean = F.col("seen") - F.col("seen_toxic")
+    ratio = 2 * (_log_likelihood(F.col("seen_toxic"), n_toxic) + _log_likelihood(seen_clean, n - n_toxic)
+                 - _log_likelihood(F.col("seen"), n))
+    odds = F.log((F.col("seen_toxic") + 0.5) / (n_toxic + 1.0)) - F.log((seen_clean + 0.5) / (n - n_toxic + 1.0))
+    telling = (counts.select("feature", ratio.alias("ratio"), odds.alias("odds")).where(F.col("ratio") >= LEAST_RATIO)
+               .orderBy(F.desc("ratio"), "feature").limit(max_words).toArrow())
+    words = telling["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, odds = words[order], telling["odds"].to_numpy()[order]
+    # rows in a fixed order, so that sums of floats agree between runs
+    found = sample.orderBy(F.xxhash64("text"), "toxic").mapInArrow(
+        _examples(words), "toxic int, n_sentences long, sentences array<long>, words array<long>").toArrow()
+    return _descend(found, words, odds)
+
+
+def _log_likelihood(hits: Column, of: int) -> Column:
+    share = F.greatest(F.least(hits / of, F.lit(1 - 1e-12)), F.lit(1e-12))
+    return hits * F.log(share) + (of - hits) * F.log1p(-share)
+
+
+def _descend(found: pa.Table, words: np.ndarray, odds: np.ndarray) -> Model:
+    toxic = found["toxic"].to_numpy().astype(np.float64)
+    per_doc = found["n_sentences"].to_numpy()
+    n, n_words, n_sentences = len(toxic), len(words), int(per_doc.sum())
+    of = np.repeat(np.arange(n), per_doc)
+    begin = np.cumsum(per_doc) - per_doc
     size = np.array([len(x) for x in found["words"]])
-    doc = np.repeat(np.arange(n), size)
-    word = np.concatenate([x.values.to_numpy() for x in found["words"]]).view(np.uint64)
-    sentence = np.concatenate([x.values.to_numpy() for x in found["sentences"]])
-    # sentence numbers are those of a slice: number them anew over all documents
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])
-    sentence, of = np.cumsum(new) - 1, doc[new]
-    vocabulary, theta = _telling_words(*T.bag(doc, word)[:2], toxic, max_words)
-    place = np.searchsorted(vocabulary, word)
-    use = place < len(vocabulary)
-    use[use] = vocabulary[place[use]] == word[use]
-    place, row, n_words, n_sentences = place[use], sentence[use], len(vocabulary), len(of)
-    theta = np.append(theta, np.log(toxic.mean() * n / n_sentences) - 2)
+    place = np.concatenate([x.values.to_numpy() for x in found["words"]])
+    row = np.concatenate([x.values.to_numpy() for x in found["sentences"]]) + np.repeat(begin, size)
+    theta = np.append(odds, np.log(toxic.sum() / max(n_sentences, 1)) - 2)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(row, theta[place], n_sentences) + theta[-1], -30, 30)
@@ -127,39 +174,15 @@ def _descend(found: pa.Table, max_words: int) -> Model:
         second = 0.999 * second + 0.001 * gradient**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     heavy = np.abs(theta[:-1]) > 1e-3
-    return Model(vocabulary[heavy], theta[:-1][heavy], float(theta[-1]))
-
-
-def _telling_words(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, max_words: int):
-    """Words whose share of documents differs by label, in order, and their smoothed log-odds."""
-    vocabulary, place = np.unique(word, return_inverse=True)
-    n, n_toxic = len(toxic), toxic.sum()
-    seen = np.bincount(place, minlength=len(vocabulary))
-    seen_toxic = np.bincount(place, toxic[doc], len(vocabulary))
-
-    def log_likelihood(hits, of):
-        share = np.clip(hits / of, 1e-12, 1 - 1e-12)
-        return hits * np.log(share) + (of - hits) * np.log1p(-share)
-
-    ratio = 2 * (log_likelihood(seen_toxic, n_toxic) + log_likelihood(seen - seen_toxic, n - n_toxic)
-                 - log_likelihood(seen, n))
-    best = np.sort(np.argsort(-ratio, kind="stable")[:max_words])
-    best = best[ratio[best] >= LEAST_RATIO]
-    odds = np.log((seen_toxic[best] + 0.5) / (n_toxic + 1)) - np.log(
-        (seen[best] - seen_toxic[best] + 0.5) / (n - n_toxic + 1))
-    return vocabulary[best], odds
+    return Model(words[heavy], theta[:-1][heavy], float(theta[-1]))
 
 
 def _sentence_odds(column: pa.Array, model: Model):
     """Words, first word of each sentence, text of each sentence, and log-odds of each sentence."""
     found, sentence, of = _sentences(column)
     z = np.full(len(of), model.bias)
-    if len(model.words) and len(found.hash):
-        owner, feature = _features(found, sentence)
-        place = np.minimum(np.searchsorted(model.words, feature), len(model.words) - 1)
-        hit = np.flatnonzero(model.words[place] == feature)
-        s, w, _ = T.bag(owner[hit], place[hit])
-        z += np.bincount(s, model.weights[w], len(of))
+    s, w = _known(model.words, *_features(found, sentence))
+    z += np.bincount(s, model.weights[w], len(of))
     starts = np.searchsorted(sentence, np.arange(len(of) + 1))
     return found, starts, of, z
 
