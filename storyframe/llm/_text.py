@@ -124,7 +124,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     weight = stream(11, size)
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total[:n - k] += found.hash[k:] * weight[k]
+        total[:max(n - k, 0)] += found.hash[k:] * weight[k]
     begin = np.concatenate(([0], np.cumsum(found.counts)[:-1]))
     whole = found.counts[found.text] >= size
     place = np.arange(n) - begin[found.text]

@@ -21,8 +21,10 @@ match nothing. Items with null item_id are used like others. Repeated documents
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,32 +206,49 @@ def _regions(spots: list[int]) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator:
+    """Broadcasts of the items, a bounded number of characters each."""
+    kind = _id_kind(benchmark)
+    items = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        texts = pa.concat_arrays(part["text"].chunks) if part.num_rows else pa.array([], pa.string())
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(part["item_id"].to_pylist(), texts, Walks()))
+
+
+def _id_kind(benchmark: DataFrame) -> str:
+    return "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "long"
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
                   block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the best match of each item in each document that holds it.
 
     start and end are code points of the folded text. `benchmark` has item_id and text.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "long"
-    items = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        texts = part["text"].combine_chunks()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
-        texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
-        shared = spark.sparkContext.broadcast(Items(part["item_id"].to_pylist(), texts, Walks()))
-        found = slim.mapInArrow(_search(shared, max_edits), f"doc_id long, item_id {kind}, {_FOUND}")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """`docs` without the documents that hold a benchmark passage."""
-    held = find_passages(docs, benchmark, max_edits).select("doc_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.join(held, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    schema = f"doc_id long, item_id {_id_kind(benchmark)}, {_FOUND}"
+    found = [slim.mapInArrow(_search(shared, max_edits), schema) for shared in _blocks(benchmark, block_chars)]
+    return reduce(DataFrame.union, found)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
+          block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs` that hold no benchmark passage; each row is judged where it lies."""
+    for shared in _blocks(benchmark, block_chars):
+        docs = docs.where(~_holder(shared, max_edits)(F.coalesce("text", F.lit(""))))
+    return docs
+
+
+def _holder(shared, max_edits: float):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        column, out = pa.array(texts, pa.string()), np.zeros(len(texts), bool)
+        for a, b in T.slices(column):
+            rows = _verified(shared.value, column.slice(a, b - a), max_edits)[0]
+            out[a + np.array(rows, np.int64)] = True
+        return pd.Series(out)
+
+    return holds

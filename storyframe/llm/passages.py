@@ -67,7 +67,7 @@ def _shingle_matrix(found: T.Words, at: np.ndarray, window: int, size: int) -> n
     weight = T.stream(11, size)
     total = np.zeros(len(found.hash), np.uint64)
     for k in range(size):
-        total[:len(total) - k] += found.hash[k:] * weight[k]
+        total[:max(len(total) - k, 0)] += found.hash[k:] * weight[k]
     return T.mix(total)[at[:, None] + np.arange(window - size + 1)]
 
 
