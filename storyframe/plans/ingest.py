@@ -53,10 +53,21 @@ def media_status(media: DataFrame, folders: DataFrame) -> DataFrame:
         .withColumn("ingestion_status", status).drop("found")
 
 
+# What a plan changes in an episode that exists; all else stays.
+PLANNED = ["processed_video_url", "source_subtitle_url", "processing_status"]
+
+
 def merged_assets(existing: DataFrame, planned: DataFrame) -> DataFrame:
-    """The episode table after a plan: planned rows replace those with their key."""
-    kept = existing.join(planned.select(*ASSET_KEY), ASSET_KEY, "left_anti")
-    return kept.unionByName(planned.drop("created", "n_videos"), allowMissingColumns=True)
+    """The episode table after a plan: known episodes get new links and state, new ones are added."""
+    changes = planned.select(*ASSET_KEY, F.struct(*PLANNED).alias("__change"))
+    # A plan has one row per episode.
+    joined = join_hot(existing, changes, ASSET_KEY, "left", right_at_most=1)
+    met = F.col("__change").isNotNull()
+    updated = joined.withColumns({
+        c: F.when(met, F.col("__change")[c]).otherwise(F.col(c)) if c in existing.columns else F.col("__change")[c]
+        for c in PLANNED}).drop("__change")
+    new = planned.filter("created").drop("created", "n_videos")
+    return updated.unionByName(new, allowMissingColumns=True)
 
 
 def subtitle_upload(assets: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +35,12 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder `spark.checkpoint.dir` names; a temporary one only for a local master."""
+    """The folder `spark.checkpoint.dir` names, else one below the session's warehouse folder."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="storyframe-")
-        sc.setCheckpointDir(folder)
-    elif not sc.getCheckpointDir():
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 

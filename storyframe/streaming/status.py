@@ -59,8 +59,11 @@ def _advance(rows: DataFrame, batch_id: int, folder: str, column: str,
     late = F.coalesce(F.struct(*ORDER) <= F.col("at"), F.lit(False))
     known = cut_lineage(known.withColumn("late", late))
     fresh = known.filter("NOT late")
-    linked = with_previous(fresh, ["asset_id"], ORDER, {before: column})
-    resumed = linked.withColumn(before, F.coalesce(before, "value")).drop("at", "value", "late")
+    # A null that was saved in this batch is a value; only a first save looks into memory.
+    linked = with_previous(fresh.withColumn("follows", F.lit(True)), ["asset_id"], ORDER,
+                           {before: column, "follows_in_batch": "follows"})
+    resumed = linked.withColumn(before, F.when(F.col("follows_in_batch"), F.col(before)).otherwise(F.col("value"))) \
+        .drop("at", "value", "late", "follows", "follows_in_batch")
     keep(resumed).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
     known.filter("late").select(rows.columns).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
     seen = F.struct(*ORDER)

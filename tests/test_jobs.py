@@ -162,3 +162,17 @@ def test_uploaded_subtitles(spark):
     assert listed(ingest.subtitle_upload(assets, uploads), "asset_id", "l1_status", F.coalesce(
         "l1_output_file", F.lit("-"))) == [
         (1, "completed", "l1_outputs/1_l1.ass"), (2, "pending", "old.ass"), (3, "pending", "-")]
+
+
+def test_merged_assets_keep_what_a_plan_does_not_set(spark):
+    existing = spark.createDataFrame([("m", 1, "a1", "Old", "completed", "l1.ass", 7, "pending")],
+                                     "media_id string, sequence_number int, asset_id string, title string, "
+                                     "l1_status string, l1_output_file string, annotation_task_id int, "
+                                     "processing_status string")
+    files = spark.createDataFrame([("m", "ep01.mp4"), ("m", "ep02.mp4")], "media_id string, name string")
+    planned = ingest.plan(files, existing)
+    merged = {r.sequence_number: r for r in ingest.merged_assets(existing, planned).collect()}
+    assert (merged[1].title, merged[1].l1_status, merged[1].l1_output_file, merged[1].annotation_task_id) == (
+        "Old", "completed", "l1.ass", 7)
+    assert merged[1].processing_status == "completed" and merged[1].processed_video_url
+    assert merged[2].l1_status is None and merged[2].title == "ep02"
