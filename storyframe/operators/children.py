@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyframe.operators.intervals import interval_join
 from storyframe.operators.skew import largest_group, numbered
+from storyframe.session import cut_lineage
 
 PART_ROWS = 1000
 
@@ -31,8 +32,12 @@ def attach(scenes: DataFrame, children: DataFrame, order: list[str], same_chapte
 
 
 def with_empty(scenes: DataFrame, attached: DataFrame) -> DataFrame:
-    """Attached children and one row without a child for each scene that has none."""
+    """Attached children and one row without a child for each scene that has none.
+
+    The children are written once, since they are read twice; no scene's children have to meet in one task.
+    """
     keys = ["project_id", "scene_id"]
+    attached = cut_lineage(attached)
     empty = scenes.join(attached.select(*keys).distinct(), keys, "left_anti")
     return attached.unionByName(empty, allowMissingColumns=True)
 

@@ -19,7 +19,7 @@ from storyframe.session import cut_lineage, hot_rows
 
 SLICE = "__slice"
 SALT = "__salt"
-# Bound on the number of keys that get salted, hence on the size of the broadcast salt table.
+# Rows up to which the table of salted keys is broadcast.
 MAX_HOT_KEYS = 4096
 
 
@@ -91,12 +91,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
         return left.join(right, on, how)
     left_salted, right_salted = left, right
     keys = list(on)
-    for split, table in (("left", left_salts), ("right", right_salts)):
-        if table is None:
+    for split, found in (("left", left_salts), ("right", right_salts)):
+        if found is None:
             continue
         salts, salt = f"__{split}_salts", f"{SALT}_{split}"
-        left_salted = _join_small(left_salted, table, on)
-        right_salted = _join_small(right_salted, table, on)
+        left_salted = _join_small(left_salted, found[0], on, found[1])
+        right_salted = _join_small(right_salted, found[0], on, found[1])
         one = (F.pmod(_row_hash(left if split == "left" else right), F.coalesce(F.col(salts), F.lit(1)))).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
         left_salted = left_salted.withColumn(salt, one if split == "left" else every).drop(salts)
@@ -120,26 +120,28 @@ def _fits(df: DataFrame, group: list[str], at_most: int | None) -> bool:
     return (at_most is not None and at_most <= limit) or largest_group(df, group) <= limit
 
 
-def _salt_table(df: DataFrame, on: list[str], out: str, at_most: int | None) -> DataFrame | None:
+def _salt_table(df: DataFrame, on: list[str], out: str, at_most: int | None) -> tuple[DataFrame, str] | None:
+    """Salts per hot key and how to join them; None without hot keys."""
     limit = hot_rows(df.sparkSession)
     if at_most is not None and at_most <= limit:
         return None
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    top, total = counts.agg(F.max("__n"), F.sum("__n")).first()
-    if (top or 0) <= limit:
+    hot = counts.agg(F.count_if(F.col("__n") > limit)).first()[0]
+    if not hot:
         return None
-    # No more than MAX_HOT_KEYS keys can hold more than this share of all rows.
-    cut = max(limit, total // MAX_HOT_KEYS)
+    # More salts than there are tasks would not spread a key further.
     salts = F.least(F.ceil(F.col("__n") / limit), F.lit(4 * _partitions(df))).cast("int")
-    return counts.filter(F.col("__n") > cut).select(*on, salts.alias(out))
+    table = counts.filter(F.col("__n") > limit).select(*on, salts.alias(out))
+    # A longer table is joined by a shuffle, whose hot partitions Spark splits, as the join keeps its left side.
+    return table, "broadcast" if hot <= MAX_HOT_KEYS else "merge"
 
 
-def _join_small(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with a table whose row count is bounded by the caller; null keys match."""
+def _join_small(df: DataFrame, small: DataFrame, keys: list[str], hint: str = "broadcast") -> DataFrame:
+    """Left join with a table of one row per key, broadcast where the caller bounds its rows; null keys match."""
     renamed = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
                            *[c for c in small.columns if c not in keys])
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    return df.join(F.broadcast(renamed), same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    return df.join(renamed.hint(hint), same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def _row_hash(df: DataFrame) -> Column:

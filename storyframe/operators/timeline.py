@@ -14,6 +14,8 @@ insert get their rank in the walk from linked neighbours instead, with rows of c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from storyframe.operators.skew import join_hot, largest_group, numbered, with_pr
 from storyframe.session import cut_lineage
 
 LIST_KEY = ["project_id", "branch_key"]
-_SORT = ["chapter_rank", "scene_rank", "inner_rank", "scene_id"]
+RANKS = ["chapter_rank", "scene_rank", "inner_rank"]
+_SORT = [*RANKS, "scene_id"]
 PATH_ROUNDS = 6
 
 
@@ -53,20 +56,46 @@ def timeline_input(scenes: DataFrame) -> DataFrame:
 def narrative_order(scenes: DataFrame, keys: list[str] = LIST_KEY, at_most: int | None = None) -> DataFrame:
     """`keys`, `scene_id` and its 1-based `narrative_index` within each list.
 
-    Scenes told ahead are not listed, nor are inserts without a complete sort key; those are rejects. `at_most`
-    bounds the scenes of a list.
+    Scenes told ahead are not listed, nor are inserts whose place cannot be told (see `gaps`); those are rejects.
+    `at_most` bounds the scenes of a list.
     """
     top = largest_group(scenes, keys) if at_most is None else at_most
     marker = F.coalesce(F.col("marker"), F.lit(""))
     zero = F.lit(0.0)
     base = scenes.filter(~marker.isin("INSERT_PAST", "FORWARD"))
-    ready = F.col("chapter_rank").isNotNull() & F.col("scene_rank").isNotNull() & F.col("inner_rank").isNotNull()
-    inserts = scenes.filter((marker == "INSERT_PAST") & ready)
+    placeable = scenes.filter((F.col("marker") == "INSERT_PAST") & ~_has_gap()).unionByName(
+        gaps(scenes, keys).filter("NOT compared").drop("compared"))
+    # Fields that are still empty are so in all inserts they are compared with.
+    inserts = placeable.withColumns({c: F.coalesce(c, zero) for c in RANKS})
     rooted = base.select(*keys, "scene_id", F.array(_step(0, zero, zero, zero, F.col("scene_id"))).alias("path"))
     paths = rooted.unionByName(_insert_paths(base, inserts, keys, top))
     return numbered(paths, keys, ["path"], "narrative_index", at_most=top).drop("path")
 
 
+def gaps(scenes: DataFrame, keys: list[str] = LIST_KEY) -> DataFrame:
+    """Inserts with an empty rank, and whether it is `compared` with a value.
+
+    Ranks are compared in turn, up to the first that differ. So an empty one matters only if another insert of the list
+    has equal ranks before it and a value there.
+    """
+    inserts = scenes.filter(F.col("marker") == "INSERT_PAST")
+    found = inserts.filter(_has_gap()).withColumn("compared", F.lit(False))
+    for i, rank in enumerate(RANKS):
+        prefix = [*keys, *RANKS[:i]]
+        valued = inserts.filter(F.col(rank).isNotNull()).select(*[F.col(c).alias(f"__{c}") for c in prefix]) \
+            .distinct().withColumn("__valued", F.lit(True))
+        met = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in prefix])
+        joined = found.join(valued, met, "left")
+        found = joined.withColumn(
+            "compared", F.col("compared") | (F.col(rank).isNull() & F.col("__valued").isNotNull())
+        ).drop("__valued", *[f"__{c}" for c in prefix])
+    return found
+
+
+def _has_gap() -> Column:
+    return reduce(Column.__or__, [F.col(c).isNull() for c in RANKS])
+
+
 def _step(appended: int, chapter: Column, scene: Column, inner: Column, scene_id: Column) -> Column:
     return F.struct(F.lit(appended).alias("f"), chapter.alias("c"), scene.alias("s"), inner.alias("i"),
                     scene_id.alias("n"))

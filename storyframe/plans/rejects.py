@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from storyframe import schemas as S
 from storyframe.operators.regions import flattened
+from storyframe.operators.timeline import LIST_KEY, gaps
 
 
 def task_rejects(tasks: DataFrame) -> DataFrame:
@@ -44,11 +45,10 @@ def event_rejects(events: DataFrame) -> DataFrame:
     })
 
 
-def insert_rejects(timeline_input: DataFrame) -> DataFrame:
-    """Inserted scenes without a complete sort key."""
-    incomplete = F.col("chapter_rank").isNull() | F.col("scene_rank").isNull() | F.col("inner_rank").isNull()
-    return _flag(timeline_input, "scene", F.col("scene_id").cast("string"),
-                 {"incomplete_insert": (F.col("marker") == "INSERT_PAST") & incomplete})
+def insert_rejects(timeline_input: DataFrame, keys: list[str] = LIST_KEY) -> DataFrame:
+    """Inserted scenes whose empty rank would be compared with a value."""
+    return _flag(gaps(timeline_input, keys), "scene", F.col("scene_id").cast("string"),
+                 {"incomplete_insert": F.col("compared")})
 
 
 def fail_fast(rejects: DataFrame) -> None:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from storyframe.operators import skew
 from storyframe.operators import timeline as N
 from storyframe.operators.intervals import interval_join
 from storyframe.operators.skew import join_hot, numbered, with_previous
@@ -118,6 +119,19 @@ def test_join_hot_equals_join(spark, sizes, how):
     assert sorted(map(str, join_hot(left, right, ["g"], how).collect())) == sorted(map(str, want))
 
 
+def test_every_hot_key_is_salted(spark, monkeypatch):
+    """More hot keys than are broadcast."""
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 5)
+    spark.conf.set("spark.storyframe.hotRows", "3")
+    try:
+        left = spark.createDataFrame([(k, i) for k in range(40) for i in range(5)], "k int, i int")
+        salts, hint = skew._salt_table(left, ["k"], "n", None)
+        assert (salts.count(), hint) == (40, "merge")
+        assert join_hot(left, left.withColumnRenamed("i", "j"), ["k"]).count() == 40 * 25
+    finally:
+        spark.conf.unset("spark.storyframe.hotRows")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

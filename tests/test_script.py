@@ -239,8 +239,12 @@ def test_bad_times_and_incomplete_inserts_are_rejected(spark):
         "project_id string, chapter_file string, line_no int, start_time_raw string, end_time_raw string"))
     assert sorted(r["reason"] for r in rejects.event_rejects(events).collect()) == ["bad_end_time", "bad_start_time"]
     scenes = spark.createDataFrame(
-        [("p", "0", 1, None, None, None, None, None), ("p", "0", 2, "INSERT_PAST", 1.0, None, 1.0, "1")],
+        [("p", "0", 1, None, None, None, None, None), ("p", "0", 2, "INSERT_PAST", 1.0, 1.0, None, "1"),
+         ("p", "0", 3, None, None, None, None, None), ("q", "0", 1, None, None, None, None, None),
+         ("q", "0", 2, "INSERT_PAST", 1.0, None, 1.0, None), ("q", "0", 3, "INSERT_PAST", 1.0, 1.0, 1.0, "1")],
         "project_id string, branch_key string, scene_id bigint, marker string, chapter_rank double, "
         "scene_rank double, inner_rank double, target string")
-    assert [r["item"] for r in rejects.insert_rejects(scenes).collect()] == ["2"]
-    assert [r["scene_id"] for r in N.narrative_order(scenes).collect()] == [1]
+    # An empty rank is no harm while nothing has to be compared with it.
+    assert [(r["project_id"], r["item"]) for r in rejects.insert_rejects(scenes).collect()] == [("q", "2")]
+    listed = sorted((r["project_id"], r["narrative_index"], r["scene_id"]) for r in N.narrative_order(scenes).collect())
+    assert listed == [("p", 1, 1), ("p", 2, 2), ("p", 3, 3), ("q", 1, 1), ("q", 2, 3)]

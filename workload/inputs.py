@@ -1,4 +1,4 @@
-"""Library inputs derived from the test tables; every row of a table is used.
+"""Library inputs derived from whole test tables; of `events`, some queries give each type a role of its own.
 
 Projects are groups of ten users, customers or runs of orders, so their number grows with the data.
 """
@@ -41,9 +41,9 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props")
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scenes(spark: SparkSession, sf_dir: str, when: str = "event_type = 'purchase'") -> DataFrame:
     """A scene per purchase, lasting until the next purchase of the user; the last of each user has no end."""
-    bought = _marks(spark, sf_dir).filter("event_type = 'purchase'").drop("event_type")
+    bought = _marks(spark, sf_dir).filter(when).drop("event_type")
     top = largest_group(bought, ["project_id"])
     ended = with_previous(bought, ["user_id"], ["us", "event_id"], {"end_seconds": "start_seconds"}, descending=True,
                           at_most=top)
@@ -197,21 +197,39 @@ def timeline_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority LIKE '2%' AS meets"))
 
 
+def incomplete_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes of the orders with empty ranks: all chapters of every sixth project, and some others of each kind."""
+    empty = {"chapter_rank": "project_id % 6 = 0 OR project_id % 6 = 1 AND scene_id % 13 = 0",
+             "scene_rank": "(scene_id + project_id) % 9 = 0", "target": "(scene_id + project_id) % 9 = 0",
+             "inner_rank": "scene_id % 4 = 0"}
+    return timeline_scenes(spark, sf_dir).withColumns(
+        {c: F.expr(f"CASE WHEN NOT ({when}) THEN {c} END") for c, when in empty.items()})
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upload listing with one to five episodes per source; the subtitles of one source pair with no video."""
+    """An upload listing with a file per document: ten episodes of up to four files per work.
+
+    One episode in three has two videos. The subtitles of every fifth work pair with no video.
+    """
     return table(spark, sf_dir, "documents").selectExpr(
-        "source AS media_id",
-        "concat('ep', lpad(cast(cast(floor(doc_id / 20) AS int) % 5 + 1 AS string), 2, '0'), "
-        "CASE cast(floor(doc_id / 100) AS int) % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN "
-        "CASE WHEN source = 'src3' THEN '_en.srt' ELSE '.srt' END WHEN 2 THEN '.mov' ELSE '.txt' END) AS name",
-    ).distinct()
+        "concat('src', cast(doc_id div 40 AS string)) AS media_id",
+        "concat('ep', lpad(cast(doc_id div 4 % 10 + 1 AS string), 2, '0'), CASE doc_id % 4 WHEN 0 THEN '.mp4' "
+        "WHEN 1 THEN CASE WHEN doc_id div 40 % 5 = 3 THEN '_en.srt' ELSE '.srt' END "
+        "WHEN 2 THEN CASE WHEN doc_id div 4 % 3 = 0 THEN '.mov' ELSE '.avi' END ELSE '.txt' END) AS name")
 
 
 def existing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes already in the catalogue: one per nation, for the source and the region of its number."""
-    return table(spark, sf_dir, "nation").selectExpr(
-        "concat('src', cast(n_nationkey AS string)) AS media_id", "cast(n_regionkey + 1 AS bigint) AS sequence_number",
-        "concat('known-', n_name) AS asset_id", "n_name AS title")
+    """Episodes already in the catalogue: one per supplier, four per work."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "concat('src', cast(s_suppkey div 4 AS string)) AS media_id", "s_suppkey % 4 + 1 AS sequence_number",
+        "concat('known-', s_name) AS asset_id", "s_name AS title")
+
+
+def catalogue_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes of the orders, in the works that `files` names."""
+    return assets(spark, sf_dir).withColumns({
+        "media_id": F.concat(F.lit("src"), F.col("media_id").cast("string")),
+        "asset_id": F.col("asset_id").cast("string"), "processing_status": F.lit("pending")})
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

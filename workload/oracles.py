@@ -27,6 +27,7 @@ scenes AS (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY chapter_id, us, event_id) AS scene_id,
     s AS s0, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY us, event_id), 0) AS s1
   FROM marks WHERE event_type = 'purchase')"""
+EVERY_SCENE = SCENES.replace(" WHERE event_type = 'purchase'", "")
 SPOKEN = """
 spoken AS (
   SELECT project_id, chapter_id, CASE WHEN event_type = 'click' THEN 'caption' ELSE 'dialogue' END AS kind,
@@ -139,6 +140,19 @@ ordered AS (
     1 + o_orderkey % 3 AS c1, 1 + o_orderkey % 7 AS c2, 1 + o_orderkey % 2 AS c3,
     cast(1 + o_orderkey % 7 AS varchar) AS target
   FROM orders)"""
+INCOMPLETE = f"""{ORDERED},
+gapped AS (
+  SELECT project_id, scene_id, marker,
+    CASE WHEN NOT (project_id % 6 = 0 OR project_id % 6 = 1 AND scene_id % 13 = 0) THEN c1 END AS c1,
+    CASE WHEN (scene_id + project_id) % 9 <> 0 THEN c2 END AS c2, CASE WHEN scene_id % 4 <> 0 THEN c3 END AS c3,
+    CASE WHEN (scene_id + project_id) % 9 <> 0 THEN target END AS target
+  FROM ordered),
+clash AS (
+  SELECT DISTINCT a.project_id, a.scene_id
+  FROM gapped a JOIN gapped o ON o.project_id = a.project_id AND o.marker = 'INSERT_PAST' AND a.marker = 'INSERT_PAST'
+  WHERE a.c1 IS NULL AND o.c1 IS NOT NULL
+    OR a.c1 IS NOT DISTINCT FROM o.c1 AND a.c2 IS NULL AND o.c2 IS NOT NULL
+    OR a.c1 IS NOT DISTINCT FROM o.c1 AND a.c2 IS NOT DISTINCT FROM o.c2 AND a.c3 IS NULL AND o.c3 IS NOT NULL)"""
 
 # Scripts: the described scenes and the text of each part.
 DESCRIBED = f"""{SCENES},
@@ -243,17 +257,15 @@ parts AS (
 
 FILES = """
 files AS (
-  SELECT DISTINCT source AS media_id, (doc_id // 20) % 5 + 1 AS seq, (doc_id // 100) % 4 AS kind
+  SELECT concat('src', doc_id // 40) AS media_id, (doc_id // 4) % 10 + 1 AS seq, (doc_id // 40) % 5 = 3 AS unpaired,
+    CASE WHEN doc_id % 4 = 2 AND (doc_id // 4) % 3 <> 0 THEN 3 ELSE doc_id % 4 END AS kind
   FROM documents),
 videos AS (
   SELECT media_id, seq, printf('ep%02d', seq) AS stem, CASE kind WHEN 0 THEN '.mp4' ELSE '.mov' END AS ext,
     CASE kind WHEN 0 THEN 0 ELSE 1 END AS ext_rank
   FROM files WHERE kind IN (0, 2)),
-srts AS (SELECT media_id, seq FROM files WHERE kind = 1 AND media_id <> 'src3')"""
-PLAN = f"""{FILES},
-known AS (
-  SELECT concat('src', n_nationkey) AS media_id, n_regionkey + 1 AS seq, concat('known-', n_name) AS id, n_name AS title
-  FROM nation),
+srts AS (SELECT media_id, seq FROM files WHERE kind = 1 AND NOT unpaired)"""
+PLANNED = f"""{FILES},
 plan AS (
   SELECT v.media_id, v.seq AS sequence_number, count(*) AS n_videos,
     any_value(k.id) IS NULL AS created, coalesce(any_value(k.title), min(v.stem)) AS title,
@@ -264,12 +276,19 @@ plan AS (
   LEFT JOIN known k ON k.media_id = v.media_id AND k.seq = v.seq
   GROUP BY v.media_id, v.seq),
 plan_ids AS (
-  SELECT *, coalesce(known_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])) AS asset_id FROM plan)
-SELECT media_id, sequence_number, asset_id, title, created, n_videos, 'completed' AS processing_status,
-  concat('http://localhost:9999/media/processed_videos/', asset_id, '.mp4') AS processed_video_url,
-  CASE WHEN has_srt THEN concat('http://localhost:9999/media/source_subtitles/', asset_id, '/ep',
-    printf('%02d', sequence_number), '.srt') END AS source_subtitle_url
-FROM plan_ids"""
+  SELECT *, coalesce(known_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])) AS asset_id FROM plan),
+planned AS (
+  SELECT media_id, sequence_number, asset_id, title, created, n_videos, 'completed' AS processing_status,
+    concat('http://localhost:9999/media/processed_videos/', asset_id, '.mp4') AS processed_video_url,
+    CASE WHEN has_srt THEN concat('http://localhost:9999/media/source_subtitles/', asset_id, '/ep',
+      printf('%02d', sequence_number), '.srt') END AS source_subtitle_url
+  FROM plan_ids)"""
+PLAN = f"""known AS (
+  SELECT concat('src', s_suppkey // 4) AS media_id, s_suppkey % 4 + 1 AS seq, concat('known-', s_name) AS id,
+    s_name AS title
+  FROM supplier),
+{PLANNED}
+SELECT * FROM planned"""
 ASSETS = """
 media AS (
   SELECT c_custkey AS media_id, c_name AS media_title, c_custkey * 7919 % 100000 AS age,
@@ -429,19 +448,28 @@ hits AS (
 SELECT project_id, scene_id, kind, i // 50 AS part, string_agg(cast(line_no AS varchar), '|' ORDER BY i) AS lines
 FROM hits GROUP BY project_id, scene_id, kind, i // 50""",
     "chapter_rollup": f"""
-WITH {SCENES}
+WITH {EVERY_SCENE}
 SELECT project_id, chapter_id, cast(0 AS bigint) AS part, concat('Chapter_', chapter_id) AS name,
   concat('Chapter ', chapter_id) AS textual, printf('%02d.ass', chapter_id) AS source_file,
   string_agg(cast(scene_id AS varchar), ',' ORDER BY scene_id) AS scene_ids
 FROM scenes GROUP BY project_id, chapter_id""",
     "project_totals": f"""
-WITH {SCENES}
+WITH {EVERY_SCENE}
 SELECT project_id, cast(project_id AS varchar) AS project_name, count(DISTINCT chapter_id) AS total_chapters,
   count(*) AS total_scenes, '1.8' AS version, '2024-06-01T12:00:00+00:00' AS generation_date
 FROM scenes GROUP BY project_id""",
     "timeline_linear": f"""
 WITH RECURSIVE {ORDERED}, told AS (SELECT *, 0 AS b FROM ordered), {CHAINED}
 SELECT project_id, scene_id, narrative_index FROM told_order""",
+    "timeline_incomplete": f"""
+WITH RECURSIVE {INCOMPLETE}, told AS (SELECT *, 0 AS b FROM gapped g WHERE NOT EXISTS (
+  SELECT 1 FROM clash c WHERE c.project_id = g.project_id AND c.scene_id = g.scene_id)), {CHAINED}
+SELECT project_id, scene_id, narrative_index FROM told_order""",
+    "timeline_rejects": f"""
+WITH {INCOMPLETE}
+SELECT cast(project_id AS varchar) AS project_id, 'scene' AS source, cast(scene_id AS varchar) AS item,
+  'incomplete_insert' AS reason
+FROM clash""",
     "timeline_branches": f"""
 WITH RECURSIVE {ORDERED}, told AS (SELECT *, branch AS b FROM ordered), {CHAINED},
 kinds AS (SELECT project_id, bool_and(o_orderpriority[1] NOT IN ('1', '2')) AS is_linear FROM told GROUP BY project_id)
@@ -507,10 +535,23 @@ WITH {FILES}
 SELECT media_id, concat(stem, ext) AS name, stem, ext, ext_rank, seq AS sequence_number FROM videos""",
     "ingest_plan": f"WITH {PLAN}",
     "ingest_stream": f"WITH {PLAN}",
+    "assets_merged": f"""
+WITH {ASSETS},
+known AS (
+  SELECT concat('src', media_id) AS media_id, seq, cast(asset_id AS varchar) AS id, title, l1_status, annotated,
+    l1_output_file, task, video, srt
+  FROM assets),
+{PLANNED}
+SELECT coalesce(k.media_id, p.media_id) AS media_id, coalesce(k.seq, p.sequence_number) AS sequence_number,
+  coalesce(k.id, p.asset_id) AS asset_id, coalesce(k.title, p.title) AS title, l1_status,
+  CASE WHEN annotated THEN 'completed' WHEN NOT annotated THEN 'in_progress' END AS l2_l3_status, l1_output_file,
+  task AS annotation_task_id, coalesce(p.processing_status, 'pending') AS processing_status,
+  CASE WHEN p.media_id IS NULL THEN video ELSE p.processed_video_url END AS processed_video_url,
+  CASE WHEN p.media_id IS NULL THEN srt ELSE p.source_subtitle_url END AS source_subtitle_url
+FROM known k FULL JOIN planned p ON p.media_id = k.media_id AND p.sequence_number = k.seq""",
     "ingest_status": """
 SELECT concat('src', c_custkey) AS media_id,
-  CASE WHEN concat('src', c_custkey) IN (SELECT source FROM documents) THEN 'completed' ELSE 'failed' END
-    AS ingestion_status
+  CASE WHEN c_custkey IN (SELECT doc_id // 40 FROM documents) THEN 'completed' ELSE 'failed' END AS ingestion_status
 FROM customer""",
     "subtitle_renumber": f"""
 WITH {ASSETS}
@@ -561,7 +602,14 @@ SELECT asset_id, CASE WHEN video IS NULL OR srt IS NULL THEN 'files_missing' WHE
   CASE WHEN project IS NULL THEN 'project_missing' WHEN task IS NULL THEN 'not_imported'
     WHEN annotated THEN 'view_completed' ELSE 'open_task' END AS annotation_action
 FROM assets a JOIN media m ON m.media_id = a.media_id""",
-    "invalid_states": "SELECT c_custkey AS row_id, 'media_type' AS invalid FROM customer",
+    "invalid_states": """
+SELECT c_custkey AS row_id, CASE WHEN c_custkey % 12 = 0 THEN 'media_type,ingestion_status'
+  WHEN c_custkey % 4 = 0 THEN 'media_type' ELSE 'ingestion_status' END AS invalid
+FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 6 = 0
+UNION ALL
+SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'l1_status,l2_l3_status' WHEN o_orderkey % 5 = 0 THEN 'l1_status'
+  ELSE 'l2_l3_status' END
+FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0""",
     "status_changes": f"""
 WITH {LOG}
 SELECT asset_id, ts, seq, status, previous_status FROM before WHERE status <> previous_status""",

@@ -273,13 +273,13 @@ def scene_child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chapter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rollup.chapters(I.scenes(spark, sf_dir))
+    found = rollup.chapters(I.scenes(spark, sf_dir, "true"))
     return found.withColumn("scene_ids", _joined(F.transform("scene_ids", lambda x: x.cast("string")), ","))
 
 
 @query
 def project_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.project_totals(I.scenes(spark, sf_dir), GENERATED)
+    return rollup.project_totals(I.scenes(spark, sf_dir, "true"), GENERATED)
 
 
 @query
@@ -297,6 +297,18 @@ def timeline_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "project_id", "branch", "is_linear", "scene_id", "narrative_index")
 
 
+@query
+def timeline_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of projects whose inserts lack ranks."""
+    return N.narrative_order(cut_lineage(I.incomplete_scenes(spark, sf_dir)), ["project_id"])
+
+
+@query
+def timeline_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts that cannot be placed for want of a rank."""
+    return rejects.insert_rejects(cut_lineage(I.incomplete_scenes(spark, sf_dir)), ["project_id"])
+
+
 @query
 def timeline_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(text: str) -> Column:
@@ -361,9 +373,19 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.plan(I.files(spark, sf_dir), I.existing_assets(spark, sf_dir))
 
 
+@query
+def assets_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes of the orders after an ingest run over the listing."""
+    existing = cut_lineage(I.catalogue_episodes(spark, sf_dir))
+    merged = ingest.merged_assets(existing, cut_lineage(ingest.plan(I.files(spark, sf_dir), existing)))
+    return merged.select("media_id", "sequence_number", "asset_id", "title", "l1_status", "l2_l3_status",
+                         "l1_output_file", "annotation_task_id", "processing_status", "processed_video_url",
+                         "source_subtitle_url")
+
+
 @query
 def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of a work per customer after an ingest run, with a folder for each document source."""
+    """State of a work per customer after an ingest run, with a folder for each work of the listing."""
     works = I.table(spark, sf_dir, "customer").selectExpr("concat('src', cast(c_custkey AS string)) AS media_id")
     return ingest.media_status(works, I.files(spark, sf_dir))
 
@@ -425,8 +447,13 @@ def asset_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def invalid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers are no valid kind of work; orders have valid annotation states."""
-    works, episodes = I.media(spark, sf_dir), I.assets(spark, sf_dir)
+    """Works and episodes with valid states, empty ones, and invalid ones in one or several columns."""
+    works = I.media(spark, sf_dir).withColumns({
+        "media_type": F.expr("CASE media_id % 4 WHEN 0 THEN media_type WHEN 1 THEN 'movie' WHEN 2 THEN 'short_drama' END"),
+        "ingestion_status": F.expr("CASE WHEN media_id % 6 = 0 THEN 'lost' ELSE ingestion_status END")})
+    episodes = I.assets(spark, sf_dir).withColumns({
+        "l1_status": F.expr("CASE asset_id % 5 WHEN 0 THEN 'Completed' WHEN 1 THEN NULL ELSE l1_status END"),
+        "l2_l3_status": F.expr("CASE WHEN asset_id % 7 = 0 THEN '' ELSE l2_l3_status END")})
     found = [invalid_values(rows).select(F.col(id_).alias("row_id"), _joined(F.col("invalid"), ",").alias("invalid"))
              for rows, id_ in ((works, "media_id"), (episodes, "asset_id"))]
     return found[0].unionByName(found[1])
