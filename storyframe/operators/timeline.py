@@ -63,8 +63,9 @@ def narrative_order(scenes: DataFrame, keys: list[str] = LIST_KEY, at_most: int
     marker = F.coalesce(F.col("marker"), F.lit(""))
     zero = F.lit(0.0)
     base = scenes.filter(~marker.isin("INSERT_PAST", "FORWARD"))
-    placeable = scenes.filter((F.col("marker") == "INSERT_PAST") & ~_has_gap()).unionByName(
-        gaps(scenes, keys).filter("NOT compared").drop("compared"))
+    # Written once, as the inserts are read several times.
+    harmless = cut_lineage(gaps(scenes, keys).filter("NOT compared").drop("compared"))
+    placeable = scenes.filter((F.col("marker") == "INSERT_PAST") & ~_has_gap()).unionByName(harmless)
     # Fields that are still empty are so in all inserts they are compared with.
     inserts = placeable.withColumns({c: F.coalesce(c, zero) for c in RANKS})
     rooted = base.select(*keys, "scene_id", F.array(_step(0, zero, zero, zero, F.col("scene_id"))).alias("path"))
