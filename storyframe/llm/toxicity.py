@@ -7,8 +7,11 @@ gradient descent on the log-likelihood, with a penalty on squared weights. Only
 apart take part: those whose likelihood ratio over documents is at least `LEAST_RATIO`. The sentences with the highest p are the
 offending ones.
 
-Fitting reads a bounded sample, at most `max_docs` labelled rows of each label in hash order of their ids; scoring reads
-whole texts, task by task, with a table of at most `max_words` weights.
+Fitting reads a bounded sample, at most `max_docs` labelled rows of each label in hash order of their ids. All labelled
+rows are counted, and each sampled row weighs in the likelihood as much as its label does among all of them, so the share of
+toxic rows the model expects does not depend on the bound. Likelihood ratios and first weights compare rates within
+labels, where the drawn share cancels out. Scoring reads whole texts, task by task, with a table of at most `max_words`
+weights.
 
 Defined cases: null texts are empty and, as texts without words, score 0. Without labelled rows of both kinds the model
 knows only the share of toxic rows: words weigh nothing. Of several labels for a doc_id the highest holds; null labels
@@ -119,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id")
+    totals = {row["toxic"]: row["count"] for row in known.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
     draw = [F.xxhash64("doc_id"), "doc_id"]
     drawn = known.where("toxic = 1").orderBy(*draw).limit(max_docs).union(
         known.where("toxic = 0").orderBy(*draw).limit(max_docs))
@@ -144,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words:
     # rows in a fixed order, so that sums of floats agree between runs
     found = sample.orderBy(F.xxhash64("text"), "toxic").mapInArrow(
         _examples(words), "toxic int, n_sentences long, sentences array<long>, words array<long>").toArrow()
-    return _descend(found, words, odds)
+    labelled = sum(totals.values())
+    weigh = (totals[0] * n / (labelled * (n - n_toxic)), totals[1] * n / (labelled * n_toxic))
+    return _descend(found, words, odds, weigh)
 
 
 def _log_likelihood(hits: Column, of: int) -> Column:
@@ -152,8 +158,10 @@ def _log_likelihood(hits: Column, of: int) -> Column:
     return hits * F.log(share) + (of - hits) * F.log1p(-share)
 
 
-def _descend(found: pa.Table, words: np.ndarray, odds: np.ndarray) -> Model:
+def _descend(found: pa.Table, words: np.ndarray, odds: np.ndarray, weigh: tuple[float, float]) -> Model:
+    """`weigh`: what a clean and a toxic document count for; over all documents it is 1 on average."""
     toxic = found["toxic"].to_numpy().astype(np.float64)
+    weight = np.where(toxic > 0, weigh[1], weigh[0])
     per_doc = found["n_sentences"].to_numpy()
     n, n_words, n_sentences = len(toxic), len(words), int(per_doc.sum())
     of = np.repeat(np.arange(n), per_doc)
@@ -161,13 +169,13 @@ def _descend(found: pa.Table, words: np.ndarray, odds: np.ndarray) -> Model:
     size = np.array([len(x) for x in found["words"]])
     place = np.concatenate([x.values.to_numpy() for x in found["words"]])
     row = np.concatenate([x.values.to_numpy() for x in found["sentences"]]) + np.repeat(begin, size)
-    theta = np.append(odds, np.log(toxic.sum() / max(n_sentences, 1)) - 2)
+    theta = np.append(odds, np.log((weight * toxic).sum() / max((weight * per_doc).sum(), 1e-9)) - 2)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(row, theta[place], n_sentences) + theta[-1], -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(-np.bincount(of, np.logaddexp(0, z), n))
-        slope = p * (1 - toxic / np.maximum(1 - clean, 1e-9))[of]
+        slope = p * (weight * (1 - toxic / np.maximum(1 - clean, 1e-9)))[of]
         gradient = np.append(np.bincount(place, slope[row], n_words), slope.sum()) / n
         gradient[:-1] += PENALTY * theta[:-1]
         first = 0.9 * first + 0.1 * gradient

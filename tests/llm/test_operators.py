@@ -231,6 +231,17 @@ def test_toxicity(spark, empty):
     assert toxicity.report(frame, labels.limit(0), F.lit(False)).where("score > 0.5").count() == 0
 
 
+def test_toxicity_prior_does_not_depend_on_the_bound(spark):
+    """The word is in half of 100 toxic and a tenth of 900 clean texts: 50 of the 140 that have it are toxic."""
+    rows = [(i, "an odd thing" if (i % 2 if i < 100 else i % 10 == 0) else "a calm day") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1000)], "doc_id long, toxic int")
+    keyed = frame.where("doc_id IN (1, 2)").select(F.col("doc_id").alias("key"), "text")
+    whole, drawn = ({r.key: r.score for r in toxicity.score(keyed, toxicity.fit(frame, labels, max_docs=n)).collect()}
+                    for n in (1000, 100))
+    assert whole[1] < 0.5 and drawn[1] < 0.5 and abs(whole[1] - drawn[1]) < 0.15 and drawn[2] < 0.2
+
+
 def test_hmm(docs, empty):
     held = F.col("doc_id") % 2 == 0
     for options in ({}, {"classes": 8, "endings": 4, "table_words": 10}):
