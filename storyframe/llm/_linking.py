@@ -20,6 +20,9 @@ from storyframe.session import scratch_path
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
+# A gauge gets two tables and which rows are alike, and returns the columns of `GAUGE` for each row of the first.
+Gauge = Callable[[pa.Table, pa.Table, np.ndarray], list[np.ndarray]]
+GAUGE = ("left", "right", "left_before", "right_before")
 VISITORS = 256
 
 
@@ -68,8 +71,8 @@ def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> D
 
 
 def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, block_rows: int = 256,
-                   block_weight: int = 200_000) -> DataFrame:
-    """(node, class) of every item with a link.
+                   block_weight: int = 200_000, gauge: Gauge | None = None) -> DataFrame:
+    """(node, class) of every item with a link; with a gauge also its columns, the largest over the links found.
 
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
     needs, one row per node.
@@ -81,10 +84,10 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     payload = written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload")
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
-    links = compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare)
+    links = compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare, gauge)
     wide = entries.where("blocks > 1")
     if wide.isEmpty():
-        return components(links)
+        return _gauged(components, links if gauge is None else written(links, "links"), gauge)
     links = written(links, "links")
     classes = components(links)
     placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
@@ -93,10 +96,18 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
                                                            F.count(F.lit(1)).alias("classes")).where("classes > 1"), "open")
     left = written(placed.join(open_buckets, "bucket"), "left")
     if left.isEmpty():
-        return classes
+        return _gauged(lambda _: classes, links, gauge)
     again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
              .unionByName(_everywhere(left.where(F.col("class") != F.col("main")))))
-    return components(links.union(compared(again, payload, compare)))
+    more = compared(again, payload, compare, gauge)
+    return _gauged(components, links.union(more if gauge is None else written(more, "links")), gauge)
+
+
+def _gauged(classes: Callable[[DataFrame], DataFrame], links: DataFrame, gauge: Gauge | None) -> DataFrame:
+    if gauge is None:
+        return classes(links)
+    most = links.groupBy(F.col("a").alias("node")).agg(*[F.max(c).alias(c) for c in GAUGE])
+    return classes(links).join(most, "node", "left")
 
 
 def _leaders(entries: DataFrame) -> DataFrame:
@@ -111,7 +122,7 @@ def _everywhere(entries: DataFrame) -> DataFrame:
                           F.lit(1).alias("visit"))
 
 
-def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
+def compared(entries: DataFrame, payload: DataFrame, compare: Compare, gauge: Gauge | None = None) -> DataFrame:
     """Links (a, b) found by comparing, in each (bucket, block), its own items among themselves and with visitors."""
     rows = (entries.join(payload, "node").repartition("bucket", "block")
             .sortWithinPartitions("bucket", "block", "visit"))
@@ -124,20 +135,20 @@ def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFr
                 visit = part["visit"][0].as_py()
                 if k != key:
                     if own and not done:
-                        yield from _links(own, None, compare)
+                        yield from _links(own, None, compare, gauge)
                     key, own, done = k, [], False
                 if not visit:
                     own.append(part)
                 elif own:
                     if not done:
-                        yield from _links(own, None, compare)
+                        yield from _links(own, None, compare, gauge)
                         done = True
                     for at in range(0, part.num_rows, VISITORS):
-                        yield from _links(own, part.slice(at, VISITORS), compare)
+                        yield from _links(own, part.slice(at, VISITORS), compare, gauge)
         if own and not done:
-            yield from _links(own, None, compare)
+            yield from _links(own, None, compare, gauge)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, ", ".join(["a long, b long", *(f"{c} int" for c in GAUGE if gauge)]))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.Table]:
@@ -152,7 +163,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield table.slice(int(a), int(b - a))
 
 
-def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare) -> Iterator[pa.RecordBatch]:
+def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare,
+           gauge: Gauge | None = None) -> Iterator[pa.RecordBatch]:
     mine = pa.concat_tables(own).combine_chunks()
     a = mine["node"].to_numpy()
     if visitors is None:
@@ -161,17 +173,24 @@ def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare) ->
         like = compare(mine, mine)
         nodes = a
         like |= like.T
+        gauges = gauge(mine, mine, like) if gauge else []
     else:
         other = visitors.combine_chunks()
         nodes = np.concatenate((a, other["node"].to_numpy()))
         n = len(a)
         like = np.zeros((len(nodes), len(nodes)), bool)
         like[:n, n:] = compare(mine, other)
+        gauges = [np.concatenate(x) for x in zip(gauge(mine, other, like[:n, n:]), gauge(other, mine, like[:n, n:].T),
+                                                 strict=True)] if gauge else []
         like |= like.T
     label = _labels(like)
     joined = label != np.arange(len(nodes))
+    if gauge:
+        joined |= np.bincount(label, minlength=len(nodes)) > 1
     if joined.any():
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[label[joined]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[joined]), pa.array(nodes[label[joined]]), *(pa.array(x[joined], pa.int32()) for x in gauges)],
+            ["a", "b", *(GAUGE if gauge else ())])
 
 
 def _labels(like: np.ndarray) -> np.ndarray:

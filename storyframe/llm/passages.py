@@ -7,7 +7,10 @@ document, wherever it stands, and lines and sentences do not matter.
 The MinHash of a window's five-word shingles is banded with few registers per band, for high recall. What shares a key is
 verified: two windows are alike if the Jaccard likeness of their shingles is at least 0.8 and the texts around them agree
 for at least `MIN_WORDS` words in all, by ungapped extension in which a differing word costs five agreeing ones. Likeness
-links windows to classes; a passage is a run of a document's linked windows, extended by what verification found.
+links windows to classes. A window is extended by what verification found, the longest agreement over its links, up to
+`reach` words on each side: to any other document where the passage is kept, and to smaller doc_ids where it is not, so
+that all words that go stand in a smaller doc_id. A passage is a run of extended windows of a document that overlap or touch.
+In a bucket of more distinct surroundings than a block holds, a window's links are those to its block and to the leader.
 
 Texts are not shuffled for the search. Only windows that share keys are fetched, with their surroundings, and equal ones
 are compared once.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyframe.llm import _linking
@@ -123,8 +126,10 @@ def _surroundings(window: int, reach: int, min_words: int):
                 width = index.shape[1] * 4
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(a + text)), pa.array(word, pa.int32()),
-                     pa.array([flat[i * width:(i + 1) * width] for i in range(len(text))], pa.binary())],
-                    ["doc_id", "word", "around"])
+                     pa.array([flat[i * width:(i + 1) * width] for i in range(len(text))], pa.binary()),
+                     pa.array(valid[:, :reach].sum(axis=1), pa.int32()),
+                     pa.array(valid[:, reach + window:].sum(axis=1), pa.int32())],
+                    ["doc_id", "word", "around", "room_left", "room_right"])
 
     return run
 
@@ -134,18 +139,38 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def extents(a: np.ndarray, b: np.ndarray, window: int, reach: int) -> np.ndarray:
-    """Words that agree around two aligned windows, for each row of `a` with each of `b`: (left, right) extensions."""
-    equal = (a[:, None, :] == b[None, :, :]) & (a[:, None, :] != 0)
-    gain = np.where(equal, 1, -COST).astype(np.int16)
-    left = np.cumsum(gain[:, :, :reach][:, :, ::-1], axis=2, dtype=np.int16)
-    right = np.cumsum(gain[:, :, reach + window:], axis=2, dtype=np.int16)
-    out = np.zeros((2, len(a), len(b)), np.int16)
-    for k, side in enumerate((left, right)):
-        best = side.argmax(axis=2)
-        out[k] = np.where(side.max(axis=2) > 0, best + 1, 0)
+    """Words that agree around two aligned windows, for rows of `a` with rows of `b`: (left, right) extensions."""
+    gain = np.where((a == b) & (a != 0), 1, -COST).astype(np.int16)
+    out = np.zeros((2, *gain.shape[:-1]), np.int16)
+    for k, side in enumerate((gain[..., :reach][..., ::-1], gain[..., reach + window:])):
+        if side.shape[-1]:
+            total = np.cumsum(side, axis=-1, dtype=np.int16)
+            out[k] = np.where(total.max(axis=-1) > 0, total.argmax(axis=-1) + 1, 0)
     return out
 
 
+def extents_of_links(window: int, reach: int) -> _linking.Gauge:
+    """Longest (left, right) extensions over links to other documents, then over links to smaller doc_ids."""
+
+    def gauge(a: pa.Table, b: pa.Table, like: np.ndarray) -> list[np.ndarray]:
+        (low_a, high_a), (low_b, high_b) = ((t["low"].to_numpy(), t["high"].to_numpy()) for t in (a, b))
+        i, j = np.nonzero(like)
+        across = (np.minimum(low_a[i], low_b[j]) < np.maximum(high_a[i], high_b[j]))
+        i, j = i[across], j[across]
+        left, right = _matrix(a), _matrix(b)
+        out = np.zeros((4, len(left)), np.int32)
+        for at in range(0, len(i), 1 << 13):
+            x, y = i[at:at + (1 << 13)], j[at:at + (1 << 13)]
+            sides = extents(left[x], right[y], window, reach)
+            before = low_b[y] < low_a[x]
+            for k in (0, 1):
+                np.maximum.at(out[k], x, sides[k])
+                np.maximum.at(out[2 + k], x[before], sides[k][before])
+        return list(out)
+
+    return gauge
+
+
 def windows_like(window: int, reach: int, min_words: int, least: float) -> _linking.Compare:
     def shingle_rows(around: np.ndarray):
         inner = around[:, reach:reach + window].astype(np.uint64)
@@ -162,7 +187,7 @@ def windows_like(window: int, reach: int, min_words: int, least: float) -> _link
         common = _linking.overlaps(rows_a, ids_a, len(left), rows_b, ids_b, len(right))
         like = common * (1 + least) + 1e-6 >= least * (size_a[:, None] + size_b[None, :])
         for i in range(0, len(left), 32):
-            like[i:i + 32] &= extents(left[i:i + 32], right, window, reach).sum(axis=0) + window >= min_words
+            like[i:i + 32] &= extents(left[i:i + 32, None], right[None], window, reach).sum(axis=0) + window >= min_words
         return like
 
     return compare
@@ -170,8 +195,11 @@ def windows_like(window: int, reach: int, min_words: int, least: float) -> _link
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS,
                      likeness: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, word, class, first_doc): windows, by their first word, that windows of other documents are like."""
-    reach = max(min_words - window, 0)
+    """(doc_id, word, class, first_doc, left, right): windows that windows of other documents are like.
+
+    A window is given by its first word and by how many words more agree on its left and right.
+    """
+    reach = max(min_words - window, gap - 1, 0)
     texts = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     windows = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, word int, keys array<long>")
@@ -184,19 +212,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_
     asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
     around = _linking.written(
         texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
-        .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary")
+        .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary, room_left int, room_right int")
         .withColumn("node", F.xxhash64("around")), "windows")
     # equal surroundings are one item
     nodes = (entries.join(around.select("doc_id", "word", "node"), ["doc_id", "word"])
              .groupBy("node").agg(F.collect_set("bucket").alias("keys")))
     sketches = nodes.select("node", F.lit(window).cast("long").alias("weight"), "keys")
-    classes = _linking.linked_classes(sketches, around.select("node", "around").dropDuplicates(["node"]),
-                                      windows_like(window, reach, min_words, likeness), block_rows=128)
-    placed = _linking.written(around.select("doc_id", "word", "node").distinct().join(classes, "node", "left")
-                              .select("doc_id", "word", F.coalesce("class", "node").alias("class")), "placed")
-    across = (placed.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"))
-              .where("first_doc < high").select("class", "first_doc"))
-    return placed.join(across, "class").select("doc_id", "word", "class", "first_doc")
+    holders = around.groupBy("node").agg(F.first("around").alias("around"), F.min("doc_id").alias("low"),
+                                         F.max("doc_id").alias("high"))
+    classes = _linking.linked_classes(sketches, holders, windows_like(window, reach, min_words, likeness),
+                                      block_rows=128, gauge=extents_of_links(window, reach))
+    placed = _linking.written(
+        around.select("doc_id", "word", "node", "room_left", "room_right").distinct()
+        .join(holders.select("node", "low", "high"), "node").join(classes, "node", "left")
+        .withColumn("class", F.coalesce("class", "node")), "placed")
+    across = (placed.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+              .where("first_doc < last_doc").select("class", "first_doc"))
+
+    def side(name: str) -> Column:
+        # documents with equal surroundings agree as far as the texts were looked at
+        kept = F.when(F.col("low") < F.col("high"), F.col(f"room_{name}")).otherwise(F.col(name))
+        gone = F.when(F.col("low") < F.col("doc_id"), F.col(f"room_{name}")).otherwise(F.col(f"{name}_before"))
+        return F.coalesce(F.when(F.col("doc_id") == F.col("first_doc"), kept).otherwise(gone), F.lit(0)).alias(name)
+
+    return placed.join(across, "class").select("doc_id", "word", "class", "first_doc", side("left"), side("right"))
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -205,10 +244,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, **options) -> DataF
     `keep` marks passages whose windows appear in no smaller doc_id; the others are what deduplication removes.
     """
     found = repeated_windows(docs, window, **options).withColumn("keep", F.col("doc_id") == F.col("first_doc"))
-    order = Window.partitionBy("doc_id", "keep").orderBy("word")
-    apart = F.coalesce(F.col("word") > F.lag("word").over(order) + window, F.lit(True))
-    runs = found.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    spans = found.withColumns({"begin": F.col("word") - F.col("left"), "end": F.col("word") + window + F.col("right")})
+    order = Window.partitionBy("doc_id", "keep").orderBy("begin", "word")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("begin") > reached, F.lit(True))
+    runs = spans.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("doc_id", "keep", "run").agg(
-        F.min("word").alias("first_word"), (F.max("word") - F.min("word") + window).alias("n_words"),
+        F.min("begin").alias("first_word"), (F.max("end") - F.min("begin")).alias("n_words"),
         F.min("class").alias("class_id"), F.min("first_doc").alias("first_doc")).select(
         "doc_id", "first_word", "n_words", "class_id", "first_doc", "keep")

@@ -185,6 +185,29 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_are_whole(spark):
+    """Spans against the longest common run of each pair of documents; a third document shares less than the second."""
+    own = lambda n, k: [f"o{n}_{i}" for i in range(k)]
+    texts, pairs = {}, []
+    for n, size in enumerate((51, 52, 60, 75, 100, 150, 400) * 3):
+        shared = [f"s{n}_{i}" for i in range(size)]
+        texts[2 * n], texts[2 * n + 1] = own(2 * n, n * 7) + shared + own(2 * n + 1, 90), own(-n, 40 + n) + shared
+        pairs.append((2 * n, 2 * n + 1))
+    # words 0 to 79 stand in 100 and 101, all 140 in 101 and 102: document 101 keeps those it does not share with 100
+    line = [f"t{i}" for i in range(140)]
+    texts |= {100: own(100, 30) + line[:80] + own(101, 60), 101: own(102, 5) + line, 102: own(103, 9) + line}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in passages.repeated_passages(frame).collect():
+        got[r.doc_id].append((r.first_word, r.n_words, r.keep))
+    for a, b in pairs:
+        place = {w: i for i, w in enumerate(texts[a])}
+        same = [(place[w], j) for j, w in enumerate(texts[b]) if w in place]
+        assert got[a] == [(same[0][0], len(same), True)] and got[b] == [(same[0][1], len(same), False)]
+    assert got[100] == [(30, 80, True)] and got[102] == [(9, 140, False)]
+    assert [x[:2] for x in got[101] if not x[2]] == [(5, 80)] and all(f + n == 145 for f, n, keep in got[101] if keep)
+
+
 def test_leaks(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:30])), (2, None), (3, "tiny"), (None, "")],
                                   "item_id long, text string")
