@@ -7,8 +7,9 @@ distance. The walk's first outputs depend on the first characters only, so the w
 word share one walk. Bit-sampling LSH takes the outputs at random steps as a key; this is repeated with other walks.
 
 Every word of every document begins a window, and so does every word of an item that has `LEAST_CHARS` characters after
-it; equal keys propose where the item would lie. One intact stretch of about twenty characters anywhere in the passage is
-enough. Each proposal is verified exactly: the smallest edit distance between the item and any piece of the text around
+it, so keys are spread over its whole length; equal keys propose where the item would lie. One intact stretch anywhere in
+the passage is enough: about twenty characters in the first of `SETTINGS`, less in the later ones. The first setting is taken
+that finds at least `recall` of a sample of the items after as many random edits as `max_edits` allows. Each proposal is verified exactly: the smallest edit distance between the item and any piece of the text around
 that place must not exceed `max_edits` of the item's length.
 
 Items go to the tasks in blocks of at most `BLOCK_CHARS` characters, and documents are read once per block, so nothing
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from storyframe.llm import _text as T
 
 STEPS, SAMPLED, REPEATS = 40, 24, 2
+# Steps, sampled steps and repeats, by rising recall and cost.
+SETTINGS = ((STEPS, SAMPLED, REPEATS), (32, 20, 4), (28, 18, 4), (24, 16, 4), (20, 14, 4))
+RECALL, RECALL_ITEMS = 0.9, 200
 LEAST_CHARS = 24
 MAX_EDITS = 0.2
 BLOCK_CHARS = 4_000_000
@@ -196,6 +200,39 @@ def _verified(items: Items, column: pa.Array, max_edits: float):
     return rows, which, starts, ends, edits
 
 
+def edited(text: str, edits: int, random: np.random.Generator) -> str:
+    """`text` after random inserts, deletions and substitutions of single characters."""
+    chars = list(text)
+    for kind, place, char in zip(random.integers(0, 3, edits), random.random(edits), random.integers(96, 123, edits),
+                                 strict=True):
+        at = int(place * len(chars))
+        chars[at:at + (kind > 0)] = [] if kind == 1 else [chr(char) if char > 96 else " "]
+    return "".join(chars)
+
+
+def measured_recall(items: Items, max_edits: float) -> float:
+    """Share of a sample of items that are found after `max_edits` of their length in random edits."""
+    long = [i for i, t in enumerate(items.texts) if len(t) >= LEAST_CHARS]
+    sample = long[::-(-len(long) // RECALL_ITEMS) or 1]
+    random = np.random.default_rng(5)
+    column = pa.array([edited(items.texts[i], int(max_edits * len(items.texts[i])), random) for i in sample], pa.string())
+    rows, which, *_ = _verified(items, column, max_edits)
+    return sum(sample[row] == i for row, i in zip(rows, which, strict=True)) / len(sample) if sample else 1.0
+
+
+def tuned(ids: list, texts: pa.Array, max_edits: float, recall: float) -> Items:
+    """The items under the cheapest setting that meets `recall`, or else under the one that finds most."""
+    best, most = None, -1.0
+    for setting in SETTINGS:
+        items = Items(ids, texts, Walks(*setting))
+        share = measured_recall(items, max_edits)
+        if share > most:
+            best, most = items, share
+        if share >= recall:
+            break
+    return best
+
+
 def _regions(spots: list[int]) -> Iterator[tuple[int, int]]:
     low = high = spots[0]
     for spot in spots[1:]:
@@ -206,7 +243,7 @@ def _regions(spots: list[int]) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator:
+def _blocks(benchmark: DataFrame, block_chars: int, max_edits: float, recall: float) -> Iterator:
     """Broadcasts of the items, a bounded number of characters each."""
     kind = _id_kind(benchmark)
     items = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -215,7 +252,8 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator:
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         texts = pa.concat_arrays(part["text"].chunks) if part.num_rows else pa.array([], pa.string())
-        yield benchmark.sparkSession.sparkContext.broadcast(Items(part["item_id"].to_pylist(), texts, Walks()))
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            tuned(part["item_id"].to_pylist(), texts, max_edits, recall))
 
 
 def _id_kind(benchmark: DataFrame) -> str:
@@ -223,21 +261,21 @@ def _id_kind(benchmark: DataFrame) -> str:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
-                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  block_chars: int = BLOCK_CHARS, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the best match of each item in each document that holds it.
 
     start and end are code points of the folded text. `benchmark` has item_id and text.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"doc_id long, item_id {_id_kind(benchmark)}, {_FOUND}"
-    found = [slim.mapInArrow(_search(shared, max_edits), schema) for shared in _blocks(benchmark, block_chars)]
+    found = [slim.mapInArrow(_search(shared, max_edits), schema) for shared in _blocks(benchmark, block_chars, max_edits, recall)]
     return reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
-          block_chars: int = BLOCK_CHARS) -> DataFrame:
+          block_chars: int = BLOCK_CHARS, recall: float = RECALL) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage; each row is judged where it lies."""
-    for shared in _blocks(benchmark, block_chars):
+    for shared in _blocks(benchmark, block_chars, max_edits, recall):
         docs = docs.where(~_holder(shared, max_edits)(F.coalesce("text", F.lit(""))))
     return docs
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -220,6 +221,22 @@ def test_leaks(spark, docs, empty):
     assert decontam.find_passages(docs, bench.limit(0)).count() == 0 and decontam.clean(empty, bench).count() == 0
 
 
+def test_leaks_are_found_up_to_the_edits_allowed(spark):
+    draw = random.Random(8)
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").where("length(text) >= 24")
+    items = {r.item_id: r.text for r in bench.collect()}
+    rows = []
+    for i, (item, text) in enumerate(sorted(items.items()) * 3):
+        folded = list(re.sub(r"\s+", " ", text.lower()).strip())
+        for _ in range(len(folded) // 5):
+            at, kind = draw.randrange(len(folded)), draw.randrange(3)
+            folded[at:at + (kind > 0)] = [] if kind == 1 else [draw.choice("abcdefghijklmnopqrstuvwxyz ")]
+        rows.append((i, item, "some words before it " + "".join(folded) + " and some more behind"))
+    frame = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_passages(frame, bench).collect()}
+    assert sum((i, item) in found for i, item, _ in rows) >= 0.9 * len(rows)
+
+
 def test_fingerprints(docs, empty, spark):
     got = editprint.neighbour_report(docs.repartition(3)).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
