@@ -26,7 +26,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest doc_id."""
-    return neardup.kept(docs, neardup.near_duplicates(docs))
+    return neardup.kept(docs, neardup.near_duplicates(docs, light=True))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

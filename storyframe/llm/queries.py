@@ -38,7 +38,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), light=True)
     return found.select("doc_id", "class_id", "class_size", "keep")
 
 

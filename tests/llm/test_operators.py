@@ -92,6 +92,19 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_short_texts_are_near_duplicates_in_query_and_pipeline(spark, tmp_path):
+    """Classes of equal and, at a lower likeness, of nearly equal light bags; texts without words stay apart."""
+    rows = [(1, "Page not found"), (2, "page  NOT\nfound"), (3, "page not there"), (4, "a b c d e f g"), (5, "A b c d e f\tg"),
+            (6, "a b c d e f"), (7, ""), (8, " "), (9, None), (10, "x"), (11, "X ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.REGISTRY["op3_near_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 7, 10: 10, 11: 10}
+    assert corpus_pipeline.drop_near_copies(spark, frame, "").count() == 7
+    loose = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, likeness=0.65, light=True).collect()}
+    assert loose[6] == 4 and loose[3] == 3
+
+
 def test_near_duplicates_in_blocks(spark):
     """A large group with chains: every block and the second pass are needed."""
     texts = []
