@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyframe.llm import decontam, editprint, hmm, linededup, mixing, neardup, passages, tokencount, toxicity, urlfilter
-from storyframe.llm import whitening
+from storyframe.llm import negatives, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -84,3 +84,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whitened(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
