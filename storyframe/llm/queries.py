@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyframe.llm import decontam, editprint, hmm, linededup, mixing, neardup, passages, tokencount, toxicity, urlfilter
-from storyframe.llm import negatives, whitening
+from storyframe.llm import negatives, quality, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -80,6 +80,13 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.report(table(spark, sf_dir, "documents"), labels, held_out)
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whitened(table(spark, sf_dir, "embeddings"))
