@@ -78,6 +78,27 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], columns: di
     return joined.withColumns(picked).select(*df.columns, *columns)
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], amount: str, out: str,
+                  at_most: int | None = None) -> DataFrame:
+    """Add `out`, the sum of `amount` over the rows before each row in its group; 0 for the first."""
+    if _fits(df, group, at_most):
+        return df.withColumn(out, _sum_before(amount, _window(group, order)))
+    sliced = _sliced(df, group, order)
+    # Only a group that began in an earlier slice has an offset: at most one per slice.
+    offsets = (
+        sliced.groupBy(*group, SLICE).agg(F.sum(amount).alias("__n"))
+        .withColumn("__offset", _sum_before("__n", _window(group, [SLICE])))
+        .filter("__offset <> 0").drop("__n")
+    )
+    local = sliced.withColumn(out, _sum_before(amount, _window([*group, SLICE], order)))
+    joined = _join_small(local, offsets, [*group, SLICE])
+    return joined.withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).select(*df.columns, out)
+
+
+def _sum_before(amount: str, window) -> Column:
+    return F.coalesce(F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
              left_at_most: int | None = None, right_at_most: int | None = None) -> DataFrame:
     """Equi-join that salts hot keys.

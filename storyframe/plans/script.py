@@ -1,14 +1,14 @@
 """Structured scripts of all projects in one job.
 
-A script is kept as parts, each a JSON text of bounded size: one per project for its metadata, one or more per
-chapter and scene, and rows for the timeline. Projects whose parts stay below a size are also given as one nested
-document.
+A script is kept as parts, each a JSON text of its own: one per project for its metadata, one or more per chapter and
+scene, and rows for the timeline. The nested document of a project is given in fragments of bounded size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,13 @@ from storyframe.operators import children as C
 from storyframe.operators import regions as R
 from storyframe.operators import rollup
 from storyframe.operators import timeline as N
-from storyframe.operators.skew import join_hot, largest_group
+from storyframe.operators.skew import join_hot, largest_group, running_total, with_previous
 from storyframe.session import cut_lineage
 from storyframe.sources import annotations as A
 from storyframe.sources import subtitles as S
 
-# Documents above this many characters stay in parts.
-DOCUMENT_CHARS = 64 * 1024 * 1024
+# Bytes of a fragment of a document, at most.
+FRAGMENT_BYTES = 1 << 20
 # Child lists of a scene, in the order of the document.
 CHILD_LISTS = {
     "dialogue": "dialogues",
@@ -126,6 +126,18 @@ def mark_children(highlights: DataFrame, cues: DataFrame) -> DataFrame:
 
 def scene_body(lists: list[tuple[str, Column]]) -> Column:
     """JSON of a scene with its child lists."""
+    return F.concat(scene_head(), F.lit(","), _pairs(lists), F.lit(","), scene_tail())
+
+
+def scene_head() -> Column:
+    """JSON of a scene up to its lists."""
+    return F.concat(F.lit("{"), _pairs([
+        ("id", F.col("scene_id").cast("string")), ("name", _text("name")), ("textual", _text("textual")),
+        ("chapter_id", F.col("chapter_id").cast("string"))]))
+
+
+def scene_tail() -> Column:
+    """JSON of a scene behind its lists."""
     told = ["inferred_location", "character_dynamics", "mood_and_atmosphere", "scene_content_type"]
     others = F.transform("branch.intersection_with", lambda x: F.coalesce(L.flat_json(x), F.lit("null")))
     branch = _object([("id", _flat("branch.id")), ("type", _text("branch.type")),
@@ -143,10 +155,7 @@ def scene_body(lists: list[tuple[str, Column]]) -> Column:
     recalled = _object([("type", _text("information_marker.type"))])
     nothing = F.lit("")
     return F.concat(
-        F.lit("{"),
-        _pairs([("id", F.col("scene_id").cast("string")), ("name", _text("name")), ("textual", _text("textual")),
-                ("chapter_id", F.col("chapter_id").cast("string")), *lists, *[(c, _text(c)) for c in told],
-                ("branch", branch)]),
+        _pairs([*[(c, _text(c)) for c in told], ("branch", branch)]),
         F.when(kind.isNotNull(), F.concat(F.lit(',"timeline_marker":'), marker)).otherwise(nothing),
         F.when(F.col("information_marker").isNotNull(), F.concat(F.lit(',"information_marker":'), recalled))
         .otherwise(nothing),
@@ -196,49 +205,108 @@ def parts(script: Script, size: int = C.PART_ROWS) -> DataFrame:
     )
 
 
-def documents(pieces: DataFrame, max_chars: int = DOCUMENT_CHARS) -> DataFrame:
-    """`project_id, document`: the nested script of every project whose `parts` stay below `max_chars`.
+def document_pieces(script: Script) -> DataFrame:
+    """Every document as short texts: `project_id, section, k1, k2, k3, opens, text`, ordered by section, k1, k2 and k3.
+
+    Pieces that `opens` marks follow a comma unless they are the first of their section.
+    """
 
-    `pieces` is read several times and should be a written table. The text of a project is measured before any of
-    it is gathered. Projects that are larger, or whose scenes or
-    chapters take several parts, have a null document and are read from their parts.
+    def rows(df: DataFrame, section: int | Column, text: Column, k1: Column | None = None, k2: int | Column = 0,
+             k3: Column | None = None, opens: bool | Column = False) -> DataFrame:
+        def column(value) -> Column:
+            return value if isinstance(value, Column) else F.lit(value)
+
+        return df.select(
+            F.col("project_id").cast("string").alias("project_id"), column(section).cast("int").alias("section"),
+            column(0 if k1 is None else k1).cast("long").alias("k1"), column(k2).cast("int").alias("k2"),
+            column(0 if k3 is None else k3).cast("long").alias("k3"), column(opens).alias("opens"), text.alias("text"))
+
+    chapter, first_part = F.col("chapter_id"), F.col("part") == 0
+    ids = F.array_join(F.transform("scene_ids", lambda x: x.cast("string")), ",")
+    begun = F.concat(_key(chapter), chapter_head(), ids)
+    chapters = [
+        rows(script.chapters, 1, F.when(first_part, begun).otherwise(F.concat(F.lit(","), ids)), chapter,
+             k3=F.col("part"), opens=first_part),
+        rows(script.chapters.filter(first_part), 1, F.lit("]}"), chapter, 1)]
+
+    # A scene is told in five texts with its four lists between them.
+    starts = [F.lit(f'{"]," if i else ","}"{name}":[') for i, name in enumerate(CHILD_LISTS.values())]
+    texts = [F.concat(_key(F.col("scene_id")), scene_head(), starts[0]), *starts[1:],
+             F.concat(F.lit("],"), scene_tail())]
+    told = script.scenes.select("project_id", "scene_id", F.posexplode(F.array(*texts)).alias("place", "text"))
+    place = F.create_map(*[F.lit(x) for i, kind in enumerate(CHILD_LISTS) for x in (kind, 2 * i + 1)])
+    scenes = [
+        rows(told, 3, F.col("text"), F.col("scene_id"), 2 * F.col("place"), opens=F.col("place") == 0),
+        rows(script.children, 3, F.concat(_comma(F.col("ordinal") > 1), F.col("body")), F.col("scene_id"),
+             place[F.col("kind")], F.col("ordinal"))]
+
+    linear, branch = F.col("is_linear"), F.col("first_scene")
+    named = script.branches.select("project_id", "branch", "first_scene", "is_linear")
+    placed = join_hot(script.timeline, named, ["project_id", "branch"], right_at_most=1)
+    number = F.col("narrative_index")
+    entry = F.concat(_comma(number > 1), _key(F.col("scene_id")), F.lit('{"narrative_index":'), number.cast("string"),
+                     F.lit("}"))
+    several = named.filter(~linear)
+    opened = F.concat(T.json_text(F.col("branch")), F.lit(':{"sequence":{'))
+    branches = [rows(placed, 5, entry, branch, 1, number), rows(several, 5, opened, branch, opens=True),
+                rows(several, 5, F.lit("}}"), branch, 2)]
+
+    kinds = named.groupBy("project_id").agg(F.bool_and("is_linear").alias("is_linear"))
+    meetings = join_hot(script.intersections, kinds.filter(~linear), ["project_id"], "left_semi")
+    met = _object([("scene_id", F.col("scene_id").cast("string")), ("branches", F.col("branches"))])
+    frame = {
+        2: F.lit('},"scenes":{'),
+        4: F.when(linear, '},"narrative_timeline":{"type":"linear","sequence":{')
+        .otherwise('},"narrative_timeline":{"type":"multi_branch","branches":{'),
+        6: F.when(linear, "}}}").otherwise('},"intersections":['),
+        8: F.when(linear, "").otherwise("]}}")}
+    between = kinds.select("project_id", F.inline(F.array(
+        *[F.struct(F.lit(k).alias("section"), text.alias("text")) for k, text in frame.items()])))
+    head = F.concat(F.lit('{"project_metadata":'), metadata_body(), F.lit(',"chapters":{'))
+    return reduce(DataFrame.unionByName, [
+        rows(script.totals, 0, head), *chapters, *scenes, *branches,
+        rows(meetings, 7, met, F.col("scene_id"), opens=True), rows(between, F.col("section"), F.col("text"))])
+
+
+def documents(script: Script, max_bytes: int = FRAGMENT_BYTES) -> DataFrame:
+    """`project_id, position, text`: the nested script of every project in fragments of at most `max_bytes` bytes.
+
+    The texts of a project, one after the other by position from 0, are its document. Each piece is placed by the bytes
+    before it, which are summed over slices where a project is large, and cut where a fragment ends, between two
+    characters; so no project, chapter, scene or text has to fit in a row. `max_bytes` must be 8 or more.
     """
-    section = F.col("section")
-    split = section.isin("chapter", "scene") & (F.col("part") > 0)
-    sizes = pieces.groupBy("project_id").agg(
-        (F.bool_or(split) | (F.sum(F.length("body")) > max_chars)).alias("large"))
-    fitting = join_hot(pieces, sizes.filter("NOT large").select("project_id"), ["project_id"], "left_semi")
-
-    entry = F.concat(F.lit('"'), F.get_json_object("body", "$.scene_id"), F.lit('":{"narrative_index":'),
-                     F.col("part").cast("string"), F.lit("}"))
-    in_order = F.array_sort(F.collect_list(F.struct("part", entry.alias("entry"))))
-    sequences = fitting.filter("section = 'timeline'").groupBy("project_id", "item").agg(
-        _braced(F.transform(in_order, lambda x: x["entry"])).alias("sequence"))
-    listed = fitting.filter("section = 'branch'").join(sequences, ["project_id", "item"], "left")
-    timelines = listed.groupBy("project_id").agg(
-        F.first(F.get_json_object("body", "$.type")).alias("type"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("part"), F.col("item"), F.coalesce("sequence", F.lit("{}")).alias("sequence")))).alias("branches"))
-
-    def gathered(name: str) -> Column:
-        item = F.when(section == name, F.struct(F.col("item").try_cast("bigint").alias("id"), F.col("body")))
-        return F.array_sort(F.collect_list(item))
-
-    whole = fitting.groupBy("project_id").agg(
-        F.max(F.when(section == "project_metadata", F.col("body"))).alias("metadata"),
-        gathered("chapter").alias("chapters"), gathered("scene").alias("scenes"),
-        gathered("intersection").alias("meetings"))
-    by_id = {c: _braced(F.transform(c, lambda x: F.concat(
-        F.lit('"'), x["id"].cast("string"), F.lit('":'), x["body"]))) for c in ("chapters", "scenes")}
-    by_branch = _braced(F.transform("branches", lambda b: F.concat(
-        T.json_text(b["item"]), F.lit(':{"sequence":'), b["sequence"], F.lit("}"))))
-    meetings = _array(F.transform("meetings", lambda m: m["body"]))
-    order = F.when(F.col("type") == "linear", _object([
-        ("type", _text("type")), ("sequence", F.get("branches", F.lit(0))["sequence"])])
-    ).otherwise(_object([("type", _text("type")), ("branches", by_branch), ("intersections", meetings)]))
-    document = _object([("project_metadata", F.col("metadata")), *by_id.items(), ("narrative_timeline", order)])
-    built = whole.join(timelines, "project_id").select("project_id", document.alias("document"))
-    return sizes.select("project_id").join(built, "project_id", "left")
+    if max_bytes < 8:
+        raise ValueError("a fragment needs eight bytes or more")
+    group, order = ["project_id"], ["section", "k1", "k2", "k3"]
+    pieces = document_pieces(script)
+    linked = with_previous(pieces, group, order, {"before": "section"})
+    follows = F.col("opens") & F.coalesce(F.col("before") == F.col("section"), F.lit(False))
+    texts = linked.withColumn("text", F.concat(_comma(follows), F.col("text"))).filter("text <> ''").select(
+        *group, *order, "text", F.octet_length("text").alias("size"))
+    located = running_total(texts, group, order, "size", "at")
+    # A character belongs to the fragment in which it begins, so up to three bytes of it lie beyond.
+    step = max_bytes - 3
+    ends = F.col("at") + F.col("size")
+    spread = located.select(*group, "text", "size", "at", F.explode(F.sequence(
+        F.floor(F.col("at") / step), F.floor((ends - 1) / step))).alias("position"))
+    data = F.encode("text", "UTF-8")
+
+    def cut(offset: Column) -> Column:
+        """`offset` into the piece, moved on to where a character begins."""
+        def inside(k: int) -> Column:
+            return F.substring(data, offset.cast("int") + 1 + k, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+
+        moved = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+        return F.when(offset <= 0, 0).when(offset >= F.col("size"), F.col("size")).otherwise(offset + moved)
+
+    begin = F.col("position") * step - F.col("at")
+    whole = (begin <= 0) & (begin + step >= F.col("size"))
+    start, end = cut(begin), cut(begin + step)
+    part = F.decode(F.substring(data, start.cast("int") + 1, (end - start).cast("int")), "UTF-8")
+    parts = spread.select(*group, "position", "at", F.when(whole, F.col("text")).otherwise(part).alias("text"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return parts.groupBy(*group, "position").agg(
+        F.array_join(F.transform(in_order, lambda x: x["text"]), "").alias("text"))
 
 
 def metadata_body() -> Column:
@@ -251,9 +319,13 @@ def metadata_body() -> Column:
 
 def chapter_body() -> Column:
     ids = F.transform("scene_ids", lambda x: x.cast("string"))
-    return _object([
-        ("id", F.col("chapter_id").cast("string")), ("name", _text("name")), ("textual", _text("textual")),
-        ("source_file", _text("source_file")), ("scene_ids", _array(ids))])
+    return F.concat(chapter_head(), F.array_join(ids, ","), F.lit("]}"))
+
+
+def chapter_head() -> Column:
+    """JSON of a chapter up to its first scene id."""
+    told = [("id", F.col("chapter_id").cast("string")), *[(c, _text(c)) for c in ("name", "textual", "source_file")]]
+    return F.concat(F.lit("{"), _pairs(told), F.lit(',"scene_ids":['))
 
 
 def branches_json() -> Column:
@@ -279,8 +351,12 @@ def _array(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def _braced(members: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+def _key(id_: Column) -> Column:
+    return F.concat(F.lit('"'), id_.cast("string"), F.lit('":'))
+
+
+def _comma(when: Column) -> Column:
+    return F.when(when, ",").otherwise("")
 
 
 def _pairs(fields: list[tuple[str, Column]]) -> Column:

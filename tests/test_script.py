@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from storyframe import schemas
+from storyframe.functions.labels import FLAT
 from storyframe.operators import regions as R
 from storyframe.operators import timeline as N
 from storyframe.plans import rejects, script
@@ -98,9 +100,19 @@ def built(spark, folder, **options):
     return script.build(tasks, lines, "2024-06-01 12:00:00", **options)
 
 
-def documents(spark, folder, **options):
-    rows = script.documents(cut_lineage(script.parts(built(spark, folder, **options)))).collect()
-    return {r["project_id"]: json.loads(r["document"]) for r in rows}
+def joined(fragments, max_bytes):
+    """Documents by project; fragments are within the bound and numbered from 0."""
+    texts = {}
+    for r in sorted(fragments.collect(), key=lambda r: (r["project_id"], r["position"])):
+        assert 0 < len(r["text"].encode()) <= max_bytes
+        own = texts.setdefault(r["project_id"], [])
+        assert r["position"] == len(own)
+        own.append(r["text"])
+    return {project: json.loads("".join(own)) for project, own in texts.items()}
+
+
+def documents(spark, folder, max_bytes=500, **options):
+    return joined(script.documents(built(spark, folder, **options), max_bytes), max_bytes)
 
 
 @pytest.fixture(scope="module")
@@ -176,18 +188,53 @@ def test_parts_split_large_scenes(spark, folder):
     assert set(bodies) == {("1", 0), ("1", 1), ("2", 0), ("3", 0), ("3", 1), ("4", 0)}
     assert [c["value"] for c in bodies["1", 0]["narrative_cues"] + bodies["1", 1]["narrative_cues"]] == ["k1", "ring"]
     assert "name" not in bodies["1", 1]
-    # Such projects have no single document, and a chapter of two scenes is split as well.
-    assert {r["document"] for r in script.documents(pieces).collect()} == {None}
+    assert bodies["1", 0]["highlights"] and not bodies["1", 1]["highlights"]
 
 
-def test_documents_leave_large_projects_in_parts(parts):
-    assert {r["document"] for r in script.documents(parts, max_chars=100).collect()} == {None}
+def test_fragments_of_any_size_are_one_document(spark, folder, sizes):
+    made = built(spark, folder)
+    whole = joined(script.documents(made, 1 << 20), 1 << 20)
+    assert set(whole) == {"demo", "twin +1%20"} and joined(script.documents(made, 11), 11) == whole
+    with pytest.raises(ValueError):
+        script.documents(made, 7)
+
+
+def test_documents_of_large_scenes_and_chapters(spark):
+    """A scene with 1,001 children of a kind, a chapter of 1,001 scenes, and texts of up to four bytes a character."""
+    scenes = spark.range(1, 1002).selectExpr(
+        "'p' AS project_id", "cast(1 AS bigint) AS chapter_id", "id AS scene_id", "id * 10.0D AS start_seconds",
+        "id * 10.0D + 5 AS end_seconds")
+    scenes = cut_lineage(scenes.withColumns({a: F.lit(None).cast(FLAT) for a in schemas.FLAT_ATTRIBUTES}).select(
+        "project_id", "chapter_id", "scene_id", "start_seconds", "end_seconds", *R.scene_columns()))
+    text = F.concat(F.lit("aé€😀"), F.col("id").cast("string"))
+    events = spark.range(1001).select(
+        F.lit("p").alias("project_id"), F.lit(1).cast("long").alias("chapter_id"), F.lit("dialogue").alias("kind"),
+        F.col("id").alias("line_no"), F.lit(10.5).alias("start_seconds"), F.lit(11.0).alias("end_seconds"),
+        F.lit("Bo").alias("speaker"), text.alias("content"))
+    marks = events.select("project_id", "chapter_id", "start_seconds", "end_seconds", F.col("line_no").alias("inner_id"),
+                          F.col("line_no").alias("task_pos"), F.col("line_no").alias("first_pos")).limit(0)
+    highlights = marks.withColumns({c: F.lit(None).cast(FLAT) for c in ("id", "type", "description", "mood")})
+    cues = marks.withColumns({"cue_no": F.lit(0), "type": F.lit("x"), "value": F.lit("x")})
+    got = joined(script.documents(script.assemble(scenes, events, highlights, cues, "2024-06-01 12:00:00"), 999), 999)["p"]
+    assert got["chapters"]["1"]["scene_ids"] == list(range(1, 1002)) and len(got["scenes"]) == 1001
+    assert [d["content"] for d in got["scenes"]["1"]["dialogues"]] == [f"aé€😀{i}" for i in range(1001)]
+    assert got["narrative_timeline"]["sequence"]["1001"] == {"narrative_index": 1001}
+
+
+def test_written_documents_are_read_back(spark, folder, tmp_path):
+    fragments = cut_lineage(script.documents(built(spark, folder), 200))
+    sinks.write_documents(fragments, str(tmp_path / "d"), folders=4)
+    back = sinks.read_documents(spark, str(tmp_path / "d"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, fragments.collect()))
+    one = sinks.read_documents(spark, str(tmp_path / "d"), "demo", folders=4)
+    assert joined(one, 200) == {"demo": joined(fragments, 200)["demo"]}
+    assert len(one.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(folder" in one._jdf.queryExecution().toString()
 
 
 def test_written_parts_are_json_lines(spark, parts, tmp_path):
     sinks.write_script_parts(parts, str(tmp_path / "out"))
-    rows = spark.read.text(str(tmp_path / "out")).filter("project_id = 'demo'").collect()
-    lines = [json.loads(r["value"]) for r in rows]
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    lines = [x for x in lines if x["project_id"] == "demo"]
     assert {x["section"] for x in lines} == {"project_metadata", "chapter", "scene", "branch", "timeline"}
     assert sorted(x["item"] for x in lines if x["section"] == "scene") == ["1", "2", "3", "4"]
 

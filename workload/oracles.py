@@ -496,14 +496,16 @@ lists AS (
 trees AS (
   SELECT b.project_id, any_value(type) AS type, any_value(l.entries) AS only_list,
     string_agg(concat('"', b.item, '":{{"sequence":{{', l.entries, '}}}}'), ',' ORDER BY first_scene) AS branches
-  FROM branches b LEFT JOIN lists l ON l.project_id = b.project_id AND l.item = b.item GROUP BY b.project_id)
-SELECT cast(m.project_id AS varchar) AS project_id,
+  FROM branches b LEFT JOIN lists l ON l.project_id = b.project_id AND l.item = b.item GROUP BY b.project_id),
+whole AS (SELECT cast(m.project_id AS varchar) AS project_id,
   concat('{{"project_metadata":', metadata, ',"chapters":{{', chapters, '}},"scenes":{{', scenes,
     '}},"narrative_timeline":', CASE WHEN type = 'linear'
       THEN concat('{{"type":"linear","sequence":{{', only_list, '}}}}')
       ELSE concat('{{"type":"multi_branch","branches":{{', branches, '}},"intersections":[', meetings, ']}}') END,
     '}}') AS document
-FROM maps m JOIN trees t ON t.project_id = m.project_id""",
+FROM maps m JOIN trees t ON t.project_id = m.project_id)
+SELECT project_id, position, substr(document, 1 + 2000 * position, 2000) AS text
+FROM (SELECT *, unnest(range((length(document) + 1999) // 2000)) AS position FROM whole)""",
     "blueprint_scenes": f"""
 WITH {ASSETS},
 tasks AS (
@@ -623,5 +625,9 @@ FROM before GROUP BY asset_id""",
 WITH {LOG}
 SELECT asset_id, ts, seq, source_video FROM before WHERE source_video <> previous_video AND source_video <> ''""",
 }
+ORACLES["document_files"] = ORACLES["script_documents"]
+ORACLES["manifest_files"] = f"""
+SELECT cast(asset_id AS varchar) AS asset_id, cast(media_id AS varchar) AS media_id, payload
+FROM ({ORACLES["task_manifest"]})"""
 ORACLES["status_stream"] = ORACLES["status_changes"]
 ORACLES["trigger_stream"] = ORACLES["trigger_batch"]

@@ -31,6 +31,8 @@ from workload import inputs as I
 Query = Callable[[SparkSession, str], DataFrame]
 # Generation time of the scripts, fixed so that results can be compared.
 GENERATED = "2024-06-01 12:00:00+00:00"
+# Bytes of a fragment of a document.
+FRAGMENT_BYTES = 2003
 REGISTRY: dict[str, Query] = {}
 
 
@@ -332,7 +334,16 @@ def script_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.documents(cut_lineage(script.parts(_script(spark, sf_dir))))
+    """Every script as one nested document, in fragments small enough that each takes several."""
+    return script.documents(_script(spark, sf_dir), FRAGMENT_BYTES)
+
+
+@query
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments of every script, read back from the files they were written to."""
+    path = scratch_path(spark, "documents")
+    sinks.write_documents(script_documents(spark, sf_dir), path)
+    return sinks.read_documents(spark, path)
 
 
 def _blueprint(spark: SparkSession, sf_dir: str) -> blueprint.Blueprint:
@@ -409,6 +420,14 @@ def task_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.task_manifest(I.assets(spark, sf_dir))
 
 
+@query
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelling tasks of all episodes, read back from the files they were written to."""
+    path = scratch_path(spark, "manifest")
+    sinks.write_manifest(sinks.task_manifest(I.assets(spark, sf_dir)), path)
+    return sinks.read_manifest(spark, path)
+
+
 @query
 def media_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.media_listing(I.media(spark, sf_dir)).select("media_id", "title", "position")
