@@ -18,12 +18,15 @@ def plan(files: DataFrame, existing: DataFrame, config: K.LinkConfig = K.LinkCon
 
     Videos are taken by suffix, then by name. Those with one sequence number share an episode: an existing one
     keeps its id and title, a new one is titled after the first video, and the links come from the last.
-    `existing` has `media_id, sequence_number, asset_id, title`.
+    `existing` has `media_id, sequence_number, asset_id, title`. A listing that grew may also tell the `turn` in which each
+    file came, the first of which gives the title, and whether it is `fresh`; an episode is created if all its videos are.
     """
+    if "turn" not in files.columns:
+        files = files.withColumns({"turn": F.lit(0), "fresh": F.lit(True)})
     paired = join_hot(U.videos(files), U.subtitles(files), ["media_id", "stem"], "left")
     turn = F.struct("ext_rank", "name")
     wanted = paired.groupBy(*ASSET_KEY).agg(
-        F.min_by("stem", turn).alias("first_stem"),
+        F.min_by("stem", F.struct("turn", "ext_rank", "name")).alias("first_stem"), F.bool_and("fresh").alias("fresh"),
         F.max_by(F.struct("srt_name"), turn)["srt_name"].alias("srt_name"),
         F.count(F.lit(1)).alias("n_videos"),
     )
@@ -33,7 +36,7 @@ def plan(files: DataFrame, existing: DataFrame, config: K.LinkConfig = K.LinkCon
         "asset_id", F.coalesce("known_id", T.stable_uuid(F.col("media_id"), F.col("sequence_number"))))
     return merged.select(
         *ASSET_KEY, "asset_id", F.coalesce("known_title", "first_stem").alias("title"),
-        F.col("known_id").isNull().alias("created"), "n_videos",
+        (F.col("known_id").isNull() & F.col("fresh")).alias("created"), "n_videos",
         K.video_url(F.col("asset_id"), config).alias("processed_video_url"),
         K.subtitle_url(F.col("asset_id"), F.col("srt_name"), config).alias("source_subtitle_url"),
         F.lit("completed").alias("processing_status"),
@@ -45,6 +48,20 @@ def duplicate_assets(existing: DataFrame) -> DataFrame:
     return existing.groupBy(*ASSET_KEY).agg(F.count(F.lit(1)).alias("n_assets")).filter("n_assets > 1")
 
 
+def run_states(folders: DataFrame, planned: DataFrame) -> DataFrame:
+    """`media_id, sequence_number, step, status`: every state that an ingest run goes through, in order of `step`.
+
+    `folders` is a listing with a row without name per work, `planned` has the episodes. A work is ingesting, then completed, or
+    failed if it has no folder; its episodes are processing, then completed. Rows of works have no sequence number.
+    """
+    works = folders.filter("name IS NULL").select(
+        "media_id", F.lit(None).cast("bigint").alias("sequence_number"), F.posexplode(F.array(
+            F.lit("ingesting"), F.when(F.col("found"), "completed").otherwise("failed"))).alias("step", "status"))
+    episodes = planned.select("media_id", F.col("sequence_number").cast("bigint").alias("sequence_number"), F.posexplode(
+        F.array(F.lit("processing"), F.lit("completed"))).alias("step", "status"))
+    return works.unionByName(episodes)
+
+
 def media_status(media: DataFrame, folders: DataFrame) -> DataFrame:
     """New ingestion state of each work: failed if it has no upload folder, of which `folders` lists the ids."""
     found = folders.select("media_id").distinct().withColumn("found", F.lit(True))

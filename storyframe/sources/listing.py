@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +17,58 @@ LISTED = "*.{mp4,mov,srt}"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with its scheme, as Spark writes the paths of files."""
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString().rstrip("/")
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, and the path in it."""
+    return fs.FileSystem.from_uri("/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+
+
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files of `<path>/<media_id>/`; their contents are not read."""
+    """Files of `<path>/<media_id>/`, none of deeper folders; their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", LISTED).option("recursiveFileLookup", True)
-    return listing(files.load(path).select("path", "length", "modificationTime"))
+    return listing(files.load(path).select("path", "length", "modificationTime"), qualified(spark, path))
+
+
+def listing(files: DataFrame, root: str) -> DataFrame:
+    """`media_id` and `name` of the files whose path is `<root>/<media_id>/<name>`."""
+    below = F.substring("path", len(root) + 2, 2**31 - 1)
+    inside = F.startswith("path", F.lit(f"{root}/")) & below.rlike("^[^/]+/[^/]+$")
+    return files.filter(inside).withColumns({
+        "media_id": F.regexp_extract(below, "^([^/]+)/", 1), "name": T.file_name(F.col("path"))})
+
+
+def list_folders(works: DataFrame, path: str) -> DataFrame:
+    """`media_id, found, name, length`: a row per file of each work's folder `<path>/<media_id>`, and one per folder.
+
+    The row of a folder has no name; `found` tells whether it is there. Each task lists the folders of its works, so no list of
+    all folders or files is ever in one place. Folders within a folder are not entered, and any file name counts.
+    """
+    root = qualified(works.sparkSession, path)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        for batch in batches:
+            rows: list[tuple] = []
+            for media_id in batch.column(0).to_pylist():
+                folder = f"{base}/{media_id}"
+                found = system.get_file_info(folder).type == fs.FileType.Directory
+                rows.append((media_id, found, None, None))
+                if found:
+                    rows += [(media_id, True, info.base_name, info.size) for info in system.get_file_info(
+                        fs.FileSelector(folder)) if info.type == fs.FileType.File]
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            types = (pa.string(), pa.bool_(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                             ["media_id", "found", "name", "length"])
 
-def listing(files: DataFrame) -> DataFrame:
-    """`media_id` and `name` from the paths of files."""
-    return files.withColumns({
-        "media_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1),
-        "name": T.file_name(F.col("path")),
-    })
+    ids = works.select(F.col("media_id").cast("string").alias("media_id")).distinct()
+    return ids.mapInArrow(run, "media_id string, found boolean, name string, length bigint")
 
 
 def videos(files: DataFrame) -> DataFrame:

@@ -1,72 +1,90 @@
 """Ingestion of files as they arrive.
 
-Each micro-batch takes the works that got new files and plans them from all files listed so far. The listing and
-the episodes are remembered between batches; a repeated batch overwrites its own folders and nothing else.
+The files of each work are kept in Spark's keyed state, each once, with the turn in which it came. A micro-batch gives the whole
+listing of the works that got new files, and plans their episodes from it; titles come from the first turn. A repeated
+batch overwrites its own folder of plans and nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from storyframe.functions.links import LinkConfig
 from storyframe.operators.skew import join_hot
 from storyframe.plans import ingest
 from storyframe.session import cut_lineage
 from storyframe.sources import listing as U
-from storyframe.streaming.ledger import newest, recall, remember
+from storyframe.streaming.status import STORE
+
+
+class Listing(StatefulProcessor):
+    """The names of a work's files and the turns in which they came."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.names = handle.getMapState("names", "name string", "turn bigint")
+        self.turns = handle.getValueState("turns", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        turn = (self.turns.get() or (0,))[0]
+        arrived = {row["name"] for row in rows}
+        fresh = [name for name in sorted(arrived) if not self.names.containsKey((name,))]
+        if not fresh:
+            return
+        for name in fresh:
+            self.names.updateValue((name,), (turn,))
+        self.turns.update((turn + 1,))
+        for (name,), (came,) in self.names.iterator():
+            yield Row(media_id=key[0], name=name, turn=came, fresh=came == turn)
+
+    def close(self) -> None:
+        pass
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """`media_id, name` of files arriving below `<path>/<media_id>/`; their contents are not read."""
+    """`media_id, name` of files arriving in `<path>/<media_id>/`; their contents are not read.
+
+    Files in deeper folders are left out, as are those whose names begin with `_` or `.`, which Spark takes for hidden.
+    """
     files = (
         spark.readStream.format("binaryFile").schema(U.FILE_SCHEMA).option("pathGlobFilter", U.LISTED)
         .option("recursiveFileLookup", True).load(path)
     )
-    return U.listing(files.select("path")).select("media_id", "name")
+    return U.listing(files.select("path"), U.qualified(spark, path)).select("media_id", "name")
 
 
-def ingest_stream(files: DataFrame, existing: DataFrame, folder: str,
-                  config: LinkConfig = LinkConfig()) -> StreamingQuery:
-    """Keep `<folder>/assets` up to date with the files of a stream. Read it with `planned_assets`."""
+def ingest_stream(files: DataFrame, existing: DataFrame, folder: str, config: LinkConfig = LinkConfig(),
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Keep the plans in `folder` up to date with a stream of files `media_id, name`. Read them with `planned_assets`.
 
+    `trigger` is as for `writeStream.trigger`; by default what is there is read once.
+    """
+    files.sparkSession.conf.set(*STORE)
     known = existing.select(*ingest.ASSET_KEY, "asset_id", "title")
-    types = {f.name: f.dataType.simpleString() for f in files.schema.fields}
-    listed = f"media_id {types['media_id']}, name {types['name']}, at bigint, value boolean"
-    made = asset_schema(known)
+    kind = files.schema["media_id"].dataType.simpleString()
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        at = F.lit(batch_id).cast("long").alias("at")
-        arrived = cut_lineage(rows.select("media_id", "name").distinct())
-        touched = cut_lineage(arrived.select("media_id").distinct())
-        earlier = recall(spark, f"{folder}/files", listed, ["media_id", "name"], batch_id, only=touched)
-        remember(arrived.select("*", at, F.lit(True).alias("value")), f"{folder}/files", batch_id)
-        listing = cut_lineage(earlier.select("media_id", "name").union(arrived).distinct())
-        planned = recall(spark, f"{folder}/assets", made, ingest.ASSET_KEY, batch_id, only=touched)
-        own = planned.select(*ingest.ASSET_KEY, "value.asset_id", "value.title")
-        theirs = join_hot(known, touched, ["media_id"], "left_semi")
-        current = theirs.join(own, ingest.ASSET_KEY, "left_anti").unionByName(own)
-        updated = ingest.plan(listing, current, config)
-        value = F.struct(*[c for c in updated.columns if c not in ingest.ASSET_KEY]).alias("value")
-        remember(updated.select(*ingest.ASSET_KEY, at, value), f"{folder}/assets", batch_id)
+        listing = cut_lineage(rows)
+        touched = listing.select("media_id").distinct()
+        planned = ingest.plan(listing, join_hot(known, touched, ["media_id"], "left_semi"), config)
+        planned.write.mode("overwrite").parquet(f"{folder}/plans/batch={batch_id}")
 
+    names = files.select("media_id", "name").groupBy("media_id").transformWithState(
+        Listing(), f"media_id {kind}, name string, turn bigint, fresh boolean", "append", "none")
     return (
-        files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start()
+        names.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def planned_assets(spark: SparkSession, existing: DataFrame, folder: str) -> DataFrame:
     """The newest plan of each episode, with the columns of `ingest.plan`."""
-    rows = newest(spark, f"{folder}/assets", asset_schema(existing), ingest.ASSET_KEY)
-    return rows.select(*ingest.ASSET_KEY, "value.*")
-
-
-def asset_schema(existing: DataFrame) -> str:
-    """Schema of the remembered plans; keys and ids have the types of the existing episodes."""
     types = {f.name: f.dataType.simpleString() for f in existing.schema.fields}
-    value = ("asset_id:string,title:string,created:boolean,n_videos:bigint,processed_video_url:string,"
-             "source_subtitle_url:string,processing_status:string")
-    return f"media_id {types['media_id']}, sequence_number bigint, at bigint, value struct<{value}>"
+    schema = (f"media_id {types['media_id']}, sequence_number bigint, asset_id string, title string, created boolean, "
+              "n_videos bigint, processed_video_url string, source_subtitle_url string, processing_status string, batch bigint")
+    rows = spark.read.schema(schema).parquet(f"{folder}/plans")
+    values = F.struct(*[c for c in rows.columns if c not in (*ingest.ASSET_KEY, "batch")])
+    return rows.groupBy(*ingest.ASSET_KEY).agg(F.max_by(values, "batch").alias("p")).select(*ingest.ASSET_KEY, "p.*")

@@ -1,71 +1,152 @@
 """Status changes and processing triggers from a stream of saves.
 
-Each micro-batch compares a save with the one before it in the batch, by the same split-able window as the batch
-job; only the first save of an episode in a batch looks up what earlier batches left, the newest save of each
-episode. A repeated batch overwrites its own folders and nothing else.
+The saves of an episode are followed in Spark's keyed state. Saves arrive in any order within `lateness`: one that a later
+arrival may still precede waits in state, and a timer settles it once the watermark, the newest time seen less `lateness`, has
+passed it. Settled saves are compared with the one before, in the order of the batch job. A save that sorts before one that is
+settled already came too late; it is listed and changes nothing.
+
+A row without an episode is a heartbeat: it moves the watermark and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from storyframe.operators.skew import join_hot, with_previous
 from storyframe.plans.status import ORDER, changed
-from storyframe.session import cut_lineage
-from storyframe.streaming.ledger import recall, remember
 
+# The state store that keyed state needs.
+STORE = ("spark.sql.streaming.stateStore.providerClass",
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+SAVED, LATE = "saved", "late"
+
+
+class Saves(StatefulProcessor):
+    """The last settled save of an episode with the times of its changes, and the saves that wait."""
+
+    def __init__(self, id_type: str, columns: dict[str, str]):
+        self.columns = list(columns)
+        values = ", ".join(f"{c} {t}" for c, t in columns.items())
+        stamps = ", ".join(f"{c}_changed_at bigint" for c in columns)
+        before = ", ".join(f"previous_{c} {t}" for c, t in columns.items())
+        self.waiting_schema = f"ts bigint, seq bigint, {values}"
+        self.last_schema = f"{self.waiting_schema}, {stamps}"
+        self.output = f"asset_id {id_type}, kind string, {self.last_schema}, {before}"
+        self.shape = Row("asset_id", "kind", *ORDER, *columns, *(f"{c}_changed_at" for c in columns),
+                         *(f"previous_{c}" for c in columns))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.last_schema)
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return
+        last, on_time = self.last.get(), []
+        for row in rows:
+            save = (*(row[c] for c in ORDER), *(row[c] for c in self.columns))
+            if last is not None and save[:2] <= tuple(last[:2]):
+                yield self._row(key, LATE, save, last[2 + len(self.columns):], (None,) * len(self.columns))
+            else:
+                on_time.append(save)
+        if on_time:
+            yield from self._settled(key, on_time, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settled(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _settled(self, key, arrived: list[tuple], watermark: int) -> Iterator[Row]:
+        """Rows for the saves before the watermark that changed something; the others go on waiting."""
+        held = [tuple(save) for save in self.waiting.get()] if self.waiting.exists() else []
+        saves = sorted(held + arrived, key=lambda save: save[:2])
+        n, last = len(self.columns), self.last.get()
+        ready = [save for save in saves if save[0] < 1000 * watermark]
+        for save in ready:
+            values = save[2:]
+            before = tuple(last[2:2 + n]) if last is not None else (None,) * n
+            stamps = tuple(last[2 + n:]) if last is not None else (None,) * n
+            stamps = tuple(save[0] if new is not None and old is not None and new != old else stamp
+                           for new, old, stamp in zip(values, before, stamps, strict=True))
+            if last is None or values != before:
+                yield self._row(key, SAVED, save, stamps, before)
+            last = (*save, *stamps)
+        if ready:
+            self.last.update(last)
+        rest = saves[len(ready):]
+        if len(rest) != len(held) or ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        # one timer, for the save that is settled next
+        for expiry in list(self.handle.listTimers()):
+            self.handle.deleteTimer(expiry)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+
+    def _row(self, key, kind: str, save: tuple, stamps: tuple, before: tuple) -> Row:
+        return self.shape(*key, kind, *save, *stamps, *before)
+
+
+def track(log: DataFrame, folder: str, columns: list[str], lateness: str = "1 hour",
+          trigger: dict | None = None) -> StreamingQuery:
+    """Follow `columns` of a stream of saves `asset_id, ts, seq, ...`, ts in microseconds, and write what changed to `folder`.
+
+    `trigger` is as for `writeStream.trigger`; by default what is there is read once. Read the outcome with `latest`,
+    `changes`, `triggers` and `late`.
+    """
+    log.sparkSession.conf.set(*STORE)
+    types = {f.name: f.dataType.simpleString() for f in log.schema.fields}
+    processor = Saves(types["asset_id"], {c: types[c] for c in columns})
+    # Rows go on without the event time: Spark would drop those behind the watermark unseen.
+    timed = log.withColumn("__at", F.timestamp_micros("ts")).withWatermark("__at", lateness)
+    saves = timed.select("asset_id", *[F.col(c).cast("bigint").alias(c) for c in ORDER], *columns)
+    rows = saves.groupBy("asset_id").transformWithState(processor, processor.output, "append", "eventTime")
+    return (
+        rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    )
 
-def track_changes(log: DataFrame, folder: str, column: str = "status") -> StreamingQuery:
-    """Write the saves that changed `column` to `<folder>/out`. Read them with `written`."""
-    return _start(log, folder, column, lambda rows: rows.filter(changed(column)))
 
+def _written(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/out").filter(F.col("kind") == kind).drop("kind")
 
-def track_triggers(log: DataFrame, folder: str) -> StreamingQuery:
-    """Write the saves that ask for processing to `<folder>/out`."""
-    filled = log.withColumn("source_video", F.coalesce("source_video", F.lit("")))
-    return _start(filled, folder, "source_video",
-                  lambda rows: rows.filter(changed("source_video") & (F.col("source_video") != "")))
 
+def late(spark: SparkSession, folder: str) -> DataFrame:
+    """Saves that came after a later one of their episode was settled."""
+    rows = _written(spark, folder, LATE)
+    return rows.drop(*[c for c in rows.columns if c.startswith("previous_") or c.endswith("_changed_at")])
 
-def written(spark: SparkSession, folder: str, schema: str, kind: str = "out") -> DataFrame:
-    """Rows of all finished batches; `kind` is `out` or `late`."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/{kind}")
 
+def changes(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """Settled saves that changed `column`, as `plans.status.changes`."""
+    return _written(spark, folder, SAVED).filter(changed(column)).select(
+        "asset_id", *ORDER, column, f"previous_{column}")
 
-def _start(log: DataFrame, folder: str, column: str, keep: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        _advance(rows, batch_id, folder, column, keep)
 
-    return (
-        log.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
+def triggers(spark: SparkSession, folder: str) -> DataFrame:
+    """Settled saves that ask for processing; `source_video` must be followed without nulls, as by `filled`."""
+    asked = changed("source_video") & (F.col("source_video") != "")
+    return _written(spark, folder, SAVED).filter(asked).select("asset_id", *ORDER, "source_video")
 
 
-def _advance(rows: DataFrame, batch_id: int, folder: str, column: str,
-             keep: Callable[[DataFrame], DataFrame]) -> None:
-    before = f"previous_{column}"
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    at = ",".join(f"{c}:{types[c]}" for c in ORDER)
-    schema = f"asset_id {types['asset_id']}, at struct<{at}>, value {types[column]}"
-    memory = recall(rows.sparkSession, f"{folder}/memory", schema, ["asset_id"], batch_id,
-                    only=rows.select("asset_id").distinct())
-    known = join_hot(rows, memory, ["asset_id"], "left", right_at_most=1)
-    # A save older than what is remembered cannot change what was already written; it is listed apart.
-    late = F.coalesce(F.struct(*ORDER) <= F.col("at"), F.lit(False))
-    known = cut_lineage(known.withColumn("late", late))
-    fresh = known.filter("NOT late")
-    # A null that was saved in this batch is a value; only a first save looks into memory.
-    linked = with_previous(fresh.withColumn("follows", F.lit(True)), ["asset_id"], ORDER,
-                           {before: column, "follows_in_batch": "follows"})
-    resumed = linked.withColumn(before, F.when(F.col("follows_in_batch"), F.col(before)).otherwise(F.col("value"))) \
-        .drop("at", "value", "late", "follows", "follows_in_batch")
-    keep(resumed).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-    known.filter("late").select(rows.columns).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+def filled(log: DataFrame) -> DataFrame:
+    """The log with empty texts for missing source videos."""
+    return log.withColumn("source_video", F.coalesce("source_video", F.lit("")))
+
+
+def latest(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Values of the followed columns per episode and the time of each one's last change."""
     seen = F.struct(*ORDER)
-    newest = fresh.groupBy("asset_id").agg(F.max(seen).alias("at"), F.max_by(column, seen).alias("value"))
-    remember(newest, f"{folder}/memory", batch_id)
+
+    def newest(column: str) -> Column:
+        return F.max_by(column, seen).alias(column)
+
+    return _written(spark, folder, SAVED).groupBy("asset_id").agg(
+        *[newest(c) for c in columns], *[newest(f"{c}_changed_at") for c in columns])

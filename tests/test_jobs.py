@@ -3,13 +3,13 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyframe.plans import catalogue, ingest, status
 from storyframe.sources import listing as U
 from storyframe.sources import sinks
 from storyframe.streaming import ingest as stream_ingest
-from storyframe.streaming import ledger
 from storyframe.streaming import status as stream_status
 
 LOG = "asset_id bigint, ts bigint, seq bigint, status string, source_video string"
@@ -21,12 +21,6 @@ def saves(count):
     return [(rng.choice([1, 1, 2, 3]), i // 3, i, rng.choice("abc"), rng.choice(["", "x", "y"])) for i in range(count)]
 
 
-def write_in_files(spark, rows, schema, path, pieces):
-    for i in range(pieces):
-        spark.createDataFrame(rows[i * len(rows) // pieces:(i + 1) * len(rows) // pieces], schema).coalesce(1) \
-            .write.mode("append").parquet(str(path))
-
-
 def listed(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()))
 
@@ -46,50 +40,53 @@ def test_triggers_need_a_new_video(spark):
     assert listed(status.triggers(log), "asset_id", "seq") == [(1, 3), (2, 6)]
 
 
-def test_streams_over_micro_batches_equal_the_batch(spark, tmp_path, sizes):
-    rows = saves(120)
-    write_in_files(spark, rows, LOG, tmp_path / "log", 3)
-    log = spark.createDataFrame(rows, LOG)
-
-    def stream():
-        return spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-
-    changes = str(tmp_path / "changes")
-    stream_status.track_changes(stream(), changes).awaitTermination()
-    # A second run on the same folder finds nothing new.
-    stream_status.track_changes(stream(), changes).awaitTermination()
-    out = stream_status.written(spark, changes, f"{LOG}, previous_status string")
-    columns = ["asset_id", "ts", "seq", "status", "previous_status"]
-    assert listed(out, *columns) == listed(status.changes(log), *columns)
-    triggers = str(tmp_path / "triggers")
-    stream_status.track_triggers(stream(), triggers).awaitTermination()
-    assert listed(stream_status.written(spark, triggers, LOG), "seq") == listed(status.triggers(log), "seq")
-
+BEAT = [(None, 10**12, 0, None, None)]
+FOLLOWED = ["status", "source_video"]
 
-def test_late_saves_are_listed_apart(spark, tmp_path):
-    write_in_files(spark, [(1, 10, 1, "a", ""), (1, 20, 2, "b", "")], LOG, tmp_path / "log", 1)
 
-    def run():
-        stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "log"))
-        stream_status.track_changes(stream, str(tmp_path / "s")).awaitTermination()
+def followed(spark, waves, tmp_path, lateness, beat=True):
+    """The folder of a stream over `waves` of saves, a micro-batch each, and then a heartbeat."""
+    for wave in [*waves, *([BEAT] if beat else [])]:
+        spark.createDataFrame(wave, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    folder = str(tmp_path / "state")
+    stream_status.track(stream_status.filled(log), folder, FOLLOWED, lateness).awaitTermination()
+    return folder
 
-    run()
-    write_in_files(spark, [(1, 15, 3, "c", ""), (1, 30, 4, "d", "")], LOG, tmp_path / "log", 1)
-    run()
-    folder = str(tmp_path / "s")
-    assert listed(stream_status.written(spark, folder, LOG), "seq") == [(2,), (4,)]
-    assert listed(stream_status.written(spark, folder, LOG, "late"), "seq") == [(3,)]
 
-
-def test_ledger_reads_a_snapshot_and_few_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ledger, "SNAPSHOT_EVERY", 5)
-    schema, folder = "k int, at bigint, value string", str(tmp_path / "l")
-    for i in range(12):
-        found = {r["k"]: r["value"] for r in ledger.recall(spark, folder, schema, ["k"], i).collect()}
-        assert found == {k: f"v{max(j for j in range(i) if j % 4 == k)}" for k in range(min(i, 4))}
-        ledger.remember(spark.createDataFrame([(i % 4, i, f"v{i}")], schema), folder, i)
-    assert sorted(p.name for p in (tmp_path / "l").glob("snapshot=*")) == ["snapshot=10", "snapshot=5"]
-    assert ledger.newest(spark, folder, schema, ["k"]).count() == 4
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_equals_the_batch_for_saves_within_the_lateness(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(a, ts * 10_000_000, i, s, v) for a, ts, i, s, v in saves(150)]
+    # each save is up to a minute late
+    order = sorted(rows, key=lambda r: r[1] + rng.random() * 60_000_000)
+    cuts = sorted(rng.sample(range(1, 150), 3))
+    waves = [order[i:j] for i, j in zip([0, *cuts], [*cuts, 150])]
+    folder = followed(spark, waves, tmp_path, "1 minute")
+    log = stream_status.filled(spark.createDataFrame(rows, LOG))
+    assert stream_status.late(spark, folder).count() == 0
+    columns = ["asset_id", "ts", "seq", "status", "previous_status"]
+    assert listed(stream_status.changes(spark, folder, "status"), *columns) == listed(status.changes(log), *columns)
+    assert listed(stream_status.triggers(spark, folder), "seq") == listed(status.triggers(log), "seq")
+    stamps = ["asset_id", *FOLLOWED, *(f"{c}_changed_at" for c in FOLLOWED)]
+    assert listed(stream_status.latest(spark, folder, FOLLOWED), *stamps) == listed(
+        status.change_stamps(log, FOLLOWED), *stamps)
+    # a second run on the same folder finds nothing new
+    again = spark.readStream.schema(LOG).parquet(str(tmp_path / "log"))
+    stream_status.track(stream_status.filled(again), folder, FOLLOWED, "1 minute").awaitTermination()
+    assert listed(stream_status.changes(spark, folder, "status"), *columns) == listed(status.changes(log), *columns)
+
+
+def test_saves_wait_and_late_ones_are_listed(spark, tmp_path):
+    second = 1_000_000
+    folder = followed(spark, [[(1, 10 * second, 1, "a", ""), (1, 20 * second, 2, "b", "")], [(2, 40 * second, 3, "z", "")],
+                              [(2, 41 * second, 7, "z", "")], [(1, 15 * second, 4, "c", ""), (1, 36 * second, 5, "d", "")]], tmp_path, "5 seconds", beat=False)
+    # the save of 36 s waits, since another one of 36 s may still come; that of 15 s came after 20 s was settled
+    assert listed(stream_status.changes(spark, folder, "status"), "seq") == [(2,)]
+    assert listed(stream_status.late(spark, folder), "seq", "status") == [(4, "c")]
+    followed(spark, [[(1, 30 * second, 6, "e", "")], BEAT], tmp_path, "5 seconds", beat=False)
+    assert listed(stream_status.changes(spark, folder, "status"), "seq") == [(2,), (5,), (6,)]
+    assert listed(stream_status.late(spark, folder), "seq") == [(4,)]
 
 
 def test_ingest_plan(spark, sizes):
@@ -117,6 +114,7 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
 
     def arrive(*names):
         for name in names:
+            (folder / name).parent.mkdir(exist_ok=True)
             (folder / name).write_bytes(b"x")
         files = stream_ingest.file_stream(spark, str(tmp_path / "uploads"))
         existing = spark.createDataFrame([], EXISTING)
@@ -124,7 +122,7 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
         return {r["sequence_number"]: r for r in stream_ingest.planned_assets(
             spark, existing, str(tmp_path / "state")).collect()}
 
-    first = arrive("ep1.mp4", "ep1.srt", "skip.txt")
+    first = arrive("ep1.mp4", "ep1.srt", "skip.txt", "sub/ep9.mp4")
     assert set(first) == {1} and first[1]["media_id"] == "work +%201"
     second = arrive("ep2.mov", "z1.mov")
     assert set(second) == {1, 2}
@@ -134,6 +132,30 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     files = U.read_listing(spark, str(tmp_path / "uploads"))
     assert listed(files, "media_id", "name", "length") == [
         ("work +%201", n, 1) for n in ("ep1.mp4", "ep1.srt", "ep2.mov", "z1.mov")]
+    # nothing new, nothing planned
+    assert arrive() == second
+
+
+def test_folders_are_listed_with_their_files(spark, tmp_path):
+    for name in ("a/ep1.mp4", "a/_ep2.mp4", "a/sub/ep3.mp4", "a/.hidden", "b +1/ep1.srt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"xy")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file").write_bytes(b"x")
+    works = spark.createDataFrame([(i,) for i in ("a", "b +1", "empty", "file", "gone", None, "a")], "media_id string")
+    folders = U.list_folders(works.where("media_id IS NOT NULL"), str(tmp_path))
+    assert listed(folders.filter("name IS NULL"), "media_id", "found") == [
+        ("a", True), ("b +1", True), ("empty", True), ("file", False), ("gone", False)]
+    assert listed(folders.filter("name IS NOT NULL"), "media_id", "name", "length") == [
+        ("a", ".hidden", 2), ("a", "_ep2.mp4", 2), ("a", "ep1.mp4", 2), ("b +1", "ep1.srt", 2)]
+    planned = ingest.plan(folders.filter("name IS NOT NULL"), spark.createDataFrame([], EXISTING))
+    states = {}
+    for r in ingest.run_states(folders, planned).orderBy("step").collect():
+        states.setdefault((r.media_id, r.sequence_number), []).append(r.status)
+    assert states == {("a", None): ["ingesting", "completed"], ("b +1", None): ["ingesting", "completed"],
+                      ("empty", None): ["ingesting", "completed"], ("file", None): ["ingesting", "failed"],
+                      ("gone", None): ["ingesting", "failed"], ("a", 1): ["processing", "completed"],
+                      ("a", 2): ["processing", "completed"]}
 
 
 def test_manifest(spark, tmp_path):

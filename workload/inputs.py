@@ -5,6 +5,9 @@ Projects are groups of ten users, customers or runs of orders, so their number g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from storyframe.functions.labels import FLAT
 from storyframe.operators.regions import scene_columns
 from storyframe.operators.skew import largest_group, numbered, with_previous
 from storyframe.session import cut_lineage
+from storyframe.sources.listing import file_system, qualified
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -218,6 +222,34 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 2 THEN CASE WHEN doc_id div 4 % 3 = 0 THEN '.mov' ELSE '.avi' END ELSE '.txt' END) AS name")
 
 
+def placed_files(rows: DataFrame, root: str) -> str:
+    """Write a file per row `path, body` below `root`, from the tasks; a path that ends in `/` makes a folder. Gives `root`."""
+    base_uri = qualified(rows.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(base_uri)
+        for batch in batches:
+            for path, body in zip(*(batch.column(c).to_pylist() for c in ("path", "body")), strict=True):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                if not path.endswith("/"):
+                    with system.open_output_stream(f"{base}/{path}") as out:
+                        out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("path", "body").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def upload_folders(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The files of the listing in a folder per work, more to be left out or kept, and empty folders for some works."""
+    listed = files(spark, sf_dir).selectExpr("concat(media_id, '/', name) AS path", "repeat('x', length(name)) AS body")
+    works = files(spark, sf_dir).select("media_id").distinct()
+    odd = works.selectExpr("explode(array(concat(media_id, '/sub/ep03.mp4'), concat(media_id, '/_ep01.mp4'))) AS path", "'y' AS body")
+    empty = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").selectExpr(
+        "concat('src', cast(c_custkey AS string), '/') AS path", "'' AS body")
+    return placed_files(listed.unionByName(odd).unionByName(empty), root)
+
+
 def existing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes already in the catalogue: one per supplier, four per work."""
     return table(spark, sf_dir, "supplier").selectExpr(
@@ -282,4 +314,24 @@ def status_log(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "user_id AS asset_id", f"{MICROS} AS ts", "event_id AS seq", "event_type AS status",
         "CASE WHEN event_type = 'error' THEN '' ELSE concat(event_type, '.mp4') END AS source_video",
-        "CASE WHEN value > 10 THEN 'completed' ELSE 'processing' END AS processing_status")
+        "CASE WHEN value > 10 THEN 'completed' ELSE 'processing' END AS processing_status",
+        "CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS l1_status",
+        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN value > 4 THEN 'in_progress' ELSE 'pending' END AS l2_l3_status")
+
+
+WAVES = 2
+
+
+def arrived_log(log: DataFrame, path: str) -> str:
+    """Write a log as waves of files, and last a heartbeat; gives the lateness to allow for.
+
+    A save comes in the wave of its time or, one in three, in the next one, so saves of an episode overtake each other.
+    """
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    width = ((last or 0) - (first or 0)) // WAVES + 1
+    wave = F.floor((F.col("ts") - F.lit(first)) / width) + F.when(F.pmod(F.xxhash64("seq"), F.lit(3)) == 0, 1).otherwise(0)
+    for number in range(WAVES + 1):
+        log.filter(wave == number).write.mode("append").parquet(path)
+    beat = log.sparkSession.range(1).select(F.lit((last or 0) + 4 * width).alias("ts"))
+    log.limit(0).unionByName(beat, allowMissingColumns=True).write.mode("append").parquet(path)
+    return f"{3 * width // 1000 + 1} milliseconds"

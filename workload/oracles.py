@@ -308,11 +308,14 @@ LOG = f"""
 log AS (
   SELECT user_id AS asset_id, {MICROS} AS ts, event_id AS seq, event_type AS status,
     CASE WHEN event_type = 'error' THEN '' ELSE concat(event_type, '.mp4') END AS source_video,
-    CASE WHEN value > 10 THEN 'completed' ELSE 'processing' END AS processing_status
+    CASE WHEN value > 10 THEN 'completed' ELSE 'processing' END AS processing_status,
+    (['pending', 'in_progress', 'completed'])[event_id % 3 + 1] AS l1_status,
+    CASE WHEN event_id % 11 <> 0 THEN CASE WHEN value > 4 THEN 'in_progress' ELSE 'pending' END END AS l2_l3_status
   FROM events),
 before AS (
   SELECT *, lag(status) OVER w AS previous_status, lag(source_video) OVER w AS previous_video,
-    lag(processing_status) OVER w AS previous_processing
+    lag(processing_status) OVER w AS previous_processing, lag(l1_status) OVER w AS previous_l1,
+    lag(l2_l3_status) OVER w AS previous_l2, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC, seq DESC) AS back
   FROM log WINDOW w AS (PARTITION BY asset_id ORDER BY ts, seq))"""
 
 ORACLES: dict[str, str] = {
@@ -629,5 +632,38 @@ ORACLES["document_files"] = ORACLES["script_documents"]
 ORACLES["manifest_files"] = f"""
 SELECT cast(asset_id AS varchar) AS asset_id, cast(media_id AS varchar) AS media_id, payload
 FROM ({ORACLES["task_manifest"]})"""
-ORACLES["status_stream"] = ORACLES["status_changes"]
+ORACLES["status_stream"] = f"""
+WITH {LOG}
+SELECT asset_id, max(processing_status) FILTER (WHERE back = 1) AS processing_status,
+  max(l1_status) FILTER (WHERE back = 1) AS l1_status, max(l2_l3_status) FILTER (WHERE back = 1) AS l2_l3_status,
+  max(ts) FILTER (WHERE processing_status <> previous_processing) AS processing_status_changed_at,
+  max(ts) FILTER (WHERE l1_status <> previous_l1) AS l1_status_changed_at,
+  max(ts) FILTER (WHERE l2_l3_status <> previous_l2) AS l2_l3_status_changed_at
+FROM before GROUP BY asset_id"""
+ORACLES["ingest_stream"] = f"""
+WITH {PLAN.replace("SELECT * FROM planned", "")}
+SELECT * REPLACE (created AND NOT EXISTS (SELECT 1 FROM videos v WHERE v.media_id = p.media_id AND v.ext = '.mov') AS created)
+FROM planned p"""
+ORACLES["listing_files"] = """
+WITH works AS (SELECT c_custkey, concat('src', c_custkey) AS media_id FROM customer),
+names AS (
+  SELECT doc_id // 40 AS work, concat('ep', printf('%02d', (doc_id // 4) % 10 + 1), CASE doc_id % 4 WHEN 0 THEN '.mp4'
+    WHEN 1 THEN CASE WHEN (doc_id // 40) % 5 = 3 THEN '_en.srt' ELSE '.srt' END
+    WHEN 2 THEN CASE WHEN (doc_id // 4) % 3 = 0 THEN '.mov' ELSE '.avi' END ELSE '.txt' END) AS name
+  FROM documents)
+SELECT media_id, c_custkey % 7 = 0 OR c_custkey IN (SELECT work FROM names) AS found, NULL AS name, NULL::BIGINT AS length
+FROM works
+UNION ALL
+SELECT media_id, true, name, CASE WHEN name[1] = '_' THEN 1 ELSE length(name) END
+FROM works JOIN (FROM names UNION SELECT work, '_ep01.mp4' FROM names) n ON work = c_custkey"""
+ORACLES["ingest_states"] = f"""
+WITH {PLAN.replace("SELECT * FROM planned", "")},
+works AS (SELECT concat('src', c_custkey) AS media_id,
+  c_custkey % 7 = 0 OR c_custkey IN (SELECT doc_id // 40 FROM documents) AS found FROM customer)
+SELECT media_id, NULL::BIGINT AS sequence_number, 0 AS step, 'ingesting' AS status FROM works
+UNION ALL SELECT media_id, NULL, 1, CASE WHEN found THEN 'completed' ELSE 'failed' END FROM works
+UNION ALL SELECT media_id, unnest(sequence_numbers), 0, 'processing' FROM works JOIN (
+  SELECT media_id, list(sequence_number) AS sequence_numbers FROM planned GROUP BY media_id) p USING (media_id)
+UNION ALL SELECT media_id, unnest(sequence_numbers), 1, 'completed' FROM works JOIN (
+  SELECT media_id, list(sequence_number) AS sequence_numbers FROM planned GROUP BY media_id) p USING (media_id)"""
 ORACLES["trigger_stream"] = ORACLES["trigger_batch"]

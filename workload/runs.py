@@ -485,10 +485,18 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.status_log(I.table(spark, sf_dir, "events"))
 
 
-def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = I.table(spark, sf_dir, "events").schema
-    return I.status_log(
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+# The statuses of an episode.
+STATUSES = ["processing_status", "l1_status", "l2_l3_status"]
+
+
+def _tracked(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> str:
+    """The folder of a stream that has followed `columns` of the log over several micro-batches."""
+    folder = scratch_path(spark, name)
+    log = stream_status.filled(_log(spark, sf_dir))
+    lateness = I.arrived_log(log, f"{folder}/log")
+    waves = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    stream_status.track(waves, folder, columns, lateness).awaitTermination()
+    return folder
 
 
 @query
@@ -508,25 +516,41 @@ def trigger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "status")
-    stream_status.track_changes(_log_stream(spark, sf_dir), folder).awaitTermination()
-    return stream_status.written(
-        spark, folder, "asset_id bigint, ts bigint, seq bigint, status string, previous_status string")
+    """The three statuses of each episode and the times of their last changes, from saves that overtake each other."""
+    return stream_status.latest(spark, _tracked(spark, sf_dir, "status", STATUSES), STATUSES)
 
 
 @query
 def trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "trigger")
-    stream_status.track_triggers(_log_stream(spark, sf_dir), folder).awaitTermination()
-    return stream_status.written(spark, folder, "asset_id bigint, ts bigint, seq bigint, source_video string")
+    return stream_status.triggers(spark, _tracked(spark, sf_dir, "trigger", ["source_video"]))
+
+
+@query
+def listing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders and files of the works of all customers, from real folders."""
+    root = I.upload_folders(spark, sf_dir, scratch_path(spark, "uploads"))
+    works = I.table(spark, sf_dir, "customer").selectExpr("concat('src', cast(c_custkey AS string)) AS media_id")
+    return U.list_folders(works, root)
+
+
+@query
+def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of an ingest run over the same folders."""
+    folders = cut_lineage(listing_files(spark, sf_dir))
+    planned = ingest.plan(folders.filter("name IS NOT NULL"), I.existing_assets(spark, sf_dir))
+    return ingest.run_states(folders, planned)
 
 
 @query
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upload listing as a stream of the files it was written to."""
+    """Episodes from files that arrive in two waves: first all but the second videos, then these."""
     folder = scratch_path(spark, "ingest")
-    I.files(spark, sf_dir).write.parquet(f"{folder}/arrived")
-    arriving = spark.readStream.schema(schemas.LISTING).parquet(f"{folder}/arrived")
+    listed = I.files(spark, sf_dir).selectExpr("concat(media_id, '/', name) AS path", "'x' AS body")
+    nested = listed.selectExpr("concat(regexp_extract(path, '^[^/]+', 0), '/sub/ep77.mp4') AS path", "'y' AS body").distinct()
     existing = I.existing_assets(spark, sf_dir)
-    stream_ingest.ingest_stream(arriving, existing, f"{folder}/state").awaitTermination()
+    first = F.col("path").endswith(".mov")
+    for wave in (listed.filter(~first).unionByName(nested), listed.filter(first)):
+        I.placed_files(wave, f"{folder}/uploads")
+        arriving = stream_ingest.file_stream(spark, f"{folder}/uploads")
+        stream_ingest.ingest_stream(arriving, existing, f"{folder}/state").awaitTermination()
     return stream_ingest.planned_assets(spark, existing, f"{folder}/state")
