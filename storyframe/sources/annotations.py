@@ -8,31 +8,17 @@ from pyspark.sql import functions as F
 from storyframe import schemas as S
 from storyframe.functions import text as T
 from storyframe.operators.skew import join_hot, largest_group, numbered
+from storyframe.sources import arrays
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of `<path>/<project>.json` files that each hold one JSON array.
+def read_exports(spark: SparkSession, path: str, block_bytes: int = arrays.BLOCK_BYTES) -> DataFrame:
+    """Tasks of `<path>/<project>.json` files that each hold one JSON array, read in blocks of `block_bytes`.
 
-    One task of the job reads a whole array, since it cannot be split; `read_task_lines` takes the same tasks one per
-    line and is for projects too large for that. A file whose root is no array holds no tasks; the root is told by
-    the first character that is not blank.
+    A file whose root is no array holds no tasks.
     """
-    def files():
-        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-
-    schema = f"{S.TASK}, _corrupt string"
-    tasks = (
-        files().schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        .select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("task_pos"))
-    )
-    lines = files().text(path).filter(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("path"), F.left(F.trim("value"), F.lit(1)).alias("root"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-    roots = lines.groupBy("path").agg(F.min_by("root", "at").alias("root"))
-    listed = join_hot(tasks, roots.filter("root = '['").select("path"), ["path"], "left_semi")
-    name = T.file_name(T.plain_path(F.col("path")))
-    return listed.select(T.file_stem(name).alias("project_id"), "task_pos", "inner_id", "file_upload", "annotations",
-                         F.col("_corrupt").alias("corrupt"))
+    found = arrays.elements(spark, path, "*.json", block_bytes)
+    name = T.file_stem(T.file_name(F.col("path")))
+    return parse_tasks(found.select(name.alias("project_id"), F.col("position").alias("task_pos"), "body"), F.col("body"))
 
 
 def read_task_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storyframe import schemas
@@ -12,7 +16,7 @@ from storyframe.operators import timeline as N
 from storyframe.plans import rejects, script
 from storyframe.session import cut_lineage
 from storyframe.sources import annotations as A
-from storyframe.sources import sinks
+from storyframe.sources import arrays, sinks
 from storyframe.sources import subtitles as S
 
 FIRST = """[Script Info]
@@ -172,6 +176,40 @@ def test_an_export_that_is_no_array_has_no_tasks(spark, folder):
     assert {r[0] for r in tasks.select("project_id").distinct().collect()} == {"demo", "twin +1%20"}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.recursive(st.none() | st.integers(0, 9) | st.text('a"\\\\[]{},é\n', max_size=6),
+                             lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text('"]\\\\', max_size=3), x, max_size=3),
+                             max_leaves=6), max_size=6), st.integers(1, 9), st.sampled_from([None, 2]))
+def test_arrays_are_cut_as_a_parser_would(values, size, indent):
+    """Every element is owned by one block, whatever the blocks; blocks are entered as their summaries say."""
+    data = (" " + json.dumps(values, indent=indent, ensure_ascii=False) + "\n").encode()
+    stream = pa.BufferReader(data)
+    state, depth, found = arrays.OUTSIDE, 0, []
+    for start in range(0, len(data), size):
+        raw = np.frombuffer(data[start:start + size], np.uint8)
+        places, texts = arrays._owned(stream, start, size, state, depth)
+        found += zip(places, texts)
+        exits = [arrays.summary(raw, s) for s in range(3)]
+        state, depth = exits[state][0], depth + exits[state][1]
+    assert [json.loads(t) for _, t in found] == values and state == arrays.OUTSIDE and depth == 0
+    assert [p for p, _ in found] == sorted(p for p, _ in found)
+
+
+def test_exports_in_blocks_of_any_size(spark, folder, tmp_path):
+    def tasks(path, **options):
+        rows = A.read_exports(spark, str(path), **options).orderBy("project_id", "task_pos").drop("task_pos")
+        return [str(r) for r in rows.collect()]
+
+    assert tasks(folder / "exports", block_bytes=16) == tasks(folder / "exports") != []
+    for name, text in (("empty", ""), ("blank", " \n" * 30), ("none", "[ ]"), ("number", " 12 "), ("open", '[{"file_upload":"ep1"},{"a'),
+                       ("object", '{"x":[{"file_upload":"ep1"}]}'), ("late", " " * 40 + '[{"file_upload":"ep2"}]')):
+        (tmp_path / f"{name}.json").write_text(text)
+    for size in (7, 1 << 20):
+        found = A.read_exports(spark, str(tmp_path), size).orderBy("project_id", "task_pos").collect()
+        assert [(r.project_id, r.file_upload, r.corrupt) for r in found] == [
+            ("late", "ep2", None), ("open", "ep1", None), ("open", None, '{"a')]
+
+
 def test_task_lines_give_the_same_regions(spark, folder):
     def regions(tasks):
         rows = R.pivot_regions(A.results(tasks)).drop("first_pos", "task_pos").filter("project_id = 'demo'")

@@ -309,6 +309,25 @@ def episode_lines(episodes: DataFrame) -> DataFrame:
     return given.selectExpr("l1_output_file AS path", f"posexplode({lines}) AS (line_no, line)")
 
 
+# A name with quotes, backslashes, brackets and commas.
+ODD_NAME = """concat('x-ep', cast(o_orderkey % 30 AS string), ' [}], "', repeat(chr(92), cast(o_orderkey % 4 AS int)), '".mp4')"""
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`path, body` of a JSON array of tasks per customer; every seventh file has an object as root, every fifth is indented."""
+    task = F.expr("""concat('{"inner_id":', cast(o_orderkey AS string), ',"file_upload":', name,
+      ',"annotations":[{"result":[{"id":"r', cast(o_custkey AS string), '","from_name":"highlight_id","value":{"number":',
+      cast(o_orderkey % 9 AS string), ',"deep":[[1,{"a":"]"}]]}}]},{"result":[]}]}')""")
+    orders = table(spark, sf_dir, "orders").withColumn("name", F.expr(f"ltrim('[', rtrim(']', to_json(array({ODD_NAME}))))"))
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", task.alias("task")))).alias("t"))
+    between = F.when(F.col("o_custkey") % 5 == 0, ",\n    ").otherwise(",")
+    body = F.array_join(F.transform("t", lambda x: x["task"]), "\x00")
+    text = F.concat(F.lit(" ["), F.replace(body, F.lit("\x00"), between), F.lit("]\n"))
+    return lists.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".json")).alias("path"),
+                        F.when(F.col("o_custkey") % 7 == 0, F.concat(F.lit('{"tasks":'), text, F.lit("}"))).otherwise(text)
+                        .alias("body"))
+
+
 def status_log(events: DataFrame) -> DataFrame:
     """A save per event; errors save no source video."""
     return events.selectExpr(

@@ -644,6 +644,11 @@ ORACLES["ingest_stream"] = f"""
 WITH {PLAN.replace("SELECT * FROM planned", "")}
 SELECT * REPLACE (created AND NOT EXISTS (SELECT 1 FROM videos v WHERE v.media_id = p.media_id AND v.ext = '.mov') AS created)
 FROM planned p"""
+ORACLES["export_files"] = """
+SELECT cast(o_custkey AS varchar) AS project_id, o_orderkey AS inner_id,
+  concat('x-ep', o_orderkey % 30, ' [}], "', repeat(chr(92), cast(o_orderkey % 4 AS int)), '".mp4') AS file_upload,
+  concat('r', o_custkey) AS region_id, concat('{"number":', o_orderkey % 9, ',"deep":[[1,{"a":"]"}]]}') AS value_json
+FROM orders WHERE o_custkey % 7 <> 0"""
 ORACLES["listing_files"] = """
 WITH works AS (SELECT c_custkey, concat('src', c_custkey) AS media_id FROM customer),
 names AS (

@@ -186,6 +186,14 @@ def annotations_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.results(tasks).select("project_id", "task_pos", "inner_id", "file_upload", "region_id", "value_json")
 
 
+@query
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results from one JSON array per customer, read in blocks that are smaller than most tasks."""
+    root = I.placed_files(I.exports(spark, sf_dir), scratch_path(spark, "exports"))
+    return A.results(A.read_exports(spark, root, block_bytes=200)).select(
+        "project_id", "inner_id", "file_upload", "region_id", "value_json")
+
+
 @query
 def annotation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results whose value list is empty, among those of all line items."""
