@@ -2,7 +2,7 @@
 
 Intervals are sorted into levels by length; a level's cells are eight times as wide as those of the level below
 and at least as wide as its intervals. An interval is listed under the two or three cells it touches, a point
-under its cell at every level in use, and the two meet by an equi-join on the cell with the exact comparison as
+under its cell at every level that its key uses, and the two meet by an equi-join on the cell with the exact comparison as
 residual. A pair is met once, and the candidates of an interval all lie within a few of its own lengths.
 """
 
@@ -28,25 +28,22 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: list[str], star
     length = F.greatest((F.col(end) - F.col(start)).cast("double") / unit, F.lit(1.0))
     level = F.ceil(F.log(float(_FANOUT), length)).cast("int")
     spans = intervals.filter(F.col(end) > F.col(start)).withColumn("__level", level)
-    # One row per level in use: some forty at most.
-    used = (
-        spans.groupBy(*keys, "__level").agg(F.count(F.lit(1)).alias("__n"))
-        .groupBy("__level").agg(F.max("__n").alias("top")).collect()
-    )
-    levels = [row["__level"] for row in used] or [0]
+    # The levels of each key: a key with one long interval lists its own points once more, and no others.
+    counts = spans.groupBy(*keys, "__level").agg(F.count(F.lit(1)).alias("__n"))
+    levels = counts.groupBy(*keys).agg(F.collect_list("__level").alias("__levels"))
     limit = hot_rows(intervals.sparkSession)
     top = largest_group(points, keys) if points_at_most is None else points_at_most
-    hot = top > limit or max([row["top"] for row in used], default=0) > limit
+    hot = top > limit or (counts.agg(F.max("__n")).first()[0] or 0) > limit
 
     def cell(value, lvl):
         return F.floor(value / (F.lit(unit) * F.pow(F.lit(float(_FANOUT)), lvl)))
 
     touched = F.sequence(cell(F.col(start), F.col("__level")), cell(F.col(end), F.col("__level")))
     left = spans.withColumn("__cell", F.explode(touched))
-    own = [F.struct(F.lit(lvl).alias("l"), cell(F.col(at), F.lit(lvl)).alias("c")) for lvl in levels]
     right = (
-        points.withColumn("__own", F.explode(F.array(*own)))
-        .withColumns({"__level": F.col("__own.l"), "__cell": F.col("__own.c")}).drop("__own")
+        join_hot(points, levels, keys, left_at_most=top, right_at_most=1)
+        .withColumn("__level", F.explode("__levels")).drop("__levels")
+        .withColumn("__cell", cell(F.col(at), F.col("__level")))
     )
     on = [*keys, *_CELL]
     joined = join_hot(left, right, on) if hot else left.join(right, on)

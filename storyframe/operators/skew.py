@@ -137,6 +137,9 @@ def _sliced(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def _fits(df: DataFrame, group: list[str], at_most: int | None) -> bool:
+    if not group:
+        # a whole frame is never one task's
+        return False
     limit = hot_rows(df.sparkSession)
     return (at_most is not None and at_most <= limit) or largest_group(df, group) <= limit
 

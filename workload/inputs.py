@@ -290,6 +290,15 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "END AS l1_output_file")
 
 
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`query_id, query`: a search per supplier, of words of one to nine characters; some find nothing, two ask for nothing."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS query_id", """CASE s_suppkey % 6
+        WHEN 0 THEN concat('Episode ', cast(s_suppkey AS string)) WHEN 1 THEN concat('MER#0000  ', cast(s_suppkey % 10 AS string))
+        WHEN 2 THEN concat('sode ', cast(s_suppkey % 97 AS string), ' 0', cast(s_suppkey % 7 AS string))
+        WHEN 3 THEN concat(cast(s_suppkey AS string), ' zz') WHEN 4 THEN CASE WHEN s_suppkey = 4 THEN ' ' ELSE 'e 11 R#' END
+        ELSE CASE WHEN s_suppkey > 5 THEN concat('customer ode 1', cast(s_suppkey AS string)) END END AS query""")
+
+
 def annotation_bodies(episodes: DataFrame) -> DataFrame:
     """One annotation text per episode with one scene; one in five has none, one in nine is off by a chapter."""
     return episodes.selectExpr("asset_id", """CASE WHEN asset_id % 5 = 0 THEN NULL ELSE concat(

@@ -649,6 +649,30 @@ SELECT cast(o_custkey AS varchar) AS project_id, o_orderkey AS inner_id,
   concat('x-ep', o_orderkey % 30, ' [}], "', repeat(chr(92), cast(o_orderkey % 4 AS int)), '".mp4') AS file_upload,
   concat('r', o_custkey) AS region_id, concat('{"number":', o_orderkey % 9, ',"deep":[[1,{"a":"]"}]]}') AS value_json
 FROM orders WHERE o_custkey % 7 <> 0"""
+ORACLES["catalog_searches"] = f"""
+WITH {ASSETS},
+queries AS (
+  SELECT s_suppkey AS query_id, coalesce(CASE s_suppkey % 6 WHEN 0 THEN concat('Episode ', s_suppkey)
+    WHEN 1 THEN concat('MER#0000 ', s_suppkey % 10) WHEN 2 THEN concat('sode ', s_suppkey % 97, ' 0', s_suppkey % 7)
+    WHEN 3 THEN concat(s_suppkey, ' zz') WHEN 4 THEN CASE WHEN s_suppkey = 4 THEN '' ELSE 'e 11 R#' END
+    ELSE CASE WHEN s_suppkey > 5 THEN concat('customer ode 1', s_suppkey) END END, '') AS query
+  FROM supplier),
+texts AS (SELECT asset_id, lower(title) AS title, lower(media_title) AS work
+  FROM assets a JOIN media m ON m.media_id = a.media_id)
+SELECT query_id, count(*) AS n, min(asset_id) AS first_asset, cast(sum(asset_id) AS bigint) AS asset_sum
+FROM queries JOIN texts ON len(list_filter(string_split(lower(query), ' '),
+  lambda w: NOT (contains(title, w) OR contains(work, w)))) = 0
+GROUP BY query_id"""
+ORACLES["catalogue_by_id"] = f"""
+WITH {ASSETS}
+SELECT asset_id, media_id, title, l1_status FROM assets WHERE asset_id IN (SELECT 3 * conv_id + 1 FROM conversations)"""
+ORACLES["catalogue_upsert"] = f"""
+WITH {ASSETS}, filled AS (SELECT DISTINCT conv_id + 1 AS asset_id FROM conversations WHERE length(text) >= 40)
+SELECT a.asset_id, media_id, title, CASE WHEN f.asset_id IS NOT NULL THEN 'completed' ELSE l1_status END AS l1_status,
+  CASE WHEN f.asset_id IS NOT NULL THEN concat('l1_outputs/', a.asset_id, '_l1.ass') ELSE l1_output_file END
+    AS l1_output_file
+FROM assets a LEFT JOIN filled f ON f.asset_id = a.asset_id
+UNION ALL SELECT -1 - s_suppkey, s_suppkey, s_name, 'pending', NULL FROM supplier"""
 ORACLES["listing_files"] = """
 WITH works AS (SELECT c_custkey, concat('src', c_custkey) AS media_id FROM customer),
 names AS (

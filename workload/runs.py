@@ -17,13 +17,13 @@ from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.intervals import interval_join
 from storyframe.operators.skew import join_hot, largest_group
-from storyframe.plans import blueprint, catalogue, ingest, rejects, script, status
+from storyframe.plans import blueprint, catalogue, ingest, rejects, script, search, status
 from storyframe.session import cut_lineage, scratch_path
 from storyframe.sources import annotations as A
 from storyframe.sources import listing as U
 from storyframe.sources import sinks
 from storyframe.sources import subtitles as S
-from storyframe.sources.catalogue import invalid_values
+from storyframe.sources import catalogue as tables
 from storyframe.streaming import ingest as stream_ingest
 from storyframe.streaming import status as stream_status
 from workload import inputs as I
@@ -455,6 +455,46 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("asset_id", "media_id", "title", "media_title")
 
 
+@query
+def catalog_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the searches of all suppliers find among all episodes, through the index."""
+    rows = cut_lineage(catalogue.with_media(I.assets(spark, sf_dir), I.media(spark, sf_dir)).select(
+        "asset_id", "title", "media_title"))
+    fields = ["title", "media_title"]
+    postings = cut_lineage(search.index(rows, "asset_id", fields))
+    found = search.search(I.searches(spark, sf_dir), rows, postings, "asset_id", fields)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("asset_id").alias("first_asset"),
+                                         F.sum("asset_id").alias("asset_sum"))
+
+
+@query
+def catalogue_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes that the conversations name, from a table in buckets."""
+    path = scratch_path(spark, "catalogue")
+    tables.write_table(I.assets(spark, sf_dir), path, "asset_id", buckets=32)
+    ids = I.table(spark, sf_dir, "conversations").selectExpr("3 * conv_id + 1 AS asset_id")
+    return tables.by_ids(spark, path, ids, "asset_id", buckets=32).select("asset_id", "media_id", "title", "l1_status")
+
+
+@query
+def catalogue_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes after uploads of subtitles and some new episodes were put into the table, twice."""
+    path = scratch_path(spark, "catalogue")
+    episodes = I.assets(spark, sf_dir).select("asset_id", "media_id", "title", "l1_status", "l1_output_file")
+    tables.write_table(episodes, path, "asset_id", buckets=32)
+    turns = I.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id + 1 AS asset_id", "CASE WHEN length(text) < 40 THEN '' ELSE text END AS body")
+    before = tables.read_table(spark, path)
+    done = ingest.subtitle_upload(before, turns).join(turns.filter("body <> ''").select("asset_id"), "asset_id", "left_semi")
+    new = I.table(spark, sf_dir, "supplier").selectExpr(
+        "-1 - s_suppkey AS asset_id", "s_suppkey AS media_id", "s_name AS title", "'pending' AS l1_status",
+        "cast(NULL AS string) AS l1_output_file")
+    changed = cut_lineage(done.unionByName(new))
+    for _ in range(2):
+        tables.upsert(spark, path, changed, "asset_id", buckets=32)
+    return tables.read_table(spark, path)
+
+
 @query
 def asset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = catalogue.with_links(I.assets(spark, sf_dir), I.media(spark, sf_dir))
@@ -481,7 +521,7 @@ def invalid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     episodes = I.assets(spark, sf_dir).withColumns({
         "l1_status": F.expr("CASE asset_id % 5 WHEN 0 THEN 'Completed' WHEN 1 THEN NULL ELSE l1_status END"),
         "l2_l3_status": F.expr("CASE WHEN asset_id % 7 = 0 THEN '' ELSE l2_l3_status END")})
-    found = [invalid_values(rows).select(F.col(id_).alias("row_id"), _joined(F.col("invalid"), ",").alias("invalid"))
+    found = [tables.invalid_values(rows).select(F.col(id_).alias("row_id"), _joined(F.col("invalid"), ",").alias("invalid"))
              for rows, id_ in ((works, "media_id"), (episodes, "asset_id"))]
     return found[0].unionByName(found[1])
 
