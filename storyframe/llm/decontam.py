@@ -8,21 +8,27 @@ word share one walk. Bit-sampling LSH takes the outputs at random steps as a key
 
 Every word of every document begins a window, and so does every word of an item that has `LEAST_CHARS` characters after
 it, so keys are spread over its whole length; equal keys propose where the item would lie. One intact stretch anywhere in
-the passage is enough: about twenty characters in the first of `SETTINGS`, less in the later ones. The first setting is taken
-that finds at least `recall` of a sample of the items after as many random edits as `max_edits` allows. Each proposal is verified exactly: the smallest edit distance between the item and any piece of the text around
-that place must not exceed `max_edits` of the item's length.
+the passage is enough. A walk is looked up by its first steps, several times, and only what may match walks on. Items are sorted into
+classes by length, as shorter ones have fewer stretches; for each class the cheapest of `SETTINGS` is taken that finds at
+least `recall` of a sample of its items, drawn from all items, after as many random edits as `max_edits` allows. A class for
+which none does is compared with every part of every text. Proposals are verified exactly, many at a time: the smallest edit
+distance between the item and any piece of the text around that place must not exceed `max_edits` of the item's length.
+Items of fewer than `LEAST_CHARS` characters must stand in the text as they are, between white space.
 
 Items go to the tasks in blocks of at most `BLOCK_CHARS` characters, and documents are read once per block, so nothing
 unbounded is broadcast. A proposal is made and verified where the document lies: there is no shuffle.
 
-Defined cases: null texts are empty. Items of fewer than `LEAST_CHARS` characters after folding are too short to tell and
-match nothing. Items with null item_id are used like others. Repeated documents are reported each, equal items too.
+Defined cases: null texts are empty. Items without any character match nothing. Items with null item_id are used like others,
+and so are rows with a null doc_id. Repeated documents are reported each, equal items too. Of equally good places of an item in
+a document, the first counts. Long texts are read whole, and memory follows a slice, or one text if that is longer. Empty
+tables give no rows; other columns are ignored, and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,12 +40,23 @@ from storyframe.llm import _text as T
 
 STEPS, SAMPLED, REPEATS = 40, 24, 2
 # Steps, sampled steps and repeats, by rising recall and cost.
-SETTINGS = ((STEPS, SAMPLED, REPEATS), (32, 20, 4), (28, 18, 4), (24, 16, 4), (20, 14, 4))
+SETTINGS = ((STEPS, SAMPLED, REPEATS), (32, 20, 4), (28, 18, 4), (24, 16, 4), (20, 14, 4), (16, 12, 6), (13, 10, 8))
+# Characters from which an item is of the next class.
+CLASSES = (48, 96)
 RECALL, RECALL_ITEMS = 0.9, 200
 LEAST_CHARS = 24
 MAX_EDITS = 0.2
 BLOCK_CHARS = 4_000_000
-FILTER_BITS = 22
+FILTER_BITS = 18
+# Bytes around a place beside those that edits may add, for characters of several bytes.
+REACH = 16
+# Bytes of text that are searched at a time.
+SLICE_BYTES = 4 << 20
+WALKED = 1 << 15
+# Parts of a walk after which it is looked up.
+SCREENED = (0.2, 0.35, 0.6)
+# Pairs that are verified at a time.
+VERIFIED = 1 << 12
 _FOUND = "start long, end long, edits long"
 
 
@@ -51,21 +68,43 @@ class Walks:
         self.moves = random.integers(0, 2, (repeats, steps, 256), dtype=np.int32)
         self.sampled = [set(random.choice(steps, sampled, replace=False).tolist()) for _ in range(repeats)]
 
-    def keys(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """A key per repeat for the window that begins at each start; behind the end there are zeros."""
-        steps = self.moves.shape[1]
+    def keys(self, data: np.ndarray, start: np.ndarray, repeat: int, screens: tuple[np.ndarray, ...] = ()):
+        """(places in `start`, keys) of the windows that begin at `start`; behind the end are zeros.
+
+        `screens` have a bit per beginning of a key, one for each of `SCREENED`; windows that they rule out are left out.
+        """
+        moves, sampled = self.moves[repeat], self.sampled[repeat]
+        steps, salt = len(moves), T.stream(83, repeat + 1)[-1]
+        stops = {int(part * steps): screen for part, screen in zip(SCREENED, screens, strict=False)}
         padded = np.concatenate((data, np.zeros(steps, np.uint8)))
-        out = np.empty((len(self.moves), len(start)), np.uint64)
-        for r, moves in enumerate(self.moves):
-            at, key = start.astype(np.int32), np.zeros(len(start), np.uint64)
+        parts = []
+        for first in range(0, len(start), WALKED):
+            at = start[first:first + WALKED].astype(np.int32)
+            place, key = np.arange(first, first + len(at)), np.zeros(len(at), np.uint64)
             for step in range(steps):
+                if step in stops:
+                    kept = np.flatnonzero(stops[step][T.mix(key + salt) >> np.uint64(64 - FILTER_BITS)])
+                    at, place, key = at[kept], place[kept], key[kept]
                 char = padded[at]
-                if step in self.sampled[r]:
+                if step in sampled:
                     key *= np.uint64(0x100000001B3)
                     key += char
                 at += moves[step][char]
-            out[r] = T.mix(key + T.stream(83, r + 1)[-1])
-        return out
+            parts.append((place, T.mix(key + salt)))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+
+    def screens(self, data: np.ndarray, start: np.ndarray, repeat: int) -> tuple[np.ndarray, ...]:
+        """Bits of the keys of the first parts of the walks."""
+        out = []
+        for part in SCREENED:
+            begun = Walks.__new__(Walks)
+            begun.moves = self.moves[:, :int(part * self.moves.shape[1])]
+            begun.sampled = self.sampled
+            bits = np.zeros(1 << FILTER_BITS, bool)
+            bits[begun.keys(data, start, repeat)[1] >> np.uint64(64 - FILTER_BITS)] = True
+            out.append(bits)
+        return tuple(out)
 
 
 def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,33 +130,77 @@ def _ramp(length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
 
 
+def _class(chars: int) -> int:
+    """The class of an item of so many characters; -1 for those that are looked for as they are."""
+    return -1 if chars < LEAST_CHARS else sum(chars >= c for c in CLASSES)
+
+
+class Search(NamedTuple):
+    """Windows of the items of a class: the repeat's keys in order, whose they are, and how far into the item."""
+
+    walks: Walks
+    screens: list[tuple[np.ndarray, ...]]
+    keys: list[np.ndarray]
+    of: list[np.ndarray]
+    into: list[np.ndarray]
+
+
 class Items:
-    """Folded benchmark items with the keys of their windows."""
+    """Folded benchmark items, and how those of each class are looked for; a class without walks is compared throughout."""
 
-    def __init__(self, ids: list, texts: pa.Array, walks: Walks):
+    def __init__(self, ids: list, texts: pa.Array, walks: Walks | dict[int, Walks | None]):
+        if isinstance(walks, Walks):
+            walks = dict.fromkeys(range(len(CLASSES) + 1), walks)
         data, offsets, begin, of = folded(texts)
+        self.ids = ids
         self.texts = [data[a:b].tobytes().decode().rstrip(" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        long = np.array([len(t) >= LEAST_CHARS for t in self.texts], bool)
-        use = long[of] & ((offsets[of + 1] - begin >= LEAST_CHARS) | (begin == offsets[of]))
-        begin, of = begin[use], of[use]
-        keys = walks.keys(data, begin)
-        self.ids, self.walks = ids, walks
         self.sizes = np.diff(offsets)
-        order = np.argsort(keys.ravel(), kind="stable")
-        self.keys = keys.ravel()[order]
-        self.of = np.tile(of, len(keys))[order]
-        self.into = np.tile(begin - offsets[of], len(keys))[order]
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        kinds = np.array([_class(len(t)) for t in self.texts], np.int64)
+        self.searches, self.everywhere = [], []
+        for kind in sorted(set(kinds[kinds >= 0].tolist())):
+            if walks[kind] is None:
+                self.everywhere += np.flatnonzero(kinds == kind).tolist()
+                continue
+            use = (kinds[of] == kind) & ((offsets[of + 1] - begin >= LEAST_CHARS) | (begin == offsets[of]))
+            own, whose = begin[use], of[use]
+            found = [walks[kind].keys(data, own, r) for r in range(len(walks[kind].moves))]
+            order = [np.argsort(key, kind="stable") for _, key in found]
+            self.searches.append(Search(
+                walks[kind], [walks[kind].screens(data, own, r) for r in range(len(found))],
+                [k[1][o] for k, o in zip(found, order, strict=True)],
+                [whose[o] for o in order], [(own - offsets[whose])[o] for o in order]))
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i in np.flatnonzero(kinds < 0).tolist():
+            if text := self.texts[i].encode():
+                self.short.setdefault(len(text), {}).setdefault(text, []).append(i)
 
     def proposals(self, data: np.ndarray, begin: np.ndarray):
         """(word, item, bytes from the item's start to the word) of all windows with equal keys."""
-        for keys in self.walks.keys(data, begin):
-            hit = np.flatnonzero(self.maybe[keys >> np.uint64(64 - FILTER_BITS)])
-            low, high = (np.searchsorted(self.keys, keys[hit], side=side) for side in ("left", "right"))
-            times = high - low
-            entry = np.repeat(low, times) + _ramp(times)
-            yield np.repeat(hit, times), self.of[entry], self.into[entry]
+        for search in self.searches:
+            for repeat, screens in enumerate(search.screens):
+                word, keys = search.walks.keys(data, begin, repeat, screens)
+                own = search.keys[repeat]
+                low, high = (np.searchsorted(own, keys, side=side) for side in ("left", "right"))
+                times = high - low
+                entry = np.repeat(low, times) + _ramp(times)
+                yield np.repeat(word, times), search.of[repeat][entry], search.into[repeat][entry]
+
+    def as_they_are(self, data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, of: np.ndarray):
+        """(text, item, first byte) of the first place of each short item in each text that has it between white space."""
+        last = offsets[of + 1]
+        for size, texts in self.short.items():
+            fits = begin + size <= last
+            fits[fits] &= (begin[fits] + size == last[fits]) | (data[np.minimum(begin[fits] + size, len(data) - 1)] == 32)
+            at, owner = begin[fits], of[fits]
+            wanted = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, size)
+            hashes = T.spans_hash(wanted.ravel(), *(np.arange(len(wanted)) * size + k for k in (0, size)))
+            here = np.flatnonzero(np.isin(T.spans_hash(data, at, at + size), hashes))
+            seen = set()
+            for k in here.tolist():
+                for i in texts.get(data[at[k]:at[k] + size].tobytes(), []):
+                    if (int(owner[k]), i) not in seen:
+                        seen.add((int(owner[k]), i))
+                        yield int(owner[k]), i, int(at[k])
 
 
 def best_match(pattern: str, text: str) -> tuple[int, int]:
@@ -145,12 +228,96 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+@functools.lru_cache(maxsize=4096)
+def _table(pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a pattern in order, and for none and each of them the bits of the places it stands at, by words."""
+    codes = np.frombuffer(pattern.encode("utf-32-le"), np.uint32)
+    letters, number = np.unique(codes, return_inverse=True)
+    bits = np.zeros((len(letters) + 1, -(-len(codes) // 64) * 64), np.uint8)
+    bits[number + 1, np.arange(len(codes))] = 1
+    return letters, np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64).T.copy()
+
+
+def best_matches(pairs: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """`best_match` of all pairs, bit-parallel over many at a time."""
+    out = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (-(-len(pairs[k][0]) // 64), len(pairs[k][1])))
+    while order:
+        words, longest, chunk = -(-len(pairs[order[-1]][0]) // 64), len(pairs[order[-1]][1]), []
+        # pairs of like size go together, the largest first
+        while order and len(chunk) < VERIFIED:
+            pattern, piece = pairs[order[-1]]
+            if len(chunk) >= 64 and (len(pattern) <= 64 * (words - 1) or len(piece) < 0.75 * longest):
+                break
+            longest = max(longest, len(piece))
+            chunk.append(order.pop())
+        for k, found in zip(chunk, _matched([pairs[k] for k in chunk], words, longest), strict=True):
+            out[k] = found
+    return out
+
+
+def _matched(pairs: list[tuple[str, str]], words: int, longest: int) -> list[tuple[int, int]]:
+    n, one, high = len(pairs), np.uint64(1), np.uint64(63)
+    tables = [_table(pattern) for pattern, _ in pairs]
+    base = np.cumsum([0, *(t.shape[1] for _, t in tables)])
+    equal = np.zeros((words, base[-1]), np.uint64)
+    # behind a text stand characters that no pattern has; they bring no better match
+    text = np.tile(base[:-1], (longest, 1))
+    for k, ((letters, table), (_, piece)) in enumerate(zip(tables, pairs, strict=True)):
+        equal[:len(table), base[k]:base[k + 1]] = table
+        codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+        place = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+        text[:len(codes), k] += np.where(letters[place] == codes, place + 1, 0)
+    size = np.array([len(p) for p, _ in pairs])
+    top_word, top = (size - 1) >> 6, one << ((size - 1) & 63).astype(np.uint64)
+    last = top_word * n + np.arange(n)
+    distance, best, end = size.copy(), size.copy(), np.zeros(n, np.int64)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    eq, x, both, total, plus, minus = (np.empty((words, n), np.uint64) for _ in range(6))
+    for j in range(longest):
+        for w in range(words):
+            equal[w].take(text[j], out=eq[w])
+        np.bitwise_or(eq, down, out=x)
+        np.bitwise_and(eq, up, out=both)
+        np.add(both, up, out=total)
+        if words > 1:
+            over = total < both
+            for w in range(1, words):
+                total[w] += over[w - 1]
+                # a word of ones becomes nothing when one is carried into it
+                over[w] |= over[w - 1] & (total[w] == 0)
+        total ^= up
+        total |= eq
+        np.bitwise_or(total, up, out=plus)
+        np.invert(plus, out=plus)
+        plus |= down
+        np.bitwise_and(up, total, out=minus)
+        distance += (plus.take(last) & top) != 0
+        distance -= (minus.take(last) & top) != 0
+        if words > 1:
+            np.right_shift(plus, high, out=both)
+            np.right_shift(minus, high, out=total)
+        plus <<= one
+        minus <<= one
+        if words > 1:
+            plus[1:] |= both[:-1]
+            minus[1:] |= total[:-1]
+        np.bitwise_and(plus, x, out=down)
+        np.bitwise_or(x, plus, out=up)
+        np.invert(up, out=up)
+        up |= minus
+        better = distance < best
+        np.copyto(best, distance, where=better)
+        end[better] = j + 1
+    return list(zip(best.tolist(), end.tolist(), strict=True))
+
+
 def _search(shared, max_edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
             column = batch.column("text")
-            for a, b in T.slices(column):
+            for a, b in T.slices(column, SLICE_BYTES):
                 rows, which, starts, ends, edits = _verified(items, column.slice(a, b - a), max_edits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(a + np.array(rows, np.int64))),
@@ -168,35 +335,34 @@ def batch_id_type(items: Items) -> pa.DataType:
 def _verified(items: Items, column: pa.Array, max_edits: float):
     data, offsets, begin, of = folded(column)
     found: dict[tuple[int, int], set[int]] = {}
-    if len(items.keys) and len(begin):
-        for word, item, into in items.proposals(data, begin):
-            place = begin[word] - offsets[of[word]] - into
-            grid = np.maximum(items.sizes[item] // 4, 1)
-            spots = np.unique(np.stack((of[word], item, place // grid)), axis=1)
-            for text, i, spot in spots.T.tolist():
-                found.setdefault((text, i), set()).add(spot)
-    rows, which, starts, ends, edits = [], [], [], [], []
+    for word, item, into in items.proposals(data, begin) if len(begin) else ():
+        place = begin[word] - offsets[of[word]] - into
+        for text, i, spot in np.unique(np.stack((of[word], item, place)), axis=1).T.tolist():
+            found.setdefault((text, i), set()).add(spot)
+    for i in items.everywhere:
+        for text in np.unique(of).tolist():
+            found[text, i] = set(range(0, int(offsets[text + 1] - offsets[text]), max(int(items.sizes[i]), 1)))
+    regions = []
     for (text, i), spots in sorted(found.items()):
-        pattern, size = items.texts[i], int(items.sizes[i])
-        limit, grid = int(max_edits * len(pattern)), max(size // 4, 1)
-        whole = data[offsets[text]:offsets[text + 1]]
-        best = None
-        # neighbouring spots are one region; each region is the item's size and what edits may add, on both sides
-        for low, high in _regions(sorted(spots)):
-            reach = int(max_edits * size) + grid
-            x, y = max(low * grid - reach, 0), (high + 1) * grid + size + reach
-            piece = whole[x:y].tobytes().decode("utf-8", "ignore")
-            distance, end = best_match(pattern, piece)
-            if distance <= limit and (best is None or distance < best[0]):
-                back, tail = best_match(pattern[::-1], piece[:end][::-1])
-                before = len(whole[:x].tobytes().decode("utf-8", "ignore"))
-                best = distance, before + end - tail, before + end
-        if best:
-            rows.append(text)
-            which.append(i)
-            edits.append(best[0])
-            starts.append(best[1])
-            ends.append(best[2])
+        size, whole = int(items.sizes[i]), data[offsets[text]:offsets[text + 1]]
+        reach = int(max_edits * size) + REACH
+        # neighbouring places are one region; each region is the item's size and what edits may add, on both sides
+        for low, high in _regions(sorted(spots), max(size // 4, 1)):
+            x, y = max(low - reach, 0), high + size + reach
+            regions.append((text, i, x, whole[x:y].tobytes().decode("utf-8", "ignore")))
+    matches = best_matches([(items.texts[i], piece) for _, i, _, piece in regions])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for (text, i, x, piece), (distance, end) in zip(regions, matches, strict=True):
+        pattern = items.texts[i]
+        if distance <= int(max_edits * len(pattern)) and ((text, i) not in best or distance < best[text, i][0]):
+            tail = best_match(pattern[::-1], piece[:end][::-1])[1]
+            before = len(data[offsets[text]:offsets[text] + x].tobytes().decode("utf-8", "ignore"))
+            best[text, i] = distance, before + end - tail, before + end
+    for text, i, at in items.as_they_are(data, offsets, begin, of):
+        before = len(data[offsets[text]:at].tobytes().decode("utf-8", "ignore"))
+        best[text, i] = 0, before, before + len(items.texts[i])
+    rows, which = (list(x) for x in zip(*sorted(best), strict=True)) if best else ([], [])
+    edits, starts, ends = (list(x) for x in zip(*(best[k] for k in sorted(best)), strict=True)) if best else ([], [], [])
     return rows, which, starts, ends, edits
 
 
@@ -210,33 +376,31 @@ def edited(text: str, edits: int, random: np.random.Generator) -> str:
     return "".join(chars)
 
 
-def measured_recall(items: Items, max_edits: float) -> float:
-    """Share of a sample of items that are found after `max_edits` of their length in random edits."""
-    long = [i for i, t in enumerate(items.texts) if len(t) >= LEAST_CHARS]
-    sample = long[::-(-len(long) // RECALL_ITEMS) or 1]
+def measured_recall(texts: list[str], walks: Walks, max_edits: float) -> float:
+    """Share of `texts`, items of one class, that are found after `max_edits` of their length in random edits."""
+    if not texts:
+        return 1.0
+    items = Items(list(range(len(texts))), pa.array(texts, pa.string()), walks)
     random = np.random.default_rng(5)
-    column = pa.array([edited(items.texts[i], int(max_edits * len(items.texts[i])), random) for i in sample], pa.string())
+    column = pa.array([edited(t, int(max_edits * len(t)), random) for t in items.texts], pa.string())
     rows, which, *_ = _verified(items, column, max_edits)
-    return sum(sample[row] == i for row, i in zip(rows, which, strict=True)) / len(sample) if sample else 1.0
+    # equal items stand for each other
+    return len({row for row, i in zip(rows, which, strict=True) if items.texts[i] == items.texts[row]}) / len(texts)
 
 
-def tuned(ids: list, texts: pa.Array, max_edits: float, recall: float) -> Items:
-    """The items under the cheapest setting that meets `recall`, or else under the one that finds most."""
-    best, most = None, -1.0
-    for setting in SETTINGS:
-        items = Items(ids, texts, Walks(*setting))
-        share = measured_recall(items, max_edits)
-        if share > most:
-            best, most = items, share
-        if share >= recall:
-            break
-    return best
+def tuned(samples: dict[int, list[str]], max_edits: float, recall: float) -> dict[int, Walks | None]:
+    """For each class the walks of the cheapest setting that meets `recall` on its sample; None if none does."""
+    out = {}
+    for kind in range(len(CLASSES) + 1):
+        tried = (Walks(*setting) for setting in SETTINGS)
+        out[kind] = next((w for w in tried if measured_recall(samples.get(kind, []), w, max_edits) >= recall), None)
+    return out
 
 
-def _regions(spots: list[int]) -> Iterator[tuple[int, int]]:
+def _regions(spots: list[int], gap: int) -> Iterator[tuple[int, int]]:
     low = high = spots[0]
     for spot in spots[1:]:
-        if spot > high + 1:
+        if spot > high + gap:
             yield low, high
             low = spot
         high = spot
@@ -247,13 +411,20 @@ def _blocks(benchmark: DataFrame, block_chars: int, max_edits: float, recall: fl
     """Broadcasts of the items, a bounded number of characters each."""
     kind = _id_kind(benchmark)
     items = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # of each class a sample in order of hashes, whatever the blocks
+    chars = F.length("text")
+    limits = (LEAST_CHARS, *CLASSES, 2**31 - 1)
+    samples = {}
+    for number, (low, high) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
+        drawn = items.where((chars >= low) & (chars < high)).select("text").distinct().orderBy(F.xxhash64("text"), "text")
+        samples[number] = [row[0] for row in drawn.limit(RECALL_ITEMS).collect()]
+    walks = tuned({k: [t for t in texts if _class(len(" ".join(t.split()))) == k] for k, texts in samples.items()}, max_edits, recall)
+    total = items.agg(F.sum(chars)).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         texts = pa.concat_arrays(part["text"].chunks) if part.num_rows else pa.array([], pa.string())
-        yield benchmark.sparkSession.sparkContext.broadcast(
-            tuned(part["item_id"].to_pylist(), texts, max_edits, recall))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(part["item_id"].to_pylist(), texts, walks))
 
 
 def _id_kind(benchmark: DataFrame) -> str:
@@ -269,7 +440,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"doc_id long, item_id {_id_kind(benchmark)}, {_FOUND}"
     found = [slim.mapInArrow(_search(shared, max_edits), schema) for shared in _blocks(benchmark, block_chars, max_edits, recall)]
-    return reduce(DataFrame.union, found)
+    return functools.reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
@@ -284,7 +455,7 @@ def _holder(shared, max_edits: float):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         column, out = pa.array(texts, pa.string()), np.zeros(len(texts), bool)
-        for a, b in T.slices(column):
+        for a, b in T.slices(column, SLICE_BYTES):
             rows = _verified(shared.value, column.slice(a, b - a), max_edits)[0]
             out[a + np.array(rows, np.int64)] = True
         return pd.Series(out)
