@@ -20,9 +20,6 @@ from storyframe.session import scratch_path
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
-# A gauge gets two tables and which rows are alike, and returns the columns of `GAUGE` for each row of the first.
-Gauge = Callable[[pa.Table, pa.Table, np.ndarray], list[np.ndarray]]
-GAUGE = ("left", "right", "left_before", "right_before")
 VISITORS = 256
 
 
@@ -33,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for table in tables:
+        jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = jvm.java.net.URI(folder)
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of every node in `links` (a, b): class is the smallest node that links lead to.
 
@@ -46,9 +53,11 @@ def components(links: DataFrame) -> DataFrame:
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
                         "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        lower = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(lower.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        lower = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, edges = edges, written(lower.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # what a round has replaced is read no more
+        dropped(before, least, large, lowest)
         # decimal sums cannot overflow; equal sums and counts mean the round changed nothing
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
@@ -71,11 +80,11 @@ def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> D
 
 
 def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, block_rows: int = 256,
-                   block_weight: int = 200_000, gauge: Gauge | None = None) -> DataFrame:
-    """(node, class) of every item with a link; with a gauge also its columns, the largest over the links found.
+                   block_weight: int = 200_000) -> DataFrame:
+    """(node, class) of every item with a link.
 
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
-    needs, one row per node.
+    needs, one row per node. What is written on the way is deleted when the classes are there.
     """
     buckets = written(shared_buckets(sketches, block_rows, block_weight), "buckets")
     entries = written(sketches.select("node", F.explode("keys").alias("bucket")).join(buckets, "bucket"), "entries")
@@ -84,30 +93,23 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     payload = written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload")
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
-    links = compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare, gauge)
+    links = written(compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare), "links")
+    classes, used = components(links), [buckets, entries, payload, links]
     wide = entries.where("blocks > 1")
-    if wide.isEmpty():
-        return _gauged(components, links if gauge is None else written(links, "links"), gauge)
-    links = written(links, "links")
-    classes = components(links)
-    placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
-    open_buckets = written(sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"),
+    if not wide.isEmpty():
+        placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+        sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
+        open_buckets = written(sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"),
                                                            F.count(F.lit(1)).alias("classes")).where("classes > 1"), "open")
-    left = written(placed.join(open_buckets, "bucket"), "left")
-    if left.isEmpty():
-        return _gauged(lambda _: classes, links, gauge)
-    again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
-             .unionByName(_everywhere(left.where(F.col("class") != F.col("main")))))
-    more = compared(again, payload, compare, gauge)
-    return _gauged(components, links.union(more if gauge is None else written(more, "links")), gauge)
-
-
-def _gauged(classes: Callable[[DataFrame], DataFrame], links: DataFrame, gauge: Gauge | None) -> DataFrame:
-    if gauge is None:
-        return classes(links)
-    most = links.groupBy(F.col("a").alias("node")).agg(*[F.max(c).alias(c) for c in GAUGE])
-    return classes(links).join(most, "node", "left")
+        left = written(placed.join(open_buckets, "bucket"), "left")
+        used += [open_buckets, left]
+        if not left.isEmpty():
+            again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
+                     .unionByName(_everywhere(left.where(F.col("class") != F.col("main")))))
+            used.append(classes)
+            classes = components(links.union(compared(again, payload, compare)))
+    dropped(*used)
+    return classes
 
 
 def _leaders(entries: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def _everywhere(entries: DataFrame) -> DataFrame:
                           F.lit(1).alias("visit"))
 
 
-def compared(entries: DataFrame, payload: DataFrame, compare: Compare, gauge: Gauge | None = None) -> DataFrame:
+def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
     """Links (a, b) found by comparing, in each (bucket, block), its own items among themselves and with visitors."""
     rows = (entries.join(payload, "node").repartition("bucket", "block")
             .sortWithinPartitions("bucket", "block", "visit"))
@@ -135,20 +137,20 @@ def compared(entries: DataFrame, payload: DataFrame, compare: Compare, gauge: Ga
                 visit = part["visit"][0].as_py()
                 if k != key:
                     if own and not done:
-                        yield from _links(own, None, compare, gauge)
+                        yield from _links(own, None, compare)
                     key, own, done = k, [], False
                 if not visit:
                     own.append(part)
                 elif own:
                     if not done:
-                        yield from _links(own, None, compare, gauge)
+                        yield from _links(own, None, compare)
                         done = True
                     for at in range(0, part.num_rows, VISITORS):
-                        yield from _links(own, part.slice(at, VISITORS), compare, gauge)
+                        yield from _links(own, part.slice(at, VISITORS), compare)
         if own and not done:
-            yield from _links(own, None, compare, gauge)
+            yield from _links(own, None, compare)
 
-    return rows.mapInArrow(run, ", ".join(["a long, b long", *(f"{c} int" for c in GAUGE if gauge)]))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.Table]:
@@ -163,8 +165,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield table.slice(int(a), int(b - a))
 
 
-def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare,
-           gauge: Gauge | None = None) -> Iterator[pa.RecordBatch]:
+def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare) -> Iterator[pa.RecordBatch]:
     mine = pa.concat_tables(own).combine_chunks()
     a = mine["node"].to_numpy()
     if visitors is None:
@@ -172,25 +173,17 @@ def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare,
             return
         like = compare(mine, mine)
         nodes = a
-        like |= like.T
-        gauges = gauge(mine, mine, like) if gauge else []
     else:
         other = visitors.combine_chunks()
         nodes = np.concatenate((a, other["node"].to_numpy()))
         n = len(a)
         like = np.zeros((len(nodes), len(nodes)), bool)
         like[:n, n:] = compare(mine, other)
-        gauges = [np.concatenate(x) for x in zip(gauge(mine, other, like[:n, n:]), gauge(other, mine, like[:n, n:].T),
-                                                 strict=True)] if gauge else []
-        like |= like.T
+    like |= like.T
     label = _labels(like)
     joined = label != np.arange(len(nodes))
-    if gauge:
-        joined |= np.bincount(label, minlength=len(nodes)) > 1
     if joined.any():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[joined]), pa.array(nodes[label[joined]]), *(pa.array(x[joined], pa.int32()) for x in gauges)],
-            ["a", "b", *(GAUGE if gauge else ())])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[label[joined]])], ["a", "b"])
 
 
 def _labels(like: np.ndarray) -> np.ndarray:

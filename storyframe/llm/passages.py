@@ -4,20 +4,24 @@ Paragraphs here are windows of `WINDOW` words that begin at winnowed words: of a
 smallest hash begins a window. So a passage of WINDOW + GAP words has at least one window at the same words in every
 document, wherever it stands, and lines and sentences do not matter.
 
-The MinHash of a window's five-word shingles is banded with few registers per band, for high recall. What shares a key is
-verified: two windows are alike if the Jaccard likeness of their shingles is at least 0.8 and the texts around them agree
-for at least `MIN_WORDS` words in all, by ungapped extension in which a differing word costs five agreeing ones. Likeness
-links windows to classes. A window is extended by what verification found, the longest agreement over its links, up to
-`reach` words on each side: to any other document where the passage is kept, and to smaller doc_ids where it is not, so
-that all words that go stand in a smaller doc_id. A passage is a run of extended windows of a document that overlap or touch.
-In a bucket of more distinct surroundings than a block holds, a window's links are those to its block and to the leader.
-
-Texts are not shuffled for the search. Only windows that share keys are fetched, with their surroundings, and equal ones
-are compared once.
+1. Equal windows are one item, told apart by a hash of their words. The MinHash of an item's five-word shingles is banded with
+   few registers per band, for high recall; items that share a key and whose shingles have an exact Jaccard likeness of at least
+   0.8 are linked, and links join items to classes.
+2. Every window is held against the first document that has the same item, or else, if it is that document's own, against the
+   first document of its class. Windows of a document that lie as far from their counterparts in the same document are
+   one run. Only at the two ends of a run are words compared: it is extended by ungapped agreement, in which a differing
+   word costs five agreeing ones, by at most `reach` words. Runs of fewer than `MIN_WORDS` words are no passages.
+3. A passage is what runs of a document cover without a gap: all its words stand in a smaller doc_id. What the first document
+   of a class shares with others is reported as kept.
+
+Texts are not shuffled for the search: only holders of items that share keys, and documents with ends of runs, are fetched. No
+item is compared with more than the items that share its keys, and no window with more than one other.
 
 Defined cases: null texts are empty. A text shorter than a window has none. Copies of a document share all passages. A
 passage repeated within one document only is no repeat across documents and stays unmentioned. A document is a row's
-doc_id; rows with a null doc_id are left out, as they cannot be told apart.
+doc_id; rows with a null doc_id are left out, as they cannot be told apart, and rows that repeat a doc_id count as one document,
+of which each text is searched. Of several places in a document with the same item, the first is the counterpart. Long texts
+are read whole. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyframe.llm import _linking
@@ -84,172 +88,240 @@ def window_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return T.signed(T.mix(keys + T.stream(127, bands)))
 
 
+def _items(found: T.Words, at: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the words of each window."""
+    total = np.zeros(len(at), np.uint64)
+    for k, factor in enumerate(T.stream(131, window)):
+        total += found.hash[at + k] * factor
+    return T.mix(total)
+
+
 def _windows(window: int, gap: int, bands: int, rows: int):
+    """Per window its item, and with bands its keys, or else the first word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for a, b in T.slices(column):
                 found = T.words(column.slice(a, b - a))
                 at = anchors(found, window, gap)
-                keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows)
-                begin = np.cumsum(found.counts) - found.counts
+                owner = batch.column("doc_id").take(pa.array(a + found.text[at]))
+                item = pa.array(T.signed(_items(found, at, window)))
+                if bands:
+                    keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows)
+                    yield pa.RecordBatch.from_arrays([owner, item, *(pa.array(keys[:, k]) for k in range(bands))],
+                                                     ["doc_id", "node", *(f"k{k}" for k in range(bands))])
+                else:
+                    word = at - (np.cumsum(found.counts) - found.counts)[found.text[at]]
+                    yield pa.RecordBatch.from_arrays([owner, item, pa.array(word.astype(np.int32))],
+                                                     ["doc_id", "node", "word"])
+
+    return run
+
+
+def _asked(batch: pa.RecordBatch, a: int, b: int) -> tuple[T.Words, np.ndarray, list[np.ndarray]]:
+    """Words of the texts of a slice, the text of each place asked for, and the fields of the places."""
+    found = T.words(batch.column("text").slice(a, b - a))
+    places = batch.column("places").slice(a, b - a)
+    text = np.repeat(np.arange(b - a), np.diff(places.offsets.to_numpy()))
+    flat = places.flatten()
+    return found, text, [flat.field(k).to_numpy() for k in range(flat.type.num_fields)]
+
+
+def _hashes(found: T.Words, text: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """32 bits of the hashes of words, counted from the begin of their text; 0 outside of it."""
+    begin = (np.cumsum(found.counts) - found.counts)[text][:, None]
+    valid = (index >= 0) & (index < found.counts[text][:, None])
+    near = found.hash[np.clip(begin + index, 0, max(len(found.hash) - 1, 0))] >> np.uint64(32) if len(found.hash) else 0
+    return np.where(valid, near, 0).astype(np.uint32)
+
+
+def _flat(matrix: np.ndarray) -> pa.Array:
+    data, width = matrix.tobytes(), matrix.shape[1] * 4
+    return pa.array([data[i * width:(i + 1) * width] for i in range(len(matrix))], pa.binary())
+
+
+def _item_words(window: int):
+    """For windows asked for by first word and item: hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in T.slices(batch.column("text")):
+                found, text, (word, node) = _asked(batch, a, b)
+                here = found.counts[text] >= word + window
+                text, word, node = text[here], word[here], node[here]
+                start = (np.cumsum(found.counts) - found.counts)[text] + word
+                # of several texts with one doc_id only some hold the item there
+                same = T.signed(_items(found, start, window)) == node
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(a + found.text[at])),
-                     pa.array((at - begin[found.text[at]]).astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands),
-                                              pa.array(keys.ravel()))], ["doc_id", "word", "keys"])
+                    [pa.array(node[same]), _flat(_hashes(found, text[same], word[same][:, None] + np.arange(window)))],
+                    ["node", "words"])
 
     return run
 
 
-def _surroundings(window: int, reach: int, min_words: int):
-    """For the words asked for: hashes of the words from `reach` before to `reach` behind the window; 0 outside."""
+def _ends(reach: int):
+    """For runs asked for by first and last word: hashes of the `reach` words before and after them."""
+    before, after = np.arange(-reach, 0), np.arange(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, asked = batch.column("text"), batch.column("words")
-            for a, b in T.slices(column):
-                found = T.words(column.slice(a, b - a))
-                lists = asked.slice(a, b - a)
-                size = np.diff(lists.offsets.to_numpy())
-                text = np.repeat(np.arange(b - a), size)
-                word = lists.flatten().to_numpy()
-                begin = (np.cumsum(found.counts) - found.counts)[text]
-                index = (begin + word)[:, None] + np.arange(-reach, window + reach)
-                valid = (index >= begin[:, None]) & (index < (begin + found.counts[text])[:, None])
-                # with fewer words around it a window is part of no passage
-                enough = valid.sum(axis=1) >= min_words
-                text, word, index, valid = text[enough], word[enough], index[enough], valid[enough]
-                # 32 bits of each word's hash are enough to compare two windows
-                near = found.hash[np.clip(index, 0, max(len(found.hash) - 1, 0))] >> np.uint64(32)
-                flat = np.where(valid, near, np.uint64(0)).astype(np.uint32).tobytes()
-                width = index.shape[1] * 4
+            for a, b in T.slices(batch.column("text")):
+                found, text, (begin, end) = _asked(batch, a, b)
+                places = np.concatenate((begin[:, None] + before, end[:, None] + after), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(a + text)), pa.array(word, pa.int32()),
-                     pa.array([flat[i * width:(i + 1) * width] for i in range(len(text))], pa.binary()),
-                     pa.array(valid[:, :reach].sum(axis=1), pa.int32()),
-                     pa.array(valid[:, reach + window:].sum(axis=1), pa.int32())],
-                    ["doc_id", "word", "around", "room_left", "room_right"])
+                    [batch.column("doc_id").take(pa.array(a + text)), pa.array(begin), pa.array(end),
+                     _flat(_hashes(found, text, places))], ["doc_id", "begin", "end", "around"])
 
     return run
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint32) for x in table["around"].to_pylist()])
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint32) for x in column.to_pylist()])
 
 
-def extents(a: np.ndarray, b: np.ndarray, window: int, reach: int) -> np.ndarray:
-    """Words that agree around two aligned windows, for rows of `a` with rows of `b`: (left, right) extensions."""
-    gain = np.where((a == b) & (a != 0), 1, -COST).astype(np.int16)
-    out = np.zeros((2, *gain.shape[:-1]), np.int16)
-    for k, side in enumerate((gain[..., :reach][..., ::-1], gain[..., reach + window:])):
-        if side.shape[-1]:
-            total = np.cumsum(side, axis=-1, dtype=np.int16)
-            out[k] = np.where(total.max(axis=-1) > 0, total.argmax(axis=-1) + 1, 0)
+def extents(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """Words that agree before and after two runs, for rows of `a` with those of `b`: (left, right) extensions."""
+    gain = np.where((a == b) & (a != 0), 1, -COST).astype(np.int32)
+    out = np.zeros((2, len(gain)), np.int32)
+    for k, side in enumerate((gain[:, :reach][:, ::-1], gain[:, reach:])):
+        if side.size:
+            total = np.cumsum(side, axis=1)
+            out[k] = np.where(total.max(axis=1) > 0, total.argmax(axis=1) + 1, 0)
     return out
 
 
-def extents_of_links(window: int, reach: int) -> _linking.Gauge:
-    """Longest (left, right) extensions over links to other documents, then over links to smaller doc_ids."""
-
-    def gauge(a: pa.Table, b: pa.Table, like: np.ndarray) -> list[np.ndarray]:
-        (low_a, high_a), (low_b, high_b) = ((t["low"].to_numpy(), t["high"].to_numpy()) for t in (a, b))
-        i, j = np.nonzero(like)
-        across = (np.minimum(low_a[i], low_b[j]) < np.maximum(high_a[i], high_b[j]))
-        i, j = i[across], j[across]
-        left, right = _matrix(a), _matrix(b)
-        out = np.zeros((4, len(left)), np.int32)
-        for at in range(0, len(i), 1 << 13):
-            x, y = i[at:at + (1 << 13)], j[at:at + (1 << 13)]
-            sides = extents(left[x], right[y], window, reach)
-            before = low_b[y] < low_a[x]
-            for k in (0, 1):
-                np.maximum.at(out[k], x, sides[k])
-                np.maximum.at(out[2 + k], x[before], sides[k][before])
-        return list(out)
-
-    return gauge
-
-
-def windows_like(window: int, reach: int, min_words: int, least: float) -> _linking.Compare:
-    def shingle_rows(around: np.ndarray):
-        inner = around[:, reach:reach + window].astype(np.uint64)
-        weight = T.stream(11, SHINGLE)
-        total = sum(inner[:, k:window - SHINGLE + 1 + k] * weight[k] for k in range(SHINGLE))
-        rows = np.repeat(np.arange(len(inner)), total.shape[1])
-        rows, ids, _ = T.bag(rows, total.ravel())
+def _extended(reach: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = extents(_matrix(batch.column("own")), _matrix(batch.column("other")), reach)
+                kept = [batch.column(c) for c in ("doc_id", "partner", "diag", "class", "first_doc")]
+                begin, end = (batch.column(c).to_numpy() for c in ("begin", "end"))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(begin - left), pa.array(end + right)], _SPAN)
+
+    return run
+
+
+_SPAN = ["doc_id", "partner", "diag", "class", "first_doc", "begin", "end"]
+
+
+def windows_like(least: float) -> _linking.Compare:
+    """Jaccard likeness of the shingles of two windows of at least `least`."""
+
+    def shingle_rows(words: np.ndarray):
+        inner, weight = words.astype(np.uint64), T.stream(11, SHINGLE)
+        count = words.shape[1] - SHINGLE + 1
+        total = sum(inner[:, k:count + k] * weight[k] for k in range(SHINGLE))
+        rows, ids, _ = T.bag(np.repeat(np.arange(len(inner)), count), total.ravel())
         return rows, ids, np.bincount(rows, minlength=len(inner))
 
     def compare(a: pa.Table, b: pa.Table) -> np.ndarray:
-        left, right = _matrix(a), _matrix(b)
-        rows_a, ids_a, size_a = shingle_rows(left)
-        rows_b, ids_b, size_b = shingle_rows(right)
-        common = _linking.overlaps(rows_a, ids_a, len(left), rows_b, ids_b, len(right))
-        like = common * (1 + least) + 1e-6 >= least * (size_a[:, None] + size_b[None, :])
-        for i in range(0, len(left), 32):
-            like[i:i + 32] &= extents(left[i:i + 32, None], right[None], window, reach).sum(axis=0) + window >= min_words
-        return like
+        rows_a, ids_a, size_a = shingle_rows(_matrix(a["words"]))
+        rows_b, ids_b, size_b = (rows_a, ids_a, size_a) if a is b else shingle_rows(_matrix(b["words"]))
+        common = _linking.overlaps(rows_a, ids_a, len(size_a), rows_b, ids_b, len(size_b))
+        return common * (1 + least) + 1e-6 >= least * (size_a[:, None] + size_b[None, :])
 
     return compare
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS,
-                     likeness: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, word, class, first_doc, left, right): windows that windows of other documents are like.
+def _places(rows: DataFrame, texts: DataFrame, fields: list[str]) -> DataFrame:
+    """The texts of the documents in `rows`, each with the distinct places asked for."""
+    asked = rows.groupBy("doc_id").agg(F.collect_set(F.struct(*fields)).alias("places"))
+    return texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "places")
+
+
+def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likeness: float = LIKENESS, bands: int = BANDS,
+                   rows: int = ROWS) -> DataFrame:
+    """(doc_id, word, node, class, first_doc, low): windows whose class lies in several documents.
 
-    A window is given by its first word and by how many words more agree on its left and right.
+    `first_doc` is the smallest document of the class, `low` the smallest with the same item.
     """
-    reach = max(min_words - window, gap - 1, 0)
-    texts = docs.where("doc_id IS NOT NULL").select(
+    texts = _texts(docs)
+    keys = [f"k{k}" for k in range(bands)]
+    found = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, node long, " + ", ".join(f"{k} long" for k in keys))
+    items = _linking.written(found.groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.max(k).alias(k) for k in keys]), "items")
+    each = items.select("node", "low", F.explode(F.array(*keys)).alias("bucket"))
+    # first the keys alone, then what holds the few that are shared
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    sketches = _linking.written(
+        each.join(shared.hint("merge"), "bucket").groupBy("node", "low").agg(F.collect_set("bucket").alias("keys"))
+        .withColumn("weight", F.lit(window).cast("long")), "sketches")
+    # the words of an item are looked up in one document that holds it
+    holders = texts.join(sketches.select(F.col("low").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    placed = holders.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
+    wanted = placed.join(sketches.select("node", F.col("low").alias("doc_id")).hint("merge"), ["node", "doc_id"])
+    words = (_places(wanted, texts, ["word", "node"]).mapInArrow(_item_words(window), "node long, words binary")
+             .groupBy("node").agg(F.first("words").alias("words")))
+    classes = _linking.linked_classes(sketches.select("node", "weight", "keys"), words, windows_like(likeness))
+    of = items.select("node", "low", "high").join(classes.hint("merge"), "node", "left").where(
+        "low < high OR class IS NOT NULL").withColumn("class", F.coalesce("class", "node"))
+    across = of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
+        "first_doc < last_doc").drop("last_doc")
+    active = _linking.written(of.select("node", "low", "class").join(across.hint("merge"), "class"), "active")
+    every = texts.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
+    return _linking.written(every.join(active.hint("merge"), "node"), "placed")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    windows = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, word int, keys array<long>")
-    each = windows.select("doc_id", "word", F.explode("keys").alias("bucket"))
-    # first the keys alone, added up before the shuffle, then what holds the few that are shared
-    shared = (each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"),
-                                         F.max("doc_id").alias("high"))
-              .where("n > 1 AND low < high").select("bucket"))
-    entries = _linking.written(each.join(shared.hint("merge"), "bucket"), "entries")
-    asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    around = _linking.written(
-        texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "words")
-        .mapInArrow(_surroundings(window, reach, min_words), "doc_id long, word int, around binary, room_left int, room_right int")
-        .withColumn("node", F.xxhash64("around")), "windows")
-    # equal surroundings are one item
-    nodes = (entries.join(around.select("doc_id", "word", "node"), ["doc_id", "word"])
-             .groupBy("node").agg(F.collect_set("bucket").alias("keys")))
-    sketches = nodes.select("node", F.lit(window).cast("long").alias("weight"), "keys")
-    holders = around.groupBy("node").agg(F.first("around").alias("around"), F.min("doc_id").alias("low"),
-                                         F.max("doc_id").alias("high"))
-    classes = _linking.linked_classes(sketches, holders, windows_like(window, reach, min_words, likeness),
-                                      block_rows=128, gauge=extents_of_links(window, reach))
-    placed = _linking.written(
-        around.select("doc_id", "word", "node", "room_left", "room_right").distinct()
-        .join(holders.select("node", "low", "high"), "node").join(classes, "node", "left")
-        .withColumn("class", F.coalesce("class", "node")), "placed")
-    across = (placed.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-              .where("first_doc < last_doc").select("class", "first_doc"))
-
-    def side(name: str) -> Column:
-        # documents with equal surroundings agree as far as the texts were looked at
-        kept = F.when(F.col("low") < F.col("high"), F.col(f"room_{name}")).otherwise(F.col(name))
-        gone = F.when(F.col("low") < F.col("doc_id"), F.col(f"room_{name}")).otherwise(F.col(f"{name}_before"))
-        return F.coalesce(F.when(F.col("doc_id") == F.col("first_doc"), kept).otherwise(gone), F.lit(0)).alias(name)
-
-    return placed.join(across, "class").select("doc_id", "word", "class", "first_doc", side("left"), side("right"))
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """(doc_id, partner, diag, class, first_doc, begin, end): words that a document shares with its `partner`.
+
+    They stand `diag` words further on in the document. Words are counted from 0, `end` is the first one behind.
+    """
+    placed = shared_windows(docs, window, gap, **options)
+    # counterparts: the first place of the item in its first document, or of the class in its
+    same = placed.where("doc_id = low").groupBy("node").agg(F.min("word").alias("place"))
+    near = placed.where("doc_id = first_doc").groupBy("class").agg(F.min("word").alias("place"))
+    copies = placed.where("doc_id > low").join(same.hint("merge"), "node").withColumn("partner", F.col("low"))
+    others = placed.where("doc_id = low").join(near.hint("merge"), "class").withColumn("partner", F.col("first_doc"))
+    pairs = copies.select(others.columns).union(others).withColumn("diag", F.col("word") - F.col("place")).where(
+        "doc_id <> partner OR diag <> 0")
+    order = Window.partitionBy("doc_id", "partner", "diag").orderBy("word")
+    apart = F.coalesce(F.col("word") - F.lag("word").over(order) > gap, F.lit(True))
+    numbered = pairs.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = _linking.written(numbered.groupBy("doc_id", "partner", "diag", "run").agg(
+        F.min("class").alias("class"), F.min("first_doc").alias("first_doc"), F.min("word").cast("long").alias("begin"),
+        (F.max("word") + window).cast("long").alias("end")).withColumn("diag", F.col("diag").cast("long")).drop("run"), "runs")
+    reach = max(min_words - window, gap - 1, 0)
+    there = (F.col("begin") - F.col("diag")).alias("begin"), (F.col("end") - F.col("diag")).alias("end")
+    asked = runs.select("doc_id", "begin", "end").union(runs.select(F.col("partner").alias("doc_id"), *there))
+    ends = _linking.written(
+        _places(asked, _texts(docs), ["begin", "end"]).mapInArrow(_ends(reach), "doc_id long, begin long, end long, around binary")
+        .groupBy("doc_id", "begin", "end").agg(F.first("around").alias("around")), "ends")
+    own = ends.withColumnRenamed("around", "own")
+    other = ends.select(F.col("doc_id").alias("partner"), F.col("begin").alias("from"), F.col("end").alias("to"),
+                        F.col("around").alias("other"))
+    both = runs.withColumns({"from": F.col("begin") - F.col("diag"), "to": F.col("end") - F.col("diag")}) \
+        .join(own.hint("merge"), ["doc_id", "begin", "end"]).join(other.hint("merge"), ["partner", "from", "to"])
+    shape = ", ".join(f"{c} long" for c in _SPAN)
+    found = both.select("doc_id", "partner", "diag", "class", "first_doc", "begin", "end", "own", "other")
+    return _linking.written(found.mapInArrow(_extended(reach), shape).where(F.col("end") - F.col("begin") >= min_words), "spans")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """(doc_id, first_word, n_words, class_id, first_doc, keep) per passage, in words of the document.
 
-    `keep` marks passages whose windows appear in no smaller doc_id; the others are what deduplication removes.
+    `keep` marks passages of the first document of their class; the others are what deduplication removes.
     """
-    found = repeated_windows(docs, window, **options).withColumn("keep", F.col("doc_id") == F.col("first_doc"))
-    spans = found.withColumns({"begin": F.col("word") - F.col("left"), "end": F.col("word") + window + F.col("right")})
-    order = Window.partitionBy("doc_id", "keep").orderBy("begin", "word")
+    runs = repeated_runs(docs, window, **options)
+    gone = runs.where("doc_id <> first_doc").withColumn("keep", F.lit(False))
+    stays = runs.where("partner = first_doc").withColumns({
+        "begin": F.col("begin") - F.col("diag"), "end": F.col("end") - F.col("diag"), "doc_id": F.col("partner"),
+        "keep": F.lit(True)})
+    spans = gone.union(stays.select(gone.columns))
+    order = Window.partitionBy("doc_id", "keep").orderBy("begin", "end", "class")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("begin") > reached, F.lit(True))
-    runs = spans.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "keep", "run").agg(
+    joined = spans.select("doc_id", "keep", "begin", "end", "class", "first_doc").distinct().withColumn(
+        "run", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy("doc_id", "keep", "run").agg(
         F.min("begin").alias("first_word"), (F.max("end") - F.min("begin")).alias("n_words"),
         F.min("class").alias("class_id"), F.min("first_doc").alias("first_doc")).select(
         "doc_id", "first_word", "n_words", "class_id", "first_doc", "keep")
