@@ -20,7 +20,11 @@ from storyframe.session import scratch_path
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
+# Are rows i of a table of items like its rows j?
+Pairs = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
 VISITORS = 256
+# Items of a bucket whose pairs are told together with those of other buckets.
+FEW = 12
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -80,8 +84,8 @@ def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> D
 
 
 def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, block_rows: int = 256,
-                   block_weight: int = 200_000) -> DataFrame:
-    """(node, class) of every item with a link.
+                   block_weight: int = 200_000, pairs: Pairs | None = None) -> DataFrame:
+    """(node, class) of every item with a link; with `pairs`, buckets of few items are compared many at a time.
 
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
     needs, one row per node. What is written on the way is deleted when the classes are there.
@@ -93,7 +97,7 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     payload = written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload")
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
-    links = written(compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare), "links")
+    links = written(compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare, pairs), "links")
     classes, used = components(links), [buckets, entries, payload, links]
     wide = entries.where("blocks > 1")
     if not wide.isEmpty():
@@ -107,7 +111,7 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
             again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
                      .unionByName(_everywhere(left.where(F.col("class") != F.col("main")))))
             used.append(classes)
-            classes = components(links.union(compared(again, payload, compare)))
+            classes = components(links.union(compared(again, payload, compare, pairs)))
     dropped(*used)
     return classes
 
@@ -124,7 +128,7 @@ def _everywhere(entries: DataFrame) -> DataFrame:
                           F.lit(1).alias("visit"))
 
 
-def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
+def compared(entries: DataFrame, payload: DataFrame, compare: Compare, pairs: Pairs | None = None) -> DataFrame:
     """Links (a, b) found by comparing, in each (bucket, block), its own items among themselves and with visitors."""
     rows = (entries.join(payload, "node").repartition("bucket", "block")
             .sortWithinPartitions("bucket", "block", "visit"))
@@ -132,6 +136,9 @@ def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, done = None, [], False
         for batch in batches:
+            if pairs:
+                batch, few = _few(batch)
+                yield from _paired(few, pairs)
             for part in _runs(batch):
                 k = (part["bucket"][0].as_py(), part["block"][0].as_py())
                 visit = part["visit"][0].as_py()
@@ -153,6 +160,34 @@ def compared(entries: DataFrame, payload: DataFrame, compare: Compare) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _few(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.Table]:
+    """The rows of a batch without, and those of, blocks of few items that lie in it as a whole."""
+    keys = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "block")]
+    new = np.ones(batch.num_rows, bool)
+    if batch.num_rows:
+        new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+    at = np.append(np.flatnonzero(new), batch.num_rows)
+    size = np.diff(at)
+    whole = (size <= FEW) & (at[:-1] > 0) & (at[1:] < batch.num_rows)
+    visits = np.add.reduceat(batch.column("visit").to_numpy(), at[:-1]) if batch.num_rows else np.zeros(0)
+    few = np.repeat(whole & (visits == 0), size)
+    return batch.filter(pa.array(~few)), pa.Table.from_batches([batch.filter(pa.array(few))])
+
+
+def _paired(items: pa.Table, pairs: Pairs) -> Iterator[pa.RecordBatch]:
+    """Links of all like pairs of items in one bucket and block."""
+    items = items.combine_chunks()
+    bucket, block, node = (items[c].to_numpy() for c in ("bucket", "block", "node"))
+    for step in range(1, FEW):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & (block[step:] == block[:-step]))
+        if not len(i):
+            break
+        for at in range(0, len(i), 1 << 14):
+            a = i[at:at + (1 << 14)]
+            like = pairs(items, a, a + step)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[like]]), pa.array(node[a[like] + step])], ["a", "b"])
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.Table]:
     table = pa.Table.from_batches([batch])
     keys = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "block", "visit")]

@@ -40,7 +40,7 @@ WINDOW, GAP = 24, 27
 MIN_WORDS = 50
 SHINGLE = 5
 LIKENESS = 0.8
-BANDS, ROWS = 3, 2
+BANDS, ROWS = 2, 3
 COST = 5
 
 
@@ -97,7 +97,7 @@ def _items(found: T.Words, at: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(window: int, gap: int, bands: int, rows: int):
-    """Per window its item, and with bands its keys, or else the first word."""
+    """Per window its item and first word, and with bands its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,14 +107,11 @@ def _windows(window: int, gap: int, bands: int, rows: int):
                 at = anchors(found, window, gap)
                 owner = batch.column("doc_id").take(pa.array(a + found.text[at]))
                 item = pa.array(T.signed(_items(found, at, window)))
-                if bands:
-                    keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows)
-                    yield pa.RecordBatch.from_arrays([owner, item, *(pa.array(keys[:, k]) for k in range(bands))],
-                                                     ["doc_id", "node", *(f"k{k}" for k in range(bands))])
-                else:
-                    word = at - (np.cumsum(found.counts) - found.counts)[found.text[at]]
-                    yield pa.RecordBatch.from_arrays([owner, item, pa.array(word.astype(np.int32))],
-                                                     ["doc_id", "node", "word"])
+                word = (at - (np.cumsum(found.counts) - found.counts)[found.text[at]]).astype(np.int32)
+                keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows) if bands else np.zeros((len(at), 0))
+                yield pa.RecordBatch.from_arrays(
+                    [owner, item, pa.array(word), *(pa.array(keys[:, k]) for k in range(bands))],
+                    ["doc_id", "node", "word", *(f"k{k}" for k in range(bands))])
 
     return run
 
@@ -225,6 +222,26 @@ def windows_like(least: float) -> _linking.Compare:
     return compare
 
 
+def pairs_like(least: float) -> _linking.Pairs:
+    """The same for pairs of rows of one table."""
+
+    def like(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        words, back = np.unique(np.concatenate((i, j)), return_inverse=True)
+        inner, weight = _matrix(table["words"].take(pa.array(words))).astype(np.uint64), T.stream(11, SHINGLE)
+        count = inner.shape[1] - SHINGLE + 1
+        total = np.sort(sum(inner[:, k:count + k] * weight[k] for k in range(SHINGLE)), axis=1)
+        # a shingle that comes again in its window counts once
+        first = np.ones(total.shape, bool)
+        first[:, 1:] = total[:, 1:] != total[:, :-1]
+        a, b = back[:len(i)], back[len(i):]
+        common = np.zeros(len(i), np.int64)
+        for k in range(count):
+            common += first[a, k] & (total[a, k, None] == total[b]).any(axis=1)
+        return common * (1 + least) + 1e-6 >= least * (first[a].sum(axis=1) + first[b].sum(axis=1))
+
+    return like
+
+
 def _places(rows: DataFrame, texts: DataFrame, fields: list[str]) -> DataFrame:
     """The texts of the documents in `rows`, each with the distinct places asked for."""
     asked = rows.groupBy("doc_id").agg(F.collect_set(F.struct(*fields)).alias("places"))
@@ -239,24 +256,28 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likene
     """
     texts = _texts(docs)
     keys = [f"k{k}" for k in range(bands)]
-    found = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, node long, " + ", ".join(f"{k} long" for k in keys))
+    found = texts.mapInArrow(_windows(window, gap, bands, rows), "doc_id long, node long, word int, " + ", ".join(
+        f"{k} long" for k in keys))
+    # of an item's places in its first document any will do, as all hold the same words
     items = _linking.written(found.groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.max(k).alias(k) for k in keys]), "items")
-    each = items.select("node", "low", F.explode(F.array(*keys)).alias("bucket"))
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("word", "doc_id").alias("word"),
+        *[F.max(k).alias(k) for k in keys]), "items")
+    each = items.select("node", "low", "high", "word", F.explode(F.array(*keys)).alias("bucket"))
     # first the keys alone, then what holds the few that are shared
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     sketches = _linking.written(
-        each.join(shared.hint("merge"), "bucket").groupBy("node", "low").agg(F.collect_set("bucket").alias("keys"))
-        .withColumn("weight", F.lit(window).cast("long")), "sketches")
-    # the words of an item are looked up in one document that holds it
-    holders = texts.join(sketches.select(F.col("low").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    placed = holders.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
-    wanted = placed.join(sketches.select("node", F.col("low").alias("doc_id")).hint("merge"), ["node", "doc_id"])
-    words = (_places(wanted, texts, ["word", "node"]).mapInArrow(_item_words(window), "node long, words binary")
+        each.join(shared.hint("merge"), "bucket").groupBy("node", "low", "high", "word")
+        .agg(F.collect_set("bucket").alias("keys")).withColumn("weight", F.lit(window).cast("long")), "sketches")
+    # the words of an item are looked up in the first document that holds it
+    words = (_places(sketches.select(F.col("low").alias("doc_id"), "word", "node"), texts, ["word", "node"])
+             .mapInArrow(_item_words(window), "node long, words binary")
              .groupBy("node").agg(F.first("words").alias("words")))
-    classes = _linking.linked_classes(sketches.select("node", "weight", "keys"), words, windows_like(likeness))
-    of = items.select("node", "low", "high").join(classes.hint("merge"), "node", "left").where(
-        "low < high OR class IS NOT NULL").withColumn("class", F.coalesce("class", "node"))
+    classes = _linking.linked_classes(sketches.select("node", "weight", "keys"), words, windows_like(likeness),
+                                      pairs=pairs_like(likeness))
+    whole = ["node", "low", "high"]
+    of = items.where("low < high").select(whole).unionByName(sketches.where("low = high").select(whole))
+    of = of.join(classes.hint("merge"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
+        "class", F.coalesce("class", "node"))
     across = of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
         "first_doc < last_doc").drop("last_doc")
     active = _linking.written(of.select("node", "low", "class").join(across.hint("merge"), "class"), "active")
