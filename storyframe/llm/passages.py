@@ -40,7 +40,7 @@ WINDOW, GAP = 24, 27
 MIN_WORDS = 50
 SHINGLE = 5
 LIKENESS = 0.8
-BANDS, ROWS = 2, 3
+BANDS, ROWS = 3, 2
 COST = 5
 
 
