@@ -185,7 +185,38 @@ def test_mix(docs, empty):
     assert all(abs(taken[s] - targets[s]) <= 0.1 * targets[s] + 8 for s in names)
     spans = mixing.mix_spans(docs, block_words=4, shard_blocks=16)
     assert spans.agg(F.sum("words")).first()[0] == sum(taken.values())
-    assert mixing.mix_report(empty).count() == 0
+    assert mixing.mix_report(empty).count() == 0 and mixing.mix_spans(empty).count() == 0
+
+
+@pytest.mark.parametrize("stratum, bytes_", [(4096, 8 << 20), (2, 0)])
+def test_mix_follows_its_draw(docs, sizes, monkeypatch, stratum, bytes_):
+    """Shards are full, totals near the plan, and words taken are those of the blocks drawn; with strata and salts too."""
+    monkeypatch.setattr(mixing, "SMALL_BYTES", bytes_)
+    found = mixing.sized(docs)
+    sources = mixing.targets(found)
+    packed = [r for r in mixing.pack(found, sources).collect()]
+    plan = {r.number: r for r in sources.collect()}
+    drawn = mixing.slots(sources, 4, 16, 1, stratum=stratum).collect()
+    blocks = {k: -(-r.source_size // 4) for k, r in plan.items()}
+    wanted = {k: round(r.target * blocks[k] / r.source_size) if r.source_size else 0 for k, r in plan.items()}
+    per_source, per_shard = (collections.Counter(r[c] for r in drawn) for c in ("number", "shard"))
+    full = sum(wanted.values()) // 16
+    short = [k for k in range(full) if per_shard[k] != 16]
+    # places stay empty only where a source is used up
+    assert sum(16 - per_shard[k] for k in short) <= full and max(per_shard.values()) <= 16
+    for k, total in wanted.items():
+        assert abs(per_source[k] - total) <= 3 * (full + 1) ** 0.5 + 1 and per_source[k] <= 3 * blocks[k]
+        assert sorted(r.slot for r in drawn if r.number == k) == list(range(per_source[k]))
+    times = collections.Counter((r.number, r.block) for r in drawn)
+    for k in plan:
+        each = [times[k, b] for b in range(blocks[k])]
+        assert not each or max(each) - min(each) <= 1
+    if stratum == 4096:
+        want = sorted(sum(times[r.number, (r.begin + i) // 4] for i in range(r.size)) for r in packed)
+        got = mixing.mix_report(docs, block_words=4, shard_blocks=16)
+        assert sorted(r.taken for r in got.collect()) == want
+        other = mixing.mix_report(docs, block_words=4, shard_blocks=7)
+        assert sorted(r.taken for r in other.collect()) != want
 
 
 def test_passages(spark, empty):
