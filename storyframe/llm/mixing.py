@@ -45,7 +45,7 @@ STRATUM = 4096  # sources that a shard draws together
 SHARDS_AT_ONCE = 64  # shards that one row draws
 TASK_SHARDS, TASK_SLOTS = 1 << 10, 1 << 17  # shards and slots of a task
 SMALL_BYTES = 8 << 20  # of a table of sources that is broadcast
-SLICE_DOCS = 1 << 15  # documents that are packed together
+SLICE_DOCS = 1 << 11  # documents that are packed together
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,8 +96,7 @@ def pack(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     placed = _attached(named, known, ["none", "name"]).select(
         "number", "doc_id", "size", "text_hash", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("slices")).alias("slice"))
     slices = placed.groupBy("number", "slice").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("number", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    offsets = running_total(slices, ["number"], ["slice"], "words", "offset").drop("words")
     inside = (Window.partitionBy("number", "slice").orderBy("doc_id", "text_hash")
               .rowsBetween(Window.unboundedPreceding, -1))
     return (placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
