@@ -10,10 +10,9 @@ registers agree with a chance equal to the weighted likeness. A document stops d
 
 Bands of five registers give bucket keys; `_linking` compares what shares one, on the whole texts, exactly.
 
-Defined cases: a null text reads as an empty one, and equal texts are copies, empty ones too. With `light`, as the queries
-and the pipeline call it, bags of any size take part; without it, bags of fewer than four shingles are like equal texts
-only. Texts without words have no shingles and are copies if equal. Rows are told apart by doc_id and text; repeated rows share a class and `kept` leaves
-one. A null doc_id comes after all others. Columns other than doc_id and text are not looked at.
+Defined cases: a null text reads as an empty one, and equal texts are copies, empty ones too. Bags of any size take part.
+Texts without words have no shingles and are copies if equal. Rows are told apart by doc_id and text; repeated rows share a class
+and `kept` leaves one. A null doc_id comes after all others. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ from storyframe.session import cut_lineage
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 26, 5
-# Without `light`, lighter bags count as copies only if their texts are equal.
-LIGHT = 4
 
 
 def bag_signatures(text: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -73,7 +70,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return T.signed(T.mix(total + T.stream(37, bands)))
 
 
-def _sketch(bands: int, rows: int, size: int, least: int):
+def _sketch(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
@@ -81,10 +78,9 @@ def _sketch(bands: int, rows: int, size: int, least: int):
                 n = b - a
                 text, value, count = T.bag(*T.shingles(T.words(column.slice(a, n)), size))
                 weight = np.bincount(text, weights=count, minlength=n).astype(np.int64)
-                heavy = weight[text] >= least
-                signature = bag_signatures(text[heavy], value[heavy], count[heavy], n, bands * rows)
+                signature = bag_signatures(text, value, count, n, bands * rows)
                 keys = band_keys(signature, rows).ravel()
-                has = weight >= least
+                has = weight > 0
                 offsets = np.concatenate(([0], np.cumsum(has * bands))).astype(np.int32)
                 keys = keys.reshape(n, bands)[has].ravel()
                 yield pa.RecordBatch.from_arrays(
@@ -118,7 +114,7 @@ def bag_like(size: int, likeness: float) -> _linking.Compare:
 
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, light: bool = False) -> DataFrame:
+                    rows: int = ROWS) -> DataFrame:
     """(doc_id, node, class_id, class_size, keep) for each row; node is the hash of the text.
 
     class_id is the smallest doc_id of the class and `keep` marks its rows (equal rows all carry the mark, see `kept`).
@@ -127,7 +123,7 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, size: int = SHI
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
         "node", F.xxhash64("text"))
     sketches = cut_lineage(texts.mapInArrow(
-        _sketch(bands, rows, size, 1 if light else LIGHT), "doc_id long, node long, weight long, keys array<long>"))
+        _sketch(bands, rows, size), "doc_id long, node long, weight long, keys array<long>"))
     nodes = sketches.where(F.size("keys") > 0).dropDuplicates(["node"]).select("node", "weight", "keys")
     payload = texts.select("node", "text").dropDuplicates(["node"])
     classes = _linking.linked_classes(nodes, payload, bag_like(size, likeness))

@@ -74,7 +74,7 @@ def near_classes(rows, least=0.8):
 
     for a, b in itertools.combinations(range(len(rows)), 2):
         both, either = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
-        if (rows[a][1] or "") == (rows[b][1] or "") or (either >= 4 and both / either >= least):
+        if (rows[a][1] or "") == (rows[b][1] or "") or (either and both / either >= least):
             parent[max(root(a), root(b))] = min(root(a), root(b))
     ids = collections.defaultdict(list)
     for i in range(len(rows)):
@@ -101,7 +101,7 @@ def test_short_texts_are_near_duplicates_in_query_and_pipeline(spark, tmp_path):
     got = {r.doc_id: r.class_id for r in queries.REGISTRY["op3_near_duplicates"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 7, 10: 10, 11: 10}
     assert corpus_pipeline.drop_near_copies(spark, frame, "").count() == 7
-    loose = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, likeness=0.65, light=True).collect()}
+    loose = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, likeness=0.65).collect()}
     assert loose[6] == 4 and loose[3] == 3
 
 
