@@ -62,6 +62,13 @@ def test_urls(spark):
     assert (got["a://b://c"].host, got["a://b://c"].path) == ("b:", "//c")
 
 
+def test_urls_follow_the_rules_of_the_contract(spark):
+    verdicts = {"a://x.com/en/1": "block", "a://www.example.com/en/7": "allow", "a://x.net/de/8": "allow",
+                "a://example.net/de/7": "allow", "a://www.example.net/de/81": "block", "a://x.org/es/": "block"}
+    pages = spark.createDataFrame([(u,) for u in verdicts], "url string")
+    assert {r.url: r.verdict for r in urlfilter.filter_urls(pages, queries.URL_RULES).collect()} == verdicts
+
+
 def near_classes(rows, least=0.8):
     bags = [collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else
             collections.Counter() for _, t, *_ in rows]
