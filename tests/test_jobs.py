@@ -11,6 +11,7 @@ from storyframe.sources import listing as U
 from storyframe.sources import sinks
 from storyframe.streaming import ingest as stream_ingest
 from storyframe.streaming import status as stream_status
+from workload import inputs
 
 LOG = "asset_id bigint, ts bigint, seq bigint, status string, source_video string"
 EXISTING = "media_id string, sequence_number bigint, asset_id string, title string"
@@ -77,6 +78,20 @@ def test_stream_equals_the_batch_for_saves_within_the_lateness(spark, tmp_path,
     assert listed(stream_status.changes(spark, folder, "status"), *columns) == listed(status.changes(log), *columns)
 
 
+def test_a_wave_is_one_micro_batch_however_many_parts_its_log_has(spark, tmp_path):
+    log = spark.range(6000).repartition(20).selectExpr(
+        "id % 2 AS asset_id", "1000 * id AS ts", "id AS seq", "cast(id div 7 % 3 AS string) AS status", "'x' AS source_video")
+    lateness, files = inputs.arrived_log(log, str(tmp_path / "log"))
+    waves = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "log"))
+    query = stream_status.track(waves, str(tmp_path / "state"), FOLLOWED, lateness)
+    query.awaitTermination()
+    # the waves, the heartbeat, and what waits for the watermark of the heartbeat
+    assert query.lastProgress["batchId"] + 1 <= inputs.WAVES + 3
+    columns = ["asset_id", "ts", "seq", "status", "previous_status"]
+    assert listed(stream_status.changes(spark, str(tmp_path / "state"), "status"), *columns) == listed(
+        status.changes(log), *columns)
+
+
 def test_saves_wait_and_late_ones_are_listed(spark, tmp_path):
     second = 1_000_000
     folder = followed(spark, [[(1, 10 * second, 1, "a", ""), (1, 20 * second, 2, "b", "")], [(2, 40 * second, 3, "z", "")],
