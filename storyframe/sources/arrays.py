@@ -4,12 +4,14 @@ A file is cut into blocks of bytes. What a block means depends on how it is ente
 one behind a backslash. So each block of a file of several is first told for all three: how it is left, and how much deeper.
 Going through these summaries in order gives the state and depth at which each block really begins. Then every block is cut
 at the commas of depth one; it owns the elements that begin in it, and reads on for the last one. Files of one block are
-read once, others twice.
+read once, others twice. Blocks that follow each other go to one task up to a limit of bytes, which opens their file once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyframe.session import cut_lineage
 from storyframe.sources.listing import file_system, qualified
 
 BLOCK_BYTES = 32 << 20
@@ -94,8 +97,9 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
     `position` is the byte at which an element begins. A file whose root is no array has no elements.
     """
     root = qualified(spark, path)
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-             .load(path).select("path", "length"))
+    # Spark plans a task for every few files, however small, so the listing is brought to few tasks and written once.
+    files = cut_lineage(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+                        .load(path).select("path", "length").coalesce(4 * spark.sparkContext.defaultParallelism))
     count = F.greatest(F.ceil(F.col("length") / block_bytes), F.lit(1))
     total = files.agg(F.sum(count)).first()[0] or 1
     # a given number of partitions stays as it is, however small the rows are
@@ -105,8 +109,16 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
     known = blocks.filter(single).withColumns({"state": F.lit(OUTSIDE), "depth": F.lit(0).cast("bigint")})
     several = blocks.filter(~single)
 
-    def opened(file: str, system, base: str):
-        return system.open_input_file(base + file[len(root):])
+    run = F.col("block") - F.col("block") % max(TASK_BYTES // block_bytes, 1)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "path", run).sortWithinPartitions("path", "block")
+
+    def opened(batch: pa.RecordBatch, system, base: str) -> Iterator[tuple[dict, pa.NativeFile]]:
+        """The rows of a batch with their files, each of which is open as long as rows of it follow."""
+        for file, rows in groupby(batch.to_pylist(), itemgetter("path")):
+            with system.open_input_file(base + file[len(root):]) as stream:
+                yield from ((row, stream) for row in rows)
 
     told_of = [f"{k}{state}" for state in range(3) for k in ("state", "depth")] + ["first"]
     names = ["path", "length", "block", *told_of]
@@ -115,36 +127,37 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
         system, base = file_system(root)
         for batch in batches:
             rows = []
-            for file, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                with opened(file, system, base) as stream:
-                    data = np.frombuffer(stream.read_at(block_bytes, block * block_bytes), np.uint8)
+            for row, stream in opened(batch, system, base):
+                data = np.frombuffer(stream.read_at(block_bytes, row["block"] * block_bytes), np.uint8)
                 first = data.tobytes().lstrip(_BLANK)[:1]
                 rows.append([*(x for state in (OUTSIDE, INSIDE, ESCAPED) for x in summary(data, state)),
                              first[0] if first else None])
             added = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
 
-    def composed(table: pa.Table) -> pa.Table:
-        """One row per block of a file: its summaries in order tell how each is entered. None if the root is no array."""
-        table = table.sort_by("block")
-        if next((c for c in table["first"].to_pylist() if c is not None), None) != ord("["):
-            table = table.slice(0, 0)
-        found = [list(zip(table[f"state{s}"].to_pylist(), table[f"depth{s}"].to_pylist(), strict=True)) for s in range(3)]
-        state, depth, out = OUTSIDE, 0, []
-        for i in range(table.num_rows):
-            out.append((state, depth))
-            state, deeper = found[state][i]
-            depth += deeper
-        states, depths = zip(*out, strict=True) if out else ((), ())
-        return table.select(["path", "length", "block"]).append_column("state", pa.array(states, pa.int32())) \
-            .append_column("depth", pa.array(depths, pa.int64()))
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How each block is entered, from the summaries of a file in order. No block from where the root proves to be no array."""
+        file, state, depth, root_byte = None, OUTSIDE, 0, None
+        for batch in batches:
+            kept, states, depths = [], [], []
+            for i, row in enumerate(batch.to_pylist()):
+                if row["path"] != file:
+                    file, state, depth, root_byte = row["path"], OUTSIDE, 0, None
+                root_byte = row["first"] if root_byte is None else root_byte
+                if root_byte in (None, ord("[")):
+                    kept.append(i)
+                    states.append(state)
+                    depths.append(depth)
+                state, depth = row[f"state{state}"], depth + row[f"depth{state}"]
+            blocks = batch.select(["path", "length", "block"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*blocks.columns, pa.array(states, pa.int32()), pa.array(depths, pa.int64())],
+                                             ["path", "length", "block", "state", "depth"])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(root)
         for batch in batches:
-            for row in batch.to_pylist():
-                with opened(row["path"], system, base) as stream:
-                    places, texts = _owned(stream, row["block"] * block_bytes, block_bytes, row["state"], row["depth"])
+            for row, stream in opened(batch, system, base):
+                places, texts = _owned(stream, row["block"] * block_bytes, block_bytes, row["state"], row["depth"])
                 if places:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["path"]] * len(places)), pa.array(places, pa.int64()), pa.array(texts)],
@@ -152,10 +165,10 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
 
     if not several.isEmpty():
         shape = "path string, length bigint, block bigint, " + ", ".join(f"{c} bigint" for c in told_of)
-        sums = several.repartition(tasks).mapInArrow(summed, shape)
-        entered = sums.groupBy("path").applyInArrow(composed, "path string, length bigint, block bigint, state int, depth bigint")
+        sums = dealt(several).mapInArrow(summed, shape).repartition(tasks, "path").sortWithinPartitions("path", "block")
+        entered = sums.mapInArrow(composed, "path string, length bigint, block bigint, state int, depth bigint")
         known = known.unionByName(entered)
-    return known.repartition(tasks).mapInArrow(told, "path string, position bigint, body string")
+    return dealt(known).mapInArrow(told, "path string, position bigint, body string")
 
 
 def _owned(stream, start: int, size: int, state: int, depth: int) -> tuple[list[int], list[str]]:
