@@ -13,6 +13,7 @@ from storyframe.functions import labels as L
 from storyframe.functions import text as T
 from storyframe.functions.timecode import label_seconds
 from storyframe.operators.skew import numbered
+from storyframe.session import hot_rows
 
 REGION_KEY = ["project_id", "task_pos", "region_id"]
 # Order in which the regions of a project are visited.
@@ -42,22 +43,30 @@ def flattened(results: DataFrame) -> DataFrame:
     return parsed.withColumn("flat", L.flat_value(F.col("value_json"), F.col("parsed")))
 
 
-def pivot_regions(results: DataFrame) -> DataFrame:
+def pivot_regions(results: DataFrame, at_most: int | None = None) -> DataFrame:
     """One row per region, the last value of each attribute winning.
 
     Results are first brought down to the last one per region and attribute. The vocabulary is fixed and other
-    names share one entry, so a region then has a bounded number of rows, however many results it had.
+    names share one entry, so a region then has a bounded number of rows, however many results it had. If `at_most`, a bound
+    on the results of a region, tells that none is hot, results are shuffled by region once, before both steps.
     """
     pos, parsed = F.col("result_pos"), F.col("parsed")
-    known = F.col("from_name").isin("region_type", *S.FLAT_ATTRIBUTES, *S.TEXT_ATTRIBUTES)
+    name = F.col("from_name")
+    known = name.isin("region_type", *S.FLAT_ATTRIBUTES, *S.TEXT_ATTRIBUTES)
     timed = parsed["start"].isNotNull() & parsed["end"].isNotNull()
     rows = flattened(with_chapter(results)).select(
         *REGION_KEY, "inner_id", "chapter_id", "result_pos",
-        F.when(known, F.col("from_name")).otherwise("").alias("name"),
-        F.when(timed, F.struct(pos.alias("pos"), parsed["start"].alias("start"), parsed["end"].alias("end")))
-        .alias("times"),
-        F.struct("flat", parsed["labels"].alias("labels"), parsed["text"].alias("texts")).alias("value"),
+        F.when(known, name).otherwise("").alias("name"),
+        F.when(timed, F.struct(parsed["start"].alias("start"), parsed["end"].alias("end"))).alias("span"),
+        # of a value, what its attribute is read for
+        F.struct(F.when(name.isin(S.FLAT_ATTRIBUTES), F.col("flat")).alias("flat"),
+                 F.when(name == "region_type", parsed["labels"]).alias("labels"),
+                 F.when(name.isin(S.TEXT_ATTRIBUTES), parsed["text"]).alias("texts")).alias("value"),
     )
+    if at_most is not None and at_most <= hot_rows(results.sparkSession):
+        rows = rows.repartition(*REGION_KEY)
+    rows = rows.withColumn("times", F.when(F.col("span").isNotNull(), F.struct(
+        pos.alias("pos"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))))
     task = [F.min("inner_id").alias("inner_id"), F.min("chapter_id").alias("chapter_id")]
     last = rows.groupBy(*REGION_KEY, "name").agg(
         *task, F.min("result_pos").alias("first_pos"), F.max("times").alias("times"),

@@ -210,6 +210,24 @@ def test_exports_in_blocks_of_any_size(spark, folder, tmp_path):
             ("late", "ep2", None), ("open", "ep1", None), ("open", None, '{"a')]
 
 
+def test_blocks_are_dealt_by_file_from_one_listing(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"inner_id": j} for j in range(i % 5)]))
+    found = arrays.elements(spark, str(tmp_path), block_bytes=20)
+    assert found.count() == sum(i % 5 for i in range(300))
+    plan = found._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "GroupsInArrow" not in plan and "RoundRobin" not in plan
+
+
+def test_regions_that_are_not_hot_are_shuffled_once(spark, folder):
+    results = A.results(A.read_exports(spark, str(folder / "exports")))
+    found = [R.pivot_regions(results, at_most) for at_most in (None, 100)]
+    plan = found[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "RepartitionByExpression [project_id" not in (
+        found[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect())) != []
+
+
 def test_task_lines_give_the_same_regions(spark, folder):
     def regions(tasks):
         rows = R.pivot_regions(A.results(tasks)).drop("first_pos", "task_pos").filter("project_id = 'demo'")
