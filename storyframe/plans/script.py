@@ -21,7 +21,7 @@ from storyframe.operators import regions as R
 from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.skew import join_hot, largest_group, running_total, with_previous
-from storyframe.session import cut_lineage
+from storyframe.session import cut_lineage, scratch_path
 from storyframe.sources import annotations as A
 from storyframe.sources import subtitles as S
 
@@ -278,12 +278,16 @@ def documents(script: Script, max_bytes: int = FRAGMENT_BYTES) -> DataFrame:
     if max_bytes < 8:
         raise ValueError("a fragment needs eight bytes or more")
     group, order = ["project_id"], ["section", "k1", "k2", "k3"]
-    pieces = document_pieces(script)
-    linked = with_previous(pieces, group, order, {"before": "section"})
+    # The pieces are written once, since they are also counted.
+    spark, path = script.scenes.sparkSession, scratch_path(script.scenes.sparkSession, "pieces")
+    document_pieces(script).write.option("compression", "zstd").parquet(path)
+    pieces = spark.read.parquet(path)
+    top = largest_group(pieces, group)
+    linked = with_previous(pieces, group, order, {"before": "section"}, at_most=top)
     follows = F.col("opens") & F.coalesce(F.col("before") == F.col("section"), F.lit(False))
     texts = linked.withColumn("text", F.concat(_comma(follows), F.col("text"))).filter("text <> ''").select(
         *group, *order, "text", F.octet_length("text").alias("size"))
-    located = running_total(texts, group, order, "size", "at")
+    located = running_total(texts, group, order, "size", "at", at_most=top)
     # A character belongs to the fragment in which it begins, so up to three bytes of it lie beyond.
     step = max_bytes - 3
     ends = F.col("at") + F.col("size")

@@ -255,6 +255,11 @@ def test_fragments_of_any_size_are_one_document(spark, folder, sizes):
         script.documents(made, 7)
 
 
+def test_pieces_of_documents_are_made_once(spark, folder):
+    plan = script.documents(built(spark, folder), 500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+
+
 def test_documents_of_large_scenes_and_chapters(spark):
     """A scene with 1,001 children of a kind, a chapter of 1,001 scenes, and texts of up to four bytes a character."""
     scenes = spark.range(1, 1002).selectExpr(
