@@ -1,7 +1,8 @@
 """Search of many queries in a catalogue through an index of trigrams.
 
-The index lists for each run of up to three characters the rows that hold it. A query is looked up by its rarest runs: rows
-must be listed under each of them, and only those are compared with all its words. A word of one or two characters is a
+The index lists for each run of up to three characters the rows that hold it. A query is looked up by its rarest runs, but not
+by one that is much more frequent than the first: rows must be listed under each of them, and only those are compared with all
+its words. A word of one or two characters is a
 run itself, so no length needs a scan.
 """
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from storyframe.operators.skew import join_hot
 
 LONGEST = 3
-# Runs of a query that are looked up.
+# Runs of a query that are looked up, at most, and how many times the rows of the rarest one the others may have.
 RAREST = 3
+MORE = 2
 
 
 def _runs(text: Column, sizes: list[int]) -> Column:
@@ -41,6 +43,11 @@ def words(query: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: w != ""))
 
 
+def normal(query: Column) -> Column:
+    """The words of a query in order with a blank between them; queries that are equal in this form find the same rows."""
+    return F.array_join(F.array_sort(words(query)), " ")
+
+
 def _query_runs(found: Column) -> Column:
     """What a row must be listed under: the trigrams of longer words, shorter words, or the empty run without any words."""
     own = F.flatten(F.transform(found, lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(_runs(w, [LONGEST]))))
@@ -54,18 +61,19 @@ def search(queries: DataFrame, rows: DataFrame, postings: DataFrame, key: str, f
     `queries` has `query_id` and `query`, one row per id; `postings` is the `index` of `rows`, best a written table.
     """
     asked = queries.select("query_id", words(F.col("query")).alias("words"))
-    runs = asked.select("query_id", F.explode(_query_runs(F.col("words"))).alias("run"))
+    runs = asked.select("query_id", "words", F.explode(_query_runs(F.col("words"))).alias("run"))
     # how many rows each run of the queries is listed for
     held = postings.join(runs.select("run").distinct(), "run", "left_semi").groupBy("run").agg(
         F.count(F.lit(1)).alias("n"))
-    chosen = runs.join(held, "run", "left").groupBy("query_id").agg(
+    chosen = runs.join(held, "run", "left").groupBy("query_id", "words").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))), 1, rarest).alias("runs"))
-    wanted = chosen.select("query_id", F.size("runs").alias("wanted"), F.explode("runs.run").alias("run"))
-    listed = join_hot(postings, wanted, ["run"]).groupBy("query_id", key).agg(
+    rare = F.filter("runs", lambda r: r["n"] <= MORE * F.get("runs", F.lit(0))["n"])
+    wanted = chosen.select("query_id", "words", F.size(rare).alias("wanted"), F.explode(rare["run"]).alias("run"))
+    listed = join_hot(postings, wanted, ["run"]).groupBy("query_id", "words", key).agg(
         F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted")).filter("n = wanted")
     texts = rows.select(key, *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"__{i}") for i, f in enumerate(fields)])
-    candidates = join_hot(listed.select("query_id", key), texts, [key], right_at_most=1)
-    judged = join_hot(candidates, asked, ["query_id"], right_at_most=1)
+    # a row is listed at most once for each query
+    judged = join_hot(listed.select("query_id", "words", key), texts, [key], left_at_most=queries.count(), right_at_most=1)
 
     def inside(word: Column) -> Column:
         return reduce(Column.__or__, [F.contains(F.col(f"__{i}"), word) for i in range(len(fields))])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from storyframe.operators.intervals import interval_join
 from storyframe.operators.skew import numbered, running_total
 from storyframe.plans import catalogue, search
+from storyframe.session import cut_lineage
 from storyframe.sources import catalogue as tables
 
 SCHEMA = "id long, title string, status string"
@@ -83,6 +84,18 @@ def test_search_through_the_index_equals_the_scan(spark):
         assert found == want and len(found) > 900
 
 
+def test_queries_of_equal_words_have_one_form_and_frequent_runs_are_not_looked_up(spark):
+    asked = spark.createDataFrame([(1, "b  A"), (2, " a B\tb"), (3, None), (4, " ")], "query_id long, query string")
+    assert [r[0] for r in asked.orderBy("query_id").select(search.normal(F.col("query"))).collect()] == ["a b", "a b", "", ""]
+    rows = spark.range(100).selectExpr("id", "concat('common ', 100 + id) AS title")
+    postings = cut_lineage(search.index(rows, "id", ["title"]))
+    found = search.search(spark.createDataFrame([(1, "common 142")], "query_id long, query string"), rows, postings, "id", ["title"])
+    assert rows_of(found) == [(1, 42)]
+    # the index tells of one row for "142"; the runs of "common" have all rows
+    listed = found._jdf.queryExecution().toString()
+    assert "filter(runs" in listed
+
+
 def test_a_long_interval_repeats_only_the_points_of_its_key(spark):
     spans = [(k, i, float(i), i + 1.0) for k in range(20) for i in range(10)] + [(0, 99, 0.0, 1e9)]
     intervals = spark.createDataFrame(spans, "k long, span long, begin double, stop double")
