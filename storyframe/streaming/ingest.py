@@ -25,19 +25,19 @@ class Listing(StatefulProcessor):
     """The names of a work's files and the turns in which they came."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.names = handle.getMapState("names", "name string", "turn bigint")
+        self.names = handle.getListState("names", "name string, turn bigint")
         self.turns = handle.getValueState("turns", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         turn = (self.turns.get() or (0,))[0]
         arrived = {row["name"] for row in rows}
-        fresh = [name for name in sorted(arrived) if not self.names.containsKey((name,))]
+        held = [tuple(row) for row in self.names.get()] if turn else []
+        fresh = [(name, turn) for name in arrived.difference(name for name, _ in held)]
         if not fresh:
             return
-        for name in fresh:
-            self.names.updateValue((name,), (turn,))
+        self.names.appendList(fresh)
         self.turns.update((turn + 1,))
-        for (name,), (came,) in self.names.iterator():
+        for name, came in held + fresh:
             yield Row(media_id=key[0], name=name, turn=came, fresh=came == turn)
 
     def close(self) -> None:

@@ -151,6 +151,36 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     assert arrive() == second
 
 
+def test_the_files_of_a_work_take_few_steps_of_state():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+        def update(self, row):
+            calls.append("update")
+            self.rows = row
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows = self.rows + rows
+
+    names, turns = State(), State()
+    turns.rows = None
+    listing = stream_ingest.Listing()
+    listing.init(type("Handle", (), {"getListState": lambda *_: names, "getValueState": lambda *_: turns})())
+    first = list(listing.handleInputRows(("m",), iter([{"name": f"ep{i % 100}.mp4"} for i in range(200)]), None))
+    second = list(listing.handleInputRows(("m",), iter([{"name": "ep7.mp4"}, {"name": "ep100.mp4"}]), None))
+    assert len(first) == 100 and all(r.turn == 0 and r.fresh for r in first) and len(calls) <= 8
+    assert len(second) == 101 and [(r.name, r.turn) for r in second if r.fresh] == [("ep100.mp4", 1)]
+    assert list(listing.handleInputRows(("m",), iter([{"name": "ep7.mp4"}]), None)) == []
+
+
 def test_folders_are_listed_with_their_files(spark, tmp_path):
     for name in ("a/ep1.mp4", "a/_ep2.mp4", "a/sub/ep3.mp4", "a/.hidden", "b +1/ep1.srt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
