@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.session import scratch_path
+from storyframe.session import written
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -27,13 +27,6 @@ VISITORS = 256
 FEW = 12
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder; unlike a checkpoint it carries no constraints on from round to round."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of written tables that nothing reads any more."""
     for table in tables:
@@ -68,7 +61,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("class"))
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).union(roots), "classes")
+    classes = written(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).union(roots), "classes")
+    dropped(edges)
+    return classes
 
 
 def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> DataFrame:

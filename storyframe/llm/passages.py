@@ -262,27 +262,32 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likene
     items = _linking.written(found.groupBy("node").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("word", "doc_id").alias("word"),
         *[F.max(k).alias(k) for k in keys]), "items")
-    each = items.select("node", "low", "high", "word", F.explode(F.array(*keys)).alias("bucket"))
-    # first the keys alone, then what holds the few that are shared
+    whole = ["node", "low", "high"]
+    common = _linking.written(items.where("low < high").select(whole), "common")
+    each = items.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    # first the keys alone, then the items of the few that are shared, then what else is told of these items
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    keyed = each.join(shared.hint("merge"), "bucket").groupBy("node").agg(F.collect_set("bucket").alias("keys"))
     sketches = _linking.written(
-        each.join(shared.hint("merge"), "bucket").groupBy("node", "low", "high", "word")
-        .agg(F.collect_set("bucket").alias("keys")).withColumn("weight", F.lit(window).cast("long")), "sketches")
+        items.select(*whole, "word").join(keyed.hint("merge"), "node")
+        .withColumn("weight", F.lit(window).cast("long")), "sketches")
+    _linking.dropped(items)
     # the words of an item are looked up in the first document that holds it
     words = (_places(sketches.select(F.col("low").alias("doc_id"), "word", "node"), texts, ["word", "node"])
              .mapInArrow(_item_words(window), "node long, words binary")
              .groupBy("node").agg(F.first("words").alias("words")))
     classes = _linking.linked_classes(sketches.select("node", "weight", "keys"), words, windows_like(likeness),
                                       pairs=pairs_like(likeness))
-    whole = ["node", "low", "high"]
-    of = items.where("low < high").select(whole).unionByName(sketches.where("low = high").select(whole))
+    of = common.unionByName(sketches.where("low = high").select(whole))
     of = of.join(classes.hint("merge"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
         "class", F.coalesce("class", "node"))
     across = of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
         "first_doc < last_doc").drop("last_doc")
     active = _linking.written(of.select("node", "low", "class").join(across.hint("merge"), "class"), "active")
     every = texts.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
-    return _linking.written(every.join(active.hint("merge"), "node"), "placed")
+    placed = _linking.written(every.join(active.hint("merge"), "node"), "placed")
+    _linking.dropped(common, sketches, classes, active)
+    return placed
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -310,6 +315,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_wor
     runs = _linking.written(numbered.groupBy("doc_id", "partner", "diag", "run").agg(
         F.min("class").alias("class"), F.min("first_doc").alias("first_doc"), F.min("word").cast("long").alias("begin"),
         (F.max("word") + window).cast("long").alias("end")).withColumn("diag", F.col("diag").cast("long")).drop("run"), "runs")
+    _linking.dropped(placed)
     reach = max(min_words - window, gap - 1, 0)
     there = (F.col("begin") - F.col("diag")).alias("begin"), (F.col("end") - F.col("diag")).alias("end")
     asked = runs.select("doc_id", "begin", "end").union(runs.select(F.col("partner").alias("doc_id"), *there))
@@ -323,7 +329,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_wor
         .join(own.hint("merge"), ["doc_id", "begin", "end"]).join(other.hint("merge"), ["partner", "from", "to"])
     shape = ", ".join(f"{c} long" for c in _SPAN)
     found = both.select("doc_id", "partner", "diag", "class", "first_doc", "begin", "end", "own", "other")
-    return _linking.written(found.mapInArrow(_extended(reach), shape).where(F.col("end") - F.col("begin") >= min_words), "spans")
+    spans = _linking.written(found.mapInArrow(_extended(reach), shape).where(F.col("end") - F.col("begin") >= min_words), "spans")
+    _linking.dropped(runs, ends)
+    return spans
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:

@@ -1,10 +1,13 @@
 """The operators on small frames: plain versions, nulls, empty and long texts, ties, repeated rows, odd columns."""
 
 import collections
+import glob
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from storyframe.llm import (_linking, decontam, editprint, hmm, linededup, mixing, neardup, oracles, passages, queries,
                             tokencount, toxicity, urlfilter)
+from storyframe.session import shared_dir
 from tests import oracle
 from tests.conftest import SF_DIR
 
@@ -237,6 +241,28 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_leave_no_tables_and_no_shuffle_files(spark):
+    """What steps have written and shuffled goes when nothing reads it any more, not when the driver collects its garbage."""
+    def tables():
+        return {os.path.basename(p) for p in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/*-*")}
+
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        return {f for d in env.blockManager().diskBlockManager().localDirs() for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    text = " ".join(f"q{i}" for i in range(80))
+    frame = spark.createDataFrame([(i, f"{text} {i}") for i in range(6)], "doc_id long, text string")
+    before, files = tables(), shuffled()
+    found = passages.repeated_passages(frame)
+    for _ in range(50):
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert {name.split("-")[0] for name in tables() - before if name.count("-") == 1} == {"spans"}
+    assert not shuffled() - files
+    assert found.count() == 6
+
+
 def test_passages_are_whole(spark):
     """Spans against the longest common run of each pair of documents; a third document shares less than the second."""
     own = lambda n, k: [f"o{n}_{i}" for i in range(k)]
