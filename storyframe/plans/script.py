@@ -21,7 +21,7 @@ from storyframe.operators import regions as R
 from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.skew import join_hot, largest_group, running_total, with_previous
-from storyframe.session import cut_lineage, scratch_path
+from storyframe.session import scratch_path, written
 from storyframe.sources import annotations as A
 from storyframe.sources import subtitles as S
 
@@ -55,20 +55,23 @@ class Script:
 
 
 def build(tasks: DataFrame, lines: DataFrame, generated_at: datetime | str | None = None,
-          same_chapter: bool = False) -> Script:
+          same_chapter: bool = False, lines_at_most: int | None = None) -> Script:
     """Scripts from annotation tasks and subtitle lines.
 
     Highlights and cues meet the scenes of every chapter of their project by local time, unless `same_chapter`.
-    Regions, scenes and subtitle events are written once, since several branches of the job read them.
+    Regions, scenes and subtitle events are written once, since several branches of the job read them, each some columns.
+    `lines_at_most` bounds the lines of a file.
     """
     # A chapter has one file, hence no more events than the file has lines.
-    top = largest_group(lines, S.FILE_KEY)
-    regions = cut_lineage(R.pivot_regions(A.results(tasks)))
+    top = largest_group(lines, S.FILE_KEY) if lines_at_most is None else lines_at_most
+    # A region has no more results than its task, a project no more scenes than results.
+    of_region, of_project = A.most_results(tasks)
+    regions = written(R.pivot_regions(A.results(tasks), of_region), "regions")
     events = S.with_file_chapter(S.timed_events(S.parse_events(lines, top)))
     spoken = join_hot(events, A.subtitle_chapters(tasks), ["project_id", "chapter_id"], "left_semi",
                       left_at_most=top)
-    return assemble(cut_lineage(R.scenes(regions)), cut_lineage(spoken), R.highlights(regions), R.cues(regions),
-                    generated_at, same_chapter)
+    return assemble(written(R.scenes(regions, of_project), "scenes"), written(spoken, "spoken"), R.highlights(regions),
+                    R.cues(regions), generated_at, same_chapter)
 
 
 def assemble(scenes: DataFrame, events: DataFrame, highlights: DataFrame, cues: DataFrame,

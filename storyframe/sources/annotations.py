@@ -40,13 +40,13 @@ def parse_tasks(rows: DataFrame, body: Column) -> DataFrame:
         "project_id", "task_pos", "__task.inner_id", "__task.file_upload", "__task.annotations", "corrupt")
 
 
-def merged_tasks(assets: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged_tasks(assets: DataFrame, bodies: DataFrame, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One list of tasks per work from one JSON text per episode, in sequence order.
 
     `assets` has `media_id`, `asset_id` and `sequence_number`; `bodies` has `asset_id` and `body`. The second
-    frame lists the episodes that were skipped because they have no text.
+    frame lists the episodes that were skipped because they have no text. `at_most` bounds the episodes of a work.
     """
-    top = largest_group(assets, ["media_id"])
+    top = largest_group(assets, ["media_id"]) if at_most is None else at_most
     joined = join_hot(assets, bodies, ["asset_id"], "left", left_at_most=1)
     given = F.coalesce("body", F.lit("")) != ""
     ranked = numbered(joined.filter(given), ["media_id"], ["sequence_number", "asset_id"], "task_pos", top)
@@ -55,6 +55,15 @@ def merged_tasks(assets: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataF
     return parse_tasks(rows, F.col("body")), skipped
 
 
+def most_results(tasks: DataFrame) -> tuple[int, int]:
+    """The most results of tasks with one position in a project, and of a project; a task without any counts as one."""
+    rows = F.greatest(F.coalesce(F.size(F.get("annotations", F.lit(0))["result"]), F.lit(1)), F.lit(1))
+    placed = tasks.groupBy("project_id", "task_pos").agg(F.sum(rows).alias("n"))
+    per_project = placed.groupBy("project_id").agg(F.max("n").alias("one"), F.sum("n").alias("all"))
+    found = per_project.agg(F.max("one"), F.max("all")).first()
+    return found[0] or 0, found[1] or 0
+
+
 def results(tasks: DataFrame) -> DataFrame:
     """Results of the first annotation of each task; a task without results stays as one row of nulls."""
     first = F.get("annotations", F.lit(0))["result"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyframe.functions import text as T
 from storyframe.functions.timecode import ass_seconds
 from storyframe.operators.skew import join_hot, largest_group, numbered
-from storyframe.session import cut_lineage
+from storyframe.session import written
 
 FILE_KEY = ["project_id", "chapter_file"]
 
@@ -69,13 +69,13 @@ def with_file_chapter(events: DataFrame) -> DataFrame:
     return found.filter(F.col("chapter_file") == T.subtitle_file(F.col("chapter_id")))
 
 
-def renumbered(assets: DataFrame) -> DataFrame:
+def renumbered(assets: DataFrame, at_most: int | None = None) -> DataFrame:
     """Chapter file of each episode by its position within its work.
 
     Episodes without a subtitle file count too, but get no chapter file. `assets` has `media_id`, `asset_id`,
-    `sequence_number` and `l1_output_file`.
+    `sequence_number` and `l1_output_file`. `at_most` bounds the episodes of a work.
     """
-    ranked = numbered(assets, ["media_id"], ["sequence_number", "asset_id"], "position")
+    ranked = numbered(assets, ["media_id"], ["sequence_number", "asset_id"], "position", at_most)
     given = F.coalesce("l1_output_file", F.lit("")) != ""
     return ranked.withColumn("chapter_file", F.when(given, T.subtitle_file(F.col("position"))))
 
@@ -85,8 +85,8 @@ def _sections(stripped: DataFrame, top: int) -> DataFrame:
 
     The headers are written once, so that the lines are not read for each of the two.
     """
-    headers = cut_lineage(stripped.filter(F.col("line").startswith("[")).select(
-        *FILE_KEY, "line_no", (F.lower("line") == "[events]").alias("is_events")))
+    headers = written(stripped.filter(F.col("line").startswith("[")).select(
+        *FILE_KEY, "line_no", (F.lower("line") == "[events]").alias("is_events")), "headers")
     opened = headers.filter("is_events").groupBy(*FILE_KEY).agg(F.min("line_no").alias("opened"))
     closers = join_hot(headers.filter("NOT is_events"), opened, FILE_KEY, left_at_most=top, right_at_most=1) \
         .filter("line_no > opened")

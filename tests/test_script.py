@@ -356,3 +356,49 @@ def test_bad_times_and_incomplete_inserts_are_rejected(spark):
     assert [(r["project_id"], r["item"]) for r in rejects.insert_rejects(scenes).collect()] == [("q", "2")]
     listed = sorted((r["project_id"], r["narrative_index"], r["scene_id"]) for r in N.narrative_order(scenes).collect())
     assert listed == [("p", 1, 1), ("p", 2, 2), ("p", 3, 3), ("q", 1, 1), ("q", 2, 3)]
+
+
+def test_blueprint_measures_groups_once(spark, monkeypatch):
+    """Episodes per work and lines per file are counted once, and results of a region are shuffled once."""
+    from storyframe.operators import children, intervals, skew
+    from storyframe.plans import blueprint
+
+    measured, plans = [], []
+    counted, pivot = skew.largest_group, R.pivot_regions
+
+    def count(df, keys):
+        measured.append(tuple(keys))
+        return counted(df, keys)
+
+    def pivoted(*args):
+        found = pivot(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    for module in (skew, children, intervals, script, blueprint, A, S):
+        if hasattr(module, "largest_group"):
+            monkeypatch.setattr(module, "largest_group", count)
+    monkeypatch.setattr(R, "pivot_regions", pivoted)
+    body = json.dumps({"inner_id": 1, "file_upload": "x-ep01.mp4", "annotations": [{"result": [
+        {"id": "r", "from_name": "region_type", "value": {"start": 0, "end": 9, "labels": ["Scene"]}}]}]})
+    # columns that the job does not need may be of any type
+    assets = spark.createDataFrame([("w", 1, 1, "1.ass"), ("w", 2, 2, "2.ass"), (None, 3, 1, None)],
+                                   "media_id string, asset_id long, sequence_number long, l1_output_file string") \
+        .withColumn("other", F.lit(None))
+    bodies = spark.createDataFrame([(1, body), (2, None), (3, body)], "asset_id long, body string")
+    lines = spark.createDataFrame([
+        ("1.ass", 0, "[Events]"), ("1.ass", 1, "Dialogue: 0,0:00:01.00,0:00:02.00,D,Ann,0,0,0,,hi")],
+        "path string, line_no long, line string").withColumn("other", F.lit(None))
+    made = blueprint.blueprint(assets, bodies, lines, "2024-06-01 12:00:00")
+    assert measured.count(("media_id",)) == 1 and ("project_id", "chapter_file") not in measured
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    assert [(r["project_id"], r["scene_id"], r["ordinal"]) for r in made.script.children.collect()] == [("w", 1, 1)]
+    assert {(r["project_id"], r["scene_id"]) for r in made.script.scenes.collect()} == {("w", 1), (None, 1)}
+    assert [r["asset_id"] for r in made.skipped.collect()] == [2]
+
+
+def test_most_results(spark):
+    tasks = spark.createDataFrame([("p", 1, [{"result": [{"id": str(i)} for i in range(3)]}]), ("p", 1, None), ("p", 2, []),
+                                   ("q", 1, [{"result": None}])],
+                                  "project_id string, task_pos long, annotations array<struct<result:array<struct<id:string>>>>")
+    assert A.most_results(tasks) == (4, 5) and A.most_results(tasks.limit(0)) == (0, 0)
