@@ -4,7 +4,7 @@ Texts are compared with A-Z lower-cased and each run of white space as one space
 reads a string from left to right, and at each step writes the character it stands on and moves on or stays, as a random
 function of step and character says; strings a few edits apart fall into step again, so edit distance becomes Hamming
 distance. The walk's first outputs depend on the first characters only, so the windows of all item sizes that begin at a
-word share one walk. Bit-sampling LSH takes the outputs at random steps as a key; this is repeated with other walks.
+word share one walk, and windows with the same first bytes share its begin. Bit-sampling LSH takes the outputs at random steps as a key; this is repeated with other walks.
 
 Every word of every document begins a window, and so does every word of an item that has `LEAST_CHARS` characters after
 it, so keys are spread over its whole length; equal keys propose where the item would lie. One intact stretch anywhere in
@@ -50,16 +50,32 @@ BLOCK_CHARS = 4_000_000
 FILTER_BITS = 18
 # Bytes around a place beside those that edits may add, for characters of several bytes.
 REACH = 16
-# Bytes of text that are searched at a time.
-SLICE_BYTES = 4 << 20
+# Bytes of text that are searched at a time, and those whose proposals are verified together.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
 WALKED = 1 << 15
+# Bytes of a window that are walked once for all windows that begin with them.
+BEGUN = 8
 # Parts of a walk after which it is looked up.
-SCREENED = (0.2, 0.35, 0.6)
+SCREENED = (0.25, 0.35, 0.5, 0.65)
 # Pairs that are verified at a time.
 VERIFIED = 1 << 12
 _FOUND = "start long, end long, edits long"
 
 
+class Beginnings(NamedTuple):
+    """The different first `BEGUN` bytes of windows, one after the other, and which of them each window has."""
+
+    data: np.ndarray
+    of: np.ndarray
+
+
+def beginnings(data: np.ndarray, start: np.ndarray) -> Beginnings:
+    padded = np.concatenate((data, np.zeros(BEGUN, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, BEGUN)[start].view("<u8")[:, 0]
+    of, different = pd.factorize(eight)
+    return Beginnings(different.view(np.uint8), of)
+
+
 class Walks:
     """Random functions and sampled steps of all repeats."""
 
@@ -68,45 +84,68 @@ class Walks:
         self.moves = random.integers(0, 2, (repeats, steps, 256), dtype=np.int32)
         self.sampled = [set(random.choice(steps, sampled, replace=False).tolist()) for _ in range(repeats)]
 
-    def keys(self, data: np.ndarray, start: np.ndarray, repeat: int, screens: tuple[np.ndarray, ...] = ()):
+    def keys(self, data: np.ndarray, start: np.ndarray, repeat: int, screens: tuple[np.ndarray, ...] = (),
+             begun: Beginnings | None = None):
         """(places in `start`, keys) of the windows that begin at `start`; behind the end are zeros.
 
         `screens` have a bit per beginning of a key, one for each of `SCREENED`; windows that they rule out are left out.
+        With `begun`, the beginnings of these windows, what `BEGUN` steps read is walked once for equal ones.
         """
-        moves, sampled = self.moves[repeat], self.sampled[repeat]
-        steps, salt = len(moves), T.stream(83, repeat + 1)[-1]
+        steps, salt = self.moves.shape[1], T.stream(83, repeat + 1)[-1]
         stops = {int(part * steps): screen for part, screen in zip(SCREENED, screens, strict=False)}
         padded = np.concatenate((data, np.zeros(steps, np.uint8)))
+        first, place, at = 0, np.arange(len(start)), start.astype(np.int32)
+        key = np.zeros(len(start), np.uint64)
+        if begun is not None and steps >= BEGUN:
+            first, low = BEGUN, np.arange(0, len(begun.data), BEGUN, dtype=np.int32)
+            which, moved, walked = self._walked(begun.data, np.arange(len(low)), low, key[:len(low)], repeat, 0, first, stops)
+            row = np.full(len(low), -1)
+            row[which] = np.arange(len(which))
+            own = row.take(begun.of)
+            place = np.flatnonzero(own >= 0)
+            own = own[place]
+            at, key = at[place] + (moved - low[which])[own], walked[own]
         parts = []
-        for first in range(0, len(start), WALKED):
-            at = start[first:first + WALKED].astype(np.int32)
-            place, key = np.arange(first, first + len(at)), np.zeros(len(at), np.uint64)
-            for step in range(steps):
-                if step in stops:
-                    kept = np.flatnonzero(stops[step][T.mix(key + salt) >> np.uint64(64 - FILTER_BITS)])
-                    at, place, key = at[kept], place[kept], key[kept]
-                char = padded[at]
-                if step in sampled:
-                    key *= np.uint64(0x100000001B3)
-                    key += char
-                at += moves[step][char]
-            parts.append((place, T.mix(key + salt)))
+        for a in range(0, len(place), WALKED):
+            part = slice(a, a + WALKED)
+            went, _, found = self._walked(padded, place[part], at[part], key[part], repeat, first, steps, stops)
+            parts.append((went, T.mix(found + salt)))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
 
+    def _walked(self, data: np.ndarray, place: np.ndarray, at: np.ndarray, key: np.ndarray, repeat: int, first: int, last: int,
+                stops: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, at, key) after the steps from `first` up to `last`, without the walks that `stops` rule out."""
+        moves, sampled = self.moves[repeat], self.sampled[repeat]
+        at, key = at.copy(), key.copy()
+        for step in range(first, last):
+            char = data.take(at)
+            if step in sampled:
+                key *= np.uint64(0x100000001B3)
+                key += char
+            at += moves[step].take(char)
+            if step + 1 in stops:
+                kept = np.flatnonzero(stops[step + 1].take(_spot(key)))
+                at, place, key = at.take(kept), place.take(kept), key.take(kept)
+        return place, at, key
+
     def screens(self, data: np.ndarray, start: np.ndarray, repeat: int) -> tuple[np.ndarray, ...]:
         """Bits of the keys of the first parts of the walks."""
-        out = []
+        steps, out = self.moves.shape[1], []
+        padded = np.concatenate((data, np.zeros(steps, np.uint8)))
         for part in SCREENED:
-            begun = Walks.__new__(Walks)
-            begun.moves = self.moves[:, :int(part * self.moves.shape[1])]
-            begun.sampled = self.sampled
+            at, key = start.astype(np.int32), np.zeros(len(start), np.uint64)
             bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[begun.keys(data, start, repeat)[1] >> np.uint64(64 - FILTER_BITS)] = True
+            bits[_spot(self._walked(padded, np.arange(len(start)), at, key, repeat, 0, int(part * steps), {})[2])] = True
             out.append(bits)
         return tuple(out)
 
 
+def _spot(key: np.ndarray) -> np.ndarray:
+    """The bit of a screen for the key of a walk so far."""
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
+
+
 def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All texts folded, one after the other: bytes, where each text begins, starts of words, text of each word."""
     data, offsets = T.raw(column)
@@ -123,7 +162,8 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     out = T.LOWER[data[stays]]
     out[space[stays]] = 32
     starts = np.flatnonzero(first)
-    return out, place[offsets], place[starts], np.searchsorted(offsets, starts, side="right") - 1
+    words = np.diff(np.searchsorted(starts, offsets))
+    return out, place[offsets], place[starts], np.repeat(np.arange(len(words)), words)
 
 
 def _ramp(length: np.ndarray) -> np.ndarray:
@@ -176,9 +216,10 @@ class Items:
 
     def proposals(self, data: np.ndarray, begin: np.ndarray):
         """(word, item, bytes from the item's start to the word) of all windows with equal keys."""
+        begun = beginnings(data, begin)
         for search in self.searches:
             for repeat, screens in enumerate(search.screens):
-                word, keys = search.walks.keys(data, begin, repeat, screens)
+                word, keys = search.walks.keys(data, begin, repeat, screens, begun)
                 own = search.keys[repeat]
                 low, high = (np.searchsorted(own, keys, side=side) for side in ("left", "right"))
                 times = high - low
@@ -317,7 +358,7 @@ def _search(shared, max_edits: float):
         items = shared.value
         for batch in batches:
             column = batch.column("text")
-            for a, b in T.slices(column, SLICE_BYTES):
+            for a, b in T.slices(column, BATCH_BYTES):
                 rows, which, starts, ends, edits = _verified(items, column.slice(a, b - a), max_edits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(a + np.array(rows, np.int64))),
@@ -333,7 +374,38 @@ def batch_id_type(items: Items) -> pa.DataType:
 
 
 def _verified(items: Items, column: pa.Array, max_edits: float):
-    data, offsets, begin, of = folded(column)
+    parts, regions, best = [], [], {}
+    # texts are searched slice by slice, and what is proposed in several slices is verified together
+    for a, b in T.slices(column, SLICE_BYTES):
+        data, offsets, begin, of = folded(column.slice(a, b - a))
+        parts.append((a, data, offsets, list(items.as_they_are(data, offsets, begin, of))))
+        regions += [(len(parts) - 1, *x) for x in _proposed(items, data, offsets, begin, of, max_edits)]
+        if b == len(column) or sum(len(piece) for *_, piece in regions) > BATCH_BYTES:
+            _judged(items, parts, regions, max_edits, best)
+            regions = []
+    for a, data, offsets, exact in parts:
+        for text, i, at in exact:
+            before = len(data[offsets[text]:at].tobytes().decode("utf-8", "ignore"))
+            best[a + text, i] = 0, before, before + len(items.texts[i])
+    rows, which = (list(x) for x in zip(*sorted(best), strict=True)) if best else ([], [])
+    edits, starts, ends = (list(x) for x in zip(*(best[k] for k in sorted(best)), strict=True)) if best else ([], [], [])
+    return rows, which, starts, ends, edits
+
+
+def _judged(items: Items, parts: list[tuple], regions: list[tuple], max_edits: float,
+            best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Note in `best`, by text and item, the smallest distance of the item in `regions`, and where it lies."""
+    matches = best_matches([(items.texts[i], piece) for *_, i, _, piece in regions])
+    for (part, text, i, x, piece), (distance, end) in zip(regions, matches, strict=True):
+        (a, data, offsets, _), pattern = parts[part], items.texts[i]
+        if distance <= int(max_edits * len(pattern)) and ((a + text, i) not in best or distance < best[a + text, i][0]):
+            tail = best_match(pattern[::-1], piece[:end][::-1])[1]
+            before = len(data[offsets[text]:offsets[text] + x].tobytes().decode("utf-8", "ignore"))
+            best[a + text, i] = distance, before + end - tail, before + end
+
+
+def _proposed(items: Items, data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, of: np.ndarray, max_edits: float):
+    """(text, item, first byte, piece of the text) wherever an item may lie."""
     found: dict[tuple[int, int], set[int]] = {}
     for word, item, into in items.proposals(data, begin) if len(begin) else ():
         place = begin[word] - offsets[of[word]] - into
@@ -342,28 +414,13 @@ def _verified(items: Items, column: pa.Array, max_edits: float):
     for i in items.everywhere:
         for text in np.unique(of).tolist():
             found[text, i] = set(range(0, int(offsets[text + 1] - offsets[text]), max(int(items.sizes[i]), 1)))
-    regions = []
     for (text, i), spots in sorted(found.items()):
         size, whole = int(items.sizes[i]), data[offsets[text]:offsets[text + 1]]
         reach = int(max_edits * size) + REACH
         # neighbouring places are one region; each region is the item's size and what edits may add, on both sides
         for low, high in _regions(sorted(spots), max(size // 4, 1)):
             x, y = max(low - reach, 0), high + size + reach
-            regions.append((text, i, x, whole[x:y].tobytes().decode("utf-8", "ignore")))
-    matches = best_matches([(items.texts[i], piece) for _, i, _, piece in regions])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for (text, i, x, piece), (distance, end) in zip(regions, matches, strict=True):
-        pattern = items.texts[i]
-        if distance <= int(max_edits * len(pattern)) and ((text, i) not in best or distance < best[text, i][0]):
-            tail = best_match(pattern[::-1], piece[:end][::-1])[1]
-            before = len(data[offsets[text]:offsets[text] + x].tobytes().decode("utf-8", "ignore"))
-            best[text, i] = distance, before + end - tail, before + end
-    for text, i, at in items.as_they_are(data, offsets, begin, of):
-        before = len(data[offsets[text]:at].tobytes().decode("utf-8", "ignore"))
-        best[text, i] = 0, before, before + len(items.texts[i])
-    rows, which = (list(x) for x in zip(*sorted(best), strict=True)) if best else ([], [])
-    edits, starts, ends = (list(x) for x in zip(*(best[k] for k in sorted(best)), strict=True)) if best else ([], [], [])
-    return rows, which, starts, ends, edits
+            yield text, i, x, whole[x:y].tobytes().decode("utf-8", "ignore")
 
 
 def edited(text: str, edits: int, random: np.random.Generator) -> str:
@@ -455,7 +512,7 @@ def _holder(shared, max_edits: float):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         column, out = pa.array(texts, pa.string()), np.zeros(len(texts), bool)
-        for a, b in T.slices(column, SLICE_BYTES):
+        for a, b in T.slices(column, BATCH_BYTES):
             rows = _verified(shared.value, column.slice(a, b - a), max_edits)[0]
             out[a + np.array(rows, np.int64)] = True
         return pd.Series(out)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,36 @@ def test_matches_in_batches_equal_single_ones():
     pairs += [("a" * 200, "a" * 300), ("a" * 64, ""), ("ab" * 70, "ba" * 90)]
     assert decontam.best_matches(pairs) == [decontam.best_match(*p) for p in pairs]
     assert decontam.best_matches([]) == []
+
+
+def test_equal_beginnings_share_a_walk_and_lose_no_key():
+    draw = random.Random(6)
+    some = [words(draw, 60) for _ in range(30)]
+    texts = pa.array([" ".join(draw.choice(some) for _ in range(4)) for _ in range(50)] + ["", "é", "ab"])
+    data, _, begin, _ = decontam.folded(texts)
+    begun = decontam.beginnings(data, begin)
+    assert len(begun.data) < len(begin) * decontam.BEGUN and len(begun.of) == len(begin)
+    items, _, own, _ = decontam.folded(pa.array(some[:3]))
+    for setting in decontam.SETTINGS:
+        walks = decontam.Walks(*setting)
+        for repeat in range(len(walks.moves)):
+            wanted = walks.keys(items, own, repeat)[1]
+            every, screened = walks.keys(data, begin, repeat), walks.keys(data, begin, repeat, walks.screens(items, own, repeat), begun)
+            hits = [{(p, k) for p, k in zip(*(x.tolist() for x in found), strict=True) if k in set(wanted.tolist())}
+                    for found in (every, screened)]
+            assert hits[0] == hits[1] != set() and len(screened[0]) < len(every[0])
+
+
+def test_slices_are_verified_together(monkeypatch):
+    draw = random.Random(8)
+    some = [words(draw, draw.choice((20, 60, 150))) for _ in range(20)]
+    items = decontam.Items(list(range(20)), pa.array(some), decontam.Walks())
+    column = pa.array([words(draw, 300) + " " + t + " " + words(draw, 50) for t in some])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20)), column], ["doc_id", "text"])
+    search = decontam._search(type("Shared", (), {"value": items}), 0.2)
+    whole, calls, verify = [b.to_pylist() for b in search([batch])], [], decontam.best_matches
+    monkeypatch.setattr(decontam, "best_matches", lambda pairs: calls.append(len(pairs)) or verify(pairs))
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 1000)
+    assert [b.to_pylist() for b in search([batch])] == whole and len(whole[0]) == 20 and len(calls) == 1
+    monkeypatch.setattr(decontam, "BATCH_BYTES", 1000)
+    assert sum((b.to_pylist() for b in search([batch])), []) == whole[0] and len(calls) > 2
