@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.session import written
+from storyframe.session import shuffles_dropped, written
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -56,7 +56,8 @@ def components(links: DataFrame) -> DataFrame:
         # what a round has replaced is read no more
         dropped(before, least, large, lowest)
         # decimal sums cannot overflow; equal sums and counts mean the round changed nothing
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        with shuffles_dropped(edges.sparkSession):
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break
         state = now
@@ -66,9 +67,33 @@ def components(links: DataFrame) -> DataFrame:
     return classes
 
 
-def shared_buckets(sketches: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
-    """Buckets of at least two items: (bucket, n, blocks). `sketches` has (node, weight, keys)."""
-    held = sketches.select("node", "weight", F.explode("keys").alias("bucket"))
+def shared(held: DataFrame) -> DataFrame:
+    """The rows of `held` (node long, bucket long) whose bucket stands in other rows too, after one shuffle and sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row waits for the next batch; `told` is whether its bucket has been seen before
+        node, bucket, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            if batch.num_rows:
+                node = np.concatenate((node, batch.column("node").to_numpy()))
+                bucket = np.concatenate((bucket, batch.column("bucket").to_numpy()))
+                same, kept = bucket[1:] == bucket[:-1], np.zeros(len(bucket), bool)
+                kept[0] = told
+                kept[1:] |= same
+                told = bool(kept[-1])
+                kept[:-1] |= same
+                at = np.flatnonzero(kept[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(bucket[at])], ["node", "bucket"])
+                node, bucket = node[-1:], bucket[-1:]
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(bucket)], ["node", "bucket"])
+
+    rows = held.select("node", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, "node long, bucket long")
+
+
+def shared_buckets(held: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
+    """Buckets of at least two items: (bucket, n, blocks). `held` has (node, weight, bucket)."""
     return (held.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"),
                  F.sum("weight").alias("total"))
@@ -85,17 +110,36 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     `sketches` (node long, weight long, keys array<long>) has one row per item; `payload` has `node` and what `compare`
     needs, one row per node. What is written on the way is deleted when the classes are there.
     """
-    buckets = written(shared_buckets(sketches, block_rows, block_weight), "buckets")
-    entries = written(sketches.select("node", F.explode("keys").alias("bucket")).join(buckets, "bucket"), "entries")
+    held = sketches.select("node", "weight", F.explode("keys").alias("bucket"))
+    buckets = written(shared_buckets(held, block_rows, block_weight), "buckets")
+    entries = written(held.drop("weight").join(buckets, "bucket"), "entries")
+    dropped(buckets)
     # the payload of what shares a bucket is fetched once; by a merge join, as either side may be large
     wanted = entries.select("node").distinct()
-    payload = written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload")
+    return classes_of(entries, written(payload.join(wanted.hint("merge"), "node", "left_semi"), "payload"), compare, pairs)
+
+
+def held_classes(held: DataFrame, payload: DataFrame, compare: Compare, block_rows: int = 256,
+                 block_weight: int = 200_000, pairs: Pairs | None = None) -> DataFrame:
+    """The same of written rows (node, weight, bucket), and the payload of none but the items that share a bucket."""
+    buckets = written(shared_buckets(held, block_rows, block_weight), "buckets")
+    entries = written(held.drop("weight").join(buckets, "bucket"), "entries")
+    dropped(buckets, held)
+    return classes_of(entries, written(payload, "payload"), compare, pairs)
+
+
+def classes_of(entries: DataFrame, payload: DataFrame, compare: Compare, pairs: Pairs | None) -> DataFrame:
+    """(node, class) from written `entries` (bucket, node, n, blocks) and `payload`, which are deleted."""
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    own = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
-    links = written(compared(own.unionByName(_everywhere(_leaders(entries))), payload, compare, pairs), "links")
-    classes, used = components(links), [buckets, entries, payload, links]
-    wide = entries.where("blocks > 1")
-    if not wide.isEmpty():
+    met = entries.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
+    # a table of its own, so that Spark sees how small it is
+    wide = written(entries.where("blocks > 1"), "wide")
+    some = not wide.isEmpty()
+    if some:
+        met = met.unionByName(_everywhere(_leaders(entries, wide)))
+    links = written(compared(met, payload, compare, pairs), "links")
+    classes, used = components(links), [entries, payload, wide, links]
+    if some:
         placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
         sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
         open_buckets = written(sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"),
@@ -111,11 +155,11 @@ def linked_classes(sketches: DataFrame, payload: DataFrame, compare: Compare, bl
     return classes
 
 
-def _leaders(entries: DataFrame) -> DataFrame:
+def _leaders(entries: DataFrame, wide: DataFrame) -> DataFrame:
     """Of each bucket of several blocks, the item that meets most others over all its buckets."""
-    seen = entries.groupBy("node").agg(F.sum("n").alias("met"))
-    return (entries.where("blocks > 1").join(seen, "node")
-            .groupBy("bucket", "blocks").agg(F.max_by("node", F.struct("met", "node")).alias("node")))
+    seen = entries.join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("met"))
+    return wide.join(seen, "node").groupBy("bucket", "blocks").agg(
+        F.max_by("node", F.struct("met", "node")).alias("node"))
 
 
 def _everywhere(entries: DataFrame) -> DataFrame:

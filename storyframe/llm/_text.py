@@ -90,9 +90,9 @@ def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Wo
     """The words of all texts; `space` marks the bytes that separate words."""
     data, offsets = raw(column)
     if lower:
-        data = LOWER[data]
+        data = LOWER.take(data)
     n = len(offsets) - 1
-    solid = ~space[data]
+    solid = (~space).take(data)
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
@@ -102,8 +102,8 @@ def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Wo
         tails = offsets[1:][offsets[1:] > 0] - 1
         last[tails] = solid[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    text = np.searchsorted(offsets, start, side="right") - 1
-    return Words(text, start, end, spans_hash(data, start, end), np.bincount(text, minlength=n), data, offsets)
+    counts = np.diff(np.searchsorted(start, offsets))
+    return Words(np.repeat(np.arange(n), counts), start, end, _hashed(data[solid], end - start), counts, data, offsets)
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -111,10 +111,19 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
-    begin = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = np.arange(int(length.sum())) - np.repeat(begin, length)
-    power = stream(7, int(length.max()))
-    terms = (data[np.repeat(start, length) + place].astype(np.uint64) + np.uint64(1)) * power[place]
+    begin = np.cumsum(length) - length
+    return _hashed(data[np.repeat(start - begin, length) + np.arange(int(length.sum()))], length)
+
+
+def _hashed(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The hashes of byte ranges of these lengths that follow each other."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(length) - length
+    place = np.arange(len(data)) - np.repeat(begin, length)
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= stream(7, int(length.max())).take(place)
     return mix(np.add.reduceat(terms, begin) + length.astype(np.uint64))
 
 

@@ -57,12 +57,12 @@ def anchors(found: T.Words, window: int, gap: int) -> np.ndarray:
     reach = n - gap + 1
     chosen = np.zeros(n, bool)
     if reach > 0:
-        views = np.lib.stride_tricks.sliding_window_view(value, gap)
         inside = (found.text[:reach] == found.text[gap - 1:]) & open_[gap - 1:]
-        at = np.flatnonzero(inside)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a:a + (1 << 16)]
-            chosen[part + views[part].argmin(axis=1)] = True
+        least = np.where(inside, _sliding(value, gap, np.minimum), 0)
+        # what is the least of a reach is the largest of the least of all reaches it stands in
+        around = np.concatenate((np.zeros(gap - 1, np.uint64), least, np.zeros(gap - 1, np.uint64)))
+        at = np.flatnonzero(open_ & (value == _sliding(around, gap, np.maximum)))
+        chosen[at[_first(value[at], at, around, gap)]] = True
     # texts with fewer starts than `gap`: one window at the smallest
     starts = found.counts - window + 1
     for text in np.flatnonzero((starts > 0) & (starts < gap)):
@@ -70,22 +70,48 @@ def anchors(found: T.Words, window: int, gap: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def _sliding(value: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """The least or largest of each `size` values in a row."""
+    width = 1
+    while width < size:
+        step = min(width, size - width)
+        value, width = pick(value[:-step], value[step:]), width + step
+    return value
+
+
+def _first(value: np.ndarray, at: np.ndarray, around: np.ndarray, gap: int) -> np.ndarray:
+    """Which of the places `at` come first among equal values in some reach whose least they are."""
+    order = np.lexsort((at, value))
+    tied = np.zeros(len(at), bool)
+    tied[1:] = (value[order][1:] == value[order][:-1]) & (at[order][1:] - at[order][:-1] < gap)
+    out = np.ones(len(at), bool)
+    for k in range(0, int(tied.sum()), 1 << 14):
+        later = np.flatnonzero(tied)[k:k + (1 << 14)]
+        here, before = at[order[later]], at[order[later - 1]]
+        # the reaches that begin behind the one before, `gap` - 1 further on in `around`
+        starts = here[:, None] - np.arange(gap)
+        alone = (starts > before[:, None]) & (around[starts + gap - 1] == value[order[later]][:, None])
+        out[order[later]] = alone.any(axis=1)
+    return out
+
+
 def _shingle_matrix(found: T.Words, at: np.ndarray, window: int, size: int) -> np.ndarray:
     weight = T.stream(11, size)
     total = np.zeros(len(found.hash), np.uint64)
     for k in range(size):
         total[:max(len(total) - k, 0)] += found.hash[k:] * weight[k]
-    return T.mix(total)[at[:, None] + np.arange(window - size + 1)]
+    return T.mix(total)[at + np.arange(window - size + 1)[:, None]]
 
 
 def window_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    keys = np.zeros((len(shingles), bands), np.uint64)
+    """Keys of the bands of windows, which are the columns of `shingles`."""
+    keys = np.zeros((bands, shingles.shape[1]), np.uint64)
     factor = T.stream(113, bands * rows) | np.uint64(1)
     for band in range(bands):
         for row in range(rows):
             k = band * rows + row
-            keys[:, band] += T.mix((shingles * factor[k]).min(axis=1)) * factor[k]
-    return T.signed(T.mix(keys + T.stream(127, bands)))
+            keys[band] += T.mix((shingles * factor[k]).min(axis=0)) * factor[k]
+    return T.signed(T.mix(keys + T.stream(127, bands)[:, None]))
 
 
 def _items(found: T.Words, at: np.ndarray, window: int) -> np.ndarray:
@@ -108,9 +134,9 @@ def _windows(window: int, gap: int, bands: int, rows: int):
                 owner = batch.column("doc_id").take(pa.array(a + found.text[at]))
                 item = pa.array(T.signed(_items(found, at, window)))
                 word = (at - (np.cumsum(found.counts) - found.counts)[found.text[at]]).astype(np.int32)
-                keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows) if bands else np.zeros((len(at), 0))
+                keys = window_keys(_shingle_matrix(found, at, window, SHINGLE), bands, rows) if bands else ()
                 yield pa.RecordBatch.from_arrays(
-                    [owner, item, pa.array(word), *(pa.array(keys[:, k]) for k in range(bands))],
+                    [owner, item, pa.array(word), *(pa.array(k) for k in keys)],
                     ["doc_id", "node", "word", *(f"k{k}" for k in range(bands))])
 
     return run
@@ -134,15 +160,20 @@ def _hashes(found: T.Words, text: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def _flat(matrix: np.ndarray) -> pa.Array:
-    data, width = matrix.tobytes(), matrix.shape[1] * 4
-    return pa.array([data[i * width:(i + 1) * width] for i in range(len(matrix))], pa.binary())
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1] * 4)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix))])
 
 
 def _item_words(window: int):
-    """For windows asked for by first word and item: hashes of their words."""
+    """For windows asked for by first word and item: hashes of their words.
+
+    Texts with one doc_id follow each other, and each item is told once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, np.zeros(0, np.int64)
         for batch in batches:
+            doc = batch.column("doc_id").to_numpy()
             for a, b in T.slices(batch.column("text")):
                 found, text, (word, node) = _asked(batch, a, b)
                 here = found.counts[text] >= word + window
@@ -150,6 +181,12 @@ def _item_words(window: int):
                 start = (np.cumsum(found.counts) - found.counts)[text] + word
                 # of several texts with one doc_id only some hold the item there
                 same = T.signed(_items(found, start, window)) == node
+                new = np.zeros(len(node), bool)
+                holds = np.flatnonzero(same)
+                new[holds[np.unique(node[holds], return_index=True)[1]]] = True
+                same &= new & ((doc[a + text] != last) | ~np.isin(node, seen))
+                told = node[same & (doc[a + text] == doc[b - 1])]
+                last, seen = doc[b - 1], np.concatenate((seen, told)) if doc[b - 1] == last else told
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[same]), _flat(_hashes(found, text[same], word[same][:, None] + np.arange(window)))],
                     ["node", "words"])
@@ -158,11 +195,19 @@ def _item_words(window: int):
 
 
 def _ends(reach: int):
-    """For runs asked for by first and last word: hashes of the `reach` words before and after them."""
+    """For runs asked for by first and last word: hashes of the `reach` words before and after them.
+
+    Texts with one doc_id follow each other; the first one is read.
+    """
     before, after = np.arange(-reach, 0), np.arange(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            doc = batch.column("doc_id").to_numpy()
+            if len(doc):
+                again = np.concatenate(([doc[0] == last], doc[1:] == doc[:-1]))
+                last, batch = doc[-1], batch.filter(pa.array(~again))
             for a, b in T.slices(batch.column("text")):
                 found, text, (begin, end) = _asked(batch, a, b)
                 places = np.concatenate((begin[:, None] + before, end[:, None] + after), axis=1)
@@ -174,7 +219,14 @@ def _ends(reach: int):
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint32) for x in column.to_pylist()])
+    """The words of rows that all have as many."""
+    parts = []
+    for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(part):
+            kind = np.int64 if pa.types.is_large_binary(part.type) else np.int32
+            ends = np.frombuffer(part.buffers()[1], kind)[part.offset:part.offset + len(part) + 1]
+            parts.append(np.frombuffer(part.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint32).reshape(len(part), -1))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def extents(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
@@ -229,15 +281,20 @@ def pairs_like(least: float) -> _linking.Pairs:
         words, back = np.unique(np.concatenate((i, j)), return_inverse=True)
         inner, weight = _matrix(table["words"].take(pa.array(words))).astype(np.uint64), T.stream(11, SHINGLE)
         count = inner.shape[1] - SHINGLE + 1
-        total = np.sort(sum(inner[:, k:count + k] * weight[k] for k in range(SHINGLE)), axis=1)
+        # a row per place in the windows, a column per window
+        total = np.ascontiguousarray(np.sort(sum(inner[:, k:count + k] * weight[k] for k in range(SHINGLE)), axis=1).T)
         # a shingle that comes again in its window counts once
         first = np.ones(total.shape, bool)
-        first[:, 1:] = total[:, 1:] != total[:, :-1]
-        a, b = back[:len(i)], back[len(i):]
+        first[1:] = total[1:] != total[:-1]
+        size, a, b = first.sum(axis=0), back[:len(i)], back[len(i):]
         common = np.zeros(len(i), np.int64)
-        for k in range(count):
-            common += first[a, k] & (total[a, k, None] == total[b]).any(axis=1)
-        return common * (1 + least) + 1e-6 >= least * (first[a].sum(axis=1) + first[b].sum(axis=1))
+        # so many pairs at a time as stay near
+        for at in range(0, len(i), 1 << 11):
+            part = slice(at, at + (1 << 11))
+            own, other, new = total[:, a[part]], total[:, b[part]], first[:, a[part]]
+            for k in range(count):
+                common[part] += new[k] & (own[k] == other).any(axis=0)
+        return common * (1 + least) + 1e-6 >= least * (size[a] + size[b])
 
     return like
 
@@ -264,29 +321,27 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likene
         *[F.max(k).alias(k) for k in keys]), "items")
     whole = ["node", "low", "high"]
     common = _linking.written(items.where("low < high").select(whole), "common")
-    each = items.select("node", F.explode(F.array(*keys)).alias("bucket"))
-    # first the keys alone, then the items of the few that are shared, then what else is told of these items
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    keyed = each.join(shared.hint("merge"), "bucket").groupBy("node").agg(F.collect_set("bucket").alias("keys"))
+    # first the keys alone, then what else is told of the few items that share one
+    held = _linking.written(_linking.shared(items.select("node", F.explode(F.array(*keys)).alias("bucket"))), "held")
     sketches = _linking.written(
-        items.select(*whole, "word").join(keyed.hint("merge"), "node")
-        .withColumn("weight", F.lit(window).cast("long")), "sketches")
+        items.select(*whole, "word").join(held.select("node").distinct().hint("merge"), "node"), "sketches")
     _linking.dropped(items)
     # the words of an item are looked up in the first document that holds it
-    words = (_places(sketches.select(F.col("low").alias("doc_id"), "word", "node"), texts, ["word", "node"])
-             .mapInArrow(_item_words(window), "node long, words binary")
-             .groupBy("node").agg(F.first("words").alias("words")))
-    classes = _linking.linked_classes(sketches.select("node", "weight", "keys"), words, windows_like(likeness),
-                                      pairs=pairs_like(likeness))
+    words = _places(sketches.select(F.col("low").alias("doc_id"), "word", "node"), texts, ["word", "node"]) \
+        .mapInArrow(_item_words(window), "node long, words binary")
+    classes = _linking.held_classes(held.withColumn("weight", F.lit(window).cast("long")), words, windows_like(likeness),
+                                    pairs=pairs_like(likeness))
     of = common.unionByName(sketches.where("low = high").select(whole))
-    of = of.join(classes.hint("merge"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
-        "class", F.coalesce("class", "node"))
-    across = of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
-        "first_doc < last_doc").drop("last_doc")
+    of = _linking.written(of.join(classes.hint("merge"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
+        "class", F.coalesce("class", "node")), "of")
+    _linking.dropped(common, sketches, classes)
+    across = _linking.written(of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
+        "first_doc < last_doc").drop("last_doc"), "across")
     active = _linking.written(of.select("node", "low", "class").join(across.hint("merge"), "class"), "active")
+    _linking.dropped(of, across)
     every = texts.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
     placed = _linking.written(every.join(active.hint("merge"), "node"), "placed")
-    _linking.dropped(common, sketches, classes, active)
+    _linking.dropped(active)
     return placed
 
 
@@ -302,8 +357,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_wor
     """
     placed = shared_windows(docs, window, gap, **options)
     # counterparts: the first place of the item in its first document, or of the class in its
-    same = placed.where("doc_id = low").groupBy("node").agg(F.min("word").alias("place"))
-    near = placed.where("doc_id = first_doc").groupBy("class").agg(F.min("word").alias("place"))
+    # as tables, so that Spark can split what many windows of one item or class are joined with
+    same = _linking.written(placed.where("doc_id = low").groupBy("node").agg(F.min("word").alias("place")), "same")
+    near = _linking.written(placed.where("doc_id = first_doc").groupBy("class").agg(F.min("word").alias("place")), "near")
     copies = placed.where("doc_id > low").join(same.hint("merge"), "node").withColumn("partner", F.col("low"))
     others = placed.where("doc_id = low").join(near.hint("merge"), "class").withColumn("partner", F.col("first_doc"))
     pairs = copies.select(others.columns).union(others).withColumn("diag", F.col("word") - F.col("place")).where(
@@ -315,13 +371,13 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_wor
     runs = _linking.written(numbered.groupBy("doc_id", "partner", "diag", "run").agg(
         F.min("class").alias("class"), F.min("first_doc").alias("first_doc"), F.min("word").cast("long").alias("begin"),
         (F.max("word") + window).cast("long").alias("end")).withColumn("diag", F.col("diag").cast("long")).drop("run"), "runs")
-    _linking.dropped(placed)
+    _linking.dropped(placed, same, near)
     reach = max(min_words - window, gap - 1, 0)
     there = (F.col("begin") - F.col("diag")).alias("begin"), (F.col("end") - F.col("diag")).alias("end")
     asked = runs.select("doc_id", "begin", "end").union(runs.select(F.col("partner").alias("doc_id"), *there))
     ends = _linking.written(
-        _places(asked, _texts(docs), ["begin", "end"]).mapInArrow(_ends(reach), "doc_id long, begin long, end long, around binary")
-        .groupBy("doc_id", "begin", "end").agg(F.first("around").alias("around")), "ends")
+        _places(asked, _texts(docs), ["begin", "end"])
+        .mapInArrow(_ends(reach), "doc_id long, begin long, end long, around binary"), "ends")
     own = ends.withColumnRenamed("around", "own")
     other = ends.select(F.col("doc_id").alias("partner"), F.col("begin").alias("from"), F.col("end").alias("to"),
                         F.col("around").alias("other"))
