@@ -48,10 +48,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
-                        "large")
+        large = written(both.join(least.hint("shuffle_hash"), "u").where("v > u")
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        lower = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lower = large.join(lowest.hint("shuffle_hash"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, written(lower.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # what a round has replaced is read no more
         dropped(before, least, large, lowest)
@@ -123,7 +123,7 @@ def held_classes(held: DataFrame, payload: DataFrame, compare: Compare, block_ro
                  block_weight: int = 200_000, pairs: Pairs | None = None) -> DataFrame:
     """The same of written rows (node, weight, bucket), and the payload of none but the items that share a bucket."""
     buckets = written(shared_buckets(held, block_rows, block_weight), "buckets")
-    entries = written(held.drop("weight").join(buckets, "bucket"), "entries")
+    entries = written(held.drop("weight").join(buckets.hint("shuffle_hash"), "bucket"), "entries")
     dropped(buckets, held)
     return classes_of(entries, written(payload, "payload"), compare, pairs)
 

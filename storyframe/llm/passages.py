@@ -324,7 +324,7 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likene
     # first the keys alone, then what else is told of the few items that share one
     held = _linking.written(_linking.shared(items.select("node", F.explode(F.array(*keys)).alias("bucket"))), "held")
     sketches = _linking.written(
-        items.select(*whole, "word").join(held.select("node").distinct().hint("merge"), "node"), "sketches")
+        items.select(*whole, "word").join(held.select("node").distinct().hint("shuffle_hash"), "node"), "sketches")
     _linking.dropped(items)
     # the words of an item are looked up in the first document that holds it
     words = _places(sketches.select(F.col("low").alias("doc_id"), "word", "node"), texts, ["word", "node"]) \
@@ -332,15 +332,15 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gap: int = GAP, likene
     classes = _linking.held_classes(held.withColumn("weight", F.lit(window).cast("long")), words, windows_like(likeness),
                                     pairs=pairs_like(likeness))
     of = common.unionByName(sketches.where("low = high").select(whole))
-    of = _linking.written(of.join(classes.hint("merge"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
+    of = _linking.written(of.join(classes.hint("shuffle_hash"), "node", "left").where("low < high OR class IS NOT NULL").withColumn(
         "class", F.coalesce("class", "node")), "of")
     _linking.dropped(common, sketches, classes)
     across = _linking.written(of.groupBy("class").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where(
         "first_doc < last_doc").drop("last_doc"), "across")
-    active = _linking.written(of.select("node", "low", "class").join(across.hint("merge"), "class"), "active")
+    active = _linking.written(of.select("node", "low", "class").join(across.hint("shuffle_hash"), "class"), "active")
     _linking.dropped(of, across)
     every = texts.mapInArrow(_windows(window, gap, 0, 0), "doc_id long, node long, word int")
-    placed = _linking.written(every.join(active.hint("merge"), "node"), "placed")
+    placed = _linking.written(every.join(active.hint("shuffle_hash"), "node"), "placed")
     _linking.dropped(active)
     return placed
 
@@ -360,8 +360,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gap: int = GAP, min_wor
     # as tables, so that Spark can split what many windows of one item or class are joined with
     same = _linking.written(placed.where("doc_id = low").groupBy("node").agg(F.min("word").alias("place")), "same")
     near = _linking.written(placed.where("doc_id = first_doc").groupBy("class").agg(F.min("word").alias("place")), "near")
-    copies = placed.where("doc_id > low").join(same.hint("merge"), "node").withColumn("partner", F.col("low"))
-    others = placed.where("doc_id = low").join(near.hint("merge"), "class").withColumn("partner", F.col("first_doc"))
+    copies = placed.where("doc_id > low").join(same.hint("shuffle_hash"), "node").withColumn("partner", F.col("low"))
+    others = placed.where("doc_id = low").join(near.hint("shuffle_hash"), "class").withColumn("partner", F.col("first_doc"))
     pairs = copies.select(others.columns).union(others).withColumn("diag", F.col("word") - F.col("place")).where(
         "doc_id <> partner OR diag <> 0")
     order = Window.partitionBy("doc_id", "partner", "diag").orderBy("word")

@@ -164,3 +164,19 @@ def test_trie_agrees_with_all_rules():
 def test_bag_counts():
     text, value, count = T.bag(np.array([1, 0, 1, 1]), np.array([5, 5, 5, 6], np.uint64))
     assert collections.Counter(zip(text.tolist(), value.tolist(), count.tolist())) == {(0, 5, 1): 1, (1, 5, 2): 1, (1, 6, 1): 1}
+
+
+def test_anchors_are_the_first_least_words_of_each_gap():
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(list("abc")[:k], n)) for k in (1, 2, 3) for n in draw.integers(0, 90, 40)]
+    for window, gap in ((5, 7), (3, 1), (6, 27)):
+        found = T.words(pa.array(texts))
+        value = T.mix(found.hash + np.append(found.hash[1:], np.uint64(0)) * np.uint64(3)) >> np.uint64(1)
+        wanted, begin = set(), 0
+        for n in found.counts.tolist():
+            starts = n - window + 1
+            for a in range(begin, begin + max(starts - gap + 1, starts > 0)):
+                wanted.add(a + int(value[a:min(a + gap, begin + starts)].argmin()))
+            begin += n
+        assert passages.anchors(found, window, gap).tolist() == sorted(wanted)
+        assert len(passages._sliding(value, gap, np.minimum)) == len(value) - gap + 1

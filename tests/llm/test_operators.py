@@ -9,12 +9,15 @@ import random
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storyframe.llm import (_linking, decontam, editprint, hmm, linededup, mixing, neardup, oracles, passages, queries,
                             tokencount, toxicity, urlfilter)
+from storyframe.llm import _text as T
 from storyframe.session import shared_dir
 from tests import oracle
 from tests.conftest import SF_DIR
@@ -263,6 +266,33 @@ def test_passages_leave_no_tables_and_no_shuffle_files(spark):
     assert found.count() == 6
 
 
+def test_keys_of_one_item_go_wherever_batches_end(spark):
+    """Buckets of one to seven items, told apart in one pass over sorted rows, in batches of three."""
+    rows = [(b * 10 + i, b * 7919) for b in range(40) for i in range(b % 8)]
+    held = spark.createDataFrame(rows, "node long, bucket long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(tuple(r) for r in _linking.shared(held).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(r for r in rows if r[1] // 7919 % 8 > 1)
+
+
+def test_items_of_repeated_documents_are_told_once():
+    text = " ".join(f"w{i}" for i in range(30))
+    found = T.words(pa.array([text]))
+    node = T.signed(passages._items(found, np.array([2]), 24))[0]
+    kind = pa.list_(pa.struct([("word", pa.int32()), ("node", pa.int64())]))
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([7] * n), pa.array([other, text][:n] if other else [text] * n), pa.array([[{"word": 2, "node": node}]] * n, kind)],
+        ["doc_id", "text", "places"]) for n, other in ((2, "x"), (3, ""), (1, ""))]
+    told = [b for b in passages._item_words(24)(iter(batches))]
+    assert pa.Table.from_batches(told)["node"].to_pylist() == [node]
+    ends = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    asked = [b.set_column(2, "places", pa.array([[{"begin": 2, "end": 26}]] * b.num_rows, ends)) for b in batches]
+    assert pa.Table.from_batches([*passages._ends(5)(iter(asked))])["begin"].to_pylist() == [2]
+
+
 def test_passages_are_whole(spark):
     """Spans against the longest common run of each pair of documents; a third document shares less than the second."""
     own = lambda n, k: [f"o{n}_{i}" for i in range(k)]
