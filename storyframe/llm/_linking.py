@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyframe.session import shuffles_dropped, written
+from storyframe.session import written
 
 # A comparison gets two tables of items and returns a matrix: is row i of the first like row j of the second?
 Compare = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -40,31 +40,32 @@ def dropped(*tables: DataFrame) -> None:
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of every node in `links` (a, b): class is the smallest node that links lead to.
 
-    Alternates large-star and small-star steps, which end after about log(n) rounds whatever the shape of the graph.
+    Alternates large-star and small-star steps, which end after about log(n) rounds whatever the shape of the graph. A round
+    writes two tables. It ends when every node has one smaller neighbour or none, and none of both kinds: the least
+    neighbours are the classes then. The join can be split at a node with many larger neighbours; the smaller ones of a node,
+    few where links lead to the smallest node of their block, are sorted in one task.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
                     "edges")
-    state = None
+    smaller = Window.partitionBy("u")
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = written(both.join(least.hint("shuffle_hash"), "u").where("v > u")
-                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        lower = large.join(lowest.hint("shuffle_hash"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, written(lower.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # what a round has replaced is read no more
-        dropped(before, least, large, lowest)
-        # decimal sums cannot overflow; equal sums and counts mean the round changed nothing
-        with shuffles_dropped(edges.sparkSession):
-            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
+        least = written(both.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("up"),
+            F.count_if(F.col("v") > F.col("u")).alias("down")).select(
+            "u", "m", ((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).alias("open")), "least")
+        if least.where("open").isEmpty():
             break
-        state = now
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("class"))
-    classes = written(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).union(roots), "classes")
+        # an edge goes to the least neighbour of its smaller end; of a node's edges then, all but the least go there
+        large = edges.join(least.select(F.col("u").alias("v"), "m").hint("shuffle_hash"), "v").select(
+            "u", F.col("m").alias("v")).withColumn("m", F.min("v").over(smaller))
+        small = large.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                             F.col("m").alias("v"))
+        before, edges = edges, written(small.distinct(), "edges")
+        # what a round has replaced is read no more
+        dropped(before, least)
     dropped(edges)
-    return classes
+    return least.select(F.col("u").alias("node"), F.col("m").alias("class"))
 
 
 def shared(held: DataFrame) -> DataFrame:
@@ -137,8 +138,7 @@ def classes_of(entries: DataFrame, payload: DataFrame, compare: Compare, pairs:
     some = not wide.isEmpty()
     if some:
         met = met.unionByName(_everywhere(_leaders(entries, wide)))
-    links = written(compared(met, payload, compare, pairs), "links")
-    classes, used = components(links), [entries, payload, wide, links]
+    classes, used = components(compared(met, payload, compare, pairs)), [entries, payload, wide]
     if some:
         placed = (wide.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
         sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
@@ -150,7 +150,8 @@ def classes_of(entries: DataFrame, payload: DataFrame, compare: Compare, pairs:
             again = (left.select("node", "bucket", block.alias("block"), F.lit(0).alias("visit"))
                      .unionByName(_everywhere(left.where(F.col("class") != F.col("main")))))
             used.append(classes)
-            classes = components(links.union(compared(again, payload, compare, pairs)))
+            # what is linked already is told by the classes
+            classes = components(classes.toDF("a", "b").union(compared(again, payload, compare, pairs)))
     dropped(*used)
     return classes
 
@@ -255,9 +256,11 @@ def _links(own: list[pa.Table], visitors: pa.Table | None, compare: Compare) ->
         like[:n, n:] = compare(mine, other)
     like |= like.T
     label = _labels(like)
-    joined = label != np.arange(len(nodes))
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    joined = least[label] != nodes
     if joined.any():
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[label[joined]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(least[label[joined]])], ["a", "b"])
 
 
 def _labels(like: np.ndarray) -> np.ndarray:

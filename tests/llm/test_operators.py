@@ -148,6 +148,42 @@ def test_components(spark):
     assert _linking.components(links.limit(0)).count() == 0
 
 
+def test_links_name_the_smallest_node_and_settled_links_need_no_round(spark, monkeypatch):
+    """Stars around their smallest node are classes as they are: their links are written once and their classes once."""
+    items = pa.table({"node": pa.array([9, 4, 6, 1], pa.int64()), "words": ["x", "x", "y", "x"]})
+    same = lambda a, b: np.array([[x == y for y in b["words"].to_pylist()] for x in a["words"].to_pylist()])
+    batches = list(_linking._links([items], None, same))
+    assert [(r["a"], r["b"]) for b in batches for r in b.to_pylist()] == [(9, 1), (4, 1)]
+    names, write = [], _linking.written
+    monkeypatch.setattr(_linking, "written", lambda df, name: names.append(name) or write(df, name))
+    links = spark.createDataFrame([(9, 1), (4, 1), (1, 4), (8, 2)], "a long, b long")
+    assert {r.node: r["class"] for r in _linking.components(links).collect()} == {1: 1, 4: 1, 9: 1, 2: 2, 8: 2}
+    assert names == ["edges", "least"]
+    names.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a long, b long")
+    assert {r["class"] for r in _linking.components(chain).collect()} == {1}
+    assert len(names) % 2 == 0 and len(names) <= 10
+
+
+def test_components_of_mixed_graphs(spark):
+    """Classes equal those of a plain union of sets, whichever way links point and whoever the hubs are."""
+    draw = random.Random(5)
+    pairs = [(1000, i) for i in range(900, 960)] + [(draw.randrange(1, 300), draw.randrange(1, 300)) for _ in range(220)]
+    pairs += [(-5, i) for i in range(2000, 2060)] + [(2059, 3000), (3000, -9), (1000, 5000), (5000, 4999)]
+    root = {x: x for pair in pairs for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r["class"] for r in _linking.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
 def test_lines(docs, empty):
     got = {r.doc_id: r for r in linededup.line_report(docs).where("doc_id >= 10").collect()}
     assert [got[i].n_dropped for i in range(10, 16)] == [2, 2, 2, 2, 2, 0]
