@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+# Words of up to so many bytes are hashed together.
+NEAR = 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -90,9 +92,10 @@ def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Wo
     """The words of all texts; `space` marks the bytes that separate words."""
     data, offsets = raw(column)
     if lower:
-        data = LOWER.take(data)
+        data = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
     n = len(offsets) - 1
-    solid = (~space).take(data)
+    # bytes below 9 wrap around
+    solid = (data != 32) & (data - np.uint8(9) > 4) if space is SPACE else (~space).take(data)
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
@@ -103,7 +106,28 @@ def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Wo
         last[tails] = solid[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(start, offsets))
-    return Words(np.repeat(np.arange(n), counts), start, end, _hashed(data[solid], end - start), counts, data, offsets)
+    return Words(np.repeat(np.arange(n), counts), start, end, _word_hashes(data, start, end), counts, data, offsets)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What `spans_hash` gives, byte by byte of all words that are as long; long words are left to it."""
+    length = end - start
+    near = np.minimum(length, NEAR + 1)
+    order = np.argsort(near.astype(np.uint8), kind="stable")[::-1]
+    longer = len(near) - np.cumsum(np.bincount(near, minlength=NEAR + 2))
+    factor = stream(7, NEAR + 1)
+    at = start[order]
+    # every byte counts one more than its value
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(factor)))[near[order]]
+    for k in range(int(near.max(initial=0))):
+        total[:longer[k]] += data[at[:longer[k]]] * factor[k]
+        at[:longer[k]] += 1
+    out = np.empty(len(total), np.uint64)
+    out[order] = total
+    out = mix(out + length.astype(np.uint64))
+    long = np.flatnonzero(length > NEAR)
+    out[long] = spans_hash(data, start[long], end[long])
+    return out
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -180,3 +180,14 @@ def test_anchors_are_the_first_least_words_of_each_gap():
             begin += n
         assert passages.anchors(found, window, gap).tolist() == sorted(wanted)
         assert len(passages._sliding(value, gap, np.minimum)) == len(value) - gap + 1
+
+
+def test_word_hashes_byte_by_byte():
+    """Words of all lengths, long ones too, have the hashes that their byte ranges have on their own."""
+    rows = ["Ab  AZ@[`{ \t" + " ".join("x" * k + "É" for k in range(60)), None, "", " \x08\x0e\x1f ", "q" * 500, "a"]
+    found = T.words(pa.array(rows, pa.string()))
+    lowered = [(r or "").translate({c: c + 32 for c in range(65, 91)}).encode() for r in rows]
+    assert found.counts.tolist() == [len(re.split(rb"[ \t-\r]+", r.strip(b" \t\n\x0b\x0c\r"))) if r.strip() else 0 for r in lowered]
+    assert bytes(found.data) == b"".join(lowered)
+    assert (T._word_hashes(found.data, found.start, found.end) == T.spans_hash(found.data, found.start, found.end)).all()
+    assert (found.hash == T.spans_hash(found.data, found.start, found.end)).all()
