@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyframe.functions import text as T
 from storyframe.operators.skew import join_hot, largest_group
 from storyframe.plans import script
-from storyframe.session import written
+from storyframe.session import measured
 from storyframe.sources import annotations as A
 from storyframe.sources import subtitles as S
 
@@ -35,14 +35,14 @@ def blueprint(assets: DataFrame, annotations: DataFrame, lines: DataFrame,
     """
     episodes = largest_group(assets, ["media_id"])
     tasks, skipped = A.merged_tasks(assets, annotations, at_most=episodes)
-    tasks = written(tasks, "tasks")
-    chapters = written(S.renumbered(assets, at_most=episodes).select(
+    tasks = measured(tasks, "tasks")
+    chapters = measured(S.renumbered(assets, at_most=episodes).select(
         "media_id", "asset_id", "position", "chapter_file", "l1_output_file"), "chapters")
     files = chapters.filter("chapter_file IS NOT NULL").select(
         F.col("media_id").alias("project_id"), "chapter_file", F.col("l1_output_file").alias("path"))
     # A chapter has one path, hence no more lines than its path.
     top = largest_group(lines, ["path"])
-    staged = written(join_hot(lines, files, ["path"], left_at_most=top).select(
+    staged = measured(join_hot(lines, files, ["path"], left_at_most=top).select(
         "project_id", "chapter_file", "line_no", "line"), "lines")
     return Blueprint(script.build(tasks, staged, generated_at, lines_at_most=top), skipped, mismatches(chapters, annotations))
 

@@ -21,7 +21,7 @@ from storyframe.operators import regions as R
 from storyframe.operators import rollup
 from storyframe.operators import timeline as N
 from storyframe.operators.skew import join_hot, largest_group, running_total, with_previous
-from storyframe.session import scratch_path, written
+from storyframe.session import measured, scratch_path
 from storyframe.sources import annotations as A
 from storyframe.sources import subtitles as S
 
@@ -66,11 +66,11 @@ def build(tasks: DataFrame, lines: DataFrame, generated_at: datetime | str | Non
     top = largest_group(lines, S.FILE_KEY) if lines_at_most is None else lines_at_most
     # A region has no more results than its task, a project no more scenes than results.
     of_region, of_project = A.most_results(tasks)
-    regions = written(R.pivot_regions(A.results(tasks), of_region), "regions")
+    regions = measured(R.pivot_regions(A.results(tasks), of_region), "regions")
     events = S.with_file_chapter(S.timed_events(S.parse_events(lines, top)))
     spoken = join_hot(events, A.subtitle_chapters(tasks), ["project_id", "chapter_id"], "left_semi",
                       left_at_most=top)
-    return assemble(written(R.scenes(regions, of_project), "scenes"), written(spoken, "spoken"), R.highlights(regions),
+    return assemble(measured(R.scenes(regions, of_project), "scenes"), measured(spoken, "spoken"), R.highlights(regions),
                     R.cues(regions), generated_at, same_chapter)
 
 

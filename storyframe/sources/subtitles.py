@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyframe.functions import text as T
 from storyframe.functions.timecode import ass_seconds
 from storyframe.operators.skew import join_hot, largest_group, numbered
-from storyframe.session import written
+from storyframe.session import measured
 
 FILE_KEY = ["project_id", "chapter_file"]
 
@@ -85,7 +85,7 @@ def _sections(stripped: DataFrame, top: int) -> DataFrame:
 
     The headers are written once, so that the lines are not read for each of the two.
     """
-    headers = written(stripped.filter(F.col("line").startswith("[")).select(
+    headers = measured(stripped.filter(F.col("line").startswith("[")).select(
         *FILE_KEY, "line_no", (F.lower("line") == "[events]").alias("is_events")), "headers")
     opened = headers.filter("is_events").groupBy(*FILE_KEY).agg(F.min("line_no").alias("opened"))
     closers = join_hot(headers.filter("NOT is_events"), opened, FILE_KEY, left_at_most=top, right_at_most=1) \

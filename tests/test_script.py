@@ -14,7 +14,7 @@ from storyframe.functions.labels import FLAT
 from storyframe.operators import regions as R
 from storyframe.operators import timeline as N
 from storyframe.plans import rejects, script
-from storyframe.session import cut_lineage
+from storyframe.session import cut_lineage, measured
 from storyframe.sources import annotations as A
 from storyframe.sources import arrays, sinks
 from storyframe.sources import subtitles as S
@@ -402,3 +402,23 @@ def test_most_results(spark):
                                    ("q", 1, [{"result": None}])],
                                   "project_id string, task_pos long, annotations array<struct<result:array<struct<id:string>>>>")
     assert A.most_results(tasks) == (4, 5) and A.most_results(tasks.limit(0)) == (0, 0)
+
+
+def test_tables_that_compress_well_are_not_broadcast(spark):
+    """A table of a few kilobytes in files, whose rows need megabytes, is joined by a shuffle; one of few rows is broadcast."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "300k")
+    try:
+        wide = spark.range(30_000).selectExpr("1L AS k", "id % 2 AS half", "'a text that is the same' AS text")
+        large, small = measured(wide, "large"), measured(wide.limit(3), "small")
+        other = spark.range(3).selectExpr("id AS k").repartition(2)
+        for table, kind in ((large, "SortMergeJoin"), (small, "BroadcastHashJoin")):
+            for side in (table, table.filter("half = 1").groupBy("k", "text").count()):
+                plan = spark.range(500_000).selectExpr("id AS k").join(side, "k")._jdf.queryExecution().executedPlan().toString()
+                assert kind in plan and plan.count("HashJoin") == (kind == "BroadcastHashJoin")
+        assert large.join(other.hint("broadcast"), "k").count() == 30_000
+        assert large.filter("half = 1").join(other, "k").count() == 15_000
+        assert measured(wide.limit(0), "none").join(other, "k").count() == 0
+    finally:
+        spark.conf.set(limit, before)
