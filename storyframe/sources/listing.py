@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -10,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyframe.functions import text as T
+from storyframe.session import cut_lineage
 
 # Video suffixes in the order in which their files are taken.
 VIDEO_ORDER = {".mp4": 0, ".mov": 1}
 LISTED = "*.{mp4,mov,srt}"
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+# Names in one batch of a listing.
+ROWS = 10_000
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -29,6 +35,72 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
 
 
+def hidden(name: str, is_folder: bool) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    odd = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+    return odd and not (is_folder and name.startswith(("_common_metadata", "_metadata")))
+
+
+def named_like(name: str, pattern: str) -> bool:
+    """Whether a name matches a pattern with `*`, `?`, `[..]` and one list of endings or the like in braces."""
+    head, brace, rest = pattern.replace("[^", "[!").partition("{")
+    inside, _, tail = rest.partition("}")
+    return any(fnmatchcase(name, head + option + tail) for option in (inside.split(",") if brace else [""]))
+
+
+def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """What is in a folder and not hidden, one after the other: names and bytes, which are None for a folder within.
+
+    Of a local folder no list is made, so it may have any number of files. A folder or file that has gone is left out.
+    """
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            is_folder = info.type == fs.FileType.Directory
+            if not hidden(info.base_name, is_folder):
+                yield info.base_name, None if is_folder else info.size
+        return
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    is_folder = entry.is_dir()
+                    if not hidden(entry.name, is_folder):
+                        yield entry.name, None if is_folder else entry.stat().st_size
+                except FileNotFoundError:
+                    continue
+    except FileNotFoundError:
+        return
+
+
+def files_below(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """`path, length` of the files below `path`, in folders of any depth, whose names are like `pattern`; a written table.
+
+    Folders are listed by tasks, those of one depth at a time, and the driver holds none of them.
+    """
+    root = qualified(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        for batch in batches:
+            rows = ((f"{folder}/{name}", length) for folder in batch.column(0).to_pylist()
+                    for name, length in entries(system, base + folder[len(root):])
+                    if length is None or named_like(name, pattern))
+            while some := list(islice(rows, ROWS)):
+                paths, lengths = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], ["path", "length"])
+
+    system, base = file_system(root)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    folders, found = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        found.append(cut_lineage(folders.mapInArrow(run, "path string, length bigint")))
+        folders = found[-1].filter("length IS NULL").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found).filter("length IS NOT NULL")
+        folders = folders.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+
+
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Files of `<path>/<media_id>/`, none of deeper folders; their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", LISTED).option("recursiveFileLookup", True)

@@ -1,16 +1,22 @@
 """Ingestion of files as they arrive.
 
-The files of each work are kept in Spark's keyed state, each once, with the turn in which it came. A micro-batch gives the whole
-listing of the works that got new files, and plans their episodes from it; titles come from the first turn. A repeated
-batch overwrites its own folder of plans and nothing else.
+Folders are listed by tasks, all of them for each micro-batch; no list of all folders or files is ever in one place. The files
+of each work are kept in Spark's keyed state, each once, with the turn in which it came. A micro-batch gives the whole listing
+of the works that got new files, and plans their episodes from it; titles come from the first turn. A repeated batch overwrites
+its own folder of plans and nothing else.
 """
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from storyframe.functions.links import LinkConfig
@@ -44,16 +50,53 @@ class Listing(StatefulProcessor):
         pass
 
 
+class Uploads(DataSource):
+    """`media_id, name` of the files in `<path>/<media_id>/`, listed by as many tasks as `slices` says."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "storyframe_uploads"
+
+    def schema(self) -> str:
+        return "media_id string, name string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return UploadsReader(self.options["path"], int(self.options["slices"]))
+
+
+class UploadsReader(DataSourceStreamReader):
+    """Each micro-batch is the whole listing as it then is. The driver holds neither folders nor files."""
+
+    def __init__(self, root: str, slices: int) -> None:
+        self.root, self.slices = root, slices
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(self.slices)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, base = U.file_system(self.root)
+        rows = ((work, name) for work, length in U.entries(system, base)
+                if length is None and zlib.crc32(work.encode()) % self.slices == partition.value
+                for name, length in U.entries(system, f"{base}/{work}") if length is not None and U.named_like(name, U.LISTED))
+        while some := list(islice(rows, U.ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], ["media_id", "name"])
+
+
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """`media_id, name` of files arriving in `<path>/<media_id>/`; their contents are not read.
 
-    Files in deeper folders are left out, as are those whose names begin with `_` or `.`, which Spark takes for hidden.
+    Every micro-batch gives all files that are there, so a reader must know which it has seen. Files in deeper folders are left
+    out, as are those whose names begin with `_` or `.`, which Spark takes for hidden.
     """
-    files = (
-        spark.readStream.format("binaryFile").schema(U.FILE_SCHEMA).option("pathGlobFilter", U.LISTED)
-        .option("recursiveFileLookup", True).load(path)
-    )
-    return U.listing(files.select("path"), U.qualified(spark, path)).select("media_id", "name")
+    spark.dataSource.register(Uploads)
+    slices = 4 * spark.sparkContext.defaultParallelism
+    return spark.readStream.format(Uploads.name()).option("slices", slices).load(U.qualified(spark, path))
 
 
 def ingest_stream(files: DataFrame, existing: DataFrame, folder: str, config: LinkConfig = LinkConfig(),
@@ -68,6 +111,8 @@ def ingest_stream(files: DataFrame, existing: DataFrame, folder: str, config: Li
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         listing = cut_lineage(rows)
+        if batch_id and listing.isEmpty():
+            return
         touched = listing.select("media_id").distinct()
         planned = ingest.plan(listing, join_hot(known, touched, ["media_id"], "left_semi"), config)
         planned.write.mode("overwrite").parquet(f"{folder}/plans/batch={batch_id}")

@@ -151,6 +151,28 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     assert arrive() == second
 
 
+def test_arriving_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    """No index of files in the driver, but the same works and names as one gives."""
+    names = ["ep1.mp4", "EP2.MP4", "_h.mp4", ".x.mov", "_a=b.mov", "y.srt", "z.txt", "_metadata1.mp4", "w.mp4._COPYING_", "é %20.srt"]
+    for work in ("a b", "_hidden", ".dot", "_k=1", "_metadata2", "ü%20", "none"):
+        (tmp_path / "uploads" / work / "deeper").mkdir(parents=True)
+        for name in names if work != "none" else []:
+            (tmp_path / "uploads" / work / name).write_bytes(b"x")
+            (tmp_path / "uploads" / work / "deeper" / name).write_bytes(b"x")
+            (tmp_path / "uploads" / name).write_bytes(b"x")
+    (tmp_path / "uploads" / "a b" / "broken.mp4").symlink_to(tmp_path / "nothing")
+    path, out = str(tmp_path / "uploads"), str(tmp_path / "out")
+    files = stream_ingest.file_stream(spark, path)
+    plan = files._jdf.queryExecution().analyzed().toString()
+    assert "binaryFile" not in plan and stream_ingest.Uploads.name() in plan
+    for turn in (1, 2):
+        files.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "kept")).trigger(availableNow=True) \
+            .start(out).awaitTermination()
+        found = sorted(map(tuple, spark.read.parquet(out).collect()))
+        assert found == sorted(turn * [tuple(r) for r in U.read_listing(spark, path).select("media_id", "name").collect()])
+    assert len(found) == 2 * 4 * 4
+
+
 def test_the_files_of_a_work_take_few_steps_of_state():
     calls = []
 
