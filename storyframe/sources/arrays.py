@@ -1,10 +1,11 @@
 """JSON arrays of any size, read in blocks by many tasks.
 
-A file is cut into blocks of bytes. What a block means depends on how it is entered: outside a string, inside one, or inside
-one behind a backslash. So each block of a file of several is first told for all three: how it is left, and how much deeper.
-Going through these summaries in order gives the state and depth at which each block really begins. Then every block is cut
-at the commas of depth one; it owns the elements that begin in it, and reads on for the last one. Files of one block are
-read once, others twice. Blocks that follow each other go to one task up to a limit of bytes, which opens their file once.
+A file is cut into blocks of bytes, and every block at the commas of depth one. What a block means depends on how it is entered:
+outside a string, inside one, or inside one behind a backslash. A file that is short enough for one task is gone through block by
+block from its beginning. Each block of a longer one is first told for all three: how it is left, and how much deeper. Going
+through these summaries in order gives the state and depth at which each block really begins, so that many tasks can cut it. A
+block owns the elements that begin in it. Only files of several tasks are read twice. Blocks that follow each other go to one task
+up to a limit of bytes, which opens their file once. Files are listed by tasks.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyframe.session import cut_lineage
-from storyframe.sources.listing import file_system, qualified
+from storyframe.sources.listing import file_system, files_below, qualified
 
 BLOCK_BYTES = 32 << 20
 # Bytes that a task reads, about.
 TASK_BYTES = 128 << 20
+# Elements, and characters of them, in one batch of a task.
+BATCH_ROWS, BATCH_CHARS = 1000, 1 << 20
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 # Blanks, and the mark that some files begin with.
 _BLANK = b" \t\r\n\xef\xbb\xbf"
@@ -97,19 +99,19 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
     `position` is the byte at which an element begins. A file whose root is no array has no elements.
     """
     root = qualified(spark, path)
-    # Spark plans a task for every few files, however small, so the listing is brought to few tasks and written once.
-    files = cut_lineage(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-                        .load(path).select("path", "length").coalesce(4 * spark.sparkContext.defaultParallelism))
+    files = files_below(spark, path, pattern)
     count = F.greatest(F.ceil(F.col("length") / block_bytes), F.lit(1))
     total = files.agg(F.sum(count)).first()[0] or 1
     # a given number of partitions stays as it is, however small the rows are
     tasks = int(max(min(total, spark.sparkContext.defaultParallelism), total * block_bytes // TASK_BYTES))
-    blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block"))
-    single = F.col("length") <= block_bytes
-    known = blocks.filter(single).withColumns({"state": F.lit(OUTSIDE), "depth": F.lit(0).cast("bigint")})
-    several = blocks.filter(~single)
+    most = max(TASK_BYTES // block_bytes, 1)
+    short = count <= most
+    zero = F.lit(0).cast("bigint")
+    known = files.filter(short).select("path", "length", zero.alias("block"), count.cast("bigint").alias("blocks"),
+                                       F.lit(OUTSIDE).alias("state"), zero.alias("depth"))
+    several = files.filter(~short).select("path", "length", F.explode(F.sequence(zero, count - 1)).alias("block"))
 
-    run = F.col("block") - F.col("block") % max(TASK_BYTES // block_bytes, 1)
+    run = F.col("block") - F.col("block") % most
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, "path", run).sortWithinPartitions("path", "block")
@@ -155,22 +157,72 @@ def elements(spark: SparkSession, path: str, pattern: str = "*.json", block_byte
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(root)
+        found, size = [], 0
         for batch in batches:
             for row, stream in opened(batch, system, base):
-                places, texts = _owned(stream, row["block"] * block_bytes, block_bytes, row["state"], row["depth"])
-                if places:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["path"]] * len(places)), pa.array(places, pa.int64()), pa.array(texts)],
-                        ["path", "position", "body"])
+                given = row["block"] * block_bytes, block_bytes, row["state"], row["depth"]
+                for place, text in _gone_through(stream, block_bytes) if row["blocks"] > 1 else zip(*_owned(stream, *given), strict=True):
+                    found.append((row["path"], place, text))
+                    size += len(text)
+                    if len(found) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield rows_of(found)
+                        found, size = [], 0
+        if found:
+            yield rows_of(found)
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        types = pa.string(), pa.int64(), pa.string()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)],
+                                          ["path", "position", "body"])
 
     if not several.isEmpty():
         shape = "path string, length bigint, block bigint, " + ", ".join(f"{c} bigint" for c in told_of)
         sums = dealt(several).mapInArrow(summed, shape).repartition(tasks, "path").sortWithinPartitions("path", "block")
         entered = sums.mapInArrow(composed, "path string, length bigint, block bigint, state int, depth bigint")
-        known = known.unionByName(entered)
+        known = known.unionByName(entered.withColumn("blocks", F.lit(1).cast("bigint")))
     return dealt(known).mapInArrow(told, "path string, position bigint, body string")
 
 
+def _begins(raw: bytes, found: Cut) -> tuple[list[int], list[int]]:
+    """Where elements begin in a block, and where those of them end that end in it."""
+    begins = ([found.begin] if found.begin is not None else []) + (found.ends + 1).tolist()
+    # the byte behind the closing bracket begins nothing
+    if len(found.ends) and raw[found.ends[-1]:found.ends[-1] + 1] != b",":
+        begins.pop()
+    return begins, [e for e in found.ends.tolist() if begins and e >= begins[0]]
+
+
+def _gone_through(stream, size: int) -> Iterator[tuple[int, str]]:
+    """Places and texts of the elements of a file, which is read once, in blocks of `size`."""
+    start, state, depth, is_array = 0, OUTSIDE, 0, None
+    opened: list[tuple[int, list[bytes]]] = []
+
+    def text(parts: list[bytes]) -> bytes:
+        return b"".join(parts).strip()
+
+    def ended() -> Iterator[tuple[int, str]]:
+        yield from ((place, text(parts).decode("utf-8", "replace").strip()) for place, parts in opened if text(parts))
+        opened.clear()
+
+    while raw := stream.read_at(size, start):
+        if is_array is None and (first := raw.lstrip(_BLANK)[:1]):
+            is_array = first == b"["
+        if is_array is False:
+            return
+        found = cuts(np.frombuffer(raw, np.uint8), state, depth)
+        for _, parts in opened:
+            parts.append(raw[:found.ends[0]] if len(found.ends) else raw)
+        if len(found.ends):
+            yield from ended()
+        begins, ends = _begins(raw, found)
+        for i, begin in enumerate(begins):
+            opened.append((start + begin, [raw[begin:ends[i]] if i < len(ends) else raw[begin:]]))
+            if i < len(ends):
+                yield from ended()
+        start, state, depth = start + size, found.state, found.depth
+    yield from ended()
+
+
 def _owned(stream, start: int, size: int, state: int, depth: int) -> tuple[list[int], list[str]]:
     """Places and texts of the elements that begin in the block at `start`."""
     raw = stream.read_at(size, start)
@@ -178,12 +230,7 @@ def _owned(stream, start: int, size: int, state: int, depth: int) -> tuple[list[
     if start == 0 and raw.lstrip(_BLANK)[:1] not in (b"[", b""):
         return [], []
     found = cuts(data, state, depth)
-    begins = [b for b in ([found.begin] if found.begin is not None else []) + (found.ends + 1).tolist()]
-    # the byte behind the closing bracket begins nothing
-    closed = len(found.ends) and raw[found.ends[-1]:found.ends[-1] + 1] != b","
-    if closed:
-        begins.pop()
-    ends = [e for e in found.ends.tolist() if begins and e >= begins[0]]
+    begins, ends = _begins(raw, found)
     places, texts = [], []
     for i, begin in enumerate(begins):
         text = raw[begin:ends[i]] if i < len(ends) else raw[begin:] + _rest(stream, start + size, size, found.state, found.depth)

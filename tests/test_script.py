@@ -16,7 +16,7 @@ from storyframe.operators import timeline as N
 from storyframe.plans import rejects, script
 from storyframe.session import cut_lineage, measured
 from storyframe.sources import annotations as A
-from storyframe.sources import arrays, sinks
+from storyframe.sources import arrays, listing, sinks
 from storyframe.sources import subtitles as S
 
 FIRST = """[Script Info]
@@ -210,6 +210,41 @@ def test_exports_in_blocks_of_any_size(spark, folder, tmp_path):
             ("late", "ep2", None), ("open", "ep1", None), ("open", None, '{"a')]
 
 
+def test_files_of_one_task_and_of_several_have_the_same_elements(spark, tmp_path, monkeypatch):
+    texts = ["", " \n" * 9, "[ ]", ' [1, "é]\\\\", {"a": [",", "\\""]},\n [] , 7 ]\n', '{"x":[1, 2]}', '[{"a":1},{"b', "[" + '"x",' * 40 + "1]"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"d{i % 2}" / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 2}" / "deep" / f"{i}.json").write_text(text)
+    for size in (3, 10):
+        found = []
+        for task_bytes in (arrays.TASK_BYTES, size):
+            monkeypatch.setattr(arrays, "TASK_BYTES", task_bytes)
+            found.append(sorted(map(tuple, arrays.elements(spark, str(tmp_path), block_bytes=size).collect())))
+            monkeypatch.undo()
+        assert found[0] == found[1] and len(found[0]) == 5 + 2 + 41
+        assert [b for p, _, b in found[0] if p.endswith("/3.json")] == ["1", '"é]\\\\"', '{"a": [",", "\\""]}', "[]", "7"]
+
+
+def test_exports_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The files that Spark's reader would list, without one list of them in the driver."""
+    for folder in ("", "a b", "_hidden", ".dot", "a b/deep/é"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for name in ("1.json", "_2.json", ".3.json", "4.jsonl", "k=5.json", "_k=6.json"):
+            (tmp_path / folder / name).write_text("[1]")
+    wanted = sorted(map(tuple, spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.json").load(str(tmp_path)).select("path", "length").collect()))
+    monkeypatch.setattr(listing, "ROWS", 2)
+    found = listing.files_below(spark, str(tmp_path), "*.json")
+    assert sorted(map(tuple, found.collect())) == wanted and len(wanted) == 9
+    monkeypatch.setattr(type(spark), "read", property(lambda self: pytest.fail("the driver lists files")))
+    assert arrays.elements(spark, str(tmp_path)).count() == 9
+    with pytest.raises(FileNotFoundError):
+        listing.files_below(spark, str(tmp_path / "none"), "*")
+    for name, pattern, like in (("a.mp4", "*.{mp4,mov}", True), ("a.MP4", "*.{mp4,mov}", False), ("a.srt", "*.{mp4,mov}", False),
+                                ("ab", "[^b]?", True), ("bb", "[^b]?", False)):
+        assert listing.named_like(name, pattern) == like
+
+
 def test_blocks_are_dealt_by_file_from_one_listing(spark, tmp_path):
     for i in range(300):
         (tmp_path / f"{i}.json").write_text(json.dumps([{"inner_id": j} for j in range(i % 5)]))
