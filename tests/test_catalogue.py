@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,42 @@ def test_search_through_the_index_equals_the_scan(spark):
         assert found == want and len(found) > 900
 
 
+def test_the_index_is_in_blocks_and_pairs_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abAB é#1") for _ in range(n))
+    schema = "id long, title string, work string"
+    rows = spark.createDataFrame([(i, text(rng.randrange(12)), rng.choice([None, text(9)])) for i in range(400)], schema)
+    odd = rows.unionByName(rows.where("id % 7 = 0")).unionByName(spark.createDataFrame([(None, "ab", "ab")], schema))
+    queries = {i: text(rng.randrange(9)) for i in range(30)} | {30: "", 31: None, 32: "zzz", 33: "é"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, query string")
+    fields, got = ["title", "work"], []
+    for block_rows, pairs in ((10_000, 100_000), (30, 7)):
+        monkeypatch.setattr(search, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(search, "PAIRS", pairs)
+        postings = [cut_lineage(search.index(r, "id", fields)) for r in (rows, odd)]
+        found = [search.search(asked, r, p, "id", fields) for r, p in zip((rows, odd), postings, strict=True)]
+        got.append([rows_of(f) for f in found])
+        # a list for each run of a block, and each key once
+        blocks = postings[0].select("block").distinct().count()
+        assert postings[0].where("run IS NULL").count() == 400 and (blocks > 5) == (block_rows == 30)
+        lists = postings[0].where("run IS NOT NULL")
+        assert lists.count() == lists.select("block", "run").distinct().count() < lists.agg(F.sum("n")).first()[0]
+        # what is behind the comparison goes through no shuffle
+        assert "Exchange" not in found[0]._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    filled = rows.fillna("")
+    assert got[0] == got[1] and got[0][0] == sorted(
+        ((i, r.id) for i, q in queries.items() for r in catalogue.searched(filled, q or "", fields).collect()), key=str)
+    # a key of several rows is taken only if it is listed once for each run
+    assert [x for x in got[0][1] if x[1] % 7] == [x for x in got[0][0] if x[1] % 7] and (30, 7) not in got[0][1]
+
+
+@pytest.mark.parametrize("places, kind", [([0, 3], 2), (list(range(0, 500, 2)), 0), ([1, 1, 4], 10), ([7, 99_999], 4)])
+def test_places_are_written_and_read(places, kind):
+    size = 100_000 if kind == 4 else 500
+    data = search._written(np.array(places), size)
+    assert data[0] == kind and search._read(data).tolist() == places
+
+
 def test_queries_of_equal_words_have_one_form_and_frequent_runs_are_not_looked_up(spark):
     asked = spark.createDataFrame([(1, "b  A"), (2, " a B\tb"), (3, None), (4, " ")], "query_id long, query string")
     assert [r[0] for r in asked.orderBy("query_id").select(search.normal(F.col("query"))).collect()] == ["a b", "a b", "", ""]
